@@ -1,0 +1,42 @@
+"""Lookup joins whose broadcast side is measured, not assumed."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+SALTS = 64
+
+
+def small_enough(df: DataFrame, bound: int) -> bool:
+    """True when ``df`` is proven to hold at most ``bound`` rows.
+
+    Reads no further than ``bound + 1`` rows.
+    """
+    return df.limit(bound + 1).count() <= bound
+
+
+def lookup_join(
+    rows: DataFrame,
+    lookup: DataFrame,
+    on: str,
+    how: str = "inner",
+    *,
+    bound: int | None = None,
+    fits: bool | None = None,
+    salts: int = SALTS,
+) -> DataFrame:
+    """Join a large ``rows`` to a ``lookup`` that is usually small.
+
+    Within ``bound`` rows the lookup is broadcast.  Past it the join shuffles;
+    since one key (a common code, a large doctor) may hold a third of ``rows``,
+    every key of ``rows`` is then spread over ``salts`` buckets and the lookup
+    is repeated once per bucket.  Both ways give the same rows.  ``fits`` passes
+    on an answer of :func:`small_enough` when one lookup serves several joins.
+    """
+    if small_enough(lookup, bound) if fits is None else fits:
+        return rows.join(F.broadcast(lookup), on, how)
+    spread = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(salts)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    salted = rows.withColumn("_salt", spread)
+    return salted.join(lookup.withColumn("_salt", every), [on, "_salt"], how).drop("_salt")
