@@ -22,6 +22,7 @@ from carryover.functions import (
     small_enough,
 )
 from carryover.operators.codes import code_volume, has_category
+from carryover.operators.coverage import coverage_rows, months_held
 from carryover.params import Params
 
 
@@ -203,34 +204,14 @@ def q4_ratio(claim_line: DataFrame, p: Params) -> DataFrame:
 # --- V5: do members keep their identifier? ----------------------------------
 
 
-def _month_bit() -> Column:
-    """Month as one bit of a long, so distinct months merge with ``bit_or``.
-
-    Text that is no number fails the query, and so does a number that has no
-    bit; a missing month sets none.
-    """
-    return F.expr(
-        "CASE WHEN eff_mo IS NULL THEN 0L"
-        " WHEN CAST(eff_mo AS INT) BETWEEN 0 AND 62 THEN shiftleft(1L, CAST(eff_mo AS INT))"
-        " ELSE raise_error('eff_mo is not a month') END"
-    )
-
-
-def _coverage(member_month: DataFrame, p: Params) -> DataFrame:
-    year = F.col("eff_yr").cast("int")
-    return member_month.where(year.isin(*p.years)).select(
-        "member_id", year.alias("yr"), _month_bit().alias("month")
-    )
-
-
 def membership_grain(member_month: DataFrame, p: Params, top: int = 100) -> DataFrame:
     """How many rows and distinct months a member-year has."""
     return (
-        _coverage(member_month, p)
+        coverage_rows(member_month, p)
         .groupBy("member_id", "yr")
         .agg(
             _rows().alias("rows_in_year"),
-            F.bit_count(F.bit_or("month")).cast("long").alias("distinct_months"),
+            months_held().cast("long").alias("distinct_months"),
         )
         .groupBy("rows_in_year", "distinct_months")
         .agg(_rows().alias("member_years"))
@@ -245,13 +226,9 @@ def presence_pivot(member_month: DataFrame, p: Params) -> DataFrame:
     One aggregate per member over both years; column names carry the years.
     """
 
-    def months(year: int) -> Column:
-        held = F.bit_or(F.when(F.col("yr") == year, F.col("month")))
-        return F.coalesce(F.bit_count(held), F.lit(0))
-
     y1, y2 = p.years
-    per_member = _coverage(member_month, p).groupBy("member_id").agg(
-        months(y1).alias("m1"), months(y2).alias("m2")
+    per_member = coverage_rows(member_month, p).groupBy("member_id").agg(
+        months_held(y1).alias("m1"), months_held(y2).alias("m2")
     )
     first, second, full = F.col("m1") > 0, F.col("m2") > 0, F.col("m1") == 12
     counts = per_member.agg(
@@ -279,7 +256,7 @@ def claims_vs_coverage(claim_line: DataFrame, member_month: DataFrame, p: Params
     claimed = two_years(claim_line, p).select(
         "member_id", F.year(day).alias("yr"), F.lit(True).alias("claim"), F.lit(False).alias("cover")
     )
-    covered = _coverage(member_month, p).where(F.col("member_id").isNotNull()).select(
+    covered = coverage_rows(member_month, p).where(F.col("member_id").isNotNull()).select(
         "member_id", "yr", F.lit(False).alias("claim"), F.lit(True).alias("cover")
     )
     per_year = (

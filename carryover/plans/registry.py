@@ -6,8 +6,10 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carryover.operators import checks, codes, profile
+from carryover.operators import checks, codes, coverage, doctors, gates, measure, profile, verdict
 from carryover.params import Params
+from carryover.plans.stages import StageStore
+from carryover.plans.study import Study
 from carryover.sources.fixtures import fixture_params, fixture_tables
 
 Tables = Mapping[str, DataFrame]
@@ -79,6 +81,120 @@ FOUNDATION = {
     "v8_unmatched_codes": lambda t, p: checks.unmatched_codes(t["dx_line"], t["code_map"]),
 }
 
+UNIT_ = ("book", "condition", "member_id")
+
+# Each takes a Study; its stages are lazy and shared within one query.
+MEASURE = {
+    "curate_claims": lambda s: measure.curate_claims(s.t["claim_line"], s.t["member_month"], s.t["provider"], s.p),
+    "build_member_month": lambda s: coverage.build_member_month(s.t["member_raw"]),
+    "scope_claims": lambda s: measure.scope_claims(s.t["claim_line"], s.p).select(
+        "claim_line_id", "member_id", "srv_start_dt", "business_ln_cd", "book"
+    ),
+    "expand_positions": lambda s: measure.expand_positions(
+        checks.two_years(s.t["claim_line"], s.p).select("claim_line_id", "member_id", "srv_start_dt", "plc_srv_cd"),
+        s.t["dx_line"],
+    ),
+    "label_conditions": lambda s: measure.label_conditions(
+        measure.expand_positions(
+            checks.two_years(s.t["claim_line"], s.p).select("claim_line_id", "member_id"), s.t["dx_line"]
+        ),
+        codes.family_codes(s.t["code_map"], s.p.families),
+        s.p,
+    ).select("claim_line_id", "member_id", "position", "code", "condition", "category"),
+    "classify_setting": lambda s: measure.classify_setting(s.t["claim_line"], s.p).select(
+        "claim_line_id", "plc_srv_cd", "setting"
+    ),
+    "exclude_sources": lambda s: measure.exclude_sources(s.t["claim_line"], s.p).select(
+        "claim_line_id", "med_cost_ctg_cd"
+    ),
+    "condition_records": lambda s: s.records,
+    "confirm_two_mentions": lambda s: measure.confirm_mentions(s.summary, s.p),
+    "confirm_two_visits": lambda s: measure.confirm_mentions(
+        measure.member_summary(s.records, s.p.with_(mention_unit="visit")), s.p
+    ),
+    "member_year": lambda s: s.member_years,
+    "hospital_sustained": lambda s: measure.hospital_sustained(s.member_years),
+    "two_year_outcome": lambda s: s.outcome,
+    "gate_death": lambda s: measure.gate_death(s.outcome, s.t["member_death"], s.p).select(*UNIT_, "alive"),
+    "gate_coverage": lambda s: measure.gate_coverage(s.outcome, s.t["member_month"], s.p).select(
+        *UNIT_, "months", "covered"
+    ),
+    "gate_same_doctor": lambda s: measure.gate_contact(s.outcome, s.t["claim_line"], s.p).select(
+        *UNIT_, "same_doctor"
+    ),
+    "flag_no_visit": lambda s: measure.gate_contact(s.outcome, s.t["claim_line"], s.p).select(
+        *UNIT_, "lines", "seen"
+    ),
+    "gate_code_family": lambda s: measure.code_moves(s.records, s.outcome, s.p),
+    "gated_outcome": lambda s: s.gates,
+    "attrition": lambda s: s.attrition,
+    "condition_incidence": lambda s: measure.condition_incidence(
+        s.summary, s.t["claim_line"], s.t["member_month"], s.p
+    ),
+}
+
+DOCTORS = {
+    "provider_scores": lambda s: s.scores,
+    "min_panel": lambda s: doctors.min_panel(s.scores, s.p),
+    "shrink_scores": lambda s: doctors.shrink_scores(s.scores, s.p),
+    "peer_compare": lambda s: doctors.peer_compare(s.panel, s.t["provider"], s.age, s.burden, s.p),
+    "rank_scores": lambda s: doctors.ranking(s.scores, s.p),
+    "case_timelines": lambda s: s.histories(("lowest",), s.p.case_members),
+}
+
+GATES = {
+    "v9_stage_reconcile": lambda s: gates.stage_reconcile(
+        s.t["claim_line"], s.t["dx_line"], s.records, s.gates, s.p
+    ),
+    "v10_collapse_unique": lambda s: gates.collapse_unique(s.member_years),
+    "v11_setting_agreement": lambda s: gates.setting_agreement(s.t["claim_line"], s.t["provider"], s.p),
+    "v12_excluded_absent": lambda s: gates.excluded_absent(s.records, s.t["claim_line"], s.p),
+    "v13_retired_codes": lambda s: gates.retired_codes(s.t["claim_line"], s.t["dx_line"], s.t["code_map"], s.p),
+    "v14_two_mention_effect": lambda s: gates.two_mention_effect(s.summary, s.p),
+    "v15_gate_removal": lambda s: gates.gate_removal(s.attrition),
+    "v16_population_rate": lambda s: gates.population_rate(s.gates, s.p),
+    "v17_score_distribution": lambda s: gates.score_distribution(s.scores, s.p),
+    "v18_extreme_histories": lambda s: s.histories(("lowest", "highest"), s.p.extreme_members),
+    "v19_control_condition": lambda s: gates.control_condition(s.gates, s.p),
+    "v20_office_vs_any": lambda s: gates.office_vs_any(s.scores),
+    "v21_books_separate": lambda s: gates.books_separate(s.records, s.gates, s.p),
+    "v22_flag_survival": lambda s: doctors.flag_survival(s.scores, s.p),
+    "v23_covariate_balance": lambda s: gates.covariate_balance(s.panel, s.scores, s.age, s.burden, s.p),
+    "v24_sensitivity": lambda s: s.sensitivity(),
+    "v26_attach_limits": lambda s: gates.attach_limits(s.gates),
+    "batch_submission_shape": lambda s: gates.batch_submission_shape(
+        s.t["claim_line"], s.t["dx_line"], s.t["code_map"], s.p
+    ),
+    "foundation_verdicts": lambda s: verdict.metric_verdicts(s.foundation_metrics()),
+    "gate_signoff": lambda s: verdict.gate_signoff(s.metrics()),
+}
+
+
+# Queries that read a stage more than once; the others pass through lazily.
+REUSING = {
+    *DOCTORS,
+    "gate_code_family",
+    "v9_stage_reconcile",
+    "v17_score_distribution",
+    "v18_extreme_histories",
+    "v20_office_vs_any",
+    "v21_books_separate",
+    "v22_flag_survival",
+    "v23_covariate_balance",
+    "v24_sensitivity",
+    "gate_signoff",
+}
+
+
+def _study(build: Callable[[Study], DataFrame], *, staged: bool) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = StageStore.of(spark) if staged else None
+        return build(Study(fixture_tables(spark, sf_dir), P, store))
+
+    return run
+
+
 QUERIES: dict[str, Query] = {
-    name: _query(build) for group in (DISCOVERY, FOUNDATION) for name, build in group.items()
+    **{name: _query(build) for group in (DISCOVERY, FOUNDATION) for name, build in group.items()},
+    **{name: _study(build, staged=name in REUSING) for group in (MEASURE, DOCTORS, GATES) for name, build in group.items()},
 }

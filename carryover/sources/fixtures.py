@@ -117,6 +117,9 @@ def fixture_params() -> Params:
         control_family="control",
         excluded_sources=("LAB", "DENTAL"),
         network_areas_out=("DPPO",),
+        # a twelfth of a small state: panels are half the size of real ones
+        min_panel=15,
+        sensitivity_panels=(10, 15, 25),
     )
 
 
