@@ -8,10 +8,10 @@ UNVERIFIABLE, never PASS.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERDICTS = ("PASS", "REVIEW", "UNVERIFIABLE", "FAIL")  # from best to worst
@@ -69,6 +69,10 @@ BOUNDS = (
     Bound("V26", "figures_without_limits", "at_most", 0, 0, "attach them", True),
 )
 
+FOUNDATION_CHECKS = tuple(b.check for b in BOUNDS if b.check.startswith("EDA")) + tuple(
+    f"V{i}" for i in range(1, 9)
+)
+
 # Checks a person does; a result is passed in, otherwise UNVERIFIABLE.
 READ_BY_PERSON = {"V18": "stop and find out why", "V25": "rewrite before circulation"}
 
@@ -88,12 +92,13 @@ def metric_rows(df: DataFrame, check: str, columns: Mapping[str, Column | str])
     return values.select(F.expr(f"stack({len(columns)}, {lines}) AS (check, metric, value)"))
 
 
-def _bounds(spark) -> DataFrame:
+def _bounds(spark: SparkSession, checks: Collection[str] | None) -> DataFrame:
     """The bound table as inline rows."""
+    bounds = [b for b in BOUNDS if checks is None or b.check in checks]
     rows = ", ".join(
         f"('{b.check}', '{b.metric}', '{b.kind}', {float(b.good)!r}D, {float(b.fail)!r}D, {float(b.good_high)!r}D,"
         f" {float(b.fail_high)!r}D, {str(b.fail_at).lower()}, {str(b.blocks).lower()}, '{b.on_failure}')"
-        for b in BOUNDS
+        for b in bounds
     )
     return spark.sql(
         f"SELECT * FROM VALUES {rows}"
@@ -120,9 +125,10 @@ def _verdict() -> Column:
     )
 
 
-def metric_verdicts(metrics: DataFrame) -> DataFrame:
-    """Every bound with its value and verdict; a missing metric keeps its row."""
-    bounds = _bounds(metrics.sparkSession)
+def metric_verdicts(metrics: DataFrame, checks: Collection[str] | None = None) -> DataFrame:
+    """Every bound (of ``checks``) with its value and verdict; a missing metric
+    keeps its row."""
+    bounds = _bounds(metrics.sparkSession, checks)
     return (
         F.broadcast(bounds)
         .join(metrics, ["check", "metric"], "left")

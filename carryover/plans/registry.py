@@ -165,7 +165,10 @@ GATES = {
     "batch_submission_shape": lambda s: gates.batch_submission_shape(
         s.t["claim_line"], s.t["dx_line"], s.t["code_map"], s.p
     ),
-    "foundation_verdicts": lambda s: verdict.metric_verdicts(s.foundation_metrics()),
+    "foundation_verdicts": lambda s: verdict.metric_verdicts(
+        s.foundation_metrics(), verdict.FOUNDATION_CHECKS
+    ),
+    "check_verdicts": lambda s: verdict.check_verdicts(s.metrics()),
     "gate_signoff": lambda s: verdict.gate_signoff(s.metrics()),
 }
 
@@ -182,6 +185,7 @@ REUSING = {
     "v22_flag_survival",
     "v23_covariate_balance",
     "v24_sensitivity",
+    "check_verdicts",
     "gate_signoff",
 }
 

@@ -1,7 +1,8 @@
 """The same questions in DuckDB SQL, to check the Spark answers against."""
 
 from parity.foundation import FOUNDATION
+from parity.measurement import MEASUREMENT
 
-ORACLE: dict[str, str] = {**FOUNDATION}
+ORACLE: dict[str, str] = {**FOUNDATION, **MEASUREMENT}
 
 __all__ = ["ORACLE"]
