@@ -133,24 +133,70 @@ def first_position_agreement(claim_line: DataFrame, dx_line: DataFrame) -> DataF
     return counts.withColumn("agreement", share(F.col("agree"), F.col("compared_rows")))
 
 
-def disagreeing_pairs(claim_line: DataFrame, dx_line: DataFrame, top: int = 200) -> DataFrame:
+# A line with more code pairs than this is spread over tasks before it is paired.
+WIDE_LINE = 10_000
+
+
+def _position_one_counts(dx_line: DataFrame) -> DataFrame:
+    code = normalise(F.col("icd9_dx_cd"))
+    return (
+        dx_line.where(F.col("claim_line_id").isNotNull() & (position(F.col("sequence_id")) == 1))
+        .groupBy("claim_line_id", code.alias("icd9_dx_cd_seq1"))
+        .agg(_rows().alias("n_dx"))
+    )
+
+
+def _top_line_counts(claim_line: DataFrame) -> DataFrame:
+    code = normalise(F.col("pri_icd9_dx_cd"))
+    return (
+        claim_line.where(F.col("claim_line_id").isNotNull())
+        .groupBy("claim_line_id", code.alias("pri_icd9_dx_cd"))
+        .agg(_rows().alias("n_top"))
+    )
+
+
+def _disagreements(first: DataFrame, top_line: DataFrame, keys: list[str]) -> DataFrame:
+    return (
+        first.join(top_line, keys)
+        .where(F.col("icd9_dx_cd_seq1") != F.col("pri_icd9_dx_cd"))
+        .select("icd9_dx_cd_seq1", "pri_icd9_dx_cd", (F.col("n_dx") * F.col("n_top")).alias("n"))
+    )
+
+
+def disagreeing_pairs(
+    claim_line: DataFrame, dx_line: DataFrame, top: int = 200, salts: int = 256, wide: int = WIDE_LINE
+) -> DataFrame:
     """The code pairs that disagree most often.
 
     Both sides meet as counts per (line, code), so repeats of a line are
-    multiplied as numbers and a hot line brings its distinct codes only.
+    multiplied as numbers.  A placeholder line id with very many codes on both
+    sides is salted by its position-1 code, so no task forms all its pairs;
+    usually there is none, and adaptive execution drops that branch.
     """
-    counts = _first_positions(claim_line, dx_line).where(F.col("code").isNotNull())
-    first = counts.where(F.col("n_dx") > 0).select(
-        "claim_line_id", F.col("code").alias("icd9_dx_cd_seq1"), "n_dx"
+    first, top_line = _position_one_counts(dx_line), _top_line_counts(claim_line)
+    codes = first.select("claim_line_id", F.lit(1).alias("d"), F.lit(0).alias("t")).unionByName(
+        top_line.select("claim_line_id", F.lit(0).alias("d"), F.lit(1).alias("t"))
+    )
+    wide_lines = (
+        codes.groupBy("claim_line_id")
+        .agg(F.sum("d").alias("d"), F.sum("t").alias("t"))
+        .where(F.col("d") * F.col("t") > wide)
+        .select("claim_line_id")
     )
-    top_line = counts.where(F.col("n_top") > 0).select(
-        "claim_line_id", F.col("code").alias("pri_icd9_dx_cd"), "n_top"
+    narrow = _disagreements(
+        first.join(wide_lines, "claim_line_id", "left_anti"), top_line, ["claim_line_id"]
+    )
+    own = F.pmod(F.xxhash64("icd9_dx_cd_seq1"), F.lit(salts)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    spread = _disagreements(
+        first.join(wide_lines, "claim_line_id", "left_semi").withColumn("salt", own),
+        top_line.join(wide_lines, "claim_line_id", "left_semi").withColumn("salt", every),
+        ["claim_line_id", "salt"],
     )
     return (
-        first.join(top_line, "claim_line_id")
-        .where(F.col("icd9_dx_cd_seq1") != F.col("pri_icd9_dx_cd"))
+        narrow.unionByName(spread)
         .groupBy("icd9_dx_cd_seq1", "pri_icd9_dx_cd")
-        .agg(F.sum(F.col("n_dx") * F.col("n_top")).alias("n_rows"))
+        .agg(F.sum("n").alias("n_rows"))
         .orderBy(F.desc("n_rows"), "icd9_dx_cd_seq1", "pri_icd9_dx_cd")
         .limit(top)
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carryover.functions import blank, normalise
@@ -25,28 +25,36 @@ def _mapped_codes(code_map: DataFrame) -> DataFrame:
 def category_examples(code_map: DataFrame, pattern: str, *, raw: bool) -> DataFrame:
     """Categories reached by codes matching ``pattern``, with the evidence.
 
-    ``raw`` counts codes as written; otherwise as normalised.  The example list
-    is built from distinct codes per category, of which a code map has tens of
-    thousands at most.
+    ``raw`` counts codes as written; otherwise as normalised.  The five examples
+    are ranked per task first, so no category is gathered whole.
     """
     written = F.col("diagnosis_code")
     if raw:
         clean = normalise(written)
     else:
         clean = F.upper(F.replace(F.trim(written), F.lit("."), F.lit("")))
-    codes = code_map.where(has_category(F.col("hcc_v24"))).select(
-        F.col("hcc_v24").cast("string").alias("hcc_v24"),
-        clean.alias("code"),
-        (written if raw else clean).alias("counted"),
+    codes = (
+        code_map.where(has_category(F.col("hcc_v24")))
+        .select(
+            F.col("hcc_v24").cast("string").alias("hcc_v24"),
+            clean.alias("code"),
+            (written if raw else clean).alias("counted"),
+        )
+        .where(F.col("code").rlike(pattern))
     )
-    first_five = F.slice(F.array_sort(F.collect_set("code")), 1, 5)
-    return (
-        codes.where(F.col("code").rlike(pattern))
+    in_order = Window.partitionBy("hcc_v24").orderBy("code")
+    examples = (
+        codes.select("hcc_v24", "code")
+        .distinct()
+        .withColumn("place", F.row_number().over(in_order))
+        .where(F.col("place") <= 5)
         .groupBy("hcc_v24")
-        .agg(
-            F.countDistinct("counted").alias("icd_codes"),
-            F.array_join(first_five, ", ").alias("example_codes"),
-        )
+        .agg(F.array_join(F.array_sort(F.collect_list("code")), ", ").alias("example_codes"))
+    )
+    return (
+        codes.groupBy("hcc_v24")
+        .agg(F.countDistinct("counted").alias("icd_codes"))
+        .join(examples, "hcc_v24")
         .orderBy("hcc_v24")
     )
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carryover.functions import histogram_rank, integer_rate, normalise, share, wilson
+from carryover.functions import histogram_rank, integer_rate, lookup_join, normalise, share, wilson
 from carryover.operators.checks import position, two_years
 from carryover.operators.codes import code_set
 from carryover.operators.measure import OFFICE, UNIT, classify_setting
@@ -217,22 +217,18 @@ def _ends(scores: DataFrame, p: Params, ends: tuple[str, ...]) -> DataFrame:
     return out
 
 
-def histories(
+def picked_visits(
     panel: DataFrame,
     scores: DataFrame,
     claim_line: DataFrame,
-    dx_line: DataFrame,
-    code_map: DataFrame,
     p: Params,
     *,
     ends: tuple[str, ...],
     members: int,
 ) -> DataFrame:
-    """Every visit of a few members of the doctors at the ends, for reading.
+    """Every claim line of a few members of the doctors at the ends.
 
-    Rows are (claim line, position), in order of date; nothing is gathered into
-    lists, so a member with any number of visits stays distributed.  The picks
-    are bounded by ``members`` per end and are the only broadcast.
+    The picks are bounded by ``members`` per end and are the only broadcast.
     """
     chosen = panel.where("judged").join(F.broadcast(_ends(scores, p, ends)), DOCTOR)
     picks = None
@@ -242,23 +238,37 @@ def histories(
             .orderBy(F.md5(F.col("member_id").cast("string").cast("binary")), "member_id", "provider_id")
             .limit(members)
             .select(
-                "doctor_end", "book", F.col("provider_id").alias("scored_provider_id"),
-                "shrunk_score", "member_id", "carried_same",
+                "doctor_end",
+                "book",
+                F.col("provider_id").alias("scored_provider_id"),
+                "shrunk_score",
+                "member_id",
+                "carried_same",
             )
         )
         picks = one if picks is None else picks.unionByName(one)
     visits = classify_setting(two_years(claim_line, p), p).select(
         "claim_line_id", "member_id", "srv_start_dt", "srv_prvdr_id", "setting"
     )
+    return visits.join(F.broadcast(picks), "member_id")
+
+
+def histories(visits: DataFrame, dx_line: DataFrame, code_map: DataFrame, p: Params) -> DataFrame:
+    """The visits with every position of theirs, in order of date, for reading.
+
+    Diagnosis rows meet the few picked lines where they are scanned.  Nothing is
+    gathered into lists, so a member with any number of visits stays spread out.
+    """
+    lines = visits.where(F.col("claim_line_id").isNotNull()).select("claim_line_id").distinct()
     coded = dx_line.where(F.col("claim_line_id").isNotNull()).select(
         "claim_line_id",
         position(F.col("sequence_id")).alias("position"),
         normalise(F.col("icd9_dx_cd")).alias("code"),
     )
+    theirs = lookup_join(coded, lines, "claim_line_id", "left_semi", bound=p.broadcast_rows)
     family = code_set(code_map, p.families[p.main_family]).withColumn("in_family", F.lit(True))
     return (
-        visits.join(F.broadcast(picks), "member_id")
-        .join(coded, "claim_line_id", "left")
+        visits.join(theirs, "claim_line_id", "left")
         .join(family, "code", "left")
         .select(
             "doctor_end",

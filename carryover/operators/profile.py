@@ -34,65 +34,57 @@ def _shown(value: str = "value"):
     return F.coalesce(F.col(value), F.lit("(null)")).alias("raw_value")
 
 
-def _longest(df: DataFrame, c: str):
-    """Longest text of a column; a fractional number has no settled text."""
-    if isinstance(df.schema[c].dataType, T.FractionalType):
-        return F.lit(None).cast("long")
-    return F.max(F.length(F.col(c).cast("string"))).cast("long")
-
-
 def column_profile(df: DataFrame, table: str, dataset: str = "input") -> DataFrame:
     """One row per column: contract against reality, with null, distinct and
-    length figures.
+    length figures, from one scan and one small shuffle.
 
-    Nulls and lengths come from one aggregate without a shuffle of rows.
-    Distinct values are counted for value lists and days only, where partial
-    aggregation leaves a few rows per task; a distinct count of a key column
-    would shuffle the table, so it is NULL here (``grain_totals`` has it).
+    Every cell becomes (column, value, is null, length).  Value lists and days
+    keep their value, so their distinct values survive partial aggregation; a
+    key or a measure gives the value up and is one row per task.  A distinct
+    count of a key would shuffle the table, so it is NULL here (``grain_totals``
+    has it), like the length of a fractional number, which has no settled text.
     """
     fields = {f.name: f for f in CONTRACTS[table]}
     columns = df.columns
-    figures = []
-    for c in columns:
-        figures += [
-            F.count_if(F.col(c).isNull()).alias(f"nulls_{c}"),
-            _longest(df, c).alias(f"length_{c}"),
-        ]
-    lines = []
+    lists = [c for c in columns if c in fields and fields[c].role in ("code", "day")]
+    cells = []
     for i, c in enumerate(columns):
-        field = fields.get(c)
-        declared = f"'{field.type}'" if field else "CAST(NULL AS STRING)"
-        actual = df.schema[c].dataType.simpleString()
-        lines.append(
-            f"{i + 1}, '{c}', {declared}, '{actual}', n_rows, `nulls_{c}`, `length_{c}`"
+        kind = df.schema[c].dataType
+        declared = f"'{fields[c].type}'" if c in fields else "CAST(NULL AS STRING)"
+        text = f"CAST(`{c}` AS STRING)"
+        value = text if c in lists else "CAST(NULL AS STRING)"
+        length = "CAST(NULL AS INT)" if isinstance(kind, T.FractionalType) else f"length({text})"
+        cells.append(
+            f"{i + 1}, '{c}', {declared}, '{kind.simpleString()}', {value}, isnull(`{c}`), {length}"
         )
-    flat = df.agg(F.count(F.lit(1)).alias("n_rows"), *figures).select(
-        F.expr(
-            f"stack({len(columns)}, {', '.join(lines)}) AS (ordinal_position, column_name,"
-            " declared_type, data_type, n_rows, null_rows, max_length)"
+    names = "ordinal_position, column_name, declared_type, data_type"
+    per_value = (
+        df.select(F.expr(f"stack({len(columns)}, {', '.join(cells)}) AS ({names}, value, missing, length)"))
+        .groupBy(*names.split(", "), "value")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if("missing").alias("missing"),
+            F.max("length").alias("length"),
         )
     )
-    lists = [c for c in columns if c in fields and fields[c].role in ("code", "day")]
-    distinct = (
-        _value_counts(df, lists, lists)
-        .where(F.col("value").isNotNull())
-        .groupBy(F.col("profiled").alias("column_name"))
-        .agg(F.count(F.lit(1)).alias("distinct_values"))
-    )
-    return flat.join(distinct, "column_name", "left").select(
-        F.lit(dataset).alias("dataset_searched"),
-        F.lit(table).alias("table_name"),
-        "ordinal_position",
-        "column_name",
-        "declared_type",
-        "data_type",
-        (F.col("null_rows") > 0).alias("is_nullable"),
-        "n_rows",
-        "null_rows",
-        F.when(
-            F.col("column_name").isin(lists), F.coalesce("distinct_values", F.lit(0))
-        ).alias("distinct_values"),
-        "max_length",
+    return (
+        per_value.groupBy(*names.split(", "))
+        .agg(
+            F.sum("n").alias("n_rows"),
+            F.sum("missing").alias("null_rows"),
+            F.count("value").alias("distinct_values"),
+            F.max("length").cast("long").alias("max_length"),
+        )
+        .select(
+            F.lit(dataset).alias("dataset_searched"),
+            F.lit(table).alias("table_name"),
+            *names.split(", "),
+            (F.col("null_rows") > 0).alias("is_nullable"),
+            "n_rows",
+            "null_rows",
+            F.when(F.col("column_name").isin(lists), F.col("distinct_values")).alias("distinct_values"),
+            "max_length",
+        )
     )
 
 

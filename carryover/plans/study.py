@@ -104,11 +104,12 @@ class Study:
         return gates.sensitivity(self.all_panels, self.t["provider"], self.p)
 
     def histories(self, ends: tuple[str, ...], members: int) -> DataFrame:
-        t = self.t
-        return doctors.histories(
-            self.panel, self.scores, t["claim_line"], t["dx_line"], t["code_map"], self.p,
-            ends=ends, members=members,
+        t, p = self.t, self.p
+        visits = doctors.picked_visits(
+            self.panel, self.scores, t["claim_line"], p, ends=ends, members=members
         )
+        visits = self._stage("visits_" + "_".join(ends), visits)
+        return doctors.histories(visits, t["dx_line"], t["code_map"], p)
 
     # --- metrics ------------------------------------------------------------
 
