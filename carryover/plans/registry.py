@@ -166,7 +166,7 @@ GATES = {
         s.t["claim_line"], s.t["dx_line"], s.t["code_map"], s.p
     ),
     "foundation_verdicts": lambda s: verdict.metric_verdicts(
-        s.foundation_metrics(), verdict.FOUNDATION_CHECKS
+        s.foundation_metrics(s.foundation()), verdict.FOUNDATION_CHECKS
     ),
     "check_verdicts": lambda s: verdict.check_verdicts(s.metrics()),
     "gate_signoff": lambda s: verdict.gate_signoff(s.metrics()),

@@ -8,7 +8,7 @@ has become small.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -19,6 +19,28 @@ from carryover.params import Params
 from carryover.plans.stages import StageStore
 
 
+class Results(Mapping):
+    """Named results, each built when it is first asked for."""
+
+    def __init__(self, makers: Mapping[str, Callable[[], DataFrame]]):
+        self._makers = makers
+        self._made: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __contains__(self, name: object) -> bool:
+        return name in self._makers
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 class Study:
     def __init__(self, tables: Mapping[str, DataFrame], p: Params, store: StageStore | None = None):
         self.t = tables
@@ -111,145 +133,189 @@ class Study:
         visits = self._stage("visits_" + "_".join(ends), visits)
         return doctors.histories(visits, t["dx_line"], t["code_map"], p)
 
-    # --- metrics ------------------------------------------------------------
+    # --- results, by gate -----------------------------------------------------
 
-    def foundation_metrics(self) -> DataFrame:
-        t, p, rows = self.t, self.p, verdict.metric_rows
-        y1, y2 = p.years
-        pair = (F.col("year_1") == y1) & (F.col("year_2") == y2)
-        parts = [
-            rows(
-                profile.grain_distribution(t["curated_claims"]).agg(F.max("rows_per_claim_line_id").alias("m")),
-                "EDA_0b",
-                {"max_rows_per_line": "m"},
+    def foundation(self) -> Results:
+        """Discovery and the eight foundation checks."""
+        t, p = self.t, self.p
+        claim, dx, months, curated = (t[n] for n in ("claim_line", "dx_line", "member_month", "curated_claims"))
+        pattern = p.families[p.main_family]
+        return Results({
+            "grain_distribution": lambda: profile.grain_distribution(curated),
+            "grain_totals": lambda: profile.grain_totals(curated),
+            "dx_probe": lambda: profile.dx_probe(curated, dx, p),
+            "business_line": lambda: profile.business_lines(curated),
+            "submarket_cardinality": lambda: profile.submarket_cardinality(curated),
+            "submarket_top10": lambda: profile.submarket_top(curated),
+            "year_range": lambda: profile.year_range(curated),
+            "dm_codes": lambda: codes.category_examples(t["code_map"], pattern, raw=False),
+            "claim_line_values": lambda: profile.value_profile(
+                claim, "claim_line", ["plc_srv_cd", "plc_srv_ctg_cd", "med_cost_ctg_cd"]
             ),
-            rows(
-                profile.dx_probe(t["curated_claims"], t["dx_line"], p),
-                "EDA_0c",
-                {"match_rate": "match_rate", "lines_member_disagree": "lines_member_disagree"},
+            "dx_line_values": lambda: profile.value_profile(dx, "dx_line", ["poa_cd"]),
+            "member_month_values": lambda: profile.value_profile(months, "member_month", ["mbr_state"]),
+            "provider_values": lambda: profile.value_profile(t["provider"], "provider", ["specialty_ctg_cd"]),
+            "v1_sequence_values": lambda: checks.sequence_values(dx),
+            "v2_dx_per_line_summary": lambda: checks.dx_per_line_summary(dx),
+            "v2_dx_per_line_distribution": lambda: checks.dx_per_line_distribution(dx),
+            "v3_seq1_agreement": lambda: checks.first_position_agreement(claim, dx),
+            "v3_disagreeing_pairs": lambda: checks.disagreeing_pairs(claim, dx),
+            "v4_monthly_volume": lambda: checks.monthly_volume(claim, p),
+            "v4_q4_ratio": lambda: checks.q4_ratio(claim, p),
+            "v5_membership_grain": lambda: checks.membership_grain(months, p),
+            "v5_presence_pivot": lambda: checks.presence_pivot(months, p),
+            "v5_claims_vs_coverage": lambda: checks.claims_vs_coverage(claim, months, p),
+            "v6_join_integrity": lambda: checks.join_integrity(claim, dx, p),
+            "v6_mismatch_sample": lambda: checks.mismatch_sample(claim, dx, p),
+            "v7_diabetes_codes": lambda: codes.category_examples(t["code_map"], pattern, raw=True),
+            "v7_diabetes_share": lambda: checks.recorded_share(claim, dx, months, self.diabetes, p),
+            "v8_code_shapes": lambda: profile.code_shapes(dx, t["code_map"]),
+            "v8_match_rate": lambda: checks.match_rate(dx, t["code_map"]),
+            "v8_unmatched_codes": lambda: checks.unmatched_codes(dx, t["code_map"]),
+        })
+
+    def build(self) -> Results:
+        """Gate 2; without exclusion values V12 cannot be computed."""
+        t, p = self.t, self.p
+        out = {
+            "v9_stage_reconcile": lambda: gates.stage_reconcile(t["claim_line"], t["dx_line"], self.records, self.gates, p),
+            "v10_collapse_unique": lambda: gates.collapse_unique(self.member_years),
+            "v11_setting_agreement": lambda: gates.setting_agreement(t["claim_line"], t["provider"], p),
+            "v13_retired_codes": lambda: gates.retired_codes(t["claim_line"], t["dx_line"], t["code_map"], p),
+            "v14_two_mention_effect": lambda: gates.two_mention_effect(self.summary, p),
+            "v15_gate_removal": lambda: gates.gate_removal(self.attrition),
+            "hospital_sustained": lambda: measure.hospital_sustained(self.member_years),
+            "code_moves": lambda: measure.code_moves(self.records, self.outcome, p),
+            "batch_submission_shape": lambda: gates.batch_submission_shape(t["claim_line"], t["dx_line"], t["code_map"], p),
+        }
+        if p.excluded_sources:
+            out["v12_excluded_absent"] = lambda: gates.excluded_absent(self.records, t["claim_line"], p)
+        return Results(out)
+
+    def figures(self) -> Results:
+        """Doctor scores and gates 3 and 4."""
+        t, p = self.t, self.p
+        out = {
+            "condition_incidence": lambda: measure.condition_incidence(
+                self.summary, t["claim_line"], t["member_month"], p
             ),
-            rows(
-                codes.category_examples(t["code_map"], p.families[p.main_family], raw=False).agg(
-                    F.count(F.lit(1)).alias("m")
+            "provider_scores": lambda: doctors.min_panel(self.scores, p),
+            "ranking": lambda: doctors.ranking(self.scores, p),
+            "peer_compare": lambda: doctors.peer_compare(self.panel, t["provider"], self.age, self.burden, p),
+            "case_timelines": lambda: self.histories(("lowest",), p.case_members),
+            "v16_population_rate": lambda: gates.population_rate(self.gates, p),
+            "v17_score_distribution": lambda: gates.score_distribution(self.scores, p),
+            "v18_extreme_histories": lambda: self.histories(("lowest", "highest"), p.extreme_members),
+            "v20_office_vs_any": lambda: gates.office_vs_any(self.scores),
+            "v21_books_separate": lambda: gates.books_separate(self.records, self.gates, p),
+            "v22_flag_survival": lambda: doctors.flag_survival(self.scores, p),
+            "v23_covariate_balance": lambda: gates.covariate_balance(self.panel, self.scores, self.age, self.burden, p),
+            "v24_sensitivity": lambda: self.sensitivity(),
+            "v26_attach_limits": lambda: gates.attach_limits(self.gates),
+        }
+        if p.control_family:
+            out["v19_control_condition"] = lambda: gates.control_condition(self.gates, p)
+        return Results(out)
+
+    # --- metrics ----------------------------------------------------------------
+
+    def foundation_metrics(self, results: Mapping[str, DataFrame]) -> DataFrame:
+        y1, y2 = self.p.years
+        pair = (F.col("year_1") == y1) & (F.col("year_2") == y2)
+        r, rows = results, verdict.metric_rows
+        return _union(
+            [
+                rows(
+                    r["grain_distribution"].agg(F.max("rows_per_claim_line_id").alias("m")),
+                    "EDA_0b",
+                    {"max_rows_per_line": "m"},
                 ),
-                "EDA_1",
-                {"categories": "m"},
-            ),
-            rows(
-                checks.sequence_values(t["dx_line"]).agg(F.max("sequence_id").alias("m")),
-                "V1",
-                {"max_position": "m"},
-            ),
-            rows(
-                checks.dx_per_line_summary(t["dx_line"]),
-                "V2",
-                {c: c for c in ("share_exactly_one", "avg_dx_per_claim_line", "share_over_ten")},
-            ),
-            rows(checks.first_position_agreement(t["claim_line"], t["dx_line"]), "V3", {"agreement": "agreement"}),
-            rows(
-                checks.q4_ratio(t["claim_line"], p).agg(
-                    F.count_if(pair & F.col("within_10pct")).alias("m")
+                rows(r["dx_probe"], "EDA_0c", _same("match_rate", "lines_member_disagree")),
+                rows(r["dm_codes"].agg(F.count(F.lit(1)).alias("m")), "EDA_1", {"categories": "m"}),
+                rows(r["v1_sequence_values"].agg(F.max("sequence_id").alias("m")), "V1", {"max_position": "m"}),
+                rows(
+                    r["v2_dx_per_line_summary"],
+                    "V2",
+                    _same("share_exactly_one", "avg_dx_per_claim_line", "share_over_ten"),
                 ),
-                "V4",
-                {"within_10pct": "m"},
-            ),
-            rows(
-                checks.presence_pivot(t["member_month"], p),
-                "V5",
-                {"share_full_present": f"share_full_{y1}_present_{y2}"},
-            ),
-            rows(
-                checks.join_integrity(t["claim_line"], t["dx_line"], p),
-                "V6",
-                {c: c for c in ("match_rate", "member_mismatch", "multi_member_lines")},
-            ),
-            rows(
-                checks.recorded_share(t["claim_line"], t["dx_line"], t["member_month"], self.diabetes, p),
-                "V7",
-                {"diff_pct_points": "diff_pct_points"},
-            ),
-            rows(checks.match_rate(t["dx_line"], t["code_map"]), "V8", {"match_rate_by_code": "match_rate_by_code"}),
-        ]
-        return _union(parts)
+                rows(r["v3_seq1_agreement"], "V3", _same("agreement")),
+                rows(
+                    r["v4_q4_ratio"].agg(F.count_if(pair & F.col("within_10pct")).alias("m")),
+                    "V4",
+                    {"within_10pct": "m"},
+                ),
+                rows(r["v5_presence_pivot"], "V5", {"share_full_present": f"share_full_{y1}_present_{y2}"}),
+                rows(r["v6_join_integrity"], "V6", _same("match_rate", "member_mismatch", "multi_member_lines")),
+                rows(r["v7_diabetes_share"], "V7", _same("diff_pct_points")),
+                rows(r["v8_match_rate"], "V8", _same("match_rate_by_code")),
+            ]
+        )
 
-    def build_metrics(self) -> DataFrame:
-        t, p, rows = self.t, self.p, verdict.metric_rows
-        main = F.col("condition") == p.main_family
+    def build_metrics(self, results: Mapping[str, DataFrame]) -> DataFrame:
+        r, rows = results, verdict.metric_rows
+        main = F.col("condition") == self.p.main_family
         parts = [
             rows(
-                gates.stage_reconcile(t["claim_line"], t["dx_line"], self.records, self.gates, p).agg(
-                    F.count_if(~F.col("accounted_for")).alias("m")
-                ),
+                r["v9_stage_reconcile"].agg(F.count_if(~F.col("accounted_for")).alias("m")),
                 "V9",
                 {"stages_not_accounted_for": "m"},
             ),
-            rows(gates.collapse_unique(self.member_years), "V10", {"repeated_keys": "repeated_keys"}),
+            rows(r["v10_collapse_unique"], "V10", _same("repeated_keys")),
             rows(
-                self.attrition.where(main).agg(F.max("share_removed").alias("m")),
+                r["v15_gate_removal"].where(main).agg(F.max("share_removed").alias("m")),
                 "V15",
                 {"largest_share_removed": "m"},
             ),
         ]
-        if p.excluded_sources:  # with nothing to exclude V12 stays UNVERIFIABLE
-            parts.append(
-                rows(
-                    gates.excluded_absent(self.records, t["claim_line"], p),
-                    "V12",
-                    {"excluded_lines": "excluded_lines"},
-                )
-            )
+        if "v12_excluded_absent" in r:
+            parts.append(rows(r["v12_excluded_absent"], "V12", _same("excluded_lines")))
         return _union(parts)
 
-    def result_metrics(self) -> DataFrame:
-        """Gates 3 and 4; of several books the one furthest from passing counts."""
-        p, rows = self.p, verdict.metric_rows
-        main = F.col("condition") == p.main_family
+    def figure_metrics(self, results: Mapping[str, DataFrame]) -> DataFrame:
+        """Of several books the one furthest from passing counts."""
+        r, rows = results, verdict.metric_rows
+        main = F.col("condition") == self.p.main_family
         rate = F.col("persistence_any")
-        furthest = F.max_by(rate, F.abs(rate - 0.75))
-        flags = doctors.flag_survival(self.scores, p)
-        balance = gates.covariate_balance(self.panel, self.scores, self.age, self.burden, p)
-        parts = [
-            rows(gates.population_rate(self.gates, p).agg(furthest.alias("m")), "V16", {"persistence": "m"}),
-            rows(
-                gates.office_vs_any(self.scores).agg(F.sum("office_above_any").alias("m")),
-                "V20",
-                {"office_above_any": "m"},
-            ),
-            rows(
-                gates.books_separate(self.records, self.gates, p).agg(F.count_if(~F.col("labelled")).alias("m")),
-                "V21",
-                {"unlabelled_figures": "m"},
-            ),
-            rows(
-                flags.where(main).agg(F.count_if(~F.col("survives")).alias("m")),
-                "V22",
-                {"flags_not_surviving": "m"},
-            ),
-            rows(
-                balance.where(main).agg(F.max(F.abs("standardised_difference")).alias("m")),
-                "V23",
-                {"largest_difference": "m"},
-            ),
-            rows(self.sensitivity().where(main).agg(F.min("overlap").alias("m")), "V24", {"smallest_overlap": "m"}),
-            rows(
-                gates.attach_limits(self.gates).agg(F.count_if(F.col("assumption").isNull()).alias("m")),
-                "V26",
-                {"figures_without_limits": "m"},
-            ),
-        ]
-        return _union(parts)
+
+        def one(name: str, value, check: str, metric: str) -> DataFrame:
+            df = r[name]
+            if "condition" in df.columns:
+                df = df.where(main)
+            return rows(df.agg(value.alias("m")), check, {metric: "m"})
+
+        return _union(
+            [
+                one("v16_population_rate", F.max_by(rate, F.abs(rate - 0.75)), "V16", "persistence"),
+                rows(
+                    r["v20_office_vs_any"].agg(F.sum("office_above_any").alias("m")), "V20", {"office_above_any": "m"}
+                ),
+                one("v21_books_separate", F.count_if(~F.col("labelled")), "V21", "unlabelled_figures"),
+                one("v22_flag_survival", F.count_if(~F.col("survives")), "V22", "flags_not_surviving"),
+                one("v23_covariate_balance", F.max(F.abs("standardised_difference")), "V23", "largest_difference"),
+                one("v24_sensitivity", F.min("overlap"), "V24", "smallest_overlap"),
+                rows(
+                    r["v26_attach_limits"].agg(F.count_if(F.col("assumption").isNull()).alias("m")),
+                    "V26",
+                    {"figures_without_limits": "m"},
+                ),
+            ]
+        )
 
     def metrics(self) -> DataFrame:
         """All metrics; each group is a handful of rows once it is written."""
         return _union(
             [
-                self._stage("metrics_1", self.foundation_metrics()),
-                self._stage("metrics_2", self.build_metrics()),
-                self._stage("metrics_3", self.result_metrics()),
+                self._stage("metrics_1", self.foundation_metrics(self.foundation())),
+                self._stage("metrics_2", self.build_metrics(self.build())),
+                self._stage("metrics_3", self.figure_metrics(self.figures())),
             ]
         )
 
 
+def _same(*columns: str) -> dict[str, str]:
+    return {c: c for c in columns}
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for df in parts[1:]:
