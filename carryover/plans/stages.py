@@ -25,7 +25,7 @@ def shared_folder(spark: SparkSession) -> str | None:
     the program ends; a cluster session gets None, since no machine-local folder
     is shared by its executors.
     """
-    named = spark.conf.get(CHECKPOINT_DIR, None)
+    named = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
