@@ -75,24 +75,26 @@ def collapse_unique(member_years: DataFrame) -> DataFrame:
 def setting_agreement(claim_line: DataFrame, provider: DataFrame, p: Params) -> DataFrame:
     """Settings crossed with provider specialty, counted per provider first."""
     claims = classify_setting(exclude_sources(scope_claims(two_years(claim_line, p), p), p), p)
-    per_doctor = claims.groupBy("setting", F.col("srv_prvdr_id").alias("provider_id")).agg(_rows().alias("n"))
+    per_doctor = claims.groupBy("book", "setting", F.col("srv_prvdr_id").alias("provider_id")).agg(_rows().alias("n"))
     cells = (
         per_doctor.join(specialties(provider, p), "provider_id", "left")
-        .groupBy("setting", F.coalesce("specialty", F.lit("(none)")).alias("specialty"))
+        .groupBy("book", "setting", F.coalesce("specialty", F.lit("(none)")).alias("specialty"))
         .agg(F.sum("n").alias("n_rows"))
     )
-    per_specialty = cells.groupBy("specialty").agg(F.sum("n_rows").alias("in_specialty"))
-    total = cells.agg(F.sum("n_rows").alias("total")).select("total")
+    per_specialty = cells.groupBy("book", "specialty").agg(F.sum("n_rows").alias("in_specialty"))
+    per_book = cells.groupBy("book").agg(F.sum("n_rows").alias("in_book"))
     return (
-        cells.join(per_specialty, "specialty")
+        cells.join(per_specialty, ["book", "specialty"])
+        .join(per_book, "book")
         .select(
+            "book",
             "setting",
             "specialty",
             "n_rows",
             share(F.col("n_rows"), F.col("in_specialty")).alias("share_of_specialty"),
-            share(F.col("n_rows"), total.scalar()).alias("share_of_rows"),
+            share(F.col("n_rows"), F.col("in_book")).alias("share_of_rows"),
         )
-        .orderBy("setting", "specialty")
+        .orderBy("book", "setting", "specialty")
     )
 
 

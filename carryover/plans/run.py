@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from carryover.operators import profile, verdict
 from carryover.params import Params
 from carryover.plans.stages import StageStore
-from carryover.plans.study import Results, Study
+from carryover.plans.study import Study
 from carryover.sources.tables import write_result
 
 # Settings a cluster should run with; Spark's defaults already agree on the first
@@ -41,7 +41,7 @@ class Outcome:
     stopped_by: tuple[str, ...]
 
 
-def _write(results: Results, folder: str) -> dict[str, DataFrame]:
+def _write(results: Mapping[str, DataFrame], folder: str) -> dict[str, DataFrame]:
     return {name: write_result(df, folder, name) for name, df in results.items()}
 
 

@@ -49,9 +49,10 @@ class StageStore:
         folder = shared_folder(spark)
         return None if folder is None else cls(spark, folder)
 
-    def keep(self, name: str, df: DataFrame) -> DataFrame:
+    def keep(self, name: str, df: DataFrame, *by: str) -> DataFrame:
+        """Write ``df``, in folders of the columns ``by``, and read it back."""
         path = f"{self.path}/{name}"
-        df.write.mode("errorifexists").parquet(path)
+        df.write.mode("errorifexists").partitionBy(*by).parquet(path)
         return self._spark.read.parquet(path)
 
 

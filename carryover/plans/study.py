@@ -8,47 +8,26 @@ has become small.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Mapping
 from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carryover.operators import checks, codes, doctors, gates, measure, profile, verdict
+from carryover.lazy import Lazy
 from carryover.params import Params
 from carryover.plans.stages import StageStore
 
 
-class Results(Mapping):
-    """Named results, each built when it is first asked for."""
-
-    def __init__(self, makers: Mapping[str, Callable[[], DataFrame]]):
-        self._makers = makers
-        self._made: dict[str, DataFrame] = {}
-
-    def __getitem__(self, name: str) -> DataFrame:
-        if name not in self._made:
-            self._made[name] = self._makers[name]()
-        return self._made[name]
-
-    def __contains__(self, name: object) -> bool:
-        return name in self._makers
-
-    def __iter__(self) -> Iterator[str]:
-        return iter(self._makers)
-
-    def __len__(self) -> int:
-        return len(self._makers)
-
-
 class Study:
     def __init__(self, tables: Mapping[str, DataFrame], p: Params, store: StageStore | None = None):
         self.t = tables
         self.p = p
         self._store = store
 
-    def _stage(self, name: str, df: DataFrame) -> DataFrame:
-        return df if self._store is None else self._store.keep(name, df)
+    def _stage(self, name: str, df: DataFrame, *by: str) -> DataFrame:
+        return df if self._store is None else self._store.keep(name, df, *by)
 
     # --- stages -----------------------------------------------------------
 
@@ -56,7 +35,10 @@ class Study:
     def records(self) -> DataFrame:
         t = self.t
         return self._stage(
-            "records", measure.labelled(t["claim_line"], t["dx_line"], t["code_map"], self.p)
+            "records",
+            measure.labelled(t["claim_line"], t["dx_line"], t["code_map"], self.p),
+            "condition",
+            "yr",
         )
 
     @cached_property
@@ -135,12 +117,12 @@ class Study:
 
     # --- results, by gate -----------------------------------------------------
 
-    def foundation(self) -> Results:
+    def foundation(self) -> Lazy:
         """Discovery and the eight foundation checks."""
         t, p = self.t, self.p
         claim, dx, months, curated = (t[n] for n in ("claim_line", "dx_line", "member_month", "curated_claims"))
         pattern = p.families[p.main_family]
-        return Results({
+        return Lazy({
             "grain_distribution": lambda: profile.grain_distribution(curated),
             "grain_totals": lambda: profile.grain_totals(curated),
             "dx_probe": lambda: profile.dx_probe(curated, dx, p),
@@ -174,7 +156,7 @@ class Study:
             "v8_unmatched_codes": lambda: checks.unmatched_codes(dx, t["code_map"]),
         })
 
-    def build(self) -> Results:
+    def build(self) -> Lazy:
         """Gate 2; without exclusion values V12 cannot be computed."""
         t, p = self.t, self.p
         out = {
@@ -190,9 +172,9 @@ class Study:
         }
         if p.excluded_sources:
             out["v12_excluded_absent"] = lambda: gates.excluded_absent(self.records, t["claim_line"], p)
-        return Results(out)
+        return Lazy(out)
 
-    def figures(self) -> Results:
+    def figures(self) -> Lazy:
         """Doctor scores and gates 3 and 4."""
         t, p = self.t, self.p
         out = {
@@ -215,7 +197,7 @@ class Study:
         }
         if p.control_family:
             out["v19_control_condition"] = lambda: gates.control_condition(self.gates, p)
-        return Results(out)
+        return Lazy(out)
 
     # --- metrics ----------------------------------------------------------------
 

@@ -6,8 +6,12 @@ for a table, so the oracle and the queries start from the same rows.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
+from carryover.lazy import Lazy
 from carryover.params import Params
 
 DRIVER_TABLES = ("customer", "supplier", "part", "orders", "lineitem")
@@ -129,11 +133,16 @@ def view_sql() -> dict[str, str]:
     return {name: text.strip().format(**names) for name, text in VIEWS.items()}
 
 
-def fixture_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """All logical tables, lazily, from the parquet files of one scale."""
-    found = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in DRIVER_TABLES}
-    out: dict[str, DataFrame] = {}
-    for name, text in VIEWS.items():
-        needed = {n: df for n, df in {**found, **out}.items() if "{" + n + "}" in text}
-        out[name] = spark.sql(text, **needed)
-    return out
+def fixture_tables(spark: SparkSession, sf_dir: str) -> Mapping[str, DataFrame]:
+    """The logical tables over the parquet files of one scale, each built from
+    the tables its text names when it is first asked for."""
+
+    def build(name: str) -> DataFrame:
+        if name not in VIEWS:
+            return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        text = VIEWS[name]
+        needed = [n for n in (*DRIVER_TABLES, *VIEWS) if "{" + n + "}" in text]
+        return spark.sql(text, **{n: every[n] for n in needed})
+
+    every = Lazy({n: partial(build, n) for n in (*DRIVER_TABLES, *VIEWS)})
+    return Lazy({n: partial(every.__getitem__, n) for n in VIEWS})

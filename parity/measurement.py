@@ -314,12 +314,12 @@ FROM cells c JOIN (SELECT book, condition, specialty, age_band, burden_band,
 SELECT count(*) AS member_years, count(*) FILTER (c > 1) AS repeated_keys
 FROM (SELECT {UNIT}, yr, count(*) AS c FROM my GROUP BY ALL)"""),
     "v11_setting_agreement": statement(f"""
-SELECT setting, specialty, count(*) AS n_rows,
- {share('count(*)', 'CAST(sum(count(*)) OVER (PARTITION BY specialty) AS BIGINT)')} AS share_of_specialty,
- {share('count(*)', 'CAST(sum(count(*)) OVER () AS BIGINT)')} AS share_of_rows
-FROM (SELECT s.setting, coalesce(p.specialty, '(none)') AS specialty FROM scoped_pair s
+SELECT book, setting, specialty, count(*) AS n_rows,
+ {share('count(*)', 'CAST(sum(count(*)) OVER (PARTITION BY book, specialty) AS BIGINT)')} AS share_of_specialty,
+ {share('count(*)', 'CAST(sum(count(*)) OVER (PARTITION BY book) AS BIGINT)')} AS share_of_rows
+FROM (SELECT s.book, s.setting, coalesce(p.specialty, '(none)') AS specialty FROM scoped_pair s
  LEFT JOIN spec p ON p.provider_id = s.srv_prvdr_id WHERE coalesce(s.med_cost_ctg_cd, '') NOT IN ({EXCLUDED}))
-GROUP BY setting, specialty"""),
+GROUP BY book, setting, specialty"""),
     "v12_excluded_absent": statement(f"""
 SELECT count(DISTINCT claim_line_id) AS measured_lines, count(DISTINCT claim_line_id) FILTER (claim_line_id IN
  (SELECT claim_line_id FROM claim_line WHERE med_cost_ctg_cd IN ({EXCLUDED}))) AS excluded_lines FROM rec"""),
