@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carryover.operators import checks, codes, doctors, gates, measure, profile, verdict
@@ -238,11 +238,15 @@ class Study:
         main = F.col("condition") == self.p.main_family
         parts = [
             rows(
-                r["v9_stage_reconcile"].agg(F.count_if(~F.col("accounted_for")).alias("m")),
+                r["v9_stage_reconcile"].agg(_count_of(~F.col("accounted_for")).alias("m")),
                 "V9",
                 {"stages_not_accounted_for": "m"},
             ),
-            rows(r["v10_collapse_unique"], "V10", _same("repeated_keys")),
+            rows(
+                r["v10_collapse_unique"],
+                "V10",
+                {"repeated_keys": F.when(F.col("member_years") > 0, F.col("repeated_keys"))},
+            ),
             rows(
                 r["v15_gate_removal"].where(main).agg(F.max("share_removed").alias("m")),
                 "V15",
@@ -250,7 +254,8 @@ class Study:
             ),
         ]
         if "v12_excluded_absent" in r:
-            parts.append(rows(r["v12_excluded_absent"], "V12", _same("excluded_lines")))
+            left = F.when(F.col("measured_lines") > 0, F.col("excluded_lines"))
+            parts.append(rows(r["v12_excluded_absent"], "V12", {"excluded_lines": left}))
         return _union(parts)
 
     def figure_metrics(self, results: Mapping[str, DataFrame]) -> DataFrame:
@@ -271,12 +276,12 @@ class Study:
                 rows(
                     r["v20_office_vs_any"].agg(F.sum("office_above_any").alias("m")), "V20", {"office_above_any": "m"}
                 ),
-                one("v21_books_separate", F.count_if(~F.col("labelled")), "V21", "unlabelled_figures"),
-                one("v22_flag_survival", F.count_if(~F.col("survives")), "V22", "flags_not_surviving"),
+                one("v21_books_separate", _count_of(~F.col("labelled")), "V21", "unlabelled_figures"),
+                one("v22_flag_survival", _count_of(~F.col("survives")), "V22", "flags_not_surviving"),
                 one("v23_covariate_balance", F.max(F.abs("standardised_difference")), "V23", "largest_difference"),
                 one("v24_sensitivity", F.min("overlap"), "V24", "smallest_overlap"),
                 rows(
-                    r["v26_attach_limits"].agg(F.count_if(F.col("assumption").isNull()).alias("m")),
+                    r["v26_attach_limits"].agg(_count_of(F.col("assumption").isNull()).alias("m")),
                     "V26",
                     {"figures_without_limits": "m"},
                 ),
@@ -294,6 +299,12 @@ class Study:
         )
 
 
+def _count_of(condition: Column) -> Column:
+    """Rows that meet a condition; NULL when there was no row to look at, so that
+    nothing passes for want of data."""
+    return F.when(F.count(F.lit(1)) > 0, F.count_if(condition))
+
+
 def _same(*columns: str) -> dict[str, str]:
     return {c: c for c in columns}
 

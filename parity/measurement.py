@@ -406,17 +406,17 @@ _FOUND = [
     _metric("V8", "match_rate_by_code", "match_rate_by_code", _of("v8_match_rate")),
 ]
 _LATER = [
-    _metric("V9", "stages_not_accounted_for", "count(*) FILTER (NOT accounted_for)", "SELECT * FROM reconciled"),
-    _metric("V10", "repeated_keys", "repeated_keys", _of("v10_collapse_unique")),
-    _metric("V12", "excluded_lines", "excluded_lines", _of("v12_excluded_absent")),
+    _metric("V9", "stages_not_accounted_for", "CASE WHEN count(*) > 0 THEN count(*) FILTER (NOT accounted_for) END", "SELECT * FROM reconciled"),
+    _metric("V10", "repeated_keys", "CASE WHEN member_years > 0 THEN repeated_keys END", _of("v10_collapse_unique")),
+    _metric("V12", "excluded_lines", "CASE WHEN measured_lines > 0 THEN excluded_lines END", _of("v12_excluded_absent")),
     _metric("V15", "largest_share_removed", "max(share_removed)", f"SELECT * FROM attr WHERE {_MAIN}"),
     _metric("V16", "persistence", "arg_max(persistence_any, abs(persistence_any - 0.75))", persistence(_MAIN)),
     _metric("V20", "office_above_any", "sum(office_above_any)", "SELECT * FROM off_any"),
-    _metric("V21", "unlabelled_figures", "count(*) FILTER (book IS NULL)", persistence(_MAIN)),
-    _metric("V22", "flags_not_surviving", "count(*) FILTER (NOT survives)", f"SELECT * FROM survival WHERE {_MAIN}"),
+    _metric("V21", "unlabelled_figures", "CASE WHEN count(*) > 0 THEN count(*) FILTER (book IS NULL) END", persistence(_MAIN)),
+    _metric("V22", "flags_not_surviving", "CASE WHEN count(*) > 0 THEN count(*) FILTER (NOT survives) END", f"SELECT * FROM survival WHERE {_MAIN}"),
     _metric("V23", "largest_difference", "max(abs(standardised_difference))", f"SELECT * FROM balance WHERE {_MAIN}"),
     _metric("V24", "smallest_overlap", "min(overlap)", f"{_of('v24_sensitivity')} WHERE {_MAIN}"),
-    _metric("V26", "figures_without_limits", "count(*) FILTER (assumption IS NULL)", "SELECT * FROM figure_limits"),
+    _metric("V26", "figures_without_limits", "CASE WHEN count(*) > 0 THEN count(*) FILTER (assumption IS NULL) END", "SELECT * FROM figure_limits"),
 ]
 _FOUND_CHECKS = sorted({b.check for b in BOUNDS if b.check.startswith("EDA") or b.check in {f"V{i}" for i in range(1, 9)}})
 

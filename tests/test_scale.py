@@ -132,6 +132,16 @@ def test_order_and_partitions_do_not_matter(domain):
         assert rows(build(Study(domain, p))) == rows(build(Study(mixed, p)))
 
 
+@pytest.mark.parametrize("ids", [20_000, 12])
+def test_narrowed_probe_picks_the_same_lines(spark, ids):
+    """Also when ids repeat so often that too few fall below the cutoff."""
+    p = params(probe_lines=10)
+    curated = spark.range(20_000).select((F.col("id") % ids).alias("claim_line_id"), F.col("id").alias("member_id"))
+    narrowed = profile._probe_lines(curated, p)
+    plain = profile._probe_lines(curated, p, narrow_from=10_000_000)
+    assert narrowed.count() == 10 and rows(narrowed) == rows(plain)
+
+
 def test_filters_and_columns_reach_the_scan(domain):
     p = fixture_params()
     text = formatted(measure.measured_claims(domain["claim_line"], p).select("claim_line_id", "book"))

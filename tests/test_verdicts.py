@@ -130,3 +130,16 @@ def test_run_stops_at_a_blocking_check_and_goes_on_when_told(spark, stored, tmp_
     for name in ("v7_diabetes_share", "ranking", "v24_sensitivity", "check_verdicts"):
         assert (tmp_path / "done" / f"{name}.parquet").exists()
         assert (tmp_path / "done" / f"{name}.csv").exists()
+
+
+def test_nothing_passes_for_want_of_data(spark, stored):
+    """Without books no line is in scope: gates 2 to 4 have nothing to pass on."""
+    from carryover.params import Params
+    from carryover.plans.study import Study
+
+    p = fixture_params()
+    empty = Params(y1=p.y1, y2=p.y2, settings=p.settings)
+    study = Study(load_tables(spark, stored), empty)
+    metrics = study.build_metrics(study.build()).unionByName(study.figure_metrics(study.figures()))
+    later = {r.verdict for r in verdict.metric_verdicts(metrics).collect() if r.check not in verdict.FOUNDATION_CHECKS}
+    assert later == {"UNVERIFIABLE"}
