@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carryover.llm import decontaminate, quality, tokens
+from carryover.llm import decontaminate, quality, secrets, tokens
 from carryover.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -22,6 +22,46 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] < len(secrets.BASE_RULES))
+
+    def number(kind: int) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [number(k).alias(f"n_{name}") for k, (name, *_) in enumerate(secrets.BASE_RULES)]
+    return found.select(
+        "doc_id",
+        *counts,
+        F.sha2(secrets.written(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.written(F.col("spans")).alias("spans"),
+    )
+
+
+def _secret_spans(kind: int, name: str, pattern: str, group: int, least: int) -> str:
+    """DuckDB: the spans of one rule, from the lengths of its matches and of the text between."""
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"""list_filter(list_transform(range(1, len(regexp_extract_all(t, {p})) + 1), lambda i: {{
+        'a': CAST(list_sum(list_transform((string_split_regex(t, {p}))[1:i], lambda g: length(g)))
+             + coalesce(list_sum(list_transform((regexp_extract_all(t, {p}))[1:i-1], lambda m: length(m))), 0) AS BIGINT),
+        'k': {kind}, 'n': '{name}',
+        'z': CAST(list_sum(list_transform((string_split_regex(t, {p}))[1:i], lambda g: length(g)))
+             + list_sum(list_transform((regexp_extract_all(t, {p}))[1:i], lambda m: length(m))) AS BIGINT),
+        'c': length((regexp_extract_all(t, {p}, {group}))[i])}}), lambda s: s.c >= {least})"""
+
+
+def _secrets_oracle() -> str:
+    every = " || ".join(_secret_spans(k, *rule) for k, rule in enumerate(secrets.RULES))
+    base = len(secrets.BASE_RULES)
+    counts = ", ".join(f"len(list_filter(s, lambda x: x.k = {k})) AS n_{r[0]}" for k, r in enumerate(secrets.BASE_RULES))
+    line = "array_to_string(list_transform({}, lambda x: x.n || ':' || x.a || ':' || x.z), ',')"
+    return f"""
+    SELECT doc_id, {counts},
+           sha256({line.format(f"list_filter(s, lambda x: x.k < {base})")}) AS base_sha256,
+           {line.format("s")} AS spans
+    FROM (SELECT doc_id, list_sort({every}) AS s FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))"""
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     machine = quality.train(docs, table(spark, sf_dir, "labels"), held_out=quality.held_out())
@@ -37,7 +77,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_bpe": op2_bpe,
+    "op5_secrets": op5_secrets,
     "op6_quality": op6_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_secrets": _secrets_oracle()}
