@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carryover.llm import decontaminate, quality, secrets, tokens
+from carryover.llm import decontaminate, quality, secrets, simhash, tokens
 from carryover.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -74,11 +74,16 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_bpe": op2_bpe,
     "op5_secrets": op5_secrets,
     "op6_quality": op6_quality,
+    "op8_simhash": op8_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_secrets": _secrets_oracle()}
