@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carryover.llm import decontaminate, quality, secrets, simhash, tokens
+from carryover.llm import decontaminate, quality, secrets, simhash, tokens, warc
 from carryover.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -78,12 +78,18 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_bpe": op2_bpe,
     "op5_secrets": op5_secrets,
     "op6_quality": op6_quality,
     "op8_simhash": op8_simhash,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_secrets": _secrets_oracle()}
