@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carryover.llm import decontaminate, quality, secrets, simhash, tokens, warc
+from carryover.llm import decontaminate, quality, secret_scan, simhash, tokens, toxicity, warc
 from carryover.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -22,19 +22,31 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.language_model(docs)
+    classifier = toxicity.train(docs, table(spark, sf_dir, "labels"), model, held_out=toxicity.held_out())
+    return toxicity.score(docs, model, classifier).select(
+        "doc_id",
+        toxicity.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    base = F.filter("spans", lambda s: s["kind"] < len(secrets.BASE_RULES))
+    found = secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"] < len(secret_scan.BASE_RULES))
 
     def number(kind: int) -> Column:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
 
-    counts = [number(k).alias(f"n_{name}") for k, (name, *_) in enumerate(secrets.BASE_RULES)]
+    counts = [number(k).alias(f"n_{name}") for k, (name, *_) in enumerate(secret_scan.BASE_RULES)]
     return found.select(
         "doc_id",
         *counts,
-        F.sha2(secrets.written(base).cast("binary"), 256).alias("base_sha256"),
-        secrets.written(F.col("spans")).alias("spans"),
+        F.sha2(secret_scan.written(base).cast("binary"), 256).alias("base_sha256"),
+        secret_scan.written(F.col("spans")).alias("spans"),
     )
 
 
@@ -51,9 +63,9 @@ def _secret_spans(kind: int, name: str, pattern: str, group: int, least: int) ->
 
 
 def _secrets_oracle() -> str:
-    every = " || ".join(_secret_spans(k, *rule) for k, rule in enumerate(secrets.RULES))
-    base = len(secrets.BASE_RULES)
-    counts = ", ".join(f"len(list_filter(s, lambda x: x.k = {k})) AS n_{r[0]}" for k, r in enumerate(secrets.BASE_RULES))
+    every = " || ".join(_secret_spans(k, *rule) for k, rule in enumerate(secret_scan.RULES))
+    base = len(secret_scan.BASE_RULES)
+    counts = ", ".join(f"len(list_filter(s, lambda x: x.k = {k})) AS n_{r[0]}" for k, r in enumerate(secret_scan.BASE_RULES))
     line = "array_to_string(list_transform({}, lambda x: x.n || ':' || x.a || ':' || x.z), ',')"
     return f"""
     SELECT doc_id, {counts},
@@ -86,6 +98,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_bpe": op2_bpe,
+    "op4_toxicity": op4_toxicity,
     "op5_secrets": op5_secrets,
     "op6_quality": op6_quality,
     "op8_simhash": op8_simhash,
