@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carryover.llm import decontaminate, quality, secret_scan, simhash, tokens, toxicity, vectors, warc
+from carryover.llm import decontaminate, quality, secret_scan, simhash, suffixes, tokens, toxicity, vectors, warc
 from carryover.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -94,6 +94,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -107,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": op6_quality,
     "op7_vectors": op7_vectors,
     "op8_simhash": op8_simhash,
+    "op9_suffixes": op9_suffixes,
     "op10_warc": op10_warc,
 }
 
