@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carryover.llm import decontaminate, quality, secret_scan, simhash, suffixes, tokens, toxicity, vectors, warc
+from carryover.llm import decontaminate, quality, recompress, secret_scan, simhash, suffixes, tokens, toxicity, vectors, warc
 from carryover.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -22,6 +22,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op3_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.language_model(docs)
@@ -106,6 +110,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_bpe": op2_bpe,
+    "op3_recompression": op3_recompression,
     "op4_toxicity": op4_toxicity,
     "op5_secrets": op5_secrets,
     "op6_quality": op6_quality,

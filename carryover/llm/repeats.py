@@ -81,20 +81,24 @@ def byte_letters(raw: np.ndarray, which: int = 0) -> np.ndarray:
 
 
 @dataclass
-class Piece:
-    """Letters of one text from ``base`` on; windows are those that start at the first ``windows`` letters."""
+class Joined:
+    """Letters of several pieces of texts, one after the other.
 
-    row: int
-    base: int
-    letters: np.ndarray
-    windows: int
+    ``starts`` are the letters at which a window starts that lies in its piece; of
+    each piece ``at`` is its first letter here, ``row`` its row in the batch and
+    ``base`` its first letter in the text.
+    """
 
+    letters: np.ndarray
+    starts: np.ndarray
+    at: np.ndarray
+    row: np.ndarray
+    base: np.ndarray
 
-def pieces(row: int, letters: np.ndarray, width: int) -> Iterator[Piece]:
-    starts = len(letters) - width + 1
-    for base in range(0, starts, PIECE):
-        n = min(PIECE, starts - base)
-        yield Piece(row, base, letters[base : base + n + width - 1], n)
+    def home(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row in the batch and place in the text of letters here."""
+        piece = np.searchsorted(self.at, start, "right") - 1
+        return self.row[piece], start - self.at[piece] + self.base[piece]
 
 
 @dataclass
@@ -106,19 +110,19 @@ class Runs:
     size: np.ndarray
 
 
-def runs_of(place: np.ndarray, key: np.ndarray) -> Runs:
-    """Runs of equal ``place`` (the anchor of each window) with the key of their anchor."""
-    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    return Runs(key[first], first, np.diff(np.concatenate([first, [len(place)]])))
+def runs_of(starts: np.ndarray, place: np.ndarray, key: np.ndarray) -> Runs:
+    """Runs of neighbouring ``starts`` with one ``place`` (their anchor), with its key."""
+    first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)]))
+    return Runs(key[first], starts[first], np.diff(np.concatenate([first, [len(place)]])))
 
 
 @dataclass
 class Method:
-    """What a method gives: letters of a text, anchors of a piece, and how windows are compared."""
+    """What a method gives: letters of a text, anchors of windows, and how windows are compared."""
 
     width: int
     letters: Callable[[bytes], np.ndarray]
-    anchors: Callable[[np.ndarray, int], Runs]
+    anchors: Callable[[np.ndarray, np.ndarray], Runs]
     #: Windows are sent as their hashes; else as the stretch of letters (bytes) of a run.
     by_hash: bool
     #: For stretches: (texts, runs) to, for each window in order, a class of equal windows.
@@ -138,19 +142,28 @@ def numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     )
 
 
-def _batches(batch: pa.RecordBatch, method: Method, column: int) -> Iterator[tuple[list[int], list[Piece]]]:
-    """Rows of a batch and their pieces, some megabytes of letters at a time."""
-    rows, found, size = [], [], 0
+def _batches(batch: pa.RecordBatch, method: Method, column: int) -> Iterator[Joined]:
+    """The texts of a batch, some megabytes of letters at a time; texts without a window are left out."""
+    parts: list[tuple[int, int, np.ndarray]] = []
+    size = 0
     for n, value in enumerate(batch.column(column)):
         letters = method.letters(value.as_py())
-        rows.append(n)
-        found += pieces(n, letters, method.width)
-        size += len(letters)
-        if size >= PIECE:
-            yield rows, found
-            rows, found, size = [], [], 0
-    if rows:
-        yield rows, found
+        for base in range(0, len(letters) - method.width + 1, PIECE):
+            parts.append((n, base, letters[base : base + PIECE + method.width - 1]))
+            size += len(parts[-1][2])
+            if size >= PIECE // 2:
+                yield _joined(parts, method.width)
+                parts, size = [], 0
+    if parts:
+        yield _joined(parts, method.width)
+
+
+def _joined(parts: list[tuple[int, int, np.ndarray]], width: int) -> Joined:
+    sizes = np.array([len(x) for *_, x in parts])
+    at = np.cumsum(sizes) - sizes
+    windows = sizes - width + 1
+    starts = np.repeat(at - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())
+    return Joined(np.concatenate([x for *_, x in parts]), starts, at, np.array([n for n, *_ in parts]), np.array([b for _, b, _ in parts]))
 
 
 def _blob(x: np.ndarray) -> bytes:
@@ -172,13 +185,10 @@ def revealed(rows: DataFrame, method: Method) -> DataFrame:
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             number = batch.column(0).to_numpy()
-            for at, found in _batches(batch, method, 1):
+            for joined in _batches(batch, method, 1):
                 out = []
-                each = [(p.row, method.anchors(p.letters, p.windows)) for p in found]
-                key = np.concatenate([r.key for _, r in each]) if each else np.empty(0, U)
-                if not len(key):
-                    continue
-                row = number[np.repeat([n for n, _ in each], [len(r.key) for _, r in each])]
+                runs = method.anchors(joined.letters, joined.starts)
+                key, row = runs.key, number[joined.home(runs.start)[0]]
                 order = np.argsort(key, kind="stable")
                 key, row = key[order], row[order]
                 first = np.concatenate([[True], key[1:] != key[:-1]])
@@ -250,27 +260,22 @@ def repeated(rows: DataFrame, method: Method, keep_first: bool) -> DataFrame:
         for batch in batches:
             number = batch.column(0).to_numpy()
             ids = batch.column(1).to_numpy()
-            for _, found in _batches(batch, method, 2):
-                out, hashed, where, row = [], [], [], []
+            revealed_keys, hot_keys = (c.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(U) for c in batch.columns[3:5])
+            for joined in _batches(batch, method, 2):
+                out = []
                 stretches: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
-                for p in found:
-                    runs = method.anchors(p.letters, p.windows)
-                    want = np.isin(runs.key, np.array(batch.column(3)[p.row].values.to_numpy(zero_copy_only=False)).view(U))
-                    if not want.any():
-                        continue
-                    hot = np.array(batch.column(4)[p.row].values.to_numpy(zero_copy_only=False), np.int64).view(U)
-                    hash_it = want & (method.by_hash | np.isin(runs.key, hot))
-                    if hash_it.any():
-                        start = np.repeat(runs.start[hash_it], runs.size[hash_it])
-                        inside = np.arange(len(start)) - np.repeat(np.cumsum(runs.size[hash_it]) - runs.size[hash_it], runs.size[hash_it])
-                        start = start + inside
-                        hashed.append(_window_hash(p.letters, method, start))
-                        where.append(start + p.base)
-                        row.append(np.full(len(start), p.row))
-                    for k, s, n in zip(runs.key[want & ~hash_it].tolist(), runs.start[want & ~hash_it].tolist(), runs.size[want & ~hash_it].tolist()):
-                        stretches.setdefault((k, p.letters[s : s + n + method.width - 1].tobytes()), []).append((p.row, s + p.base))
-                if hashed:
-                    h, s, r = np.concatenate(hashed), np.concatenate(where), np.concatenate(row)
+                runs = method.anchors(joined.letters, joined.starts)
+                want = np.isin(runs.key, revealed_keys)
+                hash_it = want & (method.by_hash | np.isin(runs.key, hot_keys))
+                n = runs.size[hash_it]
+                hashed = np.repeat(runs.start[hash_it] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                as_text = want & ~hash_it
+                row, start = joined.home(runs.start[as_text])
+                for k, s, n, r, at in zip(*[x.tolist() for x in (runs.key[as_text], runs.start[as_text], runs.size[as_text], row, start)]):
+                    stretches.setdefault((k, joined.letters[s : s + n + method.width - 1].tobytes()), []).append((r, at))
+                if len(hashed):
+                    h = _window_hash(joined.letters, method, hashed)
+                    r, s = joined.home(hashed)
                     order = np.lexsort((s, number[r], ids[r], h))
                     h, s, r = h[order], s[order], r[order]
                     once = np.concatenate([[True], (h[1:] != h[:-1]) | (s[1:] != s[:-1]) | (number[r[1:]] != number[r[:-1]])])
@@ -357,6 +362,8 @@ def _judged(method: Method, texts: list[bytes], sizes: list[int], owners: list[l
 
 def _elsewhere(label: np.ndarray, row: np.ndarray, own: np.ndarray, start: np.ndarray, keep_first: bool) -> pa.RecordBatch:
     """Windows whose label another window has, or an earlier one; the same place twice is one window."""
+    if not len(label):
+        return _table([], *_FOUND)
     order = np.lexsort((start, row, own, label))
     label, row, own, start = label[order], row[order], own[order], start[order]
     same = label[1:] == label[:-1]

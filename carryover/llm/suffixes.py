@@ -35,11 +35,11 @@ def smallest(values: np.ndarray, span: int) -> np.ndarray:
 
 
 def anchored(width: int, anchor: int):
-    def anchors(letters: np.ndarray, windows: int) -> Runs:
+    def anchors(letters: np.ndarray, starts: np.ndarray) -> Runs:
         grams = Rolling(byte_letters(letters)).every(anchor)
         order = (grams >> U(_PLACE) << U(_PLACE)) | np.arange(len(grams), dtype=U)
-        place = (smallest(order, width - anchor + 1)[:windows] & U((1 << _PLACE) - 1)).astype(np.int64)
-        return runs_of(place, grams[place])
+        place = (smallest(order, width - anchor + 1)[starts] & U((1 << _PLACE) - 1)).astype(np.int64)
+        return runs_of(starts, place, grams[place])
 
     return anchors
 
