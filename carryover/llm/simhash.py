@@ -17,6 +17,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -40,29 +41,37 @@ def triples() -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """64 bits: each set where more than half of the shingles' hashes have it.
+def shingle_hashes(text: bytes, shingle: int, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each shingle of a text, repeats included.
 
     A-Z are lower-cased; words are what stands between ASCII white space; a text of
-    fewer words than a shingle is one shingle, one without words has fingerprint 0.
+    fewer words than a shingle is one shingle.
     """
     words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = memoryview(b" ".join(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - shingle + 1)
     first, last = starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(first, last)), np.uint64, n)
-    counts = np.zeros(64, np.int64)
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(first, last)), np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, as a signed number: each set where more than half of the hashes have it; 0 of none."""
+    n, counts = len(hashes), np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
         bits = np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         counts += bits.sum(0, dtype=np.int32)
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0])
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, doc_id: str = "doc_id", text: str = "text", *extra: str) -> DataFrame:
     """(doc_id, fp as a signed long, then ``extra`` columns) of every whole text; a null text has fingerprint 0."""
     columns = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_t"), F.col(doc_id).alias("doc_id"), *extra)
@@ -76,87 +85,86 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, doc_id: str = "doc_id"
     return columns.mapInArrow(run, schema)
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """Links (a, b) that connect what ``nodes`` (distinct ``fp``) within the bound connect.
+def links(nodes: DataFrame, bits: int = BITS_APART, shared: int = LEAST_SHARED) -> DataFrame:
+    """Links (a, b) between the ``node`` values of ``nodes`` (fp, node) that connect what is near.
 
-    Every pair within the bound is compared in some list; of a list's links only a
-    spanning forest is given, which joins the same fingerprints.
+    Pairs are near that share ``shared`` positional bytes and differ in at most ``bits``
+    bits.  Every pair that shares four is compared in some list; of a list's links
+    only a spanning forest is given, which joins the same nodes.
     """
     listed = []
     for k, positions in enumerate(triples()):
         mask = sum(0xFF << (8 * p) for p in positions)
         signed = mask - (1 << 64) if mask >> 63 else mask
         listed.append(F.struct(F.lit(k).alias("list"), F.col("fp").bitwiseAND(F.lit(signed)).alias("key")))
-    posted = nodes.select("fp", F.explode(F.array(*listed)).alias("p")).select("p.list", "p.key", "fp")
+    posted = nodes.select("fp", "node", F.explode(F.array(*listed)).alias("p")).select("p.list", "p.key", "fp", "node")
     sizes = posted.groupBy("list", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    block = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: F.struct(F.least(block, other).alias("i"), F.greatest(block, other).alias("j")))
     dealt = (
         posted.join(sizes, ["list", "key"])
         .withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-        .select("list", "key", "fp", F.explode(pairs).alias("pair"))
+        .select("list", "key", "fp", "node", F.explode(pairs).alias("pair"))
         .repartition("list", "key", "pair")
-        .sortWithinPartitions("list", "key", "pair", "fp")
-        .select("list", "key", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "fp")
+        .sortWithinPartitions("list", "key", "pair", "fp", "node")
+        .select("list", "key", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "fp", "node")
     )
-    return dealt.mapInArrow(_linked, "a long, b long").distinct()
-
-
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links within runs of equal (list, key, i, j) of sorted rows; a run may go on in the next batch."""
-    rest: np.ndarray | None = None
-    for batch in batches:
-        rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1).astype(np.int64)
-        rows = rows if rest is None else np.concatenate([rest, rows])
-        if not len(rows):
-            continue
-        cuts = np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(1)) + 1
-        done = int(cuts[-1]) if len(cuts) else 0
-        rest = rows[done:]
-        if done:
-            yield _batch(_runs(rows[:done, 4], cuts))
-    if rest is not None and len(rest):
-        yield _batch(_runs(rest[:, 4], np.array([len(rest)])))
-
-
-def _runs(fps: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links within runs of equal (list, key, i, j) of sorted rows; a run may go on in the next batch."""
+        rest: np.ndarray | None = None
+        for batch in batches:
+            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1).astype(np.int64)
+            rows = rows if rest is None else np.concatenate([rest, rows])
+            if not len(rows):
+                continue
+            cuts = np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(1)) + 1
+            done = int(cuts[-1]) if len(cuts) else 0
+            rest = rows[done:]
+            if done:
+                yield _batch(_runs(rows[:done], cuts, bits, shared))
+        if rest is not None and len(rest):
+            yield _batch(_runs(rest, np.array([len(rest)]), bits, shared))
+
+    return dealt.mapInArrow(linked, "a long, b long").distinct()
+
+
+def _runs(rows: np.ndarray, cuts: np.ndarray, bits: int, shared: int) -> tuple[np.ndarray, np.ndarray]:
+    fps, nodes = np.ascontiguousarray(rows[:, 4]), rows[:, 5]
     starts = np.concatenate([[0], cuts[:-1]])
-    a, b = [], []
     size = cuts - starts
     of_two = starts[size == 2]
-    near = _near(fps[of_two], fps[of_two + 1])
-    a.append(fps[of_two][near])
-    b.append(fps[of_two + 1][near])
+    of_two = of_two[_near(fps[of_two], fps[of_two + 1], bits, shared)]
+    a, b = [of_two], [of_two + 1]
     for s, e in zip(starts[size > 2], cuts[size > 2]):
-        left, right = forest(fps[s:e])
-        a.append(left)
-        b.append(right)
-    return np.concatenate(a), np.concatenate(b)
+        left, right = forest(fps[s:e], bits, shared)
+        a.append(left + s)
+        b.append(right + s)
+    return nodes[np.concatenate(a)], nodes[np.concatenate(b)]
 
 
-def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+def _near(x: np.ndarray, y: np.ndarray, bits: int, shared: int) -> np.ndarray:
     """Tally of shared positional bytes, then the bits of the pairs that reach the minimum."""
     apart = np.ascontiguousarray(x ^ y)
-    shared = (apart.view(np.uint8).reshape(-1, 8) == 0).sum(1)
-    near = shared >= LEAST_SHARED
-    near[near] = np.bitwise_count(apart[near].view(np.uint64)) <= BITS_APART
+    near = (apart.view(np.uint8).reshape(-1, 8) == 0).sum(1) >= shared
+    near[near] = np.bitwise_count(apart[near].view(np.uint64)) <= bits
     return near
 
 
-def forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the near pairs among distinct ``fps``: each is grown from what it reaches."""
-    waiting, a, b = fps.copy(), [], []
+def forest(fps: np.ndarray, bits: int = BITS_APART, shared: int = LEAST_SHARED) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the near pairs, as positions: each tree is grown from what it reaches."""
+    waiting, a, b = np.arange(len(fps)), [], []
     front: list[int] = []
     while len(waiting):
         if not front:
-            front, waiting = [waiting[0]], waiting[1:]
+            front, waiting = [int(waiting[0])], waiting[1:]
         x = front.pop()
-        near = _near(waiting, np.int64(x))
+        near = _near(fps[waiting], fps[x], bits, shared)
         if near.any():
             found = waiting[near]
-            a.append(np.full(len(found), x, np.int64))
+            a.append(np.full(len(found), x))
             b.append(found)
-            front += list(found)
+            front += found.tolist()
             waiting = waiting[~near]
     none = np.empty(0, np.int64)
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
@@ -169,7 +177,7 @@ def _batch(pair: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
 def groups(marked: DataFrame) -> DataFrame:
     """(fp, group): every distinct fingerprint with one of its group, the same for all of a group."""
     nodes = marked.select("fp").distinct()
-    found = components(links(nodes))
+    found = components(links(nodes.select("fp", F.col("fp").alias("node"))))
     return nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("group"))
 
 
@@ -189,15 +197,69 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, doc_id: str = "doc_
     )
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one row of each group: that with the smallest id, then text hash; columns stay.
+#: Fingerprints of the distinct shingles that find pairs of similar texts: (words, seed).
+VARIANTS = ((1, 42), (1, 43), (2, 42))
+#: What a pair of similar texts shares and differs in, at most: texts whose five-word
+#: shingles are 0.8 alike differ in 4 and 6 bits of these on average.
+SIMILAR_BITS, SIMILAR_SHARED = 12, 3
+
+
+def _variants(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, node, f0, f1, ...): per row its fingerprints and a name for its sequence of words."""
+    columns = docs.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).cast("binary").alias("_t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, prints = [], [[] for _ in VARIANTS]
+            for value in batch.column(2):
+                text = value.as_py()
+                names.append(xxhash.xxh64_intdigest(b" ".join(text.lower().split()), 7) - (1 << 63))
+                for out, (words, seed) in zip(prints, VARIANTS):
+                    out.append(majority(np.unique(shingle_hashes(text, words, seed))))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:2], *[pa.array(x, pa.int64()) for x in (names, *prints)]],
+                names=["doc_id", "h", "node", *[f"f{k}" for k in range(len(VARIANTS))]],
+            )
+
+    schema = columns.drop("_t").schema.add("node", "long")
+    for k in range(len(VARIANTS)):
+        schema = schema.add(f"f{k}", "long")
+    return columns.mapInArrow(run, schema)
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of similar texts: that with the smallest id, then text hash.
 
-    Rows without an id come after those with one; of repeated rows one stays.
+    Texts are similar when the sets of their ``shingle``-word shingles have a Jaccard
+    similarity of at least ``least``; groups are what such pairs connect.  Candidate
+    pairs come from the byte-position index of three fingerprints, and each is
+    verified on the whole sets.  Rows without an id come after those with one; of
+    repeated rows one stays.  Columns stay as they are.
     """
+    marked = keep(_variants(docs), "fingerprints")
+    prints = marked.groupBy("node").agg(*[F.min(f"f{k}").alias(f"f{k}") for k in range(len(VARIANTS))])
+    found = None
+    for k in range(len(VARIANTS)):
+        part = links(prints.select(F.col(f"f{k}").alias("fp"), "node"), SIMILAR_BITS, SIMILAR_SHARED)
+        found = part if found is None else found.unionAll(part)
+    pairs = keep(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("h"))
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    one = marked.join(asked, "node", "left_semi").groupBy("node").agg(F.min(order).alias("w")).select("node", F.col("w.doc_id").alias("_w"), F.col("w.h").alias("_wh"))
     keyed = docs.withColumn("_h", F.xxhash64("text"))
-    marked = keep(fingerprints(keyed, shingle, "doc_id", "text", "_h"), "fingerprints")
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("_h"))
-    first = marked.groupBy("fp").agg(F.min(order).alias("first")).join(groups(marked), "fp")
-    first = first.groupBy("group").agg(F.min("first").alias("w")).select(F.col("w.doc_id").alias("_w"), F.col("w._h").alias("_wh"))
-    chosen = keyed.join(first, F.col("doc_id").eqNullSafe(F.col("_w")) & (F.col("_h") == F.col("_wh")), "left_semi")
-    return chosen.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
+    same = F.col("doc_id").eqNullSafe(F.col("_w")) & (F.col("_h") == F.col("_wh"))
+
+    @F.pandas_udf("array<long>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: np.unique(shingle_hashes(t, shingle)).view(np.int64))
+
+    body = F.coalesce("text", F.lit("")).cast("binary")
+    # repeated rows give the same set twice, which verifies a pair twice
+    sets = keyed.join(one, same).select("node", shingles(body).alias("s"))
+    both = pairs.join(sets.withColumnsRenamed({"node": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"node": "b", "s": "sb"}), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    similar = both.where(common >= F.lit(least) * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
+    of = components(similar)
+    first = marked.groupBy("node").agg(F.min(order).alias("first")).join(of, "node", "left")
+    first = first.groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("first").alias("w")).select(F.col("w.doc_id").alias("_w"), F.col("w.h").alias("_wh"))
+    return keyed.join(first, same, "left_semi").dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
