@@ -1,9 +1,12 @@
-"""Near-duplicate vectors by product quantisation, with probes that miss nothing.
+"""Near-duplicate vectors by product quantisation, with probes sized by the wanted angle.
 
 Vectors are scaled to length one.  A coarse quantiser puts each in an inverted list;
-the residual to the list's centre is coded by subspace.  A vector probes every list
-that can hold a vector within the wanted angle: one in another list is at least as
-far away as the hyperplane between the two centres.  In a list, inner products with
+the residual to the list's centre is coded by subspace.  A vector in another list is
+at least as far away as the hyperplane between the two centres, so a vector need not
+probe lists whose hyperplane is further off than the wanted angle reaches.  A step of
+that length goes towards one of many directions by 1/sqrt(dims) of it on average;
+lists are probed up to ``SPREAD`` times that (``exact=True``: up to its whole length,
+which misses nothing).  In a list, inner products with
 all entries are looked up in the table of the query's products with the codes
 (asymmetric: the query is not coded); an entry is left out only when its coding
 error cannot make up what is missing.  What remains is compared exactly.
@@ -29,10 +32,12 @@ from carryover.llm.common import components, keep
 SAMPLE_ROWS = 20_000
 #: Entries a list is meant to hold, lists at most, codes and dimensions of a subspace.
 LIST_ROWS, MOST_LISTS, CODES, SUB = 256, 4_096, 256, 8
+#: Standard deviations of a step's part towards another centre that probes allow for.
+SPREAD = 2.5
 #: Entries and queries of one block.
 BLOCK = 4_096
-#: Slack of the bounds for rounding.
-EPS = 1e-9
+#: Slack of the bounds for rounding; tables are looked up in single precision.
+EPS = 1e-4
 
 
 @dataclass
@@ -53,7 +58,7 @@ class Quantiser:
         return out.astype(np.uint8), np.sqrt(((rest - back) ** 2).sum((1, 2)))
 
     def probes(self, x: np.ndarray, at: np.ndarray, reach: float) -> np.ndarray:
-        """[vector, list]: lists not before the vector's own that may hold a vector within ``reach``.
+        """[vector, list]: lists not before the vector's own whose hyperplane is within ``reach``.
 
         A pair in two lists is found from the one in the earlier list.
         """
@@ -63,8 +68,8 @@ class Quantiser:
         return (apart <= 2 * reach * between + EPS) & (np.arange(len(c)) >= at[:, None])
 
     def table(self, x: np.ndarray) -> np.ndarray:
-        """[vector, subspace, code]: inner products of queries with all codes."""
-        return np.einsum("qmd,mkd->qmk", _padded(x, self.codes), self.codes)
+        """[subspace, code, vector]: inner products of queries with all codes."""
+        return np.matmul(self.codes, _padded(x, self.codes).transpose(1, 2, 0)).astype(np.float32)
 
 
 def _padded(x: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -96,17 +101,23 @@ def fit(sample: np.ndarray, lists: int) -> Quantiser:
     return Quantiser(centres, np.stack(codes))
 
 
+def usable(embedding: F.Column) -> F.Column:
+    """The vector in double precision, zeros without a sign; null if it cannot be compared.
+
+    Usable: not null, without null, NaN or infinite components, not all zero.
+    """
+    values = F.transform(embedding, lambda v: v.cast("double") + F.lit(0.0))
+    fine = F.forall(values, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(values, lambda v: v != 0)
+    return F.when(fine, values)
+
+
 def classes(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(node, embedding, copies, least): one row per distinct usable vector, with its smallest id.
 
-    Usable: not null, without null, NaN or infinite components, not all zero.  ``node``
-    names the vector by 128 bits of hash; equal vectors are counted before the shuffle.
+    ``node`` names the vector by 128 bits of hash; equal vectors are counted before the shuffle.
     """
-    values = F.transform(F.col(embedding), lambda v: v.cast("double"))
-    fine = F.forall(values, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(values, lambda v: v != 0)
-    usable = vectors.select(F.col(vec_id).alias("vec_id"), F.transform(values, lambda v: v + F.lit(0.0)).alias("embedding"), fine.alias("fine"))
-    usable = usable.where("fine").drop("fine")
-    grouped = usable.groupBy("embedding").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"))
+    rows = vectors.select(F.col(vec_id).alias("vec_id"), usable(F.col(embedding)).alias("embedding")).where("embedding is not null")
+    grouped = rows.groupBy("embedding").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"))
     return grouped.select(node(F.col("embedding")).alias("node"), "embedding", "copies", "least")
 
 
@@ -114,7 +125,7 @@ def node(embedding: F.Column) -> F.Column:
     return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), embedding)), 16, "0") for seed in (1, 2)])
 
 
-def links(known: DataFrame, least_cosine: float, dims: int) -> DataFrame:
+def links(known: DataFrame, least_cosine: float, dims: int, exact: bool = False) -> DataFrame:
     """(node, found, a, b): partial counts of linked rows per node, and links that join what is linked.
 
     ``known`` holds (node, embedding, copies) of vectors with ``dims`` components.
@@ -126,16 +137,17 @@ def links(known: DataFrame, least_cosine: float, dims: int) -> DataFrame:
     quantiser = fit(unit, max(1, min(MOST_LISTS, total // LIST_ROWS)))
     shared = spark.sparkContext.broadcast(quantiser)
     reach = float(np.sqrt(max(0.0, 2 - 2 * least_cosine)))
+    probed = reach if exact else reach * min(1.0, SPREAD / dims**0.5)
 
     def assign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q: Quantiser = shared.value
         for all_rows in parts:
             for i in range(0, len(all_rows), 2048):
                 rows = all_rows.iloc[i : i + 2048]
-                x = _unit(np.array(rows["embedding"].tolist(), float))
+                x = _unit(np.stack(rows["embedding"].to_numpy()).astype(float))
                 at = q.lists(x)
                 codes, error = q.encode(x, at)
-                probes = [np.flatnonzero(p).astype(np.int32) for p in q.probes(x, at, reach)]
+                probes = [np.flatnonzero(p).astype(np.int32) for p in q.probes(x, at, probed)]
                 yield pd.DataFrame({
                     "node": rows["node"], "embedding": rows["embedding"], "copies": rows["copies"], "list": at.astype(np.int32),
                     "codes": [c.tobytes() for c in codes], "error": error, "probes": probes,
@@ -181,22 +193,22 @@ def _compare(q: Quantiser, at: int, rows: pd.DataFrame, least: float, reach: flo
     none = pd.DataFrame({"node": [], "found": [], "a": [], "b": []}).astype({"node": object, "found": "int64", "a": object, "b": object})
     if not len(entry) or not len(query):
         return none
-    y, x = (_unit(np.array(r["embedding"].tolist(), float)) for r in (entry, query))
+    y, x = (_unit(np.stack(r["embedding"].to_numpy()).astype(float)) for r in (entry, query))
     codes = np.frombuffer(b"".join(entry["codes"]), np.uint8).reshape(len(entry), -1).astype(np.int64)
     error, centre = entry["error"].to_numpy(), q.centres[at]
     back = (y - centre) - np.concatenate([c[codes[:, m]] for m, c in enumerate(q.codes)], 1)[:, : y.shape[1]]
     # x.y = x.back-coded + x.rest, and x.rest is at most |rest|, and at most y.rest + reach |rest|
-    bound = least - np.minimum(error, (y * back).sum(1) + reach * error) - EPS
+    bound = (least - np.minimum(error, (y * back).sum(1) + reach * error) - EPS).astype(np.float32)
     names = np.concatenate([entry["node"].to_numpy(), query["node"].to_numpy()])
     weight = np.concatenate([entry["copies"].to_numpy(), query["copies"].to_numpy()])
     inside = query["home"].to_numpy() == at
     left, right = [], []
     for i in range(0, len(x), 512):
         part = slice(i, i + 512)
-        near = np.repeat((x[part] @ centre)[:, None], len(y), 1)
-        for m, table in enumerate(q.table(x[part]).transpose(1, 0, 2)):
-            near += table[:, codes[:, m]]
-        a, b = np.nonzero(near >= bound)
+        near = np.repeat((x[part] @ centre).astype(np.float32)[None], len(y), 0)
+        for m, table in enumerate(q.table(x[part])):
+            near += table[codes[:, m]]
+        b, a = np.nonzero(near >= bound[:, None])
         for k in range(0, len(a), 1 << 18):
             p, e = a[k : k + (1 << 18)] + i, b[k : k + (1 << 18)]
             exact = np.einsum("ij,ij->i", x[p], y[e]) >= least
@@ -230,11 +242,12 @@ def _compare(q: Quantiser, at: int, rows: pd.DataFrame, least: float, reach: flo
     ])
 
 
-def near_duplicates(vectors: DataFrame, least_cosine: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, least_cosine: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding", exact: bool = False) -> DataFrame:
     """(vec_id, n_links, component_id, kept): one row per row of ``vectors``.
 
-    Links are pairs with a cosine of at least ``least_cosine`` in double precision;
-    vectors of different length, and unusable ones (:func:`classes`), link with
+    Links are pairs with a cosine of at least ``least_cosine`` in double precision, as
+    the probes find them (all of them with ``exact``);
+    vectors of different length, and unusable ones (:func:`usable`), link with
     nothing.  Equal vectors are all linked.  ``component_id`` is the smallest id
     reachable; rows without an id count as links and lend no id.  Repeated rows are
     vectors of their own that share an id.
@@ -244,10 +257,10 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = 0.9, vec_id: str =
     sizes = [r["d"] for r in known.select(F.size("embedding").alias("d")).distinct().orderBy("d").toLocalIterator()]
     found = None
     for d in sizes:
-        part = links(known.where(F.size("embedding") == d), least_cosine, d)
+        part = links(known.where(F.size("embedding") == d), least_cosine, d, exact)
         found = part if found is None else found.unionAll(part)
-    plain = vectors.select(F.col(vec_id).alias("vec_id"), F.transform(F.col(embedding), lambda v: v.cast("double") + F.lit(0.0)).alias("e"))
-    own = plain.select("vec_id", node(F.col("e")).alias("node"))
+    plain = vectors.select(F.col(vec_id).alias("vec_id"), usable(F.col(embedding)).alias("e"))
+    own = plain.select("vec_id", F.when(F.col("e").isNotNull(), node(F.col("e"))).alias("node"))
     if found is None:
         info = known.select("node", "copies", "least", F.lit(0).cast("long").alias("found"), F.col("node").alias("component"))
     else:
