@@ -134,20 +134,20 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, keep_first: bool = True,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, removed, kept = [], [], []
-            for value, starts in zip(batch.column(1), batch.column(2)):
+            for own_id, value, owns, starts in zip(batch.column(0), *batch.columns[2:]):
                 words = value.as_py().split()
                 rest = words
                 if starts.is_valid:
-                    gone = covered(starts.as_py(), width, len(words))
+                    gone = covered(own_id.as_py(), owns.as_py(), starts.as_py(), width, len(words))
                     rest = [w for w, g in zip(words, gone.tolist()) if not g]
                 size.append(len(words))
                 removed.append(len(words) - len(rest))
                 text_left = b" ".join(rest)
                 kept.append(hashlib.sha256(text_left).hexdigest() if digest else text_left.decode())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
+                [batch.column(1), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
                 names=["doc_id", "n_words", "n_removed", last],
             )
 
     own = docs.schema[doc_id].dataType.simpleString()
-    return found.select("doc_id", "text", "starts").mapInArrow(run, f"doc_id {own}, n_words long, n_removed long, {last} string")
+    return found.mapInArrow(run, f"doc_id {own}, n_words long, n_removed long, {last} string")

@@ -249,7 +249,7 @@ NO_ID = (1 << 63) - 1
 
 
 def repeated(rows: DataFrame, method: Method, keep_first: bool) -> DataFrame:
-    """(row, own, starts): for each document the first letters of windows that occur elsewhere (earlier, with ``keep_first``).
+    """(row, owns, starts): for each name of a document the ids and the first letters of windows that occur elsewhere (earlier, with ``keep_first``).
 
     Earlier is by doc_id (absent ones last), then row, then place in the text.
     """
@@ -292,7 +292,7 @@ def repeated(rows: DataFrame, method: Method, keep_first: bool) -> DataFrame:
                     out.append((key % parts, STRETCH, key.to_bytes(8, "little") + letters, len(letters) - method.width + 1, _blob(s), _blob(number[r]), _blob(ids[r])))
                 yield _table(out, _SENT_KINDS, _SENT)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         h, s, r, i = [], [], [], []
         groups: dict[bytes, dict[bytes, list[tuple]]] = {}
         for batch in batches:
@@ -334,9 +334,32 @@ def repeated(rows: DataFrame, method: Method, keep_first: bool) -> DataFrame:
         if texts:
             yield _judged(method, texts, sizes, owners, keep_first)
 
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What a task has found, in one line for each slot of documents."""
+        held: dict[int, list[np.ndarray]] = {}
+        size = 0
+
+        def lines() -> pa.RecordBatch:
+            return _table([(slot, _blob(np.concatenate(x))) for slot, x in held.items()], [pa.int32(), pa.binary()], ["slot", "found"])
+
+        for found in compare(batches):
+            size += len(found)
+            for slot, rows_ in _by_bucket(found[:, 0] % parts, found):
+                held.setdefault(slot, []).append(rows_)
+            if size > PIECE:
+                yield lines()
+                held, size = {}, 0
+        yield lines()
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The lines of a slot, one for each document."""
+        found = [np.frombuffer(x, np.int64).reshape(-1, 4) for batch in batches for x in batch.column(1).to_pylist()]
+        if found:
+            yield _documents(np.concatenate(found))
+
     sent = marked.mapInArrow(send, _SENT_SCHEMA)
-    found = sent.repartition("bucket").mapInArrow(compare, "row long, own long, starts binary")
-    return found.groupBy("row", "own").agg(F.collect_list("starts").alias("starts"))
+    found = sent.repartition("bucket").mapInArrow(packed, "slot int, found binary")
+    return found.repartition("slot").mapInArrow(unpacked, "row long, owns binary, starts binary")
 
 
 def _window_hash(letters: np.ndarray, method: Method, start: np.ndarray) -> np.ndarray:
@@ -348,7 +371,7 @@ def _spread(row: np.ndarray, start: np.ndarray, run: int) -> tuple[np.ndarray, n
     return np.repeat(row, run), (start[:, None] + np.arange(run)).ravel()
 
 
-def _judged(method: Method, texts: list[bytes], sizes: list[int], owners: list[list], keep_first: bool) -> pa.RecordBatch:
+def _judged(method: Method, texts: list[bytes], sizes: list[int], owners: list[list], keep_first: bool) -> np.ndarray:
     """Windows of stretches that have another, or an earlier, place."""
     label = method.classes(texts, sizes)
     parts, at = [], 0
@@ -360,10 +383,10 @@ def _judged(method: Method, texts: list[bytes], sizes: list[int], owners: list[l
     return _elsewhere(c, r, i, s, keep_first)
 
 
-def _elsewhere(label: np.ndarray, row: np.ndarray, own: np.ndarray, start: np.ndarray, keep_first: bool) -> pa.RecordBatch:
+def _elsewhere(label: np.ndarray, row: np.ndarray, own: np.ndarray, start: np.ndarray, keep_first: bool) -> np.ndarray:
     """Windows whose label another window has, or an earlier one; the same place twice is one window."""
     if not len(label):
-        return _table([], *_FOUND)
+        return np.empty((0, 4), np.int64)
     order = np.lexsort((start, row, own, label))
     label, row, own, start = label[order], row[order], own[order], start[order]
     same = label[1:] == label[:-1]
@@ -376,34 +399,34 @@ def _elsewhere(label: np.ndarray, row: np.ndarray, own: np.ndarray, start: np.nd
     return _found(row[found], own[found], start[found])
 
 
-_FOUND = [pa.int64(), pa.int64(), pa.binary()], ["row", "own", "starts"]
-
-
-def _found(row: np.ndarray, own: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
-    """One line for each document: its window starts as (first, number) pairs of neighbouring ones."""
+def _found(row: np.ndarray, own: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """(row, own, first, number) of each run of neighbouring window starts of a document."""
     order = np.lexsort((start, own, row))
     row, own, start = row[order], own[order], start[order]
     if not len(row):
-        return _table([], *_FOUND)
-    other = (row[1:] != row[:-1]) | (own[1:] != own[:-1])
-    first = np.flatnonzero(np.concatenate([[True], other | (start[1:] > start[:-1] + 1)]))
+        return np.empty((0, 4), np.int64)
+    first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (own[1:] != own[:-1]) | (start[1:] > start[:-1] + 1)]))
     size = start[np.concatenate([first[1:], [len(start)]]) - 1] - start[first] + 1
-    pairs = np.stack([start[first], size], 1)
-    cut = np.flatnonzero(np.concatenate([[True], (row[first][1:] != row[first][:-1]) | (own[first][1:] != own[first][:-1])]))
-    return _table([(int(row[first[a]]), int(own[first[a]]), _blob(pairs[a:b])) for a, b in zip(cut, [*cut[1:], len(first)])], *_FOUND)
+    return np.stack([row[first], own[first], start[first], size], 1)
+
+
+def _documents(found: np.ndarray) -> pa.RecordBatch:
+    found = found[np.argsort(found[:, 0], kind="stable")]
+    cut = np.flatnonzero(np.concatenate([[True], found[1:, 0] != found[:-1, 0]]))
+    lines = [(int(found[a, 0]), _blob(found[a:b, 1]), _blob(found[a:b, 2:])) for a, b in zip(cut, [*cut[1:], len(found)])]
+    return _table(lines, [pa.int64(), pa.binary(), pa.binary()], ["row", "owns", "starts"])
 
 
-def covered(starts: list[bytes] | None, width: int, size: int) -> np.ndarray:
-    """Which of ``size`` letters lie in a window that is listed."""
+def covered(own: int, owns: bytes, starts: bytes, width: int, size: int) -> np.ndarray:
+    """Which of the ``size`` letters of document ``own`` lie in a listed window."""
     change = np.zeros(size + 1, np.int64)
-    for blob in starts or []:
-        pairs = np.frombuffer(blob, np.int64).reshape(-1, 2)
-        np.add.at(change, pairs[:, 0], 1)
-        np.add.at(change, pairs.sum(1) + width - 1, -1)
+    pairs = np.frombuffer(starts, np.int64).reshape(-1, 2)[np.frombuffer(owns, np.int64) == own]
+    np.add.at(change, pairs[:, 0], 1)
+    np.add.at(change, pairs.sum(1) + width - 1, -1)
     return np.cumsum(change[:-1]) > 0
 
 
 def with_repeats(docs: DataFrame, method: Method, keep_first: bool, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, text as bytes, starts): every row of ``docs`` with its repeated windows, null where none."""
+    """(own, doc_id, text as bytes, owns, starts): every row of ``docs`` with its repeated windows, null where none."""
     rows = numbered(docs, doc_id, text)
-    return rows.join(repeated(rows, method, keep_first).hint("shuffle_hash"), ["row", "own"], "left").select("doc_id", "text", "starts")
+    return rows.join(repeated(rows, method, keep_first).hint("shuffle_hash"), "row", "left").select("own", "doc_id", "text", "owns", "starts")

@@ -96,10 +96,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, keep_first: bool = False
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, removed, spans, kept = [], [], [], []
-            for value, starts in zip(batch.column(1), batch.column(2)):
+            for own_id, value, owns, starts in zip(batch.column(0), *batch.columns[2:]):
                 raw = value.as_py()
                 if starts.is_valid:
-                    gone = covered(starts.as_py(), width, len(raw))
+                    gone = covered(own_id.as_py(), owns.as_py(), starts.as_py(), width, len(raw))
                     rest = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                     spans.append(int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum()))
                 else:
@@ -109,9 +109,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, keep_first: bool = False
                 removed.append(len(raw) - len(rest))
                 kept.append(hashlib.sha256(rest).hexdigest() if digest else rest)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(x, pa.int64()) for x in (size, removed, spans)], pa.array(kept, arrow)],
+                [batch.column(1), *[pa.array(x, pa.int64()) for x in (size, removed, spans)], pa.array(kept, arrow)],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", last],
             )
 
     own = docs.schema[doc_id].dataType.simpleString()
-    return found.select("doc_id", "text", "starts").mapInArrow(run, f"doc_id {own}, n_bytes long, n_removed long, n_spans long, {last} {kind}")
+    return found.mapInArrow(run, f"doc_id {own}, n_bytes long, n_removed long, n_spans long, {last} {kind}")
