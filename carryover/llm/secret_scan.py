@@ -197,15 +197,15 @@ def scan(docs: DataFrame, rules: list[tuple] = RULES, doc_id: str = "doc_id", te
     queries = {name: trigram_query(pattern) for name, pattern, *_ in rules}
     wanted = sorted({t for q in queries.values() for t in _trigrams(q)})
     docs = docs.drop("spans")
-    hits = candidates(postings(docs, wanted, doc_id, text), rules).select(F.col("doc_id").alias("_hit"), F.col("rules").alias("_rules"))
-    joined = docs.join(hits, F.col(doc_id).eqNullSafe(F.col("_hit")), "left")
+    hits = candidates(postings(docs, wanted, doc_id, text), rules).select(F.col("doc_id").alias("_carryover_hit"), F.col("rules").alias("_carryover_rules"))
+    joined = docs.join(hits, F.col(doc_id).eqNullSafe(F.col("_carryover_hit")), "left")
     body = F.coalesce(F.col(text), F.lit(""))
     none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
     each = []
     for k, (name, pattern, group, least) in enumerate(rules):
-        chosen = F.array_contains(F.coalesce("_rules", F.expr("cast(array() as array<string>)")), name) if queries[name] is not True else F.lit(True)
+        chosen = F.array_contains(F.coalesce("_carryover_rules", F.expr("cast(array() as array<string>)")), name) if queries[name] is not True else F.lit(True)
         each.append(F.when(chosen & F.regexp_like(body, F.lit(pattern)), _spans(body, k, pattern, group, least)).otherwise(none))
-    return joined.withColumn("spans", F.array_sort(F.concat(*each))).drop("_hit", "_rules")
+    return joined.withColumn("spans", F.array_sort(F.concat(*each))).drop("_carryover_hit", "_carryover_rules")
 
 
 def written(spans: Column, rules: list[tuple] = RULES) -> Column:
@@ -230,7 +230,6 @@ def redact(docs: DataFrame, rules: list[tuple] = RULES, mask: str = "[SECRET]")
 
     masked = F.aggregate("spans", first, step, lambda d: F.concat(d["out"], F.substring(F.col("text"), d["at"] + 1, F.length("text"))))
     changed = F.size("spans") > 0
-    text = F.when(changed, masked).otherwise(F.col("text"))
-    return found.withColumns(
-        {"text": text, "n_chars": F.when(changed, F.length(text).cast("long")).otherwise(F.col("n_chars"))}
-    ).select(*columns)
+    # the length is taken of the finished column, not of a second copy of its expression
+    new = found.withColumn("text", F.when(changed, masked).otherwise(F.col("text")))
+    return new.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*columns)

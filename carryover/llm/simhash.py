@@ -245,9 +245,9 @@ def one_of_each(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
     pairs = keep(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("h"))
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    one = marked.join(asked, "node", "left_semi").groupBy("node").agg(F.min(order).alias("w")).select("node", F.col("w.doc_id").alias("_w"), F.col("w.h").alias("_wh"))
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_w")) & (F.col("_h") == F.col("_wh"))
+    one = marked.join(asked, "node", "left_semi").groupBy("node").agg(F.min(order).alias("w")).select(F.col("node").alias("_carryover_node"), F.col("w.doc_id").alias("_carryover_w"), F.col("w.h").alias("_carryover_wh"))
+    keyed = docs.withColumn("_carryover_h", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_carryover_w")) & (F.col("_carryover_h") == F.col("_carryover_wh"))
 
     @F.pandas_udf("array<long>")
     def shingles(texts: pd.Series) -> pd.Series:
@@ -255,11 +255,11 @@ def one_of_each(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
 
     body = F.coalesce("text", F.lit("")).cast("binary")
     # repeated rows give the same set twice, which verifies a pair twice
-    sets = keyed.join(one, same).select("node", shingles(body).alias("s"))
+    sets = keyed.join(one, same).select(F.col("_carryover_node").alias("node"), shingles(body).alias("s"))
     both = pairs.join(sets.withColumnsRenamed({"node": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"node": "b", "s": "sb"}), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     similar = both.where(common >= F.lit(least) * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
     of = components(similar)
     first = marked.groupBy("node").agg(F.min(order).alias("first")).join(of, "node", "left")
-    first = first.groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("first").alias("w")).select(F.col("w.doc_id").alias("_w"), F.col("w.h").alias("_wh"))
-    return keyed.join(first, same, "left_semi").dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
+    first = first.groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("first").alias("w")).select(F.col("w.doc_id").alias("_carryover_w"), F.col("w.h").alias("_carryover_wh"))
+    return keyed.join(first, same, "left_semi").dropDuplicates(["doc_id", "_carryover_h"]).select(*docs.columns)

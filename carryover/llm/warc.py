@@ -192,6 +192,8 @@ def read(spark: SparkSession, path: str, id_type: str = "long", content: bool =
         for batch in batches:
             for name, data in zip(batch.column(0), batch.column(1)):
                 data = data.as_py()
+                if not data:  # the file of a task without rows
+                    continue
                 for k, (at, packed, full) in enumerate(seek_table(data)):
                     rows = []
                     for offset, length, head, payload in records(frame(data, at, packed, full)):
