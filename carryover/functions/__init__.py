@@ -9,7 +9,6 @@ from carryover.functions.columns import (
     signed_share,
     wilson,
 )
-from carryover.functions.joins import lookup_join, small_enough
 from carryover.functions.shares import histogram_rank, share_of_total
 
 __all__ = [
@@ -17,13 +16,11 @@ __all__ = [
     "histogram_rank",
     "in_years",
     "integer_rate",
-    "lookup_join",
     "mapped",
     "normalise",
     "ratio",
     "share",
     "share_of_total",
     "signed_share",
-    "small_enough",
     "wilson",
 ]

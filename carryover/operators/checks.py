@@ -13,13 +13,11 @@ from pyspark.sql import functions as F
 
 from carryover.functions import (
     in_years,
-    lookup_join,
     normalise,
     ratio,
     share,
     share_of_total,
     signed_share,
-    small_enough,
 )
 from carryover.operators.codes import code_volume, has_category
 from carryover.operators.coverage import coverage_rows, months_held
@@ -133,10 +131,6 @@ def first_position_agreement(claim_line: DataFrame, dx_line: DataFrame) -> DataF
     return counts.withColumn("agreement", share(F.col("agree"), F.col("compared_rows")))
 
 
-# A line with more code pairs than this is spread over tasks before it is paired.
-WIDE_LINE = 10_000
-
-
 def _position_one_counts(dx_line: DataFrame) -> DataFrame:
     code = normalise(F.col("icd9_dx_cd"))
     return (
@@ -155,48 +149,19 @@ def _top_line_counts(claim_line: DataFrame) -> DataFrame:
     )
 
 
-def _disagreements(first: DataFrame, top_line: DataFrame, keys: list[str]) -> DataFrame:
-    return (
-        first.join(top_line, keys)
-        .where(F.col("icd9_dx_cd_seq1") != F.col("pri_icd9_dx_cd"))
-        .select("icd9_dx_cd_seq1", "pri_icd9_dx_cd", (F.col("n_dx") * F.col("n_top")).alias("n"))
-    )
-
-
-def disagreeing_pairs(
-    claim_line: DataFrame, dx_line: DataFrame, top: int = 200, salts: int = 256, wide: int = WIDE_LINE
-) -> DataFrame:
+def disagreeing_pairs(claim_line: DataFrame, dx_line: DataFrame, top: int = 200) -> DataFrame:
     """The code pairs that disagree most often.
 
     Both sides meet as counts per (line, code), so repeats of a line are
-    multiplied as numbers.  A placeholder line id with very many codes on both
-    sides is salted by its position-1 code, so no task forms all its pairs;
-    usually there is none, and adaptive execution drops that branch.
+    multiplied as numbers and not as rows.  A line id with very many codes on
+    both sides is an ordinary skewed join key, which adaptive execution splits.
     """
-    first, top_line = _position_one_counts(dx_line), _top_line_counts(claim_line)
-    codes = first.select("claim_line_id", F.lit(1).alias("d"), F.lit(0).alias("t")).unionByName(
-        top_line.select("claim_line_id", F.lit(0).alias("d"), F.lit(1).alias("t"))
-    )
-    wide_lines = (
-        codes.groupBy("claim_line_id")
-        .agg(F.sum("d").alias("d"), F.sum("t").alias("t"))
-        .where(F.col("d") * F.col("t") > wide)
-        .select("claim_line_id")
-    )
-    narrow = _disagreements(
-        first.join(wide_lines, "claim_line_id", "left_anti"), top_line, ["claim_line_id"]
-    )
-    own = F.pmod(F.xxhash64("icd9_dx_cd_seq1"), F.lit(salts)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    spread = _disagreements(
-        first.join(wide_lines, "claim_line_id", "left_semi").withColumn("salt", own),
-        top_line.join(wide_lines, "claim_line_id", "left_semi").withColumn("salt", every),
-        ["claim_line_id", "salt"],
-    )
     return (
-        narrow.unionByName(spread)
+        _position_one_counts(dx_line)
+        .join(_top_line_counts(claim_line), "claim_line_id")
+        .where(F.col("icd9_dx_cd_seq1") != F.col("pri_icd9_dx_cd"))
         .groupBy("icd9_dx_cd_seq1", "pri_icd9_dx_cd")
-        .agg(F.sum("n").alias("n_rows"))
+        .agg(F.sum(F.col("n_dx") * F.col("n_top")).alias("n_rows"))
         .orderBy(F.desc("n_rows"), "icd9_dx_cd_seq1", "pri_icd9_dx_cd")
         .limit(top)
     )
@@ -405,11 +370,11 @@ def mismatch_sample(
     )
     return (
         two_years(claim_line, p)
-        .select("claim_line_id", F.col("member_id").alias("emis_member_id"))
+        .select("claim_line_id", F.col("member_id").alias("claim_member_id"))
         .join(F.broadcast(lines), "claim_line_id")
-        .where(several | (F.col("emis_member_id") != F.col("dx_member_id")))
-        .select("claim_line_id", "emis_member_id", "dx_member_id", "dx_rows", "distinct_members")
-        .orderBy("claim_line_id", "emis_member_id")
+        .where(several | (F.col("claim_member_id") != F.col("dx_member_id")))
+        .select("claim_line_id", "claim_member_id", "dx_member_id", "dx_rows", "distinct_members")
+        .orderBy("claim_line_id", "claim_member_id")
         .limit(top)
     )
 
@@ -432,13 +397,12 @@ def recorded_share(
     lines of the condition travel; the claim side is a semi join, which lets
     Spark filter it with a run-time bloom filter.
     """
-    fits = small_enough(codes, p.broadcast_rows)
     line, member = F.col("claim_line_id"), F.col("member_id")
     lines = claim_line.where(in_years(F.col("srv_start_dt"), p.y1) & member.isNotNull())
 
     def with_code(df: DataFrame, column: str) -> DataFrame:
         coded = df.withColumn("code", normalise(F.col(column)))
-        return lookup_join(coded, codes, "code", "left_semi", fits=fits)
+        return coded.join(codes, "code", "left_semi")
 
     hit_lines = (
         with_code(dx_line.where(line.isNotNull()).select(line, "icd9_dx_cd"), "icd9_dx_cd")

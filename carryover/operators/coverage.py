@@ -46,15 +46,15 @@ def coverage_months(member_month: DataFrame, p: Params) -> DataFrame:
     )
 
 
-def build_member_month(member_raw: DataFrame) -> DataFrame:
-    """Member-months from raw membership: medical coverage under either book.
+def build_member_month(member_raw: DataFrame, p: Params) -> DataFrame:
+    """Member-months from raw membership: medical coverage under one of the books.
 
     The month is taken apart into text, and the book is kept so that later
     figures can tell the books apart.
     """
     day = F.col("eff_dt")
     return member_raw.where(
-        (F.col("medical_ind") == "Y") & F.col("business_ln_cd").isin("CP", "ME")
+        (F.col("medical_ind") == "Y") & F.col("business_ln_cd").isin(*p.books)
     ).select(
         "member_id",
         F.year(day).cast("string").alias("eff_yr"),

@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carryover.functions import histogram_rank, integer_rate, lookup_join, normalise, share, wilson
+from carryover.functions import histogram_rank, integer_rate, normalise, share, wilson
 from carryover.operators.checks import position, two_years
 from carryover.operators.codes import code_set
-from carryover.operators.measure import OFFICE, UNIT, classify_setting
+from carryover.operators.measure import OFFICE, UNIT, classify_setting, doctor_contact, kept_doctor
 from carryover.params import Params
 
 PEERS = ["book", "condition", "specialty"]
@@ -39,9 +39,20 @@ def member_doctor(records: DataFrame, p: Params) -> DataFrame:
     )
 
 
-def panels(gates: DataFrame, records: DataFrame, p: Params) -> DataFrame:
-    """Panel rows: a doctor's confirmed members with their outcome and gates."""
-    return gates.join(member_doctor(records, p), UNIT)
+def panels(gates: DataFrame, records: DataFrame, claim_line: DataFrame, p: Params) -> DataFrame:
+    """Panel rows: a doctor's confirmed members with their outcome and gates.
+
+    A doctor answers for a member only while the member stays with that doctor:
+    ``judged`` is narrowed from "some doctor saw the member in both years" to
+    "this doctor did".  The gates of the member are left as they are.
+    """
+    stayed = (
+        doctor_contact(claim_line, p)
+        .where(kept_doctor())
+        .select("member_id", F.col("srv_prvdr_id").alias("provider_id"), F.lit(True).alias("stayed"))
+    )
+    rows = gates.join(member_doctor(records, p), UNIT).join(stayed, ["member_id", "provider_id"], "left")
+    return rows.withColumn("judged", F.col("judged") & F.coalesce("stayed", F.lit(False))).drop("stayed")
 
 
 def specialties(provider: DataFrame, p: Params) -> DataFrame:
@@ -203,17 +214,22 @@ def peer_compare(
 
 
 def _ends(scores: DataFrame, p: Params, ends: tuple[str, ...]) -> DataFrame:
-    """The ``extreme_doctors`` doctors at each end of the main condition."""
+    """The ``extreme_doctors`` doctors at each end of the main condition, in each book.
+
+    The books are a parameter, so there is one bounded top-k for each.
+    """
     ranked = shrink_scores(scores, p).where(F.col("condition") == p.main_family)
     out = None
     for end in ends:
-        order = F.asc("shrunk_units") if end == "lowest" else F.desc("shrunk_units")
-        one = (
-            ranked.orderBy(order, "book", "provider_id")
-            .limit(p.extreme_doctors)
-            .select(*DOCTOR, F.lit(end).alias("doctor_end"), "shrunk_score")
-        )
-        out = one if out is None else out.unionByName(one)
+        for book in sorted(p.books.values()):
+            order = F.asc("shrunk_units") if end == "lowest" else F.desc("shrunk_units")
+            one = (
+                ranked.where(F.col("book") == book)
+                .orderBy(order, "provider_id")
+                .limit(p.extreme_doctors)
+                .select(*DOCTOR, F.lit(end).alias("doctor_end"), "shrunk_score")
+            )
+            out = one if out is None else out.unionByName(one)
     return out
 
 
@@ -265,7 +281,7 @@ def histories(visits: DataFrame, dx_line: DataFrame, code_map: DataFrame, p: Par
         position(F.col("sequence_id")).alias("position"),
         normalise(F.col("icd9_dx_cd")).alias("code"),
     )
-    theirs = lookup_join(coded, lines, "claim_line_id", "left_semi", bound=p.broadcast_rows)
+    theirs = coded.join(lines, "claim_line_id", "left_semi")
     family = code_set(code_map, p.families[p.main_family]).withColumn("in_family", F.lit(True))
     return (
         visits.join(theirs, "claim_line_id", "left")

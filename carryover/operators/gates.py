@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from carryover.functions import histogram_rank, lookup_join, normalise, share, signed_share
+from carryover.functions import histogram_rank, normalise, share, signed_share
 from carryover.operators.checks import two_years
 from carryover.operators.codes import code_set
 from carryover.operators.doctors import DOCTOR, PEERS, is_scored, rank_scores, shrunk_score, specialties
@@ -126,7 +126,7 @@ def retired_codes(
         "claim_line_id", normalise(F.col("icd9_dx_cd")).alias("code")
     )
     used = (
-        lookup_join(coded, family, "code", "left", bound=p.broadcast_rows)
+        coded.join(family, "code", "left")
         .where(F.col("in_family") | F.col("code").rlike(pattern))
         .groupBy("claim_line_id", "code")
         .agg(_rows().alias("n"))
@@ -264,6 +264,10 @@ def control_condition(gates: DataFrame, p: Params) -> DataFrame:
             F.count_if(mine & F.col("carried_any")).alias(f"{prefix}_carried"),
         ]
 
+    def wide(n: Column) -> Column:
+        """Whole numbers whose products go past 64 bits."""
+        return n.cast("decimal(19,0)")
+
     both = gates.groupBy("book").agg(*side(p.main_family, "main"), *side(p.control_family, "control"))
     a, b = F.col("main_carried"), F.col("main_judged")
     c, d = F.col("control_carried"), F.col("control_judged")
@@ -271,7 +275,7 @@ def control_condition(gates: DataFrame, p: Params) -> DataFrame:
         {
             "main_persistence": share(a, b),
             "control_persistence": share(c, d),
-            "control_minus_main": signed_share(c * b - a * d, b * d),
+            "control_minus_main": signed_share(c * wide(b) - a * wide(d), b * wide(d)),
         }
     ).orderBy("book")
 
@@ -527,7 +531,7 @@ def batch_submission_shape(
         "claim_line_id", normalise(F.col("icd9_dx_cd")).alias("code")
     )
     per_line = (
-        lookup_join(coded, codes, "code", bound=p.broadcast_rows)
+        coded.join(codes, "code")
         .groupBy("claim_line_id")
         .agg(_rows().alias("n"))
     )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carryover.functions import lookup_join, mapped, normalise, share
+from carryover.functions import mapped, normalise, share
 from carryover.operators.checks import position, two_years
 from carryover.operators.codes import family_codes, has_category
 from carryover.operators.coverage import coverage_months
@@ -37,7 +37,7 @@ def curate_claims(
     kept = claim_line.where(
         (F.col("summarized_srv_ind") == "Y")
         & (F.col("duplicate_ind") == "N")
-        & (source.isNull() | (source != "DENTAL"))
+        & (source.isNull() | ~source.isin(*p.curated_sources_out))
         & (area.isNull() | ~area.isin(*p.network_areas_out))
     ).withColumns({"yr": F.year(day), "mo": F.month(day)})
     member = member_month.groupBy(
@@ -51,7 +51,7 @@ def curate_claims(
     out = kept.join(member, ["member_id", "yr", "mo"], "left")
     if p.submarkets:
         out = out.where(F.col("mbr_submarket").isin(*p.submarkets))
-    return lookup_join(out, doctor, "srv_prvdr_id", "left", bound=p.broadcast_rows).select(
+    return out.join(doctor, "srv_prvdr_id", "left").select(
         "claim_line_id",
         "member_id",
         "age_nbr",
@@ -108,7 +108,7 @@ def expand_positions(claims: DataFrame, dx_line: DataFrame) -> DataFrame:
 
 def label_conditions(rows: DataFrame, labels: DataFrame, p: Params) -> DataFrame:
     """Attach condition and category to coded rows; unlabelled rows drop out."""
-    return lookup_join(rows, labels, "code", bound=p.broadcast_rows)
+    return rows.join(labels, "code")
 
 
 def labelled(
@@ -217,27 +217,41 @@ def gate_coverage(outcome: DataFrame, member_month: DataFrame, p: Params) -> Dat
     )
 
 
-def member_contact(claim_line: DataFrame, p: Params) -> DataFrame:
-    """Per member, over all claim lines of both years: lines, whether seen in
-    year two, and whether one clinician saw them in both.
+def doctor_contact(claim_line: DataFrame, p: Params) -> DataFrame:
+    """Lines per (member, doctor) over both years, and the years they fall in.
 
-    Lines are counted per (member, doctor) before they are brought to the
-    member, so neither a busy doctor nor a busy member is one task's work, and
-    no doctor pair is formed.
+    ``in_y2`` is of any line; ``own_y1`` and ``own_y2`` leave out the excluded
+    sources: a laboratory, an ambulance or an equipment supplier is no doctor.
     """
-    year = F.year("srv_start_dt")
-    per_doctor = (
+    year, source = F.year("srv_start_dt"), F.col("med_cost_ctg_cd")
+    counts = source.isNull() | ~source.isin(*p.excluded_sources)
+    return (
         two_years(claim_line, p)
         .groupBy("member_id", "srv_prvdr_id")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.bool_or(year == p.y1).alias("in_y1"),
             F.bool_or(year == p.y2).alias("in_y2"),
+            F.bool_or((year == p.y1) & counts).alias("own_y1"),
+            F.bool_or((year == p.y2) & counts).alias("own_y2"),
         )
     )
-    both = F.col("in_y1") & F.col("in_y2") & F.col("srv_prvdr_id").isNotNull()
-    return per_doctor.groupBy("member_id").agg(
-        F.sum("n").alias("lines"), F.bool_or("in_y2").alias("seen"), F.bool_or(both).alias("same_doctor")
+
+
+def kept_doctor() -> Column:
+    """Whether a row of :func:`doctor_contact` is a named doctor of both years."""
+    return F.col("own_y1") & F.col("own_y2") & F.col("srv_prvdr_id").isNotNull()
+
+
+def member_contact(claim_line: DataFrame, p: Params) -> DataFrame:
+    """Per member, over all claim lines of both years: lines, whether seen in
+    year two, and whether one clinician saw them in both.
+
+    Lines are counted per (member, doctor) before they are brought to the
+    member, so neither a busy doctor nor a busy member is one task's work, and
+    no doctor pair is formed.
+    """
+    return doctor_contact(claim_line, p).groupBy("member_id").agg(
+        F.sum("n").alias("lines"), F.bool_or("in_y2").alias("seen"), F.bool_or(kept_doctor()).alias("same_doctor")
     )
 
 

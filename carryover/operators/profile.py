@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from carryover.functions import blank, share, share_of_total, small_enough
+from carryover.functions import blank, share, share_of_total
 from carryover.params import Params
 from carryover.sources.contract import CONTRACTS, same_type
 
@@ -202,30 +202,17 @@ def grain_totals(curated: DataFrame) -> DataFrame:
     )
 
 
-# Rows per sampled line from which the sample is narrowed before it is shuffled.
-NARROW_FROM = 1_000
-
-
-def _probe_lines(curated: DataFrame, p: Params, narrow_from: int = NARROW_FROM) -> DataFrame:
+def _probe_lines(curated: DataFrame, p: Params) -> DataFrame:
     """The first ``probe_lines`` distinct line ids in md5 order.
 
-    On a large table only ids below an md5 cutoff are shuffled.  The cutoff is
-    set to let four times the sample through and kept only if enough distinct
-    ids are then counted; since it follows the sort order, the sample is the same.
+    Each task keeps only its first ``probe_lines``; nothing is counted beforehand.
     """
     line = F.col("claim_line_id")
-    order = F.md5(line.cast("string").cast("binary"))
-    named = curated.where(line.isNotNull())
-    rows = curated.count()
-    if rows >= narrow_from * p.probe_lines:
-        cutoff = f"{4 * p.probe_lines * 16**8 // rows:08x}"
-        below = named.where(order < cutoff)
-        if not small_enough(below.select(line).distinct(), p.probe_lines - 1):
-            named = below
     return (
-        named.groupBy("claim_line_id")
+        curated.where(line.isNotNull())
+        .groupBy("claim_line_id")
         .agg(F.min(F.col("member_id").cast("string")).alias("member"))
-        .orderBy(order, line.cast("string"))
+        .orderBy(F.md5(line.cast("string").cast("binary")), line.cast("string"))
         .limit(p.probe_lines)
     )
 

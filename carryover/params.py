@@ -42,6 +42,8 @@ class Params:
         default_factory=lambda: {"F": "office", "OP": "outpatient", "IP": "inpatient"}
     )
     excluded_sources: tuple[str, ...] = ()
+    # sources the curated extract leaves out
+    curated_sources_out: tuple[str, ...] = ("DENTAL",)
 
     # --- rules ------------------------------------------------------------
     mentions: int = 2
@@ -58,11 +60,6 @@ class Params:
     probe_lines: int = 10_000
     provider_key: str = "provider_id"
 
-    # --- execution --------------------------------------------------------
-    # Rows up to which a lookup side may be broadcast; past it the join is
-    # salted instead (functions/joins.py).
-    broadcast_rows: int = 500_000
-
     def with_(self, **changes) -> "Params":
         return replace(self, **changes)
 

@@ -86,7 +86,7 @@ UNIT_ = ("book", "condition", "member_id")
 # Each takes a Study; its stages are lazy and shared within one query.
 MEASURE = {
     "curate_claims": lambda s: measure.curate_claims(s.t["claim_line"], s.t["member_month"], s.t["provider"], s.p),
-    "build_member_month": lambda s: coverage.build_member_month(s.t["member_raw"]),
+    "build_member_month": lambda s: coverage.build_member_month(s.t["member_raw"], s.p),
     "scope_claims": lambda s: measure.scope_claims(s.t["claim_line"], s.p).select(
         "claim_line_id", "member_id", "srv_start_dt", "business_ln_cd", "book"
     ),

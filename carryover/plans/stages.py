@@ -10,7 +10,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
@@ -56,31 +55,7 @@ class StageStore:
         return self._spark.read.parquet(path)
 
 
-def largest_group(df: DataFrame, key: str) -> tuple[int, int]:
-    """Rows of the most frequent key (NULL is one too) and rows in all."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    row = counts.agg(F.max("n").alias("top"), F.sum("n").alias("n")).first()
-    return row["top"] or 0, row["n"] or 0
-
-
-def write_prepared(df: DataFrame, table: str, key: str, buckets: int) -> bool:
-    """Save a table for repeated joins on ``key``; True when it was bucketed.
-
-    claim_line and dx_line bucketed on claim_line_id, with the same number of
-    buckets, are joined and aggregated on it without a shuffle.  A bucket is one
-    task, so a table in which a single key would fill a bucket is saved plainly
-    instead; its joins then shuffle, and adaptive execution splits the hot key.
-    """
-    top, rows = largest_group(df, key)
-    if top * buckets > rows:
-        df.write.mode("overwrite").format("parquet").saveAsTable(table)
-        return False
-    (
-        df.repartition(buckets, key)
-        .write.mode("overwrite")
-        .format("parquet")
-        .bucketBy(buckets, key)
-        .sortBy(key)
-        .saveAsTable(table)
-    )
-    return True
+def write_prepared(df: DataFrame, table: str) -> None:
+    """Save a table for repeated joins, plainly: adaptive execution can then split a hot key,
+    which it cannot where a table is bucketed on it."""
+    df.write.mode("overwrite").format("parquet").saveAsTable(table)

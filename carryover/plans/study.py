@@ -79,7 +79,7 @@ class Study:
 
     @cached_property
     def all_panels(self) -> DataFrame:
-        return self._stage("panels", doctors.panels(self.all_gates, self.records, self.p))
+        return self._stage("panels", doctors.panels(self.all_gates, self.records, self.t["claim_line"], self.p))
 
     @cached_property
     def panel(self) -> DataFrame:

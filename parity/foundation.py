@@ -182,7 +182,7 @@ SELECT count(*) AS claim_lines, count(d.dx_rows) AS matched, count(*) - count(d.
  count(*) FILTER (d.members > 1) AS multi_member_lines
 FROM pair_lines l LEFT JOIN line_dx d USING (claim_line_id)"""),
     "v6_mismatch_sample": statement("""
-SELECT l.claim_line_id, l.member_id AS emis_member_id, d.first_member AS dx_member_id, d.dx_rows,
+SELECT l.claim_line_id, l.member_id AS claim_member_id, d.first_member AS dx_member_id, d.dx_rows,
  d.members AS distinct_members FROM pair_lines l JOIN line_dx d USING (claim_line_id)
 WHERE l.member_id <> d.first_member OR d.members > 1 ORDER BY 1, 2 LIMIT 500"""),
     "v7_diabetes_codes": categories("raw_code"),

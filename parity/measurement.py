@@ -46,9 +46,11 @@ SELECT {UNIT}, count(DISTINCT srv_start_dt) FILTER (yr = {Y1}) AS mentions,
 FROM rec GROUP BY {UNIT}""")
 part("contact", f"""
 SELECT member_id, count(*) AS lines, bool_or(year(srv_start_dt) = {Y2}) AS seen FROM pair_lines GROUP BY member_id""")
+# a patient stays with a doctor whose lines, but for laboratory and dental ones, fall in both years
 part("stayed", f"""
-SELECT DISTINCT a.member_id FROM pair_lines a JOIN pair_lines b USING (member_id, srv_prvdr_id)
-WHERE year(a.srv_start_dt) = {Y1} AND year(b.srv_start_dt) = {Y2}""")
+SELECT DISTINCT a.member_id, srv_prvdr_id AS provider_id FROM pair_lines a JOIN pair_lines b USING (member_id, srv_prvdr_id)
+WHERE year(a.srv_start_dt) = {Y1} AND year(b.srv_start_dt) = {Y2}
+ AND coalesce(a.med_cost_ctg_cd, '') NOT IN ('LAB', 'DENTAL') AND coalesce(b.med_cost_ctg_cd, '') NOT IN ('LAB', 'DENTAL')""")
 part("held", "SELECT member_id, sum(months) AS months FROM cover GROUP BY member_id")
 part("flags", f"""
 SELECT s.book, s.condition, s.member_id, s.mentions, s.carried_any, s.carried_office,
@@ -65,7 +67,11 @@ part("gates", f"SELECT * FROM judgement WHERE mentions >= {P.mentions}")
 part("own", f"""
 SELECT {UNIT}, srv_prvdr_id AS provider_id, bool_or(yr = {Y2}) AS carried_same FROM rec
 WHERE setting = 'office' AND srv_prvdr_id IS NOT NULL GROUP BY ALL HAVING bool_or(yr = {Y1})""")
-part("pan", f"SELECT g.*, o.provider_id, o.carried_same FROM gates g JOIN own o USING ({UNIT})")
+# each doctor is judged on the members who stayed with that doctor
+part("every_pan", f"""
+SELECT g.* REPLACE (g.judged AND EXISTS (SELECT 1 FROM stayed s WHERE s.member_id = g.member_id AND s.provider_id = o.provider_id) AS judged),
+ o.provider_id, o.carried_same FROM judgement g JOIN own o USING ({UNIT})""")
+part("pan", f"SELECT * FROM every_pan WHERE mentions >= {P.mentions}")
 part("spec", "SELECT provider_id, min(specialty_ctg_cd) AS specialty FROM provider GROUP BY provider_id")
 
 
@@ -113,8 +119,8 @@ FROM gates WHERE judged AND {where} GROUP BY book, condition"""
 def histories(ends: tuple[str, ...], members: int) -> str:
     picks = " UNION ALL ".join(f"""
 (SELECT '{end}' AS doctor_end, p.book, p.provider_id AS scored_provider_id, e.shrunk_score, p.member_id, p.carried_same
- FROM pan p JOIN (SELECT * FROM ranked WHERE condition = '{MAIN}' ORDER BY shrunk_units {'ASC' if end == 'lowest' else 'DESC'},
-  book, provider_id LIMIT {P.extreme_doctors}) e USING (book, condition, provider_id) WHERE p.judged
+ FROM pan p JOIN (SELECT * FROM ranked WHERE condition = '{MAIN}' QUALIFY row_number() OVER (PARTITION BY book
+  ORDER BY shrunk_units {'ASC' if end == 'lowest' else 'DESC'}, provider_id) <= {P.extreme_doctors}) e USING (book, condition, provider_id) WHERE p.judged
  ORDER BY md5(CAST(p.member_id AS VARCHAR)), p.member_id, p.provider_id LIMIT {members})""" for end in ends)
     return statement(f"""
 SELECT k.doctor_end, k.book, k.scored_provider_id, k.shrunk_score, k.member_id, k.carried_same, c.srv_start_dt, c.claim_line_id,
@@ -207,13 +213,13 @@ def _variant(k: int, m: int) -> str:
 SELECT {k} AS mentions, {m} AS min_panel, *, rank() OVER (PARTITION BY book, condition, specialty ORDER BY units)
  <= {P.bottom_share} * count(*) OVER (PARTITION BY book, condition, specialty) AS low
 FROM (SELECT d.*, (20000 * (d.cs * q.pc_n + {W} * q.pc) + q.pc_n * (d.pn + {W})) // (2 * q.pc_n * (d.pn + {W})) AS units
- FROM (SELECT j.book, j.condition, o.provider_id, coalesce(any_value(s.specialty), '(none)') AS specialty, count(*) AS pcf,
+ FROM (SELECT j.book, j.condition, j.provider_id, coalesce(any_value(s.specialty), '(none)') AS specialty, count(*) AS pcf,
    count(*) FILTER (judged) AS pn, count(*) FILTER (judged AND carried_same) AS cs
-  FROM judgement j JOIN own o USING ({UNIT}) LEFT JOIN spec s USING (provider_id) WHERE j.mentions >= {k}
-  GROUP BY j.book, j.condition, o.provider_id) d
+  FROM every_pan j LEFT JOIN spec s USING (provider_id) WHERE j.mentions >= {k}
+  GROUP BY j.book, j.condition, j.provider_id) d
  JOIN (SELECT j.book, j.condition, coalesce(s.specialty, '(none)') AS specialty, count(*) FILTER (judged) AS pc_n,
    count(*) FILTER (judged AND carried_same) AS pc
-  FROM judgement j JOIN own o USING ({UNIT}) LEFT JOIN spec s USING (provider_id) WHERE j.mentions >= {k} GROUP BY ALL) q
+  FROM every_pan j LEFT JOIN spec s USING (provider_id) WHERE j.mentions >= {k} GROUP BY ALL) q
   USING (book, condition, specialty) WHERE d.pcf >= {m} AND d.pn > 0)"""
 
 

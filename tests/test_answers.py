@@ -113,7 +113,7 @@ def test_attrition_over_both_books(tables):
         "death": (False, 0, 333),
         "coverage": (True, 79, 254),
         "no_visit": (True, 63, 191),
-        "changed_doctor": (True, 21, 170),
+        "changed_doctor": (True, 26, 165),
     }
 
 

@@ -42,13 +42,11 @@ def test_nothing_to_compare_gives_null_share(spark):
     assert rows(checks.first_position_agreement(c, d)) == [(0, 0, 0, 0, 0, None)]
 
 
-@pytest.mark.parametrize("wide", [0, 10_000])
-def test_pairs_of_a_wide_line(spark, wide):
-    """Salting a line with many codes changes no count."""
+def test_pairs_of_a_wide_line(spark):
     n = 30
     c = claims(spark, [line(7, 1, "2023-01-01", top=f"T{i}") for i in range(n)] * 2)
     d = dx(spark, [position(7, "01", f"D{i}") for i in range(n)] * 3)
-    got = rows(checks.disagreeing_pairs(c, d, top=10_000, salts=8, wide=wide))
+    got = rows(checks.disagreeing_pairs(c, d, top=10_000))
     assert len(got) == n * n and {r[2] for r in got} == {6}
 
 
@@ -172,7 +170,7 @@ def test_membership_build_keeps_medical_rows_of_both_books(spark):
     )
     for c in ("gender_cd", "mbr_county_cd", "mbr_state", "mbr_submarket"):
         raw = raw.withColumn(c, F.lit("x"))
-    got = coverage.build_member_month(raw.withColumn("age_nbr", F.lit(60).cast("long")))
+    got = coverage.build_member_month(raw.withColumn("age_nbr", F.lit(60).cast("long")), params().with_(books={"ME": "medicare", "CP": "commercial"}))
     assert sorted((r.member_id, r.eff_yr, r.eff_mo, r.business_ln_cd) for r in got.collect()) == [
         (1, "2023", "03", "ME"), (3, "2023", "11", "CP"),
     ]

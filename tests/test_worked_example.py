@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
 from carryover.plans.study import Study
 from tests.small import claims, code_map, dx, full_coverage, line, months, params, position
@@ -90,3 +91,32 @@ def test_two_visits_on_one_day(spark, unit, confirmed):
         params(mention_unit=unit),
     )
     assert study.outcome.count() == confirmed
+
+
+def with_two_doctors(spark, source: str):
+    """A sixth patient, who leaves doctor 1 after 2023 and keeps doctor 2; ``source`` of the line of 2024."""
+    lines = [
+        line(1, 6, "2023-02-01", doctor=1), line(2, 6, "2023-08-01", doctor=1), line(3, 6, "2023-09-01", doctor=2),
+        line(4, 6, "2024-03-01", doctor=2),
+    ]
+    table = claims(spark, lines).withColumn("med_cost_ctg_cd", F.when(F.col("claim_line_id") == 4, source).otherwise("MED"))
+    tables = {
+        "claim_line": table,
+        "dx_line": dx(spark, [position(k, "01", "E11.9", 6) for k in (1, 2, 3)]),
+        "code_map": code_map(spark),
+        "member_month": months(spark, full_coverage(6)),
+        "provider": spark.createDataFrame([(1, "PCP"), (2, "PCP")], "provider_id bigint, specialty_ctg_cd string"),
+    }
+    return Study(tables, params().with_(excluded_sources=("LAB",)))
+
+
+def test_a_doctor_is_not_judged_on_a_patient_who_left(spark):
+    study = with_two_doctors(spark, "MED")
+    assert [(r.gate, r.judged) for r in study.gates.collect()] == [(None, True)]
+    panel = {r.provider_id: (r.panel_confirmed, r.panel) for r in study.scores.collect()}
+    assert panel == {1: (1, 0), 2: (1, 1)}
+
+
+def test_a_laboratory_is_not_the_doctor(spark):
+    """Its line shows that the patient was seen, not that a doctor was kept."""
+    assert [(r.gate, r.seen) for r in with_two_doctors(spark, "LAB").gates.collect()] == [("changed_doctor", True)]
