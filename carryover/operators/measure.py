@@ -30,7 +30,8 @@ def curate_claims(
     the excluded network areas, with member and provider attributes.
 
     Member attributes are those of the service month.  Both attribute tables
-    are reduced to one row per key first, so no claim line is repeated.
+    are reduced to one row per key first, so no claim line is repeated.  The
+    provider's submarket is NULL where the provider table does not state one.
     """
     day = F.col("srv_start_dt")
     source, area = F.col("med_cost_ctg_cd"), F.col("ntwk_srv_area_id")
@@ -46,6 +47,7 @@ def curate_claims(
     doctor = provider.groupBy(F.col(p.provider_key).alias("srv_prvdr_id")).agg(
         F.min("epdb_dw_prvdr_id").alias("epdb_dw_prvdr_id"),
         F.min("county_nm").alias("prvdr_county"),
+        (F.min("prvdr_submarket") if "prvdr_submarket" in provider.columns else F.lit(None).cast("string")).alias("prvdr_submarket"),
         F.min("specialty_ctg_cd").alias("specialty_ctg_cd"),
     )
     out = kept.join(member, ["member_id", "yr", "mo"], "left")
@@ -65,6 +67,7 @@ def curate_claims(
         "business_ln_cd",
         "epdb_dw_prvdr_id",
         "prvdr_county",
+        "prvdr_submarket",
         "specialty_ctg_cd",
     )
 

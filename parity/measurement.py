@@ -246,7 +246,7 @@ MEASUREMENT: dict[str, str] = {
     "curate_claims": statement(f"""
 SELECT c.claim_line_id, c.member_id, m.age_nbr, m.gender_cd, m.mbr_county_cd, m.mbr_submarket, c.srv_start_dt,
  c.pri_icd9_dx_cd, c.prcdr_cd, c.allowed_amt, c.business_ln_cd, p.epdb_dw_prvdr_id, p.county_nm AS prvdr_county,
- p.specialty_ctg_cd
+ CAST(NULL AS VARCHAR) AS prvdr_submarket, p.specialty_ctg_cd
 FROM claim_line c LEFT JOIN member_month m ON m.member_id = c.member_id AND CAST(m.eff_yr AS INT) = year(c.srv_start_dt)
   AND CAST(m.eff_mo AS INT) = month(c.srv_start_dt) LEFT JOIN provider p ON p.provider_id = c.srv_prvdr_id
 WHERE c.summarized_srv_ind = 'Y' AND c.duplicate_ind = 'N' AND c.med_cost_ctg_cd <> 'DENTAL' AND c.ntwk_srv_area_id <> 'DPPO'"""),

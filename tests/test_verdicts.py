@@ -5,11 +5,13 @@ from __future__ import annotations
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
-from carryover.operators import verdict
+from carryover.operators import measure, verdict
 from carryover.plans.run import run
 from carryover.sources import conform, fixture_params, fixture_tables, load_tables, violations
 from carryover.operators.profile import file_volume
+from tests.conftest import SF_DIR
 
 E = 1e-4
 
@@ -143,3 +145,13 @@ def test_nothing_passes_for_want_of_data(spark, stored):
     metrics = study.build_metrics(study.build()).unionByName(study.figure_metrics(study.figures()))
     later = {r.verdict for r in verdict.metric_verdicts(metrics).collect() if r.check not in verdict.FOUNDATION_CHECKS}
     assert later == {"UNVERIFIABLE"}
+
+
+def test_the_curated_extract_meets_its_contract(spark):
+    t, p = fixture_tables(spark, SF_DIR), fixture_params()
+    built = measure.curate_claims(t["claim_line"], t["member_month"], t["provider"], p)
+    columns = conform(built, "curated_claims").columns
+    assert "prvdr_submarket" in columns
+    named = t["provider"].withColumn("prvdr_submarket", F.lit("S1"))
+    values = measure.curate_claims(t["claim_line"], t["member_month"], named, p).select("prvdr_submarket").distinct()
+    assert {r[0] for r in values.collect()} <= {"S1", None}
