@@ -130,14 +130,14 @@ class Method:
 
 
 def numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(row, own, doc_id, text as bytes): the name of a document, its id for order, and its values.
+    """(row, own, text as bytes): the name of a document, its id for order, and its text.
 
-    A null text is an empty one, a null id comes after all ids.
+    A null text is an empty one, a null id comes after all ids.  Both joins on ``row``
+    take exactly these columns, so that they read one exchange.
     """
     return docs.select(
         F.xxhash64(doc_id, text).alias("row"),
         F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("own"),
-        F.col(doc_id).alias("doc_id"),
         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"),
     )
 
@@ -429,4 +429,6 @@ def covered(own: int, owns: bytes, starts: bytes, width: int, size: int) -> np.n
 def with_repeats(docs: DataFrame, method: Method, keep_first: bool, doc_id: str, text: str) -> DataFrame:
     """(own, doc_id, text as bytes, owns, starts): every row of ``docs`` with its repeated windows, null where none."""
     rows = numbered(docs, doc_id, text)
-    return rows.join(repeated(rows, method, keep_first).hint("shuffle_hash"), "row", "left").select("own", "doc_id", "text", "owns", "starts")
+    found = rows.join(repeated(rows, method, keep_first).hint("shuffle_hash"), "row", "left")
+    own = F.when(F.col("own") != NO_ID, F.col("own")).cast(docs.schema[doc_id].dataType)
+    return found.select("own", own.alias("doc_id"), "text", "owns", "starts")
