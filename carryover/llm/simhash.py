@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carryover.llm.common import components, keep
+from carryover.llm.common import components, keep, release
 
 SHINGLE, SEED, BITS_APART = 4, 42, 4
 #: Least positional bytes that two linked fingerprints share.
@@ -227,38 +227,53 @@ def _variants(docs: DataFrame) -> DataFrame:
     return columns.mapInArrow(run, schema)
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each group of similar texts: that with the smallest id, then text hash.
-
-    Texts are similar when the sets of their ``shingle``-word shingles have a Jaccard
-    similarity of at least ``least``; groups are what such pairs connect.  Candidate
-    pairs come from the byte-position index of three fingerprints, and each is
-    verified on the whole sets.  Rows without an id come after those with one; of
-    repeated rows one stays.  Columns stay as they are.
-    """
-    marked = keep(_variants(docs), "fingerprints")
+def _candidates(marked: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes that lists of some fingerprint bring together."""
     prints = marked.groupBy("node").agg(*[F.min(f"f{k}").alias(f"f{k}") for k in range(len(VARIANTS))])
     found = None
     for k in range(len(VARIANTS)):
         part = links(prints.select(F.col(f"f{k}").alias("fp"), "node"), SIMILAR_BITS, SIMILAR_SHARED)
         found = part if found is None else found.unionAll(part)
-    pairs = keep(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("h"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _similar(keyed: DataFrame, marked: DataFrame, pairs: DataFrame, order: F.Column, same: F.Column, shingle: int, least: float) -> DataFrame:
+    """The pairs whose whole shingle sets are ``least`` alike."""
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    one = marked.join(asked, "node", "left_semi").groupBy("node").agg(F.min(order).alias("w")).select(F.col("node").alias("_carryover_node"), F.col("w.doc_id").alias("_carryover_w"), F.col("w.h").alias("_carryover_wh"))
-    keyed = docs.withColumn("_carryover_h", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_carryover_w")) & (F.col("_carryover_h") == F.col("_carryover_wh"))
+    one = marked.join(asked, "node", "left_semi").groupBy("node").agg(F.min(order).alias("w"))
+    one = one.select(F.col("node").alias("_carryover_node"), F.col("w.doc_id").alias("_carryover_w"), F.col("w.h").alias("_carryover_wh"))
 
-    @F.pandas_udf("array<long>")
+    # half of each hash: two texts of n shingles then share one too many with a chance of n^2 in 2^32
+    @F.pandas_udf("array<int>")
     def shingles(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: np.unique(shingle_hashes(t, shingle)).view(np.int64))
+        return texts.map(lambda t: np.unique((shingle_hashes(t, shingle) >> np.uint64(32)).astype(np.uint32)).view(np.int32))
 
     body = F.coalesce("text", F.lit("")).cast("binary")
     # repeated rows give the same set twice, which verifies a pair twice
     sets = keyed.join(one, same).select(F.col("_carryover_node").alias("node"), shingles(body).alias("s"))
     both = pairs.join(sets.withColumnsRenamed({"node": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"node": "b", "s": "sb"}), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    similar = both.where(common >= F.lit(least) * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
+    return both.where(common >= F.lit(least) * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each group of similar texts: that with the smallest id, then text hash.
+
+    Texts are similar when the sets of their ``shingle``-word shingles have a Jaccard
+    similarity of at least ``least``; groups are what such pairs connect.  Candidate
+    pairs come from the byte-position index of three fingerprints, and each is
+    verified on the whole sets.  Rows without an id come after those with one; of
+    repeated rows one stays.  Columns stay as they are.
+    """
+    spark = docs.sparkSession
+    marked = keep(_variants(docs), "fingerprints")
+    pairs = keep(_candidates(marked), "pairs")
+    release(spark)
+    keyed = docs.withColumn("_carryover_h", F.xxhash64("text"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("h"))
+    same = F.col("doc_id").eqNullSafe(F.col("_carryover_w")) & (F.col("_carryover_h") == F.col("_carryover_wh"))
+    similar = keep(_similar(keyed, marked, pairs, order, same, shingle, least), "similar")
+    release(spark)
     of = components(similar)
     first = marked.groupBy("node").agg(F.min(order).alias("first")).join(of, "node", "left")
     first = first.groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("first").alias("w")).select(F.col("w.doc_id").alias("_carryover_w"), F.col("w.h").alias("_carryover_wh"))

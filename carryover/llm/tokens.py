@@ -33,7 +33,9 @@ CHUNK = regex.compile(f"[^{WHITE}]+")
 #: Separators that str.split() takes for white space although the property does not.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
 #: Entries of one generation of a worker's tables.
-CACHE = 250_000
+CACHE = 100_000
+#: Rows whose ids a task holds before it sends them on.
+ROWS = 500
 
 
 class Recent:
@@ -255,12 +257,18 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids
     and a column already named ``ids`` is replaced.  Repeated rows stay repeated.
     """
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def run(texts):
+    rest = docs.drop(ids)
+    at = rest.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        return texts.map(c.encode)
+        for batch in batches:
+            for n in range(0, batch.num_rows, ROWS):
+                part = batch.slice(n, ROWS)
+                coded = pa.array([c.encode(value.as_py()) for value in part.column(at)], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns, coded], names=[*part.schema.names, ids])
 
-    return docs.withColumn(ids, run(F.coalesce(F.col(text), F.lit(""))))
+    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(rows: DataFrame, path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
