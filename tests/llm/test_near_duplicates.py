@@ -118,6 +118,44 @@ def test_one_of_each_group_of_similar_texts(spark):
     assert len(kept - set(want.values())) <= 0.02 * len(texts)
 
 
+def kept_of(spark, texts: dict) -> tuple[set, set]:
+    """Ids kept, and those that comparing all pairs keeps."""
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in texts.items()}
+    near = [(a, b) for a, b in combinations(texts, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    return {r.doc_id for r in simhash.one_of_each(df).collect()}, set(joined(texts, near).values())
+
+
+@pytest.mark.parametrize("block, short", [(simhash.BLOCK, simhash.SHORT_LIST), (simhash.BLOCK, 2), (16, 4)])
+def test_copies_among_form_letters(spark, monkeypatch, block, short):
+    """Letters of one form are candidates of each other, but only their own copies are similar."""
+    monkeypatch.setattr(simhash, "SHORT_LIST", short)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rnd = random.Random(4)
+    form, texts = [f"form{k}" for k in range(200)], {}
+    for g in range(150):
+        letter = list(form)
+        for k in range(8):
+            letter[12 + 25 * k] = f"field{rnd.randrange(10**9)}"
+        texts[2 * g] = letter
+        texts[2 * g + 1] = [*letter[:-1], f"end{g}"]
+    kept, want = kept_of(spark, texts)
+    assert len(want) == 150 and kept == want
+
+
+def test_copies_with_appended_text_and_short_ones(spark):
+    rnd = random.Random(2)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    texts = {}
+    for g in range(150):
+        size = rnd.choice([5, 8, 12, 20, 60, 200, 600])
+        base = [word() for _ in range(size)]
+        texts[2 * g] = base
+        texts[2 * g + 1] = base + [word() for _ in range((size - 4) // 4)]
+    kept, want = kept_of(spark, texts)
+    assert len(want) < len(texts) and kept == want
+
+
 def test_vectors_of_the_whole_table(spark):
     rows = duckdb.sql(f"SELECT vec_id, embedding FROM '{SF_DIR}/embeddings.parquet' ORDER BY vec_id").fetchall()
     ids = [i for i, _ in rows]
