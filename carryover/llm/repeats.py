@@ -200,13 +200,18 @@ def revealed(rows: DataFrame, method: Method) -> DataFrame:
                     out.append((int(row[0] % parts), _blob(key[local]), _blob(row[local]), None))
                 yield _table(out, [pa.int32(), pa.binary(), pa.binary(), pa.binary()], ["bucket", "keys", "rows", "twice"])
 
+    def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = [np.frombuffer(k, U) for batch in batches for k, t in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist()) if t is not None]
+        key, n = np.unique(np.concatenate([np.empty(0, U), *keys]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(key[n > HOT_POSTS].view(np.int64))], names=["key"])
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, rows_, twice = [], [], []
         for batch in batches:
             for k, r, t in zip(*[c.to_pylist() for c in batch.columns[1:]]):
                 k, r = np.frombuffer(k, U), np.frombuffer(r, np.int64)
                 if t is None:
-                    yield _flags(k, r, np.zeros(len(k), bool))
+                    yield _flags(k, r)
                 else:
                     keys.append(k)
                     rows_.append(r)
@@ -219,15 +224,22 @@ def revealed(rows: DataFrame, method: Method) -> DataFrame:
             size = np.diff(np.concatenate([first, [len(k)]]))
             n = np.repeat(size, size)
             known = (n > 1) | t
-            yield _flags(k[known], r[known], n[known] > HOT_POSTS)
+            yield _flags(k[known], r[known])
 
     posted = rows.select("row", "text").mapInArrow(post, "bucket int, keys binary, rows binary, twice binary")
-    flags = posted.repartition("bucket").mapInArrow(find, "row long, key long, hot boolean")
+    dealt = posted.repartition("bucket")
+    flags = dealt.mapInArrow(find, "row long, key long")
+    if method.by_hash:
+        flags = flags.withColumn("hot", F.lit(False))
+    else:
+        # whether a key is hot must not depend on the row, or equal windows are sent in two forms; few keys are
+        hot = dealt.mapInArrow(often, "key long").withColumn("hot", F.lit(True))
+        flags = flags.join(F.broadcast(hot), "key", "left")
     return flags.groupBy("row").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hot"))
 
 
-def _flags(key: np.ndarray, row: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(key.view(np.int64)), pa.array(hot)], names=["row", "key", "hot"])
+def _flags(key: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(key.view(np.int64))], names=["row", "key"])
 
 
 def _table(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:

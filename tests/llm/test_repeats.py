@@ -67,6 +67,26 @@ def test_bytes(spark, monkeypatch, width, keep_first, hot):
         assert r.n_spans == sum(g and not (k and mine[k - 1]) for k, g in enumerate(mine))
 
 
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_hot_key_over_small_batches(spark, monkeypatch, keep_first):
+    """Rows that did not post a hot key first send its windows as those that did."""
+    monkeypatch.setattr(repeats, "HOT_POSTS", 3)
+    rnd = random.Random(9)
+    noise = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(60))
+    shared = noise()
+    texts = [noise() + shared + noise() for _ in range(40)]
+    gone = brute([t.encode() for t in texts], 30, keep_first)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+        rows = suffixes.remove_repeats(df, 30, keep_first).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    for r in rows:
+        assert bytes(r.kept) == bytes(b for b, g in zip(texts[r.doc_id].encode(), gone[r.doc_id]) if not g)
+
+
 def test_suffix_classes():
     rnd = random.Random(3)
     text = bytes(rnd.choice(b"ab") for _ in range(400))
