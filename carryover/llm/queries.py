@@ -91,7 +91,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), exact=True)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -187,6 +187,19 @@ def test_recall_over_many_lists(spark, monkeypatch, exact):
     assert found.sum() >= (near.sum() if exact else 0.9 * near.sum())
 
 
+def test_query_links_vectors_of_few_directions(spark, tmp_path):
+    """Steps that stay in few of the dimensions go further towards other centres."""
+    rng = np.random.default_rng(7)
+    x = np.repeat(rng.normal(size=(600, 6)), 4, 0)
+    x = (x + rng.normal(size=x.shape) * 0.15) @ rng.normal(size=(6, 64))
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    near = unit @ unit.T >= 0.9
+    np.fill_diagonal(near, False)
+    rows = QUERIES["op7_vectors"](spark, str(tmp_path)).collect()
+    assert [r.n_links for r in sorted(rows, key=lambda r: r.vec_id)] == near.sum(1).tolist()
+
+
 def test_vectors_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, []), (7, [1.0, 0.0]), (8, [2.0, -0.0]), (8, [2.0, 0.0]), (None, [1.0, 0.01]), (9, [1.0]), (10, [0.0, 1e-300])]
