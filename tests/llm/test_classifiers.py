@@ -105,3 +105,14 @@ def test_language_model_counts_every_text(spark, odd):
     texts = [r.text.encode() for r in odd.where("text is not null").collect()]
     whole = sum(toxicity.trigrams([t]) for t in texts)
     assert np.allclose(toxicity.smoothed(whole.astype(float)), toxicity.language_model(odd))
+
+
+def test_readings_outlast_full_tables(monkeypatch):
+    """A text's further readings do not depend on how much was seen before it or in it."""
+    model = np.zeros((32, 32, 32))
+    text = "k1ck h3l1o " + " ".join(f"word{chr(97 + k)}" for k in range(20))
+    whole = toxicity.Restorer(model).evidence(text)
+    assert whole > set(toxicity.Restorer(model).words(text))
+    monkeypatch.setattr(toxicity, "KEPT", 5)
+    small = toxicity.Restorer(model)
+    assert all(small.evidence(text) == whole for _ in range(3))
