@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carryover.llm import decontaminate, quality, recompress, secret_scan, simhash, suffixes, tokens, toxicity, vectors, warc
+from carryover.llm import (
+    compression,
+    conversations,
+    decontaminate,
+    quality,
+    recompress,
+    resample,
+    secret_scan,
+    simhash,
+    suffixes,
+    tokens,
+    toxicity,
+    vectors,
+    warc,
+)
 from carryover.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -107,6 +121,19 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.digests(conversations.mend(conversations.damage(table(spark, sf_dir, "conversations"))))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_bpe": op2_bpe,
@@ -118,6 +145,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_suffixes": op9_suffixes,
     "op10_warc": op10_warc,
+    "op11_conversations": op11_conversations,
+    "op12_resampling": op12_resampling,
+    "op13_compression": op13_compression,
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_secrets": _secrets_oracle()}
