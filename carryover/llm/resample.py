@@ -98,6 +98,47 @@ def xxhash64_of(data: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
         return h ^ (h >> np.uint64(32))
 
 
+def _short(size: np.ndarray) -> np.ndarray:
+    """Sizes as 16-bit numbers, which NumPy sorts by counting; all beyond the vector sizes are one."""
+    return np.minimum(size, VECTOR_BYTES + 1).astype(np.uint16)
+
+
+def _crc_tables() -> tuple[np.ndarray, np.ndarray]:
+    """What one byte and two bytes add to a crc32, as zlib's own values for each."""
+    low = np.array([zlib.crc32(bytes([b])) for b in range(256)], np.uint32)
+    one = low ^ low[0]  # without the constants at both ends
+    two = np.arange(1 << 16, dtype=np.uint32)
+    for _ in range(2):
+        two = (two >> np.uint32(8)) ^ one[two & np.uint32(255)]
+    return one, two
+
+
+_ONE, _TWO = _crc_tables()
+
+
+def crc32_of(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The crc32 of every span, two bytes at a step; spans are taken by falling size, so each step is a slice."""
+    order = np.argsort(VECTOR_BYTES + 1 - _short(size), kind="stable")
+    at, left = start[order], size[order]
+    crc = np.full(len(at), 0xFFFFFFFF, np.uint32)
+    pair = np.ndarray((len(data) - 1,), "<u2", data, strides=(1,))
+    by_size = -np.minimum(left, VECTOR_BYTES + 1)
+    first = int(np.searchsorted(by_size, -VECTOR_BYTES))  # longer ones have no part in the steps
+    for k in range(0, int(left[first]) - 1 if first < len(left) else 0, 2):
+        upto = int(np.searchsorted(by_size, -(k + 2), side="right"))
+        some = crc[first:upto]
+        crc[first:upto] = (some >> np.uint32(16)) ^ _TWO[(some ^ pair[at[first:upto] + k]) & np.uint32(0xFFFF)]
+    odd = np.flatnonzero(left & 1)
+    last = crc[odd]
+    crc[odd] = (last >> np.uint32(8)) ^ _ONE[(last ^ data[at[odd] + left[odd] - 1]) & np.uint32(255)]
+    crc ^= np.uint32(0xFFFFFFFF)
+    view = memoryview(data)
+    crc[:first] = [zlib.crc32(view[a : a + n]) for a, n in zip(at[:first].tolist(), left[:first].tolist())]
+    out = np.empty_like(crc)
+    out[order] = crc
+    return out
+
+
 def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether the bytes from ``a`` equal those from ``b`` over each ``size``, by words of eight bytes."""
     eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
@@ -141,21 +182,21 @@ class Interned:
         dense[used] = np.arange(len(used))
         self.slots = dense[place]
         self.count = np.bincount(self.slots, minlength=len(used))
-        first, ends = start[owner[used]], (start + size)[owner[used]]
-        view, crc = memoryview(data), zlib.crc32
-        self.bucket = np.fromiter((crc(view[a:z]) for a, z in zip(first.tolist(), ends.tolist())), np.int64, len(used)) % BUCKETS
+        self.bucket = crc32_of(data, start[owner[used]], size[owner[used]]).astype(np.int64) % BUCKETS
 
     @staticmethod
     def _keys(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         key = np.empty(len(start), np.uint64)
-        order = np.argsort(size, kind="stable")
-        lengths, first = np.unique(size[order], return_index=True)
-        for length, some in zip(lengths.tolist(), np.split(order, first[1:])):
+        short = _short(size)
+        order = np.argsort(short, kind="stable")
+        groups = np.split(order, np.flatnonzero(np.diff(short[order])) + 1)
+        for some in groups if len(order) else []:
+            length = int(short[some[0]])
             if length <= VECTOR_BYTES:
                 key[some] = xxhash64_of(data, start[some], length)
             else:
                 view = memoryview(data)
-                key[some] = [xxhash.xxh64_intdigest(view[a : a + length]) for a in start[some].tolist()]
+                key[some] = [xxhash.xxh64_intdigest(view[a : a + n]) for a, n in zip(start[some].tolist(), size[some].tolist())]
         return key
 
 
@@ -168,40 +209,49 @@ class Blocks:
 
     def __init__(self, done):
         self.done = done
-        self.parts: list[tuple[int, list[bytes], int]] = []  # text, words, n-grams that start in them
+        self.parts: list[tuple[int, bytes, int, int]] = []  # text, its words, how many, n-grams that start in them
         self.words = self.bytes = 0
 
     def add(self, text: int, words: list[bytes]) -> None:
+        joined = b" ".join(words)
+        if len(words) <= BLOCK_WORDS and len(joined) <= BLOCK_BYTES:
+            if self.words + len(words) > BLOCK_WORDS or self.bytes + len(joined) > BLOCK_BYTES:
+                self.flush()
+            self._part(text, joined, len(words), len(words))
+            return
         at = 0
         while at < len(words):
-            room, upto = BLOCK_BYTES - self.bytes, at
-            while upto < len(words) and upto - at + self.words < BLOCK_WORDS and room > 0:
+            self.flush()
+            room, upto = BLOCK_BYTES, at
+            while upto < len(words) and upto - at < BLOCK_WORDS and room > 0:
                 room -= len(words[upto]) + 1
                 upto += 1
-            self.parts.append((text, words[at : upto + LONGEST - 1], upto - at))
-            self.words += upto - at
-            self.bytes = BLOCK_BYTES - room
+            some = words[at : upto + LONGEST - 1]
+            self._part(text, b" ".join(some), len(some), upto - at)
             at = upto
-            if self.words >= BLOCK_WORDS or self.bytes >= BLOCK_BYTES:
-                self.flush()
+
+    def _part(self, text: int, joined: bytes, words: int, own: int) -> None:
+        if own:
+            self.parts.append((text, joined, words, own))
+            self.words += words
+            self.bytes += len(joined)
 
     def flush(self) -> None:
         if not self.parts:
             return
-        joined = b" ".join(w for _, words, _ in self.parts for w in words)
-        data = np.frombuffer(joined + b" " * 9, np.uint8)
+        data = np.frombuffer(b" ".join(p[1] for p in self.parts) + b" " * 9, np.uint8)
         # the end of word i is the i-th blank; the padding ends the last word
-        ends = np.flatnonzero(data == 32)[: sum(len(words) for _, words, _ in self.parts)]
+        ends = np.flatnonzero(data == 32)[: self.words]
         starts = np.concatenate([[0], ends[:-1] + 1])
         from_, size, owner, at = [], [], [], 0
-        for text, words, own in self.parts:
+        for text, _, words, own in self.parts:
             for n in range(LONGEST):
-                last = min(own, len(words) - n)
+                last = min(own, words - n)
                 if last > 0:
                     from_.append(starts[at : at + last])
                     size.append(ends[at + n : at + n + last] - from_[-1])
                     owner.append((text, last))
-            at += len(words)
+            at += words
         texts = np.repeat(np.array([t for t, _ in owner]), [k for _, k in owner])
         self.done(Interned(data, np.concatenate(from_), np.concatenate(size)), texts)
         self.parts, self.words, self.bytes = [], 0, 0
@@ -323,7 +373,8 @@ def resample(docs: DataFrame, target: DataFrame, share: int = SHARE, least_words
     empty text and comes last among ties.  Columns other than doc_id and text are not
     read.  An empty table gives an empty table.
     """
-    return draw(weigh(docs, gains(docs, target)), share, least_words)
+    # written once: ranges are cut from a sample of the rows, which would weigh every text twice
+    return draw(keep(weigh(docs, gains(docs, target)), "weighed"), share, least_words)
 
 
 def selected(docs: DataFrame, target: DataFrame, share: int = SHARE, least_words: int = LEAST_WORDS) -> DataFrame:

@@ -57,8 +57,9 @@ def got(df):
 def test_hash_equals_the_library():
     rng = np.random.default_rng(1)
     data = rng.integers(0, 256, 4000).astype(np.uint8)
-    for size in [*range(1, 70), 127, 128, 256]:
+    for size in [*range(1, 70), 127, 128, 256, 257, 400]:
         start = rng.integers(0, 3000, 20)
+        assert r.crc32_of(data, start, np.full(20, size)).tolist() == [zlib.crc32(data[a : a + size]) for a in start]
         assert r.xxhash64_of(data, start, size).tolist() == [xxhash.xxh64_intdigest(bytes(data[a : a + size])) for a in start]
 
 
