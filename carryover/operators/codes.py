@@ -15,6 +15,11 @@ def has_category(category: Column) -> Column:
     return F.coalesce(~category.cast("string").isin("", "0"), F.lit(False))
 
 
+def code_categories(code_map: DataFrame) -> DataFrame:
+    """Distinct (code, category) of every code with a category."""
+    return _mapped_codes(code_map).distinct()
+
+
 def _mapped_codes(code_map: DataFrame) -> DataFrame:
     return code_map.where(has_category(F.col("hcc_v24"))).select(
         normalise(F.col("diagnosis_code")).alias("code"),
@@ -84,6 +89,29 @@ def code_set(code_map: DataFrame, pattern: str) -> DataFrame:
     return family_codes(code_map, {"family": pattern}).select("code").distinct()
 
 
+#: A code outside every list that was valid on a day.
+NOT_LISTED = "not listed"
+
+
+def status_on(codes: DataFrame, versions: DataFrame, day: str, out: str) -> DataFrame:
+    """``codes`` (code) with the status each had on ``day``: an as-of join.
+
+    ``versions`` holds (diagnosis_code, hcc_v24, valid_from, valid_to): the list entries
+    of every vintage, each valid from one day to another, both included; an open
+    end is NULL.  Of several entries valid that day the latest counts.  A status
+    is the category, 'no category', or 'not listed'.  Both sides are at most one
+    row per code and entry, whatever the claims.
+    """
+    at = F.lit(day).cast("date")
+    until = F.col("valid_to") if "valid_to" in versions.columns else F.lit(None).cast("date")
+    valid = versions.where((F.col("valid_from") <= at) & (until.isNull() | (until >= at)))
+    category = F.when(has_category(F.col("hcc_v24")), F.col("hcc_v24").cast("string")).otherwise("no category")
+    then = valid.groupBy(normalise(F.col("diagnosis_code")).alias("code")).agg(
+        F.max(F.struct("valid_from", category.alias("status")))["status"].alias(out)
+    )
+    return codes.join(then, "code", "left").withColumn(out, F.coalesce(out, F.lit(NOT_LISTED)))
+
+
 def chronic_codes(chronic_ref: DataFrame) -> DataFrame:
     """Codes the long-term condition reference marks as chronic."""
     return (

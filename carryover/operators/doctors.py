@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from carryover.functions import histogram_rank, integer_rate, normalise, share, wilson
 from carryover.operators.checks import position, two_years
-from carryover.operators.codes import code_set
 from carryover.operators.measure import OFFICE, UNIT, classify_setting, doctor_contact, kept_doctor
 from carryover.params import Params
 
@@ -269,8 +268,9 @@ def picked_visits(
     return visits.join(F.broadcast(picks), "member_id")
 
 
-def histories(visits: DataFrame, dx_line: DataFrame, code_map: DataFrame, p: Params) -> DataFrame:
-    """The visits with every position of theirs, in order of date, for reading.
+def histories(visits: DataFrame, dx_line: DataFrame, codes: DataFrame) -> DataFrame:
+    """The visits with every position of theirs, in order of date, for reading;
+    positions with one of ``codes`` are marked.
 
     Diagnosis rows meet the few picked lines where they are scanned.  Nothing is
     gathered into lists, so a member with any number of visits stays spread out.
@@ -282,7 +282,7 @@ def histories(visits: DataFrame, dx_line: DataFrame, code_map: DataFrame, p: Par
         normalise(F.col("icd9_dx_cd")).alias("code"),
     )
     theirs = coded.join(lines, "claim_line_id", "left_semi")
-    family = code_set(code_map, p.families[p.main_family]).withColumn("in_family", F.lit(True))
+    family = codes.withColumn("in_family", F.lit(True))
     return (
         visits.join(theirs, "claim_line_id", "left")
         .join(family, "code", "left")

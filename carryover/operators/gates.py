@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from carryover.functions import histogram_rank, normalise, share, signed_share
 from carryover.operators.checks import two_years
-from carryover.operators.codes import code_set
+from carryover.operators.codes import NOT_LISTED, status_on
 from carryover.operators.doctors import DOCTOR, PEERS, is_scored, rank_scores, shrunk_score, specialties
 from carryover.operators.measure import UNIT, classify_setting, exclude_sources, measured_claims, scope_claims
 from carryover.params import Params
@@ -113,20 +113,28 @@ def excluded_absent(records: DataFrame, claim_line: DataFrame, p: Params) -> Dat
 
 
 def retired_codes(
-    claim_line: DataFrame, dx_line: DataFrame, code_map: DataFrame, p: Params
+    claim_line: DataFrame,
+    dx_line: DataFrame,
+    code_map: DataFrame,
+    family: DataFrame,
+    p: Params,
+    versions: DataFrame | None = None,
 ) -> DataFrame:
-    """Family codes by year of use, mapped or not.
-
-    A code seen in year one only may be retired; counts per (line, code) come
-    before the join, counts per (code, year) after it.
+    """Family codes by year of use, and whether their status changed in between.
+
+    ``family`` are the distinct codes of the main condition.  A code seen in year
+    one only may be retired, which looks like a recovery: ``versions``, the dated
+    entries of the code lists, tell its status on the first day of year one and
+    on the last day of year two.  Without them both are NULL, as is ``change``.
+    Rows are counted per (line, code) in the scan stage before they meet claims,
+    and statuses are joined to one row per code.
     """
     pattern = p.families[p.main_family]
-    family = code_set(code_map, pattern).withColumn("in_family", F.lit(True))
     coded = dx_line.where(F.col("claim_line_id").isNotNull()).select(
         "claim_line_id", normalise(F.col("icd9_dx_cd")).alias("code")
     )
     used = (
-        coded.join(family, "code", "left")
+        coded.join(family.withColumn("in_family", F.lit(True)), "code", "left")
         .where(F.col("in_family") | F.col("code").rlike(pattern))
         .groupBy("claim_line_id", "code")
         .agg(_rows().alias("n"))
@@ -139,7 +147,14 @@ def retired_codes(
     counts = claims.join(used, "claim_line_id").groupBy("code").agg(
         in_year[0].alias("rows_year_1"), in_year[1].alias("rows_year_2")
     )
+    if versions is None:
+        none = F.lit(None).cast("string")
+        counts = counts.withColumns({"status_before": none, "status_after": none})
+    else:
+        counts = status_on(counts, versions, f"{p.y1}-01-01", "status_before")
+        counts = status_on(counts, versions, f"{p.y2}-12-31", "status_after")
     a, b = F.col("rows_year_1") > 0, F.col("rows_year_2") > 0
+    before, after = F.col("status_before"), F.col("status_after")
     return (
         counts.join(known, "code", "left")
         .select(
@@ -148,6 +163,13 @@ def retired_codes(
             "rows_year_2",
             F.coalesce("known", F.lit(False)).alias("mapped"),
             F.when(a & b, "both years").when(a, "year 1 only").otherwise("year 2 only").alias("use"),
+            "status_before",
+            "status_after",
+            F.when(before == after, "unchanged")
+            .when(after == NOT_LISTED, "retired")
+            .when(before == NOT_LISTED, "new")
+            .when(before != after, "moved")
+            .alias("change"),
         )
         .orderBy("code")
     )
@@ -516,9 +538,9 @@ def attach_limits(gates: DataFrame) -> DataFrame:
 
 
 def batch_submission_shape(
-    claim_line: DataFrame, dx_line: DataFrame, code_map: DataFrame, p: Params
+    claim_line: DataFrame, dx_line: DataFrame, codes: DataFrame, p: Params
 ) -> DataFrame:
-    """Records of the main condition on days without a visit, by month.
+    """Records of the main condition, given by its ``codes``, on days without a visit, by month.
 
     A record is detached when its member has no line in an acceptable setting
     that day.  Batches before deadlines would show as single high months;
@@ -526,7 +548,6 @@ def batch_submission_shape(
     """
     in_scope = scope_claims(two_years(claim_line, p), p)
     visits = measured_claims(claim_line, p).select("member_id", "srv_start_dt").distinct()
-    codes = code_set(code_map, p.families[p.main_family])
     coded = dx_line.where(F.col("claim_line_id").isNotNull()).select(
         "claim_line_id", normalise(F.col("icd9_dx_cd")).alias("code")
     )

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from carryover.functions import mapped, normalise, share
 from carryover.operators.checks import position, two_years
-from carryover.operators.codes import family_codes, has_category
 from carryover.operators.coverage import coverage_months
 from carryover.params import Params
 
@@ -115,19 +114,23 @@ def label_conditions(rows: DataFrame, labels: DataFrame, p: Params) -> DataFrame
 
 
 def labelled(
-    claim_line: DataFrame, dx_line: DataFrame, code_map: DataFrame, p: Params
+    claim_line: DataFrame, dx_line: DataFrame, labels: DataFrame, p: Params
 ) -> DataFrame:
     """Condition records: measured claim lines x the conditions they carry.
 
-    Equal to expanding, labelling and then dropping repeats, in the order that
-    moves least: diagnosis rows meet the code labels in the scan stage, keep one
-    row per (line, condition, category), and only those are joined to claims.
+    ``labels`` are the (condition, category, code) of the families.  Equal to
+    expanding, labelling and then dropping repeats, in the order that moves
+    least: diagnosis rows meet the labels in the scan stage, keep one row per
+    (line, condition, category), and only those are joined to claims.  The scan
+    stage it is where ``labels`` are read from files, whose size tells the
+    planner that they can be broadcast; derived labels have no size before they
+    run, and every diagnosis row would be shuffled by its code.
     """
     coded = dx_line.where(F.col("claim_line_id").isNotNull()).select(
         "claim_line_id", normalise(F.col("icd9_dx_cd")).alias("code")
     )
     hits = (
-        label_conditions(coded, family_codes(code_map, p.families), p)
+        label_conditions(coded, labels, p)
         .select("claim_line_id", "condition", "category")
         .distinct()
     )
@@ -392,18 +395,16 @@ def condition_incidence(
 
 
 def member_burden(
-    claim_line: DataFrame, dx_line: DataFrame, code_map: DataFrame, p: Params
+    claim_line: DataFrame, dx_line: DataFrame, categories: DataFrame, p: Params
 ) -> DataFrame:
-    """Distinct categories per (book, member) in year one: the illness burden."""
-    labels = (
-        code_map.where(has_category(F.col("hcc_v24")))
-        .select(normalise(F.col("diagnosis_code")).alias("code"), F.col("hcc_v24").cast("string").alias("category"))
-        .distinct()
-    )
+    """Distinct categories per (book, member) in year one: the illness burden.
+
+    ``categories`` are the distinct (code, category) of the code map.
+    """
     coded = dx_line.where(F.col("claim_line_id").isNotNull()).select(
         "claim_line_id", normalise(F.col("icd9_dx_cd")).alias("code")
     )
-    hits = label_conditions(coded, labels, p).select("claim_line_id", "category").distinct()
+    hits = label_conditions(coded, categories, p).select("claim_line_id", "category").distinct()
     claims = measured_claims(claim_line, p).where(F.year("srv_start_dt") == p.y1)
     return (
         claims.select("claim_line_id", "book", "member_id")

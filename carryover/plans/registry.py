@@ -28,10 +28,6 @@ def _query(build: Callable[[Tables, Params], DataFrame]) -> Query:
     return run
 
 
-def _diabetes(t: Tables) -> DataFrame:
-    return codes.code_set(t["code_map"], P.families[P.main_family])
-
-
 DISCOVERY = {
     "column_profile": lambda t, p: profile.column_profiles({n: t[n] for n in INPUTS}),
     "table_volume": lambda t, p: profile.table_volume({n: t[n] for n in INPUTS}),
@@ -70,12 +66,6 @@ FOUNDATION = {
     "v6_join_integrity": lambda t, p: checks.join_integrity(t["claim_line"], t["dx_line"], p),
     "v6_mismatch_sample": lambda t, p: checks.mismatch_sample(t["claim_line"], t["dx_line"], p),
     "v7_diabetes_codes": lambda t, p: codes.category_examples(t["code_map"], p.families["diabetes"], raw=True),
-    "v7_diabetes_share": lambda t, p: checks.recorded_share(
-        t["claim_line"], t["dx_line"], t["member_month"], _diabetes(t), p
-    ),
-    "chronic_share": lambda t, p: checks.recorded_share(
-        t["claim_line"], t["dx_line"], t["member_month"], codes.chronic_codes(t["chronic_ref"]), p, "chronic"
-    ),
     "v8_code_shapes": lambda t, p: profile.code_shapes(t["dx_line"], t["code_map"]),
     "v8_match_rate": lambda t, p: checks.match_rate(t["dx_line"], t["code_map"]),
     "v8_unmatched_codes": lambda t, p: checks.unmatched_codes(t["dx_line"], t["code_map"]),
@@ -85,6 +75,12 @@ UNIT_ = ("book", "condition", "member_id")
 
 # Each takes a Study; its stages are lazy and shared within one query.
 MEASURE = {
+    "v7_diabetes_share": lambda s: checks.recorded_share(
+        s.t["claim_line"], s.t["dx_line"], s.t["member_month"], s.diabetes, s.p
+    ),
+    "chronic_share": lambda s: checks.recorded_share(
+        s.t["claim_line"], s.t["dx_line"], s.t["member_month"], s.chronic, s.p, "chronic"
+    ),
     "curate_claims": lambda s: measure.curate_claims(s.t["claim_line"], s.t["member_month"], s.t["provider"], s.p),
     "build_member_month": lambda s: coverage.build_member_month(s.t["member_raw"], s.p),
     "scope_claims": lambda s: measure.scope_claims(s.t["claim_line"], s.p).select(
@@ -98,7 +94,7 @@ MEASURE = {
         measure.expand_positions(
             checks.two_years(s.t["claim_line"], s.p).select("claim_line_id", "member_id"), s.t["dx_line"]
         ),
-        codes.family_codes(s.t["code_map"], s.p.families),
+        s.labels,
         s.p,
     ).select("claim_line_id", "member_id", "position", "code", "condition", "category"),
     "classify_setting": lambda s: measure.classify_setting(s.t["claim_line"], s.p).select(
@@ -149,7 +145,7 @@ GATES = {
     "v10_collapse_unique": lambda s: gates.collapse_unique(s.member_years),
     "v11_setting_agreement": lambda s: gates.setting_agreement(s.t["claim_line"], s.t["provider"], s.p),
     "v12_excluded_absent": lambda s: gates.excluded_absent(s.records, s.t["claim_line"], s.p),
-    "v13_retired_codes": lambda s: gates.retired_codes(s.t["claim_line"], s.t["dx_line"], s.t["code_map"], s.p),
+    "v13_retired_codes": lambda s: s.retired_codes(),
     "v14_two_mention_effect": lambda s: gates.two_mention_effect(s.summary, s.p),
     "v15_gate_removal": lambda s: gates.gate_removal(s.attrition),
     "v16_population_rate": lambda s: gates.population_rate(s.gates, s.p),
@@ -163,7 +159,7 @@ GATES = {
     "v24_sensitivity": lambda s: s.sensitivity(),
     "v26_attach_limits": lambda s: gates.attach_limits(s.gates),
     "batch_submission_shape": lambda s: gates.batch_submission_shape(
-        s.t["claim_line"], s.t["dx_line"], s.t["code_map"], s.p
+        s.t["claim_line"], s.t["dx_line"], s.diabetes, s.p
     ),
     "foundation_verdicts": lambda s: verdict.metric_verdicts(
         s.foundation_metrics(s.foundation()), verdict.FOUNDATION_CHECKS
@@ -192,8 +188,8 @@ REUSING = {
 
 def _study(build: Callable[[Study], DataFrame], *, staged: bool) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        store = StageStore.of(spark) if staged else None
-        return build(Study(fixture_tables(spark, sf_dir), P, store))
+        store = StageStore.of(spark)
+        return build(Study(fixture_tables(spark, sf_dir), P, store if staged else None, store))
 
     return run
 

@@ -21,14 +21,50 @@ from carryover.plans.stages import StageStore
 
 
 class Study:
-    def __init__(self, tables: Mapping[str, DataFrame], p: Params, store: StageStore | None = None):
+    """``store`` keeps the stages; ``lookups`` (by default the same) the small code tables,
+    which are worth writing also where nothing else is: the planner broadcasts a file it
+    knows to be small, and large tables then meet it in their scan stage."""
+
+    def __init__(
+        self,
+        tables: Mapping[str, DataFrame],
+        p: Params,
+        store: StageStore | None = None,
+        lookups: StageStore | None = None,
+    ):
         self.t = tables
         self.p = p
         self._store = store
+        self._lookups = lookups or store
 
     def _stage(self, name: str, df: DataFrame, *by: str) -> DataFrame:
         return df if self._store is None else self._store.keep(name, df, *by)
 
+    def _lookup(self, name: str, df: DataFrame) -> DataFrame:
+        return df if self._lookups is None else self._lookups.keep(name, df.coalesce(1))
+
+    # --- code lookups -----------------------------------------------------
+
+    @cached_property
+    def labels(self) -> DataFrame:
+        """(condition, category, code) of every family."""
+        return self._lookup("labels", codes.family_codes(self.t["code_map"], self.p.families))
+
+    @cached_property
+    def categories(self) -> DataFrame:
+        """Distinct (code, category)."""
+        return self._lookup("categories", codes.code_categories(self.t["code_map"]))
+
+    @cached_property
+    def diabetes(self) -> DataFrame:
+        """Distinct codes of the main condition."""
+        return self._lookup("main_codes", codes.code_set(self.t["code_map"], self.p.families[self.p.main_family]))
+
+    @cached_property
+    def chronic(self) -> DataFrame:
+        """Distinct codes of the long-term condition reference."""
+        return self._lookup("chronic_codes", codes.chronic_codes(self.t["chronic_ref"]))
+
     # --- stages -----------------------------------------------------------
 
     @cached_property
@@ -36,7 +72,7 @@ class Study:
         t = self.t
         return self._stage(
             "records",
-            measure.labelled(t["claim_line"], t["dx_line"], t["code_map"], self.p),
+            measure.labelled(t["claim_line"], t["dx_line"], self.labels, self.p),
             "condition",
             "yr",
         )
@@ -96,24 +132,26 @@ class Study:
     @cached_property
     def burden(self) -> DataFrame:
         t = self.t
-        return measure.member_burden(t["claim_line"], t["dx_line"], t["code_map"], self.p)
-
-    @cached_property
-    def diabetes(self) -> DataFrame:
-        return codes.code_set(self.t["code_map"], self.p.families[self.p.main_family])
+        return measure.member_burden(t["claim_line"], t["dx_line"], self.categories, self.p)
 
     # --- figures that need several stages ------------------------------------
 
     def sensitivity(self) -> DataFrame:
         return gates.sensitivity(self.all_panels, self.t["provider"], self.p)
 
+    def retired_codes(self) -> DataFrame:
+        t = self.t
+        return gates.retired_codes(
+            t["claim_line"], t["dx_line"], t["code_map"], self.diabetes, self.p, t.get("code_version")
+        )
+
     def histories(self, ends: tuple[str, ...], members: int) -> DataFrame:
         t, p = self.t, self.p
         visits = doctors.picked_visits(
             self.panel, self.scores, t["claim_line"], p, ends=ends, members=members
         )
         visits = self._stage("visits_" + "_".join(ends), visits)
-        return doctors.histories(visits, t["dx_line"], t["code_map"], p)
+        return doctors.histories(visits, t["dx_line"], self.diabetes)
 
     # --- results, by gate -----------------------------------------------------
 
@@ -151,11 +189,23 @@ class Study:
             "v6_mismatch_sample": lambda: checks.mismatch_sample(claim, dx, p),
             "v7_diabetes_codes": lambda: codes.category_examples(t["code_map"], pattern, raw=True),
             "v7_diabetes_share": lambda: checks.recorded_share(claim, dx, months, self.diabetes, p),
+            **self._chronic_arm(),
             "v8_code_shapes": lambda: profile.code_shapes(dx, t["code_map"]),
             "v8_match_rate": lambda: checks.match_rate(dx, t["code_map"]),
             "v8_unmatched_codes": lambda: checks.unmatched_codes(dx, t["code_map"]),
         })
 
+    def _chronic_arm(self) -> dict:
+        """V7 once more over every long-term condition, where its reference is given."""
+        if self.t.get("chronic_ref") is None:
+            return {}
+        t = self.t
+        return {
+            "chronic_share": lambda: checks.recorded_share(
+                t["claim_line"], t["dx_line"], t["member_month"], self.chronic, self.p, "chronic"
+            )
+        }
+
     def build(self) -> Lazy:
         """Gate 2; without exclusion values V12 cannot be computed."""
         t, p = self.t, self.p
@@ -163,12 +213,12 @@ class Study:
             "v9_stage_reconcile": lambda: gates.stage_reconcile(t["claim_line"], t["dx_line"], self.records, self.gates, p),
             "v10_collapse_unique": lambda: gates.collapse_unique(self.member_years),
             "v11_setting_agreement": lambda: gates.setting_agreement(t["claim_line"], t["provider"], p),
-            "v13_retired_codes": lambda: gates.retired_codes(t["claim_line"], t["dx_line"], t["code_map"], p),
+            "v13_retired_codes": lambda: self.retired_codes(),
             "v14_two_mention_effect": lambda: gates.two_mention_effect(self.summary, p),
             "v15_gate_removal": lambda: gates.gate_removal(self.attrition),
             "hospital_sustained": lambda: measure.hospital_sustained(self.member_years),
             "code_moves": lambda: measure.code_moves(self.records, self.outcome, p),
-            "batch_submission_shape": lambda: gates.batch_submission_shape(t["claim_line"], t["dx_line"], t["code_map"], p),
+            "batch_submission_shape": lambda: gates.batch_submission_shape(t["claim_line"], t["dx_line"], self.diabetes, p),
         }
         if p.excluded_sources:
             out["v12_excluded_absent"] = lambda: gates.excluded_absent(self.records, t["claim_line"], p)

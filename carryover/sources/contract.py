@@ -107,6 +107,12 @@ CONTRACTS: dict[str, tuple[Field, ...]] = {
         icd_description    string  measure
         chronic_indicator  string  code
     """),
+    "code_version": _fields("""
+        diagnosis_code  string    code
+        hcc_v24         category  code
+        valid_from      date      day
+        valid_to        date      day?
+    """),
     "member_death": _fields("""
         member_id  id    key
         death_dt   date  day

@@ -91,6 +91,16 @@ SELECT c.claim_line_id, c.member_id, 30 + c.member_id % 60 AS age_nbr,
 SELECT icd_code, 'condition ' || icd_code AS icd_description,
  CASE WHEN substr(icd_code, 1, 1) IN ('E', 'I', 'J') THEN '1' ELSE '0' END AS chronic_indicator
  FROM (SELECT DISTINCT diagnosis_code AS icd_code FROM {code_map}) z""",
+    # dated entries of the code lists: of the codes ending in .2 to .5 one family each is retired,
+    # moved to another category or new in the autumn between the years
+    "code_version": """
+SELECT m.diagnosis_code, CASE WHEN v.n = 2 AND substr(m.diagnosis_code, 2, 3) = '083' THEN '85' ELSE m.hcc_v24 END AS hcc_v24,
+ CASE WHEN v.n = 1 THEN CAST('1990-01-01' AS DATE) ELSE CAST('1999-10-01' AS DATE) END AS valid_from,
+ CASE WHEN v.n = 1 THEN CAST('1999-09-30' AS DATE) ELSE NULL END AS valid_to
+ FROM (SELECT diagnosis_code, min(hcc_v24) AS hcc_v24 FROM {code_map} GROUP BY diagnosis_code) m
+ CROSS JOIN (VALUES (1), (2)) AS v(n)
+ WHERE NOT (v.n = 2 AND substr(m.diagnosis_code, 2, 3) IN ('095', '104'))
+   AND NOT (v.n = 1 AND substr(m.diagnosis_code, 2, 3) = '122')""",
     "member_death": """
 SELECT c_custkey AS member_id, CAST('2000-03-15' AS DATE) AS death_dt FROM {customer} WHERE c_custkey % 37 = 0""",
     "member_raw": """

@@ -105,6 +105,9 @@ SELECT p.book, p.condition, p.provider_id, coalesce(s.specialty, '(none)') AS sp
  least(coalesce(b.burden, 0), 5) AS burden_band, count(*) AS c, count(*) FILTER (carried_same) AS k
 FROM pan p LEFT JOIN spec s USING (provider_id) LEFT JOIN age_of a USING (member_id)
  LEFT JOIN burden_of b USING (book, member_id) WHERE judged GROUP BY ALL""")
+part("listed", f"""
+SELECT {norm('diagnosis_code')} AS code, CASE WHEN hcc_v24 IN ('', '0') OR hcc_v24 IS NULL THEN 'no category' ELSE hcc_v24 END AS status,
+ valid_from, coalesce(valid_to, DATE '9999-12-31') AS valid_to FROM code_version""")
 part("family_main", f"SELECT DISTINCT code FROM fam_code WHERE condition = '{MAIN}'")
 
 
@@ -331,11 +334,18 @@ SELECT count(DISTINCT claim_line_id) AS measured_lines, count(DISTINCT claim_lin
  (SELECT claim_line_id FROM claim_line WHERE med_cost_ctg_cd IN ({EXCLUDED}))) AS excluded_lines FROM rec"""),
     "v13_retired_codes": statement(f"""
 SELECT *, CASE WHEN rows_year_1 > 0 AND rows_year_2 > 0 THEN 'both years' WHEN rows_year_1 > 0 THEN 'year 1 only'
- ELSE 'year 2 only' END AS "use"
+ ELSE 'year 2 only' END AS "use",
+ CASE WHEN status_before = status_after THEN 'unchanged' WHEN status_after = 'not listed' THEN 'retired'
+ WHEN status_before = 'not listed' THEN 'new' ELSE 'moved' END AS change
+FROM (SELECT u.*, coalesce(a.status, 'not listed') AS status_before, coalesce(b.status, 'not listed') AS status_after
 FROM (SELECT d.code, count(*) FILTER (year(s.srv_start_dt) = {Y1}) AS rows_year_1,
  count(*) FILTER (year(s.srv_start_dt) = {Y2}) AS rows_year_2, d.code IN (SELECT code FROM known_code) AS mapped
  FROM scoped_pair s JOIN dx_code d USING (claim_line_id)
- WHERE regexp_matches(d.code, '{P.families[MAIN]}') OR d.code IN (SELECT code FROM family_main) GROUP BY d.code)"""),
+ WHERE regexp_matches(d.code, '{P.families[MAIN]}') OR d.code IN (SELECT code FROM family_main) GROUP BY d.code) u
+ LEFT JOIN (SELECT code, arg_max(status, valid_from) AS status FROM listed
+  WHERE DATE '{Y1}-01-01' BETWEEN valid_from AND valid_to GROUP BY code) a ON a.code = u.code
+ LEFT JOIN (SELECT code, arg_max(status, valid_from) AS status FROM listed
+  WHERE DATE '{Y2}-12-31' BETWEEN valid_from AND valid_to GROUP BY code) b ON b.code = u.code)"""),
     "v14_two_mention_effect": statement(f"""
 SELECT book, condition, mention_group, count(*) AS members, count(*) FILTER (carried_any) AS carried_any,
  count(*) FILTER (carried_office) AS carried_office, {share('count(*) FILTER (carried_any)', 'count(*)')} AS persistence,

@@ -54,7 +54,7 @@ def test_nothing_runs_while_a_lookup_query_is_built(spark, domain):
     builds = [
         lambda: checks.recorded_share(c, d, domain["member_month"], small, p),
         lambda: checks.disagreeing_pairs(c, d),
-        lambda: measure.labelled(c, d, domain["code_map"], p),
+        lambda: measure.labelled(c, d, codes.family_codes(domain["code_map"], p.families), p),
         lambda: profile.dx_probe(domain["curated_claims"], d, p),
     ]
     tracker = spark.sparkContext.statusTracker()
@@ -72,6 +72,25 @@ def test_nothing_runs_while_a_lookup_query_is_built(spark, domain):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_diagnosis_rows_meet_written_labels_in_their_scan_stage(spark, domain):
+    """Known to be small before anything runs: no diagnosis row is shuffled by its code."""
+    study = Study(domain, fixture_params(), lookups=StageStore.of(spark))
+    every = measure.expand_positions(checks.two_years(domain["claim_line"], study.p), domain["dx_line"])
+    for df in (
+        study.records,
+        study.burden,
+        study.retired_codes(),
+        measure.label_conditions(every, study.labels, study.p),
+        checks.recorded_share(domain["claim_line"], domain["dx_line"], domain["member_month"], study.diabetes, study.p),
+        checks.recorded_share(domain["claim_line"], domain["dx_line"], domain["member_month"], study.chronic, study.p, "chronic"),
+    ):
+        text = plan(df)
+        assert "BroadcastHashJoin [code" in text
+        # what is dealt out by code afterwards has been counted per code
+        assert not re.search(r"hashpartitioning\(code#\d+, \d+\).*\n[^\n]*Project[^\n]*icd9_dx_cd", text)
+        assert "SortMergeJoin [code" not in text.split("HashAggregate")[-1]
+
+
 def test_histogram_rank_is_rank(spark):
     df = spark.range(500).select(
         F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("g"), (F.col("id") * 7 % 23).alias("s"), "id"
@@ -195,7 +214,7 @@ def test_skewed_claims_are_split_at_run_time(spark):
         d = spark.range(60_000).select(
             F.col("id").alias("claim_line_id"), F.lit("01").alias("sequence_id"), F.lit("E11.9").alias("icd9_dx_cd")
         )
-        df = measure.member_year(measure.labelled(c, d, code_map(spark), params()))
+        df = measure.member_year(measure.labelled(c, d, codes.family_codes(code_map(spark), params().families), params()))
         assert df.count() == 999
         df.collect()
         assert "skew=true" in plan(df)

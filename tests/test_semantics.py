@@ -12,6 +12,26 @@ from carryover.operators import checks, codes, coverage, measure, profile
 from tests.small import claims, code_map, dx, full_coverage, line, months, params, position
 
 
+def test_status_of_codes_on_a_day(spark):
+    """As-of: the latest entry valid that day, both ends included; dots and case do not matter."""
+    entries = [
+        ("E119", "19", date(2020, 10, 1), None), ("e11.9", "18", date(2023, 10, 1), date(2024, 9, 30)), ("E100", None, date(2020, 1, 1), date(2023, 1, 1)),
+        ("E101", "17", date(2023, 1, 1), date(2023, 1, 1)), ("E102", "0", date(2024, 12, 31), None),
+    ]
+    versions = spark.createDataFrame(entries, "diagnosis_code string, hcc_v24 string, valid_from date, valid_to date")
+    used = spark.createDataFrame([(c,) for c in ("E119", "E100", "E101", "E102", "E999", None)], "code string")
+
+    def on(day, table=versions):
+        return {r.code: r.s for r in codes.status_on(used, table, day, "s").collect()}
+
+    none = "not listed"
+    assert on("2023-01-01") == {"E119": "19", "E100": "no category", "E101": "17", "E102": none, "E999": none, None: none}
+    assert on("2024-09-30") == {"E119": "18", "E100": none, "E101": none, "E102": none, "E999": none, None: none}
+    assert on("2024-12-31")["E119"] == "19" and on("2024-12-31")["E102"] == "no category"
+    assert on("2024-01-01", versions.drop("valid_to"))["E101"] == "17"
+    assert on("2024-01-01", versions.limit(0))["E119"] == none
+
+
 def rows(df):
     return [tuple(r) for r in df.collect()]
 
