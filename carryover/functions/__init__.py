@@ -1,5 +1,6 @@
 from carryover.functions.columns import (
     blank,
+    byar,
     in_years,
     integer_rate,
     mapped,
@@ -13,6 +14,7 @@ from carryover.functions.shares import histogram_rank, share_of_total
 
 __all__ = [
     "blank",
+    "byar",
     "histogram_rank",
     "in_years",
     "integer_rate",

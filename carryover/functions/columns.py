@@ -65,6 +65,19 @@ def mapped(value: Column, names: Mapping[str, str], default: str | None = None)
     return out
 
 
+def byar(observed: Column, expected_units: Column, scale: int, side: str, digits: int = 4) -> Column:
+    """One end of Byar's 95 % interval of observed over expected.
+
+    ``expected_units`` is the expectation in whole units of ``1 / scale``; the
+    interval is that of a count, and an expectation of zero has none.
+    """
+    n = observed.cast("double") + (0.0 if side == "low" else 1.0)
+    spread = F.lit(Z95) / (F.sqrt(n) * 3.0)
+    root = F.lit(1.0) - F.lit(1.0) / (n * 9.0) + (-spread if side == "low" else spread)
+    end = F.when(n > 0, n * root * root * root).otherwise(0.0) / (expected_units.cast("double") / F.lit(float(scale)))
+    return F.when(expected_units > 0, F.round(end, digits))
+
+
 def wilson(n: Column, d: Column, side: str, digits: int = 4) -> Column:
     """One end of the 95 % Wilson interval of ``n`` successes in ``d`` trials."""
     n, d = n.cast("double"), d.cast("double")

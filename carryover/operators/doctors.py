@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carryover.functions import histogram_rank, integer_rate, normalise, share, wilson
+from carryover.functions import byar, histogram_rank, integer_rate, normalise, share, wilson
 from carryover.operators.checks import position, two_years
 from carryover.operators.measure import OFFICE, UNIT, classify_setting, doctor_contact, kept_doctor
 from carryover.params import Params
@@ -145,88 +145,151 @@ def shrink_scores(scores: DataFrame, p: Params) -> DataFrame:
     )
 
 
-def rank_scores(scores: DataFrame, p: Params) -> DataFrame:
-    """Rank scoreable doctors in their peer group, lowest score first, and flag
-    the bottom share of each group."""
-    shrunk = shrink_scores(scores, p)
-    size = shrunk.groupBy(*PEERS).agg(F.count(F.lit(1)).alias("peers"))
-    ranked = histogram_rank(shrunk, PEERS, "shrunk_units", "rank").join(size, PEERS)
-    return ranked.withColumn(
-        "flagged", F.col("rank") <= F.col("peers") * F.lit(float(p.bottom_share))
-    )
-
-
-def ranking(scores: DataFrame, p: Params) -> DataFrame:
-    """The ranked list as reported."""
-    return (
-        rank_scores(scores, p)
-        .select(*DOCTOR, "specialty", "panel", "score_same", "shrunk_score", "rank", "peers", "flagged")
-        .orderBy("book", "condition", "specialty", "rank", "provider_id")
-    )
+# --- comparing like with like ---------------------------------------------------
 
 
-def peer_compare(
+def standardised(
     panel: DataFrame, provider: DataFrame, age: DataFrame, burden: DataFrame, p: Params
 ) -> DataFrame:
-    """Observed against expected persistence, by indirect standardisation.
+    """Observed and expected persistence per doctor and mention rule, by indirect
+    standardisation.
 
     Every stratum (specialty, ten-year age band, number of categories up to
     five) has one rate; a doctor's expectation is the sum of the rates of the
     doctor's members.  Rates are whole millionths, so the sum is exact.
+    ``panel`` holds every unit with at least the smallest number of mentions; one
+    pass counts it under every rule, and a rule with k mentions has the columns
+    confirmed_k, panel_k, carried_k and units_k (expected millionths).
     """
-    members = (
-        panel.where("judged")
-        .join(age, "member_id", "left")
+    rules = sorted({p.mentions, *p.sensitivity_mentions})
+    judged = F.col("judged")
+
+    def per_rule(make) -> list[Column]:
+        return [c.alias(f"{name}_{k}") for k in rules for name, c in make(k).items()]
+
+    def counted(k: int) -> dict[str, Column]:
+        enough = F.col("mentions") >= k
+        return {
+            "confirmed": F.count_if(enough),
+            "panel": F.count_if(enough & judged),
+            "carried": F.count_if(enough & judged & F.col("carried_same")),
+        }
+
+    cells = (
+        panel.join(age, "member_id", "left")
         .join(burden, ["book", "member_id"], "left")
-        .select(
+        .groupBy(
             *DOCTOR,
-            "carried_same",
             F.coalesce(F.call_function("div", F.col("age"), F.lit(10)), F.lit(-1)).alias("age_band"),
             F.least(F.coalesce("burden", F.lit(0)), F.lit(5)).alias("burden_band"),
         )
-        .groupBy(*DOCTOR, "age_band", "burden_band")
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if("carried_same").alias("carried"))
+        .agg(*per_rule(counted))
     )
-    cells = _with_specialty(members, provider, p)
+    cells = _with_specialty(cells, provider, p)
     stratum = [*PEERS, "age_band", "burden_band"]
     rates = cells.groupBy(*stratum).agg(
-        integer_rate(F.sum("carried"), F.sum("n"), RATE_SCALE).alias("rate")
+        *per_rule(lambda k: {"rate": integer_rate(F.sum(f"carried_{k}"), F.sum(f"panel_{k}"), RATE_SCALE)})
     )
-    expected = F.sum(F.col("n") * F.col("rate"))
+
+    def summed(k: int) -> dict[str, Column]:
+        own = {c: F.sum(f"{c}_{k}") for c in ("confirmed", "panel", "carried")}
+        return own | {"units": F.coalesce(F.sum(F.col(f"panel_{k}") * F.col(f"rate_{k}")), F.lit(0))}
+
+    return cells.join(rates, stratum).groupBy(*DOCTOR, "specialty").agg(*per_rule(summed))
+
+
+def under_rule(doctors: DataFrame, mentions: int) -> DataFrame:
+    """The doctors of :func:`standardised` under one mention rule."""
+    names = {"confirmed": "panel_confirmed", "panel": "panel", "carried": "carried_same", "units": "units"}
+    return doctors.select(
+        *DOCTOR, "specialty", *[F.col(f"{c}_{mentions}").alias(name) for c, name in names.items()]
+    ).where("panel_confirmed > 0")
+
+
+def peer_compare(doctors: DataFrame) -> DataFrame:
+    """Observed against expected persistence with the 95 % interval of their ratio."""
+    units, seen = F.col("units"), F.col("carried_same")
     return (
-        cells.join(rates, stratum)
-        .groupBy(*DOCTOR, "specialty")
-        .agg(F.sum("n").alias("panel"), F.sum("carried").alias("observed"), expected.alias("units"))
+        doctors.where("panel > 0")
         .select(
             *DOCTOR,
             "specialty",
             "panel",
-            "observed",
-            share(F.col("units"), F.lit(RATE_SCALE), 2).alias("expected"),
-            share(F.col("observed") * F.lit(RATE_SCALE), F.col("units")).alias("observed_to_expected"),
+            seen.alias("observed"),
+            share(units, F.lit(RATE_SCALE), 2).alias("expected"),
+            share(seen * F.lit(RATE_SCALE), units).alias("observed_to_expected"),
+            byar(seen, units, RATE_SCALE, "low").alias("ratio_low"),
+            byar(seen, units, RATE_SCALE, "high").alias("ratio_high"),
         )
         .orderBy(*DOCTOR)
     )
 
 
+def shrunk_ratio(observed: Column, units: Column, peer_n: Column, peer_d: Column, weight: int) -> Column:
+    """Observed over expected in whole ten-thousandths, both raised by ``weight``
+    patients of the specialty who fare as expected."""
+    more = F.lit(weight) * integer_rate(peer_n, peer_d, RATE_SCALE)
+    return integer_rate(observed * F.lit(RATE_SCALE) + more, units + more, SCORE_SCALE)
+
+
+def rank_scores(doctors: DataFrame, p: Params) -> DataFrame:
+    """Rank scoreable doctors in their peer group and flag the bottom share of each.
+
+    The rank follows the ratio of observed to expected, so that a doctor is
+    compared with what peers reach on patients of the same age and illness
+    burden; the ratio is pulled toward one, the more so the smaller the panel.
+    """
+    peer = doctors.groupBy(*PEERS).agg(F.sum("carried_same").alias("peer_carried"), F.sum("panel").alias("peer_panel"))
+    ratio = shrunk_ratio(
+        F.col("carried_same"), F.col("units"), F.col("peer_carried"), F.col("peer_panel"), p.shrink_weight
+    )
+    scored = (
+        doctors.where(is_scored(p))
+        .join(peer, PEERS)
+        .withColumn("ratio_units", ratio)
+        .withColumn("score_same", share(F.col("carried_same"), F.col("panel")))
+        .withColumn("adjusted_ratio", F.col("ratio_units") / F.lit(float(SCORE_SCALE)))
+    )
+    size = scored.groupBy(*PEERS).agg(F.count(F.lit(1)).alias("peers"))
+    ranked = histogram_rank(scored, PEERS, "ratio_units", "rank").join(size, PEERS)
+    return ranked.withColumn(
+        "flagged", F.coalesce(F.col("rank") <= F.col("peers") * F.lit(float(p.bottom_share)), F.lit(False))
+    )
+
+
+def ranking(ranked: DataFrame) -> DataFrame:
+    """The ranked list as reported."""
+    return ranked.select(
+        *DOCTOR,
+        "specialty",
+        "panel",
+        "score_same",
+        share(F.col("units"), F.lit(RATE_SCALE), 2).alias("expected"),
+        "adjusted_ratio",
+        "rank",
+        "peers",
+        "flagged",
+    ).orderBy("book", "condition", "specialty", "rank", "provider_id")
+
+
 # --- reading cases -----------------------------------------------------------
 
 
-def _ends(scores: DataFrame, p: Params, ends: tuple[str, ...]) -> DataFrame:
+def _ends(ranked: DataFrame, p: Params, ends: tuple[str, ...]) -> DataFrame:
     """The ``extreme_doctors`` doctors at each end of the main condition, in each book.
 
     The books are a parameter, so there is one bounded top-k for each.
     """
-    ranked = shrink_scores(scores, p).where(F.col("condition") == p.main_family)
+    main = ranked.where(F.col("condition") == p.main_family)
     out = None
     for end in ends:
         for book in sorted(p.books.values()):
-            order = F.asc("shrunk_units") if end == "lowest" else F.desc("shrunk_units")
+            order = F.asc("ratio_units") if end == "lowest" else F.desc("ratio_units")
             one = (
-                ranked.where(F.col("book") == book)
+                main.where(F.col("book") == book)
                 .orderBy(order, "provider_id")
                 .limit(p.extreme_doctors)
-                .select(*DOCTOR, F.lit(end).alias("doctor_end"), "shrunk_score")
+                .select(*DOCTOR, F.lit(end).alias("doctor_end"), "adjusted_ratio")
             )
             out = one if out is None else out.unionByName(one)
     return out
@@ -234,7 +297,7 @@ def _ends(scores: DataFrame, p: Params, ends: tuple[str, ...]) -> DataFrame:
 
 def picked_visits(
     panel: DataFrame,
-    scores: DataFrame,
+    ranked: DataFrame,
     claim_line: DataFrame,
     p: Params,
     *,
@@ -245,7 +308,7 @@ def picked_visits(
 
     The picks are bounded by ``members`` per end and are the only broadcast.
     """
-    chosen = panel.where("judged").join(F.broadcast(_ends(scores, p, ends)), DOCTOR)
+    chosen = panel.where("judged").join(F.broadcast(_ends(ranked, p, ends)), DOCTOR)
     picks = None
     for end in ends:
         one = (
@@ -256,7 +319,7 @@ def picked_visits(
                 "doctor_end",
                 "book",
                 F.col("provider_id").alias("scored_provider_id"),
-                "shrunk_score",
+                "adjusted_ratio",
                 "member_id",
                 "carried_same",
             )
@@ -290,7 +353,7 @@ def histories(visits: DataFrame, dx_line: DataFrame, codes: DataFrame) -> DataFr
             "doctor_end",
             "book",
             "scored_provider_id",
-            "shrunk_score",
+            "adjusted_ratio",
             "member_id",
             "carried_same",
             "srv_start_dt",
@@ -305,13 +368,20 @@ def histories(visits: DataFrame, dx_line: DataFrame, codes: DataFrame) -> DataFr
     )
 
 
-def flag_survival(scores: DataFrame, p: Params) -> DataFrame:
-    """Flagged doctors with their interval: a flag survives when the panel is
-    large enough and the whole 95 % interval lies below the peer rate."""
-    low, high = (wilson(F.col("carried_same"), F.col("panel"), s) for s in ("low", "high"))
+def flag_survival(ranked: DataFrame, p: Params) -> DataFrame:
+    """Flagged doctors with what a challenge would ask for.
+
+    A flag survives when enough patients were judged, the 95 % interval of the
+    doctor's own rate lies below the peer rate, and that of observed over
+    expected below one: neither chance nor the patients explain it.
+    """
+    n, d, units = F.col("carried_same"), F.col("panel"), F.col("units")
+    low, high = (wilson(n, d, s) for s in ("low", "high"))
+    ratio_low, ratio_high = (byar(n, units, RATE_SCALE, s) for s in ("low", "high"))
+    peer_rate = share(F.col("peer_carried"), F.col("peer_panel"))
+    enough = d >= p.min_panel
     return (
-        rank_scores(scores, p)
-        .where("flagged")
+        ranked.where("flagged")
         .select(
             *DOCTOR,
             "specialty",
@@ -319,8 +389,33 @@ def flag_survival(scores: DataFrame, p: Params) -> DataFrame:
             "score_same",
             low.alias("interval_low"),
             high.alias("interval_high"),
-            "peer_rate",
-            (high < F.col("peer_rate")).alias("survives"),
+            peer_rate.alias("peer_rate"),
+            "adjusted_ratio",
+            ratio_low.alias("ratio_low"),
+            ratio_high.alias("ratio_high"),
+            enough.alias("enough_patients"),
+            F.coalesce(enough & (high < peer_rate) & (ratio_high < 1.0), F.lit(False)).alias("survives"),
+        )
+        .orderBy(*DOCTOR)
+    )
+
+
+def final_list(survival: DataFrame) -> DataFrame:
+    """The list that may leave the analysis: flagged doctors without those whose flag does not survive."""
+    return (
+        survival.where("survives")
+        .select(
+            *DOCTOR, "specialty", "panel", "score_same", "interval_high", "peer_rate", "adjusted_ratio", "ratio_high"
         )
         .orderBy(*DOCTOR)
     )
+
+
+def unsupported(listed: DataFrame, survival: DataFrame) -> DataFrame:
+    """How many doctors of a list have no surviving flag, and how many surviving flags it leaves out."""
+    theirs = survival.where("survives").select(*DOCTOR, F.lit(True).alias("supported"))
+    both = listed.select(*DOCTOR, F.lit(True).alias("listed")).join(theirs, DOCTOR, "full")
+    return both.agg(
+        F.count_if(F.col("supported").isNull()).alias("unsupported"),
+        F.count_if(F.col("listed").isNull()).alias("left_out"),
+    )

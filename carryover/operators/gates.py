@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from carryover.functions import histogram_rank, normalise, share, signed_share
 from carryover.operators.checks import two_years
 from carryover.operators.codes import NOT_LISTED, status_on
-from carryover.operators.doctors import DOCTOR, PEERS, is_scored, rank_scores, shrunk_score, specialties
+from carryover.operators.doctors import DOCTOR, PEERS, is_scored, shrunk_ratio, specialties
 from carryover.operators.measure import UNIT, classify_setting, exclude_sources, measured_claims, scope_claims
 from carryover.params import Params
 
@@ -343,7 +343,7 @@ def books_separate(records: DataFrame, gates: DataFrame, p: Params) -> DataFrame
 
 
 def covariate_balance(
-    panel: DataFrame, scores: DataFrame, age: DataFrame, burden: DataFrame, p: Params
+    panel: DataFrame, ranked: DataFrame, age: DataFrame, burden: DataFrame
 ) -> DataFrame:
     """Patients of flagged against unflagged doctors: means and standardised
     mean difference of age, burden, claim lines and covered months.
@@ -351,7 +351,7 @@ def covariate_balance(
     Sums of whole numbers and of their squares are exact in any order; the
     statistics are taken from them once.
     """
-    flags = rank_scores(scores, p).select(*DOCTOR, "flagged")
+    flags = ranked.select(*DOCTOR, "flagged")
     rows = (
         panel.join(flags, DOCTOR)
         .join(age, "member_id", "left")
@@ -398,51 +398,29 @@ def covariate_balance(
     ).orderBy("book", "condition", "covariate")
 
 
-def sensitivity(panel: DataFrame, provider: DataFrame, p: Params) -> DataFrame:
+def sensitivity(doctors: DataFrame, p: Params) -> DataFrame:
     """How far the bottom group depends on the choices made.
 
-    ``panel`` holds every unit with at least the smallest number of mentions.
-    One pass counts each doctor under every mention rule; the variants are then
-    a handful of columns of the doctor table.
+    ``doctors`` are counted and standardised under every mention rule; the
+    variants are a handful of columns of that table, ranked on the adjusted ratio.
     """
-    judged = F.col("judged")
-    counts = []
-    for k in p.sensitivity_mentions:
-        enough = F.col("mentions") >= k
-        counts += [
-            F.count_if(enough).alias(f"confirmed_{k}"),
-            F.count_if(enough & judged).alias(f"panel_{k}"),
-            F.count_if(enough & judged & F.col("carried_same")).alias(f"carried_{k}"),
-        ]
-    doctors = (
-        panel.groupBy(*DOCTOR)
-        .agg(*counts)
-        .join(specialties(provider, p), "provider_id", "left")
-        .withColumn("specialty", F.coalesce("specialty", F.lit("(none)")))
-    )
     variants = [(k, m) for k in p.sensitivity_mentions for m in p.sensitivity_panels]
-    lines = ", ".join(f"{k}, {m}, confirmed_{k}, panel_{k}, carried_{k}" for k, m in variants)
+    lines = ", ".join(f"{k}, {m}, confirmed_{k}, panel_{k}, carried_{k}, units_{k}" for k, m in variants)
     long = doctors.select(
         *DOCTOR,
         "specialty",
-        F.expr(f"stack({len(variants)}, {lines}) AS (k, min_panel, panel_confirmed, panel, carried_same)"),
+        F.expr(f"stack({len(variants)}, {lines}) AS (k, min_panel, panel_confirmed, panel, carried_same, units)"),
     )
     group = [*PEERS, "k", "min_panel"]
     peer = long.groupBy(*group).agg(
         F.sum("carried_same").alias("peer_carried"), F.sum("panel").alias("peer_panel")
     )
-    scored = (
-        long.where(is_scored(p, F.col("min_panel")))
-        .join(peer, group)
-        .withColumn(
-            "units",
-            shrunk_score(
-                F.col("carried_same"), F.col("panel"), F.col("peer_carried"), F.col("peer_panel"), p.shrink_weight
-            ),
-        )
+    ratio = shrunk_ratio(
+        F.col("carried_same"), F.col("units"), F.col("peer_carried"), F.col("peer_panel"), p.shrink_weight
     )
+    scored = long.where(is_scored(p, F.col("min_panel"))).join(peer, group).withColumn("ratio_units", ratio)
     size = scored.groupBy(*group).agg(_rows().alias("peers"))
-    ranked = histogram_rank(scored, group, "units", "rank").join(size, group)
+    ranked = histogram_rank(scored, group, "ratio_units", "rank").join(size, group)
     low = F.col("rank") <= F.col("peers") * F.lit(float(p.bottom_share))
 
     def is_variant(k: int, m: int) -> Column:

