@@ -100,8 +100,8 @@ def _first_positions(claim_line: DataFrame, dx_line: DataFrame) -> DataFrame:
     )
 
 
-def first_position_agreement(claim_line: DataFrame, dx_line: DataFrame) -> DataFrame:
-    """Agreement of position 1 with the top-line code over all row pairs.
+def agreement_counts(claim_line: DataFrame, dx_line: DataFrame) -> DataFrame:
+    """One row of counts for :func:`first_position_agreement`.
 
     A line with d position-1 rows and t claim rows stands for d * t compared
     rows; these products are summed instead of being formed.
@@ -121,16 +121,24 @@ def first_position_agreement(claim_line: DataFrame, dx_line: DataFrame) -> DataF
     )
     pairs = F.col("d") * F.col("t")
     pairs_known = F.col("d_known") * F.col("t_known")
-    counts = per_line.agg(
+    return per_line.agg(
         F.coalesce(F.sum(pairs), F.lit(0)).alias("compared_rows"),
         _rows().alias("compared_claim_lines"),
         F.coalesce(F.sum("same"), F.lit(0)).alias("agree"),
         F.coalesce(F.sum(pairs_known - F.col("same")), F.lit(0)).alias("disagree"),
         F.coalesce(F.sum(pairs - pairs_known), F.lit(0)).alias("null_either"),
     )
+
+
+def with_agreement(counts: DataFrame) -> DataFrame:
     return counts.withColumn("agreement", share(F.col("agree"), F.col("compared_rows")))
 
 
+def first_position_agreement(claim_line: DataFrame, dx_line: DataFrame) -> DataFrame:
+    """Agreement of position 1 with the top-line code over all row pairs."""
+    return with_agreement(agreement_counts(claim_line, dx_line))
+
+
 def _position_one_counts(dx_line: DataFrame) -> DataFrame:
     code = normalise(F.col("icd9_dx_cd"))
     return (
@@ -149,8 +157,8 @@ def _top_line_counts(claim_line: DataFrame) -> DataFrame:
     )
 
 
-def disagreeing_pairs(claim_line: DataFrame, dx_line: DataFrame, top: int = 200) -> DataFrame:
-    """The code pairs that disagree most often.
+def line_pairs(claim_line: DataFrame, dx_line: DataFrame) -> DataFrame:
+    """Disagreeing code pairs of every line with how many row pairs they stand for.
 
     Both sides meet as counts per (line, code), so repeats of a line are
     multiplied as numbers and not as rows.  A line id with very many codes on
@@ -160,13 +168,24 @@ def disagreeing_pairs(claim_line: DataFrame, dx_line: DataFrame, top: int = 200)
         _position_one_counts(dx_line)
         .join(_top_line_counts(claim_line), "claim_line_id")
         .where(F.col("icd9_dx_cd_seq1") != F.col("pri_icd9_dx_cd"))
-        .groupBy("icd9_dx_cd_seq1", "pri_icd9_dx_cd")
-        .agg(F.sum(F.col("n_dx") * F.col("n_top")).alias("n_rows"))
+        .select("icd9_dx_cd_seq1", "pri_icd9_dx_cd", (F.col("n_dx") * F.col("n_top")).alias("n"))
+    )
+
+
+def most_frequent_pairs(pairs: DataFrame, top: int = 200) -> DataFrame:
+    return (
+        pairs.groupBy("icd9_dx_cd_seq1", "pri_icd9_dx_cd")
+        .agg(F.sum("n").alias("n_rows"))
         .orderBy(F.desc("n_rows"), "icd9_dx_cd_seq1", "pri_icd9_dx_cd")
         .limit(top)
     )
 
 
+def disagreeing_pairs(claim_line: DataFrame, dx_line: DataFrame, top: int = 200) -> DataFrame:
+    """The code pairs that disagree most often."""
+    return most_frequent_pairs(line_pairs(claim_line, dx_line), top)
+
+
 # --- V4: are both years equally complete? -----------------------------------
 
 
@@ -332,16 +351,19 @@ def _line_members(claim_line: DataFrame, dx_line: DataFrame, p: Params) -> DataF
     )
 
 
-def join_integrity(claim_line: DataFrame, dx_line: DataFrame, p: Params) -> DataFrame:
-    """Match rate of claim lines into the diagnosis table, and wrong members."""
+def link_counts(line_members: DataFrame) -> DataFrame:
+    """One row of counts for :func:`join_integrity`."""
     found = F.col("dx_rows") > 0
-    counts = _line_members(claim_line, dx_line, p).agg(
+    return line_members.agg(
         F.coalesce(F.sum("claims"), F.lit(0)).alias("claim_lines"),
         _sum_if(found, "claims").alias("matched"),
         _sum_if(~found, "claims").alias("unmatched"),
         F.coalesce(F.sum("claims_other"), F.lit(0)).alias("member_mismatch"),
         _sum_if(F.col("distinct_members") > 1, "claims").alias("multi_member_lines"),
     )
+
+
+def with_match_rate(counts: DataFrame) -> DataFrame:
     return counts.select(
         "claim_lines",
         "matched",
@@ -352,6 +374,11 @@ def join_integrity(claim_line: DataFrame, dx_line: DataFrame, p: Params) -> Data
     )
 
 
+def join_integrity(claim_line: DataFrame, dx_line: DataFrame, p: Params) -> DataFrame:
+    """Match rate of claim lines into the diagnosis table, and wrong members."""
+    return with_match_rate(link_counts(_line_members(claim_line, dx_line, p)))
+
+
 def mismatch_sample(
     claim_line: DataFrame, dx_line: DataFrame, p: Params, top: int = 500
 ) -> DataFrame:
@@ -397,20 +424,31 @@ def recorded_share(
     lines of the condition travel; the claim side is a semi join, which lets
     Spark filter it with a run-time bloom filter.
     """
-    line, member = F.col("claim_line_id"), F.col("member_id")
-    lines = claim_line.where(in_years(F.col("srv_start_dt"), p.y1) & member.isNotNull())
+    every = members_by_position(claim_line, dx_line, codes, p)
+    return share_of_members(every, claim_line, member_month, codes, p, name)
 
-    def with_code(df: DataFrame, column: str) -> DataFrame:
-        coded = df.withColumn("code", normalise(F.col(column)))
-        return coded.join(codes, "code", "left_semi")
 
-    hit_lines = (
-        with_code(dx_line.where(line.isNotNull()).select(line, "icd9_dx_cd"), "icd9_dx_cd")
-        .select("claim_line_id")
-        .distinct()
-    )
-    every = lines.select("claim_line_id", "member_id").join(hit_lines, "claim_line_id", "left_semi")
-    top = with_code(lines.select("member_id", "pri_icd9_dx_cd"), "pri_icd9_dx_cd")
+def _with_code(df: DataFrame, column: str, codes: DataFrame) -> DataFrame:
+    return df.withColumn("code", normalise(F.col(column))).join(codes, "code", "left_semi")
+
+
+def _lines_of_year_one(claim_line: DataFrame, p: Params) -> DataFrame:
+    return claim_line.where(in_years(F.col("srv_start_dt"), p.y1) & F.col("member_id").isNotNull())
+
+
+def members_by_position(claim_line: DataFrame, dx_line: DataFrame, codes: DataFrame, p: Params) -> DataFrame:
+    """(claim_line_id, member_id) of the lines of year one with one of ``codes`` at any position."""
+    rows = dx_line.where(F.col("claim_line_id").isNotNull()).select("claim_line_id", "icd9_dx_cd")
+    hit_lines = _with_code(rows, "icd9_dx_cd", codes).select("claim_line_id").distinct()
+    lines = _lines_of_year_one(claim_line, p).select("claim_line_id", "member_id")
+    return lines.join(hit_lines, "claim_line_id", "left_semi")
+
+
+def share_of_members(
+    every: DataFrame, claim_line: DataFrame, member_month: DataFrame, codes: DataFrame, p: Params, name: str
+) -> DataFrame:
+    """:func:`recorded_share` from the rows of :func:`members_by_position`."""
+    top = _with_code(_lines_of_year_one(claim_line, p).select("member_id", "pri_icd9_dx_cd"), "pri_icd9_dx_cd", codes)
     state = member_month.where(
         (F.col("eff_yr").cast("int") == p.y1) & (F.upper(F.trim("mbr_state")) == p.state)
     )

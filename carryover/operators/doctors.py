@@ -411,11 +411,14 @@ def final_list(survival: DataFrame) -> DataFrame:
     )
 
 
-def unsupported(listed: DataFrame, survival: DataFrame) -> DataFrame:
-    """How many doctors of a list have no surviving flag, and how many surviving flags it leaves out."""
+def unsupported(listed: DataFrame, survival: DataFrame, ranked: DataFrame) -> DataFrame:
+    """How many doctors of a list have no surviving flag, and how many surviving flags
+    it leaves out; NULL where no doctor was ranked at all."""
+    some = ranked.agg(F.count(F.lit(1)).alias("n")).scalar() > 0
     theirs = survival.where("survives").select(*DOCTOR, F.lit(True).alias("supported"))
     both = listed.select(*DOCTOR, F.lit(True).alias("listed")).join(theirs, DOCTOR, "full")
-    return both.agg(
+    counts = both.agg(
         F.count_if(F.col("supported").isNull()).alias("unsupported"),
         F.count_if(F.col("listed").isNull()).alias("left_out"),
     )
+    return counts.select(*[F.when(some, F.col(c)).alias(c) for c in ("unsupported", "left_out")])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carryover.functions import histogram_rank, normalise, share, signed_share
+from carryover.functions.columns import Z95
 from carryover.operators.checks import two_years
 from carryover.operators.codes import NOT_LISTED, status_on
 from carryover.operators.doctors import DOCTOR, PEERS, is_scored, shrunk_ratio, specialties
@@ -98,6 +99,38 @@ def setting_agreement(claim_line: DataFrame, provider: DataFrame, p: Params) ->
     )
 
 
+def setting_summary(cells: DataFrame, p: Params) -> DataFrame:
+    """What V11 is judged on, per book, from the cells of :func:`setting_agreement`.
+
+    ``office_lead`` is office lines over those of the next largest setting;
+    ``share_disagree`` counts lines outside the settings their specialty is
+    expected in, among specialties with such a list (NULL without any).
+    """
+    n, setting = F.col("n_rows"), F.col("setting")
+    per_setting = cells.groupBy("book", "setting").agg(F.sum("n_rows").alias("n_rows"))
+    sizes = per_setting.groupBy("book").agg(
+        F.sum(n).alias("lines"),
+        F.sum(F.when(setting == "office", n).otherwise(0)).alias("office"),
+        F.max(F.when(setting != "office", n)).alias("next_largest"),
+        F.sum(F.when(setting == "unassigned", n).otherwise(0)).alias("unassigned"),
+    )
+    expected, known = F.lit(False), F.lit(False)
+    for name, where in p.specialty_settings.items():
+        own = F.col("specialty") == name
+        known, expected = known | own, expected | (own & setting.isin(*where))
+    judged = cells.groupBy("book").agg(
+        F.sum(F.when(known, n).otherwise(0)).alias("judged_lines"),
+        F.sum(F.when(known & ~expected, n).otherwise(0)).alias("disagree"),
+    )
+    return sizes.join(judged, "book").select(
+        "book",
+        "lines",
+        share(F.col("unassigned"), F.col("lines")).alias("share_unassigned"),
+        share(F.col("office"), F.coalesce("next_largest", F.lit(1))).alias("office_lead"),
+        share(F.col("disagree"), F.col("judged_lines")).alias("share_disagree"),
+    ).orderBy("book")
+
+
 def excluded_absent(records: DataFrame, claim_line: DataFrame, p: Params) -> DataFrame:
     """Measured lines whose claim is an excluded source in the claims table."""
     excluded = (
@@ -201,6 +234,34 @@ def two_mention_effect(summary: DataFrame, p: Params) -> DataFrame:
     )
 
 
+def two_mention_test(effect: DataFrame) -> DataFrame:
+    """Whether members with too few mentions persist less: the difference of the two
+    proportions and its z value under a common rate.
+
+    A large population makes any difference significant, so both are judged.
+    """
+
+    def of(group: str, column: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("mention_group") == group, F.col(column))), F.lit(0))
+
+    sums = effect.groupBy("book", "condition").agg(
+        of("confirmed", "members").alias("n_1"),
+        of("confirmed", "carried_any").alias("c_1"),
+        of("too few mentions", "members").alias("n_2"),
+        of("too few mentions", "carried_any").alias("c_2"),
+    )
+    n1, c1, n2, c2 = (F.col(c).cast("double") for c in ("n_1", "c_1", "n_2", "c_2"))
+    gap = F.try_divide(c1, n1) - F.try_divide(c2, n2)
+    rate = F.try_divide(c1 + c2, n1 + n2)
+    error = F.sqrt(rate * (F.lit(1.0) - rate) * (F.try_divide(F.lit(1.0), n1) + F.try_divide(F.lit(1.0), n2)))
+    return sums.select(
+        "book",
+        "condition",
+        F.round(gap, 4).alias("difference"),
+        F.round(F.try_divide(gap, error), 4).alias("z"),
+    ).orderBy("book", "condition")
+
+
 def gate_removal(attrition: DataFrame) -> DataFrame:
     """Attrition with a mark where one gate takes more than a third."""
     return attrition.where(F.col("gate_order") > 0).withColumn(
@@ -276,8 +337,52 @@ def score_distribution(scores: DataFrame, p: Params, bins: int = 20) -> DataFram
     ).orderBy("book", "condition", "bucket")
 
 
+def score_shape(histogram: DataFrame, bins: int = 20) -> DataFrame:
+    """The shape of the scores of :func:`score_distribution`, per book and condition.
+
+    ``end_share`` is the share of doctors at exactly 0 or 100 %.  ``dip_share`` is
+    the deepest valley between two humps, as a share of the taller bin beside it
+    on its lower side: 0 for a single peak, 1 for humps with nothing in between.
+    Empty bins count as bins; windows run over ``bins`` rows per group.
+    """
+    group = ["book", "condition"]
+    sizes = histogram.groupBy(*group).agg(
+        F.sum("doctors").alias("doctors"), F.sum(F.col("at_zero") + F.col("at_hundred")).alias("ends")
+    )
+    every = sizes.select(*group, F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bucket"))
+    filled = every.join(histogram.select(*group, "bucket", F.col("doctors").alias("n")), [*group, "bucket"], "left")
+    filled = filled.withColumn("n", F.coalesce("n", F.lit(0)))
+    by = Window.partitionBy(*group).orderBy("bucket")
+    left = F.max("n").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    right = F.max("n").over(by.rowsBetween(1, Window.unboundedFollowing))
+    lower = F.least(left, right)
+    dips = filled.withColumns({"lower": F.when(left.isNotNull() & right.isNotNull(), lower)}).groupBy(*group).agg(
+        F.max(F.when(F.col("lower") > F.col("n"), share(F.col("lower") - F.col("n"), F.col("lower")))).alias("dip_share")
+    )
+    return (
+        sizes.join(dips, group)
+        .select(
+            *group,
+            "doctors",
+            share(F.col("ends"), F.col("doctors")).alias("end_share"),
+            F.coalesce("dip_share", F.lit(0.0)).alias("dip_share"),
+        )
+        .orderBy(*group)
+    )
+
+
+def _difference_end(n1: Column, d1: Column, n2: Column, d2: Column, side: str) -> Column:
+    """One end of the 95 % interval of the difference of two proportions."""
+    n1, d1, n2, d2 = (x.cast("double") for x in (n1, d1, n2, d2))
+    p1, p2 = F.try_divide(n1, d1), F.try_divide(n2, d2)
+    error = F.sqrt(F.try_divide(p1 * (F.lit(1.0) - p1), d1) + F.try_divide(p2 * (F.lit(1.0) - p2), d2))
+    spread = F.lit(Z95) * error
+    return F.round(p1 - p2 - spread if side == "low" else p1 - p2 + spread, 4)
+
+
 def control_condition(gates: DataFrame, p: Params) -> DataFrame:
-    """Persistence of the main condition beside one that cannot resolve."""
+    """Persistence of the main condition beside one that cannot resolve, with the
+    95 % interval of their difference."""
 
     def side(name: str, prefix: str) -> list[Column]:
         mine = F.col("judged") & (F.col("condition") == name)
@@ -298,6 +403,8 @@ def control_condition(gates: DataFrame, p: Params) -> DataFrame:
             "main_persistence": share(a, b),
             "control_persistence": share(c, d),
             "control_minus_main": signed_share(c * wide(b) - a * wide(d), b * wide(d)),
+            "difference_low": _difference_end(c, d, a, b, "low"),
+            "difference_high": _difference_end(c, d, a, b, "high"),
         }
     ).orderBy("book")
 

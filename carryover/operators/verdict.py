@@ -38,7 +38,8 @@ class Bound:
     fail_high: float = 0.0
 
 
-# The bounds each check was given.
+# The bounds each check was given.  V11, V13, V14, V17 and V19 were given
+# in words; their numbers, and the fail side of V6, are choices of this library.
 BOUNDS = (
     Bound("EDA_0b", "max_rows_per_line", "at_most", 1, 1, "stop before the probe", True),
     Bound("EDA_0c", "match_rate", "at_least", 0.95, 0.95, "stop everything", True),
@@ -51,16 +52,26 @@ BOUNDS = (
     Bound("V3", "agreement", "above", 0.95, 0.80, "read the disagreeing pairs", True),
     Bound("V4", "within_10pct", "at_least", 1, 1, "move the window back a year"),
     Bound("V5", "share_full_present", "at_least", 0.95, 0.85, "build a crosswalk"),
-    Bound("V6", "match_rate", "above", 0.95, 0.0, "stop", True),
+    Bound("V6", "match_rate", "above", 0.95, 0.90, "stop", True),
     Bound("V6", "member_mismatch", "at_most", 0, 0, "stop", True),
     Bound("V6", "multi_member_lines", "at_most", 0, 0, "stop", True),
     Bound("V7", "diff_pct_points", "at_least", 1.0, 0, "stop and report", True, fail_at=True),
     Bound("V8", "match_rate_by_code", "above", 0.95, 0.90, "compare the code shapes"),
     Bound("V9", "stages_not_accounted_for", "at_most", 0, 0, "fix and rebuild", True),
     Bound("V10", "repeated_keys", "at_most", 0, 0, "fix and rebuild", True),
+    Bound("V11", "share_unassigned", "at_most", 0, 0, "read the unassigned places of service"),
+    Bound("V11", "office_lead", "above", 1, 1, "read the settings by specialty"),
+    Bound("V11", "share_disagree", "at_most", 0.05, 0.20, "read the settings by specialty"),
     Bound("V12", "excluded_lines", "at_most", 0, 0, "fix and rebuild", True),
+    Bound("V13", "codes_changed", "at_most", 0, 0, "map old codes to new before comparing"),
+    Bound("V14", "difference", "at_least", 0.05, 0.0, "reconsider the mention rule", fail_at=True),
+    Bound("V14", "z", "above", 1.96, 0.0, "reconsider the mention rule", fail_at=True),
     Bound("V15", "largest_share_removed", "at_most", 1 / 3, 1.0, "explain the gate", True),
     Bound("V16", "persistence", "band", 0.65, 0.50, "investigate", True, good_high=0.85, fail_high=0.95),
+    Bound("V17", "end_share", "at_most", 0.10, 0.25, "look for small panels and data faults"),
+    Bound("V17", "dip_share", "at_most", 0.25, 0.50, "look for two populations"),
+    Bound("V19", "control_minus_main", "at_most", 0.05, 0.15, "weaken the claim"),
+    Bound("V19", "difference_high", "at_most", 0.10, 0.30, "weaken the claim"),
     Bound("V20", "office_above_any", "at_most", 0, 0, "the build is wrong", True),
     Bound("V21", "unlabelled_figures", "at_most", 0, 0, "label every figure"),
     Bound("V22", "unsupported", "at_most", 0, 0, "remove them from the list", True),

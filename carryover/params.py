@@ -42,6 +42,8 @@ class Params:
         default_factory=lambda: {"F": "office", "OP": "outpatient", "IP": "inpatient"}
     )
     excluded_sources: tuple[str, ...] = ()
+    # specialty -> settings its lines are expected in; others are not judged
+    specialty_settings: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
     # sources the curated extract leaves out
     curated_sources_out: tuple[str, ...] = ("DENTAL",)
 

@@ -144,12 +144,17 @@ GATES = {
     ),
     "v10_collapse_unique": lambda s: gates.collapse_unique(s.member_years),
     "v11_setting_agreement": lambda s: gates.setting_agreement(s.t["claim_line"], s.t["provider"], s.p),
+    "v11_setting_summary": lambda s: gates.setting_summary(
+        gates.setting_agreement(s.t["claim_line"], s.t["provider"], s.p), s.p
+    ),
     "v12_excluded_absent": lambda s: gates.excluded_absent(s.records, s.t["claim_line"], s.p),
     "v13_retired_codes": lambda s: s.retired_codes(),
     "v14_two_mention_effect": lambda s: gates.two_mention_effect(s.summary, s.p),
+    "v14_two_mention_test": lambda s: gates.two_mention_test(gates.two_mention_effect(s.summary, s.p)),
     "v15_gate_removal": lambda s: gates.gate_removal(s.attrition),
     "v16_population_rate": lambda s: gates.population_rate(s.gates, s.p),
     "v17_score_distribution": lambda s: gates.score_distribution(s.scores, s.p),
+    "v17_score_shape": lambda s: gates.score_shape(gates.score_distribution(s.scores, s.p)),
     "v18_extreme_histories": lambda s: s.histories(("lowest", "highest"), s.p.extreme_members),
     "v19_control_condition": lambda s: gates.control_condition(s.gates, s.p),
     "v20_office_vs_any": lambda s: gates.office_vs_any(s.scores),
@@ -176,6 +181,7 @@ REUSING = {
     "gate_code_family",
     "v9_stage_reconcile",
     "v17_score_distribution",
+    "v17_score_shape",
     "v18_extreme_histories",
     "v20_office_vs_any",
     "v21_books_separate",

@@ -1,13 +1,14 @@
 """The whole study, gate by gate, with every result written.
 
-Contract, discovery and foundation checks come first; when a check that blocks
-has failed, nothing is built on the data.  Verdicts are taken from the written
+Contract, discovery and foundation checks come first; unless every check of the
+first gate has passed, or a person has let it through by name, nothing is built on
+the data.  Verdicts are taken from the written
 results, so each result is computed once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,8 @@ CLUSTER_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    # prepared tables are bucketed on the line id; joins on line id and code stay in place
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
@@ -45,9 +48,13 @@ def _write(results: Mapping[str, DataFrame], folder: str) -> dict[str, DataFrame
     return {name: write_result(df, folder, name) for name, df in results.items()}
 
 
-def _blocking(verdicts: DataFrame) -> tuple[str, ...]:
-    failed = verdicts.where(F.col("blocks") & (F.col("verdict") == "FAIL")).select("check").distinct()
-    return tuple(sorted(r["check"] for r in failed.collect()))  # at most one row per check
+def _blocking(verdicts: DataFrame, let_through: Collection[str] = ()) -> tuple[str, ...]:
+    """Checks that stop the build: those of the first gate that did not pass - open or
+    to be reviewed stops as failed does - and any other that blocks and failed."""
+    needed = F.col("check").isin(*verdict.GATE_CHECKS["1 foundation"]) & (F.col("verdict") != "PASS")
+    failed = F.col("blocks") & (F.col("verdict") == "FAIL")
+    stops = verdicts.where(needed | failed).select("check").distinct()
+    return tuple(sorted({r["check"] for r in stops.collect()} - set(let_through)))  # at most one row per check
 
 
 def run(
@@ -57,9 +64,14 @@ def run(
     folder: str,
     *,
     read_by_person: Mapping[str, str] | None = None,
+    let_through: Collection[str] = (),
     stop: bool = True,
 ) -> Outcome:
-    """Run all gates into ``folder``; ``stop=False`` goes on past a failed gate."""
+    """Run all gates into ``folder``.
+
+    ``let_through`` names foundation checks a person has read and accepted;
+    ``stop=False`` goes on past all of them.  Neither changes a verdict.
+    """
     study = Study(tables, p, StageStore.of(spark))
     write_result(profile.column_profiles(tables), folder, "column_profile")
     write_result(profile.table_volume(tables), folder, "table_volume")
@@ -68,7 +80,7 @@ def run(
     found = write_result(
         verdict.metric_verdicts(metrics, verdict.FOUNDATION_CHECKS), folder, "foundation_verdicts"
     )
-    blocked = _blocking(found)
+    blocked = _blocking(found, let_through)
     if blocked and stop:
         return Outcome(found, blocked)
 

@@ -227,8 +227,12 @@ class Study:
             "v9_stage_reconcile": lambda: gates.stage_reconcile(t["claim_line"], t["dx_line"], self.records, self.gates, p),
             "v10_collapse_unique": lambda: gates.collapse_unique(self.member_years),
             "v11_setting_agreement": lambda: gates.setting_agreement(t["claim_line"], t["provider"], p),
+            "v11_setting_summary": lambda: gates.setting_summary(
+                gates.setting_agreement(t["claim_line"], t["provider"], p), p
+            ),
             "v13_retired_codes": lambda: self.retired_codes(),
             "v14_two_mention_effect": lambda: gates.two_mention_effect(self.summary, p),
+            "v14_two_mention_test": lambda: gates.two_mention_test(gates.two_mention_effect(self.summary, p)),
             "v15_gate_removal": lambda: gates.gate_removal(self.attrition),
             "hospital_sustained": lambda: measure.hospital_sustained(self.member_years),
             "code_moves": lambda: measure.code_moves(self.records, self.outcome, p),
@@ -251,6 +255,7 @@ class Study:
             "case_timelines": lambda: self.histories(("lowest",), p.case_members),
             "v16_population_rate": lambda: gates.population_rate(self.gates, p),
             "v17_score_distribution": lambda: gates.score_distribution(self.scores, p),
+            "v17_score_shape": lambda: gates.score_shape(gates.score_distribution(self.scores, p)),
             "v18_extreme_histories": lambda: self.histories(("lowest", "highest"), p.extreme_members),
             "v20_office_vs_any": lambda: gates.office_vs_any(self.scores),
             "v21_books_separate": lambda: gates.books_separate(self.records, self.gates, p),
@@ -318,6 +323,28 @@ class Study:
                 {"largest_share_removed": "m"},
             ),
         ]
+        parts += [
+            rows(
+                r["v11_setting_summary"].agg(
+                    *[F.max(c).alias(c) for c in ("share_unassigned", "share_disagree")], F.min("office_lead").alias("office_lead")
+                ),
+                "V11",
+                _same("share_unassigned", "office_lead", "share_disagree"),
+            ),
+            # without dated code lists no status is known, and nothing is shown to be unchanged
+            rows(
+                r["v13_retired_codes"].agg(
+                    F.when(F.count("change") > 0, F.count_if(F.col("change") != "unchanged")).alias("m")
+                ),
+                "V13",
+                {"codes_changed": "m"},
+            ),
+            rows(
+                r["v14_two_mention_test"].where(main).agg(*[F.min(c).alias(c) for c in ("difference", "z")]),
+                "V14",
+                _same("difference", "z"),
+            ),
+        ]
         if "v12_excluded_absent" in r:
             left = F.when(F.col("measured_lines") > 0, F.col("excluded_lines"))
             parts.append(rows(r["v12_excluded_absent"], "V12", {"excluded_lines": left}))
@@ -335,15 +362,25 @@ class Study:
                 df = df.where(main)
             return rows(df.agg(value.alias("m")), check, {metric: "m"})
 
+        control = []
+        if "v19_control_condition" in r:
+            worst = [F.max(c).alias(c) for c in ("control_minus_main", "difference_high")]
+            control = [rows(r["v19_control_condition"].agg(*worst), "V19", _same("control_minus_main", "difference_high"))]
         return _union(
             [
+                *control,
+                rows(
+                    r["v17_score_shape"].where(main).agg(*[F.max(c).alias(c) for c in ("end_share", "dip_share")]),
+                    "V17",
+                    _same("end_share", "dip_share"),
+                ),
                 one("v16_population_rate", F.max_by(rate, F.abs(rate - 0.75)), "V16", "persistence"),
                 rows(
                     r["v20_office_vs_any"].agg(F.sum("office_above_any").alias("m")), "V20", {"office_above_any": "m"}
                 ),
                 one("v21_books_separate", _count_of(~F.col("labelled")), "V21", "unlabelled_figures"),
                 rows(
-                    doctors.unsupported(r["final_list"], r["v22_flag_survival"]),
+                    doctors.unsupported(r["final_list"], r["v22_flag_survival"], r["ranking"]),
                     "V22",
                     _same("unsupported", "left_out"),
                 ),

@@ -130,6 +130,7 @@ def fixture_params() -> Params:
         families={"diabetes": "^E(08|09|10|11|12|13)", "control": "^I"},
         control_family="control",
         excluded_sources=("LAB", "DENTAL"),
+        specialty_settings={"PCP": ("office", "outpatient"), "CARD": ("office", "outpatient", "inpatient")},
         network_areas_out=("DPPO",),
         # a twelfth of a small state: panels are half the size of real ones
         min_panel=15,

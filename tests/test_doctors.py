@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
+from carryover.functions import byar
 from carryover.operators import doctors, gates
 from carryover.plans.study import Study
 from carryover.sources import fixture_params, fixture_tables
 from tests.conftest import SF_DIR
+from tests.small import params
 
 
 @pytest.fixture(scope="module")
@@ -65,17 +68,80 @@ def test_shrinkage_and_rank(study):
             units[r.book, r.condition, r.specialty, r.provider_id] = half_up(
                 r.carried_same * n + p.shrink_weight * c, n * (r.panel + p.shrink_weight), 10_000
             )
-    got = doctors.rank_scores(study.scores, p).collect()
+    got = doctors.shrink_scores(study.scores, p).collect()
     assert {(r.book, r.condition, r.specialty, r.provider_id): r.shrunk_units for r in got} == units
+
+
+def test_rank_follows_the_adjusted_ratio(study):
+    """Observed over expected, drawn toward one by patients of the specialty who fare as expected."""
+    p = study.p
+    every = study.standardised.collect()
+    peer = defaultdict(lambda: [0, 0])
+    for r in every:
+        peer[r.book, r.condition, r.specialty][0] += r.carried_same
+        peer[r.book, r.condition, r.specialty][1] += r.panel
+    units = {}
+    for r in every:
+        if r.panel_confirmed >= p.min_panel and r.panel > 0:
+            more = p.shrink_weight * half_up(*peer[r.book, r.condition, r.specialty], 1_000_000)
+            if r.units + more:
+                key = r.book, r.condition, r.specialty, r.provider_id
+                units[key] = half_up(r.carried_same * 1_000_000 + more, r.units + more, 10_000)
+    got = study.ranked.collect()
+    assert {(r.book, r.condition, r.specialty, r.provider_id): r.ratio_units for r in got} == units
     for r in got:
         group = [u for k, u in units.items() if k[:3] == (r.book, r.condition, r.specialty)]
-        assert r.rank == 1 + sum(u < r.shrunk_units for u in group)
+        assert r.rank == 1 + sum(u < r.ratio_units for u in group)
         assert r.peers == len(group)
         assert r.flagged == (r.rank <= 0.25 * len(group))
 
 
+def ranked_rows(spark, rows):
+    """(doctor, panel, carried, expected): ranked doctors of one peer group, all flagged."""
+    names = "provider_id long, panel long, carried_same long, units long"
+    df = spark.createDataFrame([(i, n, k, round(e * 1_000_000)) for i, n, k, e in rows], names)
+    fixed = {"book": "b", "condition": "c", "specialty": "s"}
+    return df.withColumns({c: F.lit(v) for c, v in fixed.items()}).withColumns(
+        {
+            "flagged": F.lit(True), "peer_carried": F.lit(8000), "peer_panel": F.lit(10_000), "adjusted_ratio": F.lit(0.9),
+            "score_same": F.col("carried_same") / F.col("panel"),
+        }
+    )
+
+
+def test_a_flag_survives_only_what_neither_chance_nor_patients_explain(spark):
+    rows = [
+        (1, 400, 200, 320.0),  # half carried where four in five were expected
+        (2, 400, 200, 205.0),  # as low, but these patients were expected to do no better
+        (3, 12, 3, 9.6),  # too few patients
+        (4, 60, 45, 48.0),  # chance
+        (5, 300, 0, 0.0),  # nothing expected: no ratio
+    ]
+    ranked = ranked_rows(spark, rows)
+    survival = doctors.flag_survival(ranked, params().with_(min_panel=30))
+    by = {r.provider_id: r for r in survival.collect()}
+    assert {i for i, r in by.items() if r.survives} == {1}
+    assert by[2].interval_high < by[2].peer_rate and by[2].ratio_high > 1
+    assert not by[3].enough_patients and by[5].ratio_low is None
+    # Byar's limits of 200 over 320, by hand
+    assert (by[1].ratio_low, by[1].ratio_high) == (0.5414, 0.7179)
+    listed = doctors.final_list(survival)
+    assert [r.provider_id for r in listed.collect()] == [1]
+    assert doctors.unsupported(listed, survival, ranked).first() == (0, 0)
+    everyone = survival.select(*listed.columns)
+    assert doctors.unsupported(everyone, survival, ranked).first() == (4, 0)
+    assert doctors.unsupported(listed.limit(0), survival, ranked).first() == (0, 1)
+    assert doctors.unsupported(listed.limit(0), survival.limit(0), ranked.limit(0)).first() == (None, None)
+
+
+def test_byar_of_a_zero_count(spark):
+    got = spark.range(1).select(byar(F.lit(0), F.lit(5_000_000), 1_000_000, "low"), byar(F.lit(0), F.lit(5_000_000), 1_000_000, "high")).first()
+    z = 1.959963984540054
+    assert got[0] == 0.0 and abs(got[1] - (1 - 1 / 9 + z / 3) ** 3 / 5) < 1e-4
+
+
 def test_expected_sums_to_observed_per_stratum_group(study):
-    rows = doctors.peer_compare(study.panel, study.t["provider"], study.age, study.burden, study.p).collect()
+    rows = doctors.peer_compare(study.standardised).collect()
     by = defaultdict(lambda: [0, 0.0])
     for r in rows:
         by[r.book, r.condition, r.specialty][0] += r.observed

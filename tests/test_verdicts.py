@@ -7,8 +7,8 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from carryover.operators import measure, verdict
-from carryover.plans.run import run
+from carryover.operators import gates, measure, verdict
+from carryover.plans.run import _blocking, run
 from carryover.sources import conform, fixture_params, fixture_tables, load_tables, violations
 from carryover.operators.profile import file_volume
 from tests.conftest import SF_DIR
@@ -31,6 +31,16 @@ def verdicts(spark, values):
         ("V5", "share_full_present", 0.95, "REVIEW", "PASS", "PASS"),
         ("V5", "share_full_present", 0.85, "FAIL", "REVIEW", "REVIEW"),
         ("V6", "match_rate", 0.95, "REVIEW", "REVIEW", "PASS"),
+        ("V6", "match_rate", 0.90, "FAIL", "REVIEW", "REVIEW"),
+        ("V11", "share_unassigned", 0, "PASS", "PASS", "FAIL"),
+        ("V11", "office_lead", 1, "FAIL", "REVIEW", "PASS"),
+        ("V11", "share_disagree", 0.20, "REVIEW", "REVIEW", "FAIL"),
+        ("V13", "codes_changed", 0, "PASS", "PASS", "FAIL"),
+        ("V14", "difference", 0.05, "REVIEW", "PASS", "PASS"),
+        ("V14", "z", 0, "FAIL", "FAIL", "REVIEW"),
+        ("V17", "end_share", 0.25, "REVIEW", "REVIEW", "FAIL"),
+        ("V17", "dip_share", 0.25, "PASS", "PASS", "REVIEW"),
+        ("V19", "control_minus_main", 0.15, "REVIEW", "REVIEW", "FAIL"),
         ("V6", "member_mismatch", 0, "PASS", "PASS", "FAIL"),
         ("V7", "diff_pct_points", 0, "FAIL", "FAIL", "REVIEW"),
         ("V7", "diff_pct_points", 1, "REVIEW", "PASS", "PASS"),
@@ -121,6 +131,64 @@ def test_file_volume(spark, stored):
     assert all(r.last_modified is not None and r.size_gb == 0.0 for r in rows)
 
 
+def histogram(spark, counts, zero=0, hundred=0):
+    rows = [("b", "c", i, n, zero if i == 0 else 0, hundred if i == 19 else 0) for i, n in counts.items()]
+    return spark.createDataFrame(rows, "book string, condition string, bucket int, doctors long, at_zero long, at_hundred long")
+
+
+@pytest.mark.parametrize(
+    "counts, dip",
+    [
+        ({5: 2, 6: 10, 7: 20, 8: 12, 9: 1}, 0.0),  # one peak with tails
+        ({2: 20, 3: 10, 4: 20}, 0.5),
+        ({2: 20, 9: 10}, 1.0),  # two humps with nothing in between
+        ({0: 7}, 0.0),
+        ({3: 40, 4: 30, 5: 36, 6: 9}, 0.1667),  # a dent, held against the lower hump
+    ],
+)
+def test_score_shape(spark, counts, dip):
+    row = gates.score_shape(histogram(spark, counts, zero=1, hundred=2)).first()
+    assert row.dip_share == dip and row.doctors == sum(counts.values())
+    ends = (0 in counts) + 2 * (19 in counts)
+    assert row.end_share == round(ends / row.doctors, 4)
+
+
+def test_two_mention_test(spark):
+    rows = [("b", "c", "confirmed", 400, 320), ("b", "c", "too few mentions", 100, 60), ("b", "d", "confirmed", 5, 5)]
+    df = spark.createDataFrame(rows, "book string, condition string, mention_group string, members long, carried_any long")
+    got = {r.condition: (r.difference, r.z) for r in gates.two_mention_test(df).collect()}
+    pooled = 380 / 500
+    z = 0.2 / (pooled * (1 - pooled) * (1 / 400 + 1 / 100)) ** 0.5
+    assert got["c"] == (0.2, round(z, 4))
+    assert got["d"] == (None, None)
+
+
+def test_setting_summary(spark):
+    rows = [("b", "office", "PCP", 60), ("b", "inpatient", "PCP", 10), ("b", "inpatient", "LABS", 30), ("b", "unassigned", "(none)", 20), ("e", "inpatient", "LABS", 5)]
+    cells = spark.createDataFrame(rows, "book string, setting string, specialty string, n_rows long")
+    p = fixture_params()
+    got = {r.book: r for r in gates.setting_summary(cells, p).collect()}
+    assert (got["b"].share_unassigned, got["b"].office_lead, got["b"].share_disagree) == (0.1667, 1.5, 0.1429)
+    assert (got["e"].office_lead, got["e"].share_disagree) == (0.0, None)
+    assert {r.share_disagree for r in gates.setting_summary(cells, p.with_(specialty_settings={})).collect()} == {None}
+
+
+def test_control_difference_has_an_interval(spark):
+    rows = [("b", "diabetes", True, i < 70) for i in range(100)] + [("b", "control", True, i < 45) for i in range(50)]
+    df = spark.createDataFrame(rows, "book string, condition string, judged boolean, carried_any boolean")
+    row = gates.control_condition(df, fixture_params()).first()
+    spread = 1.959963984540054 * (0.9 * 0.1 / 50 + 0.7 * 0.3 / 100) ** 0.5
+    assert row.control_minus_main == 0.2
+    assert (row.difference_low, row.difference_high) == (round(0.2 - spread, 4), round(0.2 + spread, 4))
+
+
+def test_the_first_gate_stops_unless_it_passed_or_was_let_through(spark):
+    rows = [("V1", "PASS", True), ("V3", "REVIEW", True), ("V6", "UNVERIFIABLE", True), ("V7", "PASS", True), ("V8", "FAIL", False), ("EDA_1", "FAIL", True), ("V4", "REVIEW", False)]
+    df = spark.createDataFrame(rows, "check string, verdict string, blocks boolean")
+    assert _blocking(df) == ("EDA_1", "V3", "V6")
+    assert _blocking(df, ("V3", "EDA_1")) == ("V6",)
+
+
 def test_run_stops_at_a_blocking_check_and_goes_on_when_told(spark, stored, tmp_path):
     tables = load_tables(spark, stored)
     p = fixture_params().with_(min_panel=2, sensitivity_panels=(1, 2))
