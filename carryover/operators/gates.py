@@ -64,12 +64,20 @@ def stage_reconcile(
     return counts.withColumn("accounted_for", ~F.coalesce(grew | new, F.lit(False))).orderBy("book", "stage_order")
 
 
-def collapse_unique(member_years: DataFrame) -> DataFrame:
-    """Keys that still repeat after the collapse; zero is right."""
-    per_key = member_years.groupBy(*UNIT, "yr").agg(_rows().alias("n"))
+def collapse_unique(member_years: DataFrame, records: DataFrame) -> DataFrame:
+    """The collapsed rows held against the keys of the records they came from: keys
+    that repeat, and keys lost or invented on the way; zeros are right.
+
+    Both sides are counted per key and put under each other, so nothing is joined.
+    """
+    key = [*UNIT, "yr"]
+    kept = member_years.groupBy(*key).agg(_rows().alias("kept"), F.lit(0).cast("long").alias("seen"))
+    seen = records.groupBy(*key).agg(F.lit(0).cast("long").alias("kept"), F.lit(1).cast("long").alias("seen"))
+    per_key = kept.unionByName(seen).groupBy(*key).agg(F.sum("kept").alias("kept"), F.sum("seen").alias("seen"))
     return per_key.agg(
-        _rows().alias("member_years"),
-        F.count_if(F.col("n") > 1).alias("repeated_keys"),
+        F.coalesce(F.sum("kept"), F.lit(0)).alias("member_years"),
+        F.count_if(F.col("kept") > 1).alias("repeated_keys"),
+        F.count_if((F.col("kept") > 0) != (F.col("seen") > 0)).alias("lost_or_invented_keys"),
     )
 
 
@@ -441,7 +449,7 @@ def books_separate(records: DataFrame, gates: DataFrame, p: Params) -> DataFrame
         _persistence(gates.where(main))
         .join(shared, "book", "left")
         .withColumn("members_in_other_books", F.coalesce("members_in_other_books", F.lit(0)))
-        .withColumn("labelled", F.col("book").isNotNull())
+        .withColumn("labelled", F.coalesce(F.col("book").isin(*p.books.values()), F.lit(False)))
         .orderBy("book")
     )
 
@@ -574,16 +582,16 @@ def sensitivity(doctors: DataFrame, p: Params) -> DataFrame:
 
 # The assumption ids, their status, and what follows if wrong.
 ASSUMPTIONS = {
-    "A1": ("confirmed", "every diagnosis position is recorded"),
-    "A2": ("confirmed", "a provider is one clinician"),
-    "A3": ("confirmed", "place of service tells the setting"),
-    "A4": ("confirmed", "the commercial book is mixed and reported apart"),
-    "A5": ("assumed", "no retrospective chart review records"),
-    "A6": ("checked by V5", "member identifiers are stable"),
-    "A7": ("checked by V4", "both years are equally complete"),
-    "A8": ("clinically sound", "the condition rarely resolves"),
-    "A9": ("approximate", "the chronic list stands for conditions that persist"),
-    "A10": ("checked by V6", "the visit link is reliable"),
+    "A1": ("confirmed", "every diagnosis position is recorded", "the question cannot be answered from this data"),
+    "A2": ("confirmed", "a provider is one clinician", "scores describe practices and not people"),
+    "A3": ("confirmed", "place of service tells the setting", "office and hospital records cannot be told apart"),
+    "A4": ("confirmed", "the commercial book is mixed and reported apart", "nothing more, it is reported apart"),
+    "A5": ("assumed", "no retrospective chart review records", "doctors are graded on the work of others"),
+    "A6": ("checked by V5", "member identifiers are stable", "conditions drop that did not"),
+    "A7": ("checked by V4", "both years are equally complete", "every doctor looks worse in year two"),
+    "A8": ("clinically sound", "the condition rarely resolves", "some drops are recoveries"),
+    "A9": ("approximate", "the chronic list stands for conditions that persist", "too many conditions are expected to persist"),
+    "A10": ("checked by V6", "the visit link is reliable", "conditions are attached to the wrong visits"),
 }
 
 FIGURES = {
@@ -610,6 +618,7 @@ def attach_limits(gates: DataFrame) -> DataFrame:
                     F.lit(i).alias("assumption"),
                     F.lit(ASSUMPTIONS[i][0]).alias("status"),
                     F.lit(ASSUMPTIONS[i][1]).alias("caveat"),
+                    F.lit(ASSUMPTIONS[i][2]).alias("if_wrong"),
                 )
                 for i in ids
             ]
@@ -617,7 +626,7 @@ def attach_limits(gates: DataFrame) -> DataFrame:
         limits = F.when(F.col("figure") == figure, listed).otherwise(limits)
     return (
         figures.withColumn("limit", F.explode(limits))
-        .select("book", "condition", "figure", "value", "limit.assumption", "limit.status", "limit.caveat")
+        .select("book", "condition", "figure", "value", "limit.assumption", "limit.status", "limit.caveat", "limit.if_wrong")
         .orderBy("book", "condition", "figure", "assumption")
     )
 

@@ -205,7 +205,8 @@ def grain_totals(curated: DataFrame) -> DataFrame:
 def _probe_lines(curated: DataFrame, p: Params) -> DataFrame:
     """The first ``probe_lines`` distinct line ids in md5 order.
 
-    Each task keeps only its first ``probe_lines``; nothing is counted beforehand.
+    Ids are made distinct first, which shuffles one narrow row per id and task; of
+    the distinct ids each task then keeps only its first ``probe_lines``.
     """
     line = F.col("claim_line_id")
     return (

@@ -59,6 +59,7 @@ BOUNDS = (
     Bound("V8", "match_rate_by_code", "above", 0.95, 0.90, "compare the code shapes"),
     Bound("V9", "stages_not_accounted_for", "at_most", 0, 0, "fix and rebuild", True),
     Bound("V10", "repeated_keys", "at_most", 0, 0, "fix and rebuild", True),
+    Bound("V10", "lost_or_invented_keys", "at_most", 0, 0, "fix and rebuild", True),
     Bound("V11", "share_unassigned", "at_most", 0, 0, "read the unassigned places of service"),
     Bound("V11", "office_lead", "above", 1, 1, "read the settings by specialty"),
     Bound("V11", "share_disagree", "at_most", 0.05, 0.20, "read the settings by specialty"),
@@ -74,6 +75,7 @@ BOUNDS = (
     Bound("V19", "difference_high", "at_most", 0.10, 0.30, "weaken the claim"),
     Bound("V20", "office_above_any", "at_most", 0, 0, "the build is wrong", True),
     Bound("V21", "unlabelled_figures", "at_most", 0, 0, "label every figure"),
+    Bound("V21", "repeated_result_keys", "at_most", 0, 0, "label every figure"),
     Bound("V22", "unsupported", "at_most", 0, 0, "remove them from the list", True),
     Bound("V22", "left_out", "at_most", 0, 0, "remove them from the list", True),
     Bound("V23", "largest_difference", "at_most", 0.1, 0.25, "adjust or claim less", True),

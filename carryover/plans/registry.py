@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carryover.operators import checks, codes, coverage, doctors, gates, measure, profile, verdict
+from carryover.operators import checks, codes, coverage, declared, doctors, gates, measure, profile, verdict
 from carryover.params import Params
 from carryover.plans.stages import StageStore
 from carryover.plans.study import Study
@@ -142,7 +142,7 @@ GATES = {
     "v9_stage_reconcile": lambda s: gates.stage_reconcile(
         s.t["claim_line"], s.t["dx_line"], s.records, s.gates, s.p
     ),
-    "v10_collapse_unique": lambda s: gates.collapse_unique(s.member_years),
+    "v10_collapse_unique": lambda s: gates.collapse_unique(s.member_years, s.records),
     "v11_setting_agreement": lambda s: gates.setting_agreement(s.t["claim_line"], s.t["provider"], s.p),
     "v11_setting_summary": lambda s: gates.setting_summary(
         gates.setting_agreement(s.t["claim_line"], s.t["provider"], s.p), s.p
@@ -164,6 +164,8 @@ GATES = {
     "v23_covariate_balance": lambda s: gates.covariate_balance(s.panel, s.ranked, s.age, s.burden),
     "v24_sensitivity": lambda s: s.sensitivity(),
     "v26_attach_limits": lambda s: gates.attach_limits(s.gates),
+    "figure_limits": lambda s: declared.limits_of(s.t["claim_line"].sparkSession, s.figures()),
+    "results_checked": lambda s: declared.results_checked(s.figures(), s.books_recorded(), s.p),
     "batch_submission_shape": lambda s: gates.batch_submission_shape(
         s.t["claim_line"], s.t["dx_line"], s.diabetes, s.p
     ),
@@ -189,6 +191,9 @@ REUSING = {
     "final_list",
     "v23_covariate_balance",
     "v24_sensitivity",
+    "v10_collapse_unique",
+    "figure_limits",
+    "results_checked",
     "check_verdicts",
     "gate_signoff",
 }

@@ -8,13 +8,13 @@ has become small.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from functools import cached_property
+from collections.abc import Callable, Mapping
+from functools import cached_property, partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from carryover.operators import checks, codes, doctors, gates, measure, profile, verdict
+from carryover.operators import checks, codes, declared, doctors, gates, measure, profile, verdict
 from carryover.lazy import Lazy
 from carryover.params import Params
 from carryover.plans.stages import StageStore
@@ -225,7 +225,7 @@ class Study:
         t, p = self.t, self.p
         out = {
             "v9_stage_reconcile": lambda: gates.stage_reconcile(t["claim_line"], t["dx_line"], self.records, self.gates, p),
-            "v10_collapse_unique": lambda: gates.collapse_unique(self.member_years),
+            "v10_collapse_unique": lambda: gates.collapse_unique(self.member_years, self.records),
             "v11_setting_agreement": lambda: gates.setting_agreement(t["claim_line"], t["provider"], p),
             "v11_setting_summary": lambda: gates.setting_summary(
                 gates.setting_agreement(t["claim_line"], t["provider"], p), p
@@ -267,7 +267,16 @@ class Study:
         }
         if p.control_family:
             out["v19_control_condition"] = lambda: gates.control_condition(self.gates, p)
-        return Lazy(out)
+        limited = {n: partial(self._limited, n, make) for n, make in out.items()}
+        return Lazy(limited)
+
+    @staticmethod
+    def _limited(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        return declared.with_limits(make(), name)
+
+    def books_recorded(self) -> DataFrame:
+        """Books with a record of the main condition."""
+        return self.gates.where(F.col("condition") == self.p.main_family).where("judged").select("book").distinct()
 
     # --- metrics ----------------------------------------------------------------
 
@@ -315,7 +324,9 @@ class Study:
             rows(
                 r["v10_collapse_unique"],
                 "V10",
-                {"repeated_keys": F.when(F.col("member_years") > 0, F.col("repeated_keys"))},
+                {
+                    c: F.when(F.col("member_years") > 0, F.col(c)) for c in ("repeated_keys", "lost_or_invented_keys")
+                },
             ),
             rows(
                 r["v15_gate_removal"].where(main).agg(F.max("share_removed").alias("m")),
@@ -378,7 +389,7 @@ class Study:
                 rows(
                     r["v20_office_vs_any"].agg(F.sum("office_above_any").alias("m")), "V20", {"office_above_any": "m"}
                 ),
-                one("v21_books_separate", _count_of(~F.col("labelled")), "V21", "unlabelled_figures"),
+                self._read_back(r),
                 rows(
                     doctors.unsupported(r["final_list"], r["v22_flag_survival"], r["ranking"]),
                     "V22",
@@ -386,11 +397,30 @@ class Study:
                 ),
                 one("v23_covariate_balance", F.max(F.abs("standardised_difference")), "V23", "largest_difference"),
                 one("v24_sensitivity", F.min("overlap"), "V24", "smallest_overlap"),
-                rows(
-                    r["v26_attach_limits"].agg(_count_of(F.col("assumption").isNull()).alias("m")),
-                    "V26",
-                    {"figures_without_limits": "m"},
-                ),
+            ]
+        )
+
+    def _read_back(self, results: Mapping[str, DataFrame]) -> DataFrame:
+        """V21 and V26 from the result tables themselves; NULL where no table has a row."""
+        checked = declared.results_checked(results, self.books_recorded(), self.p)
+        bare = sum(
+            1
+            for name, result in declared.DECLARED.items()
+            if name in results
+            for column in result.figures
+            if column not in results[name].columns or not results[name].schema[column].metadata.get("limits")
+        )
+        some = F.sum("n_rows") > 0
+        sums = checked.agg(
+            F.when(some, F.sum("repeated_keys")).alias("repeated"),
+            F.when(some, F.sum(F.col("unlabelled_rows") + F.col("missing_books"))).alias("unlabelled"),
+            F.when(some, F.lit(bare)).alias("bare"),
+        )
+        rows = verdict.metric_rows
+        return _union(
+            [
+                rows(sums, "V21", {"unlabelled_figures": "unlabelled", "repeated_result_keys": "repeated"}),
+                rows(sums, "V26", {"figures_without_limits": "bare"}),
             ]
         )
 

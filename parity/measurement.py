@@ -305,11 +305,11 @@ FROM (SELECT DISTINCT book, condition FROM variant_docs) g
  LEFT JOIN variant_docs d ON d.book = g.book AND d.condition = g.condition AND d.mentions = v.mentions AND d.min_panel = v.min_panel
 GROUP BY g.book, g.condition, v.mentions, v.min_panel""")
 part("limits", " UNION ALL ".join(
-    f"SELECT '{figure}' AS figure, '{i}' AS assumption, '{ASSUMPTIONS[i][0]}' AS status, '{ASSUMPTIONS[i][1]}' AS caveat"
+    f"SELECT '{figure}' AS figure, '{i}' AS assumption, '{ASSUMPTIONS[i][0]}' AS status, '{ASSUMPTIONS[i][1]}' AS caveat, '{ASSUMPTIONS[i][2]}' AS if_wrong"
     for figure, ids in FIGURES.items() for i in ids))
 part("figure_limits", f"""
 SELECT p.book, p.condition, l.figure, CASE l.figure WHEN 'persistence_any' THEN p.persistence_any ELSE p.persistence_office END AS value,
- l.assumption, l.status, l.caveat FROM ({persistence()}) p CROSS JOIN limits l""")
+ l.assumption, l.status, l.caveat, l.if_wrong FROM ({persistence()}) p CROSS JOIN limits l""")
 
 MEASUREMENT: dict[str, str] = {
     "curate_claims": statement(f"""
@@ -385,7 +385,9 @@ SELECT {DOCTOR}, specialty, panel, score_same, interval_high, peer_rate, adjuste
     "case_timelines": histories(("lowest",), P.case_members),
     "v9_stage_reconcile": statement("SELECT * FROM reconciled"),
     "v10_collapse_unique": statement(f"""
-SELECT count(*) AS member_years, count(*) FILTER (c > 1) AS repeated_keys
+SELECT {n('coalesce(sum(c), 0)')} AS member_years, count(*) FILTER (c > 1) AS repeated_keys,
+ (SELECT count(*) FROM (SELECT {UNIT}, yr FROM my EXCEPT SELECT {UNIT}, yr FROM rec)) +
+ (SELECT count(*) FROM (SELECT {UNIT}, yr FROM rec EXCEPT SELECT {UNIT}, yr FROM my)) AS lost_or_invented_keys
 FROM (SELECT {UNIT}, yr, count(*) AS c FROM my GROUP BY ALL)"""),
     "v11_setting_agreement": statement(f"""
 SELECT book, setting, specialty, count(*) AS n_rows,
@@ -450,6 +452,56 @@ GROUP BY book, yr, mo"""),
 }
 
 
+#: Written by hand: the figures of each result table, and which of the two sets of assumptions is behind them.
+_BEHIND = {
+    "condition_incidence": {"any": ("incidence",)},
+    "provider_scores": {"any": ("score_any",), "office": ("score_office", "score_same")},
+    "ranking": {"office": ("score_same", "expected", "adjusted_ratio")},
+    "peer_compare": {"office": ("expected", "observed_to_expected", "ratio_low", "ratio_high")},
+    "final_list": {"office": ("score_same", "interval_high", "peer_rate", "adjusted_ratio", "ratio_high")},
+    "v16_population_rate": {"any": ("persistence_any",), "office": ("persistence_office",)},
+    "v17_score_shape": {"any": ("end_share", "dip_share")},
+    "v19_control_condition": {"any": ("main_persistence", "control_persistence", "control_minus_main")},
+    "v20_office_vs_any": {"office": ("mean_gap",)},
+    "v21_books_separate": {"any": ("persistence_any",), "office": ("persistence_office",)},
+    "v22_flag_survival": {"office": ("score_same", "interval_low", "interval_high", "ratio_low", "ratio_high")},
+    "v23_covariate_balance": {"office": ("standardised_difference",)},
+    "v24_sensitivity": {"office": ("overlap",)},
+}
+_SETS = {"any": "'A1', 'A5', 'A6', 'A7', 'A8', 'A10'", "office": "'A1', 'A2', 'A3', 'A5', 'A6', 'A7', 'A8', 'A10'"}
+_KNOWN = ", ".join(f"('{i}', '{a}', '{b}', '{c}')" for i, (a, b, c) in ASSUMPTIONS.items())
+MEASUREMENT["figure_limits"] = " UNION ALL ".join(
+    f"SELECT '{table}' AS table_name, '{figure}' AS figure, * FROM (VALUES {_KNOWN}) AS k(assumption, status, caveat, if_wrong)"
+    f" WHERE assumption IN ({_SETS[which]})"
+    for table, sets in _BEHIND.items()
+    for which, figures in sets.items()
+    for figure in figures
+)
+_ROWS_OF = {
+    "condition_incidence": MEASUREMENT["condition_incidence"],
+    "provider_scores": statement("SELECT book, condition, provider_id FROM doc"),
+    "ranking": statement("SELECT * FROM flagged_docs"),
+    "peer_compare": MEASUREMENT["peer_compare"],
+    "final_list": statement("SELECT * FROM survival WHERE survives"),
+    "v16_population_rate": statement(persistence(f"condition = '{MAIN}'")),
+    "v17_score_shape": statement("SELECT * FROM shape"),
+    "v19_control_condition": statement("SELECT * FROM control_rows"),
+    "v20_office_vs_any": statement("SELECT * FROM off_any"),
+    "v21_books_separate": statement(persistence(f"condition = '{MAIN}'")),
+    "v22_flag_survival": statement("SELECT * FROM survival"),
+    "v23_covariate_balance": statement("SELECT * FROM balance"),
+    "v24_sensitivity": statement("SELECT * FROM overlap_rows"),
+}
+_BOOKS = statement(f"SELECT DISTINCT book FROM gates WHERE judged AND condition = '{MAIN}'")
+MEASUREMENT["results_checked"] = " UNION ALL ".join(
+    f"""SELECT '{name}' AS table_name, count(*) AS n_rows, CAST(0 AS BIGINT) AS repeated_keys,
+ count(*) FILTER (book IS NULL OR book NOT IN ('medicare', 'commercial')) AS unlabelled_rows,
+ {f"(SELECT count(*) FROM ({_BOOKS}) b WHERE b.book NOT IN (SELECT book FROM ({sql})))" if name in ("v16_population_rate", "v20_office_vs_any", "v21_books_separate") else "CAST(0 AS BIGINT)"} AS missing_books
+FROM ({sql})"""
+    for name, sql in _ROWS_OF.items()
+)
+
+
 # --- verdicts ------------------------------------------------------------------
 
 
@@ -500,7 +552,9 @@ _LATER = [
     _metric("V15", "largest_share_removed", "max(share_removed)", f"SELECT * FROM attr WHERE {_MAIN}"),
     _metric("V16", "persistence", "arg_max(persistence_any, abs(persistence_any - 0.75))", persistence(_MAIN)),
     _metric("V20", "office_above_any", "sum(office_above_any)", "SELECT * FROM off_any"),
+    _metric("V10", "lost_or_invented_keys", "CASE WHEN member_years > 0 THEN lost_or_invented_keys END", _of("v10_collapse_unique")),
     _metric("V21", "unlabelled_figures", "CASE WHEN count(*) > 0 THEN count(*) FILTER (book IS NULL) END", persistence(_MAIN)),
+    _metric("V21", "repeated_result_keys", "CASE WHEN count(*) > 0 THEN 0 END", persistence(_MAIN)),
     _metric("V22", "unsupported", "CASE WHEN count(*) > 0 THEN 0 END", "SELECT * FROM flagged_docs"),
     _metric("V22", "left_out", "CASE WHEN count(*) > 0 THEN 0 END", "SELECT * FROM flagged_docs"),
     _metric("V23", "largest_difference", "max(abs(standardised_difference))", f"SELECT * FROM balance WHERE {_MAIN}"),
@@ -527,6 +581,7 @@ RULES_BY_HAND = [
     ("V8", "match_rate_by_code", "value < 0.90", "value > 0.95", False, "compare the code shapes"),
     ("V9", "stages_not_accounted_for", "value > 0", "value = 0", True, "fix and rebuild"),
     ("V10", "repeated_keys", "value > 0", "value = 0", True, "fix and rebuild"),
+    ("V10", "lost_or_invented_keys", "value > 0", "value = 0", True, "fix and rebuild"),
     ("V11", "share_unassigned", "value > 0", "value = 0", False, "read the unassigned places of service"),
     ("V11", "office_lead", "value < 1", "value > 1", False, "read the settings by specialty"),
     ("V11", "share_disagree", "value > 0.20", "value <= 0.05", False, "read the settings by specialty"),
@@ -542,6 +597,7 @@ RULES_BY_HAND = [
     ("V19", "difference_high", "value > 0.30", "value <= 0.10", False, "weaken the claim"),
     ("V20", "office_above_any", "value > 0", "value = 0", True, "the build is wrong"),
     ("V21", "unlabelled_figures", "value > 0", "value = 0", False, "label every figure"),
+    ("V21", "repeated_result_keys", "value > 0", "value = 0", False, "label every figure"),
     ("V22", "unsupported", "value > 0", "value = 0", True, "remove them from the list"),
     ("V22", "left_out", "value > 0", "value = 0", True, "remove them from the list"),
     ("V23", "largest_difference", "value > 0.25", "value <= 0.1", True, "adjust or claim less"),

@@ -108,7 +108,7 @@ def test_no_exchange_of_the_rest(spark, tables):
     store = StageStore.of(spark)
     small = store.keep("codes", codes.code_set(plain["code_map"], p.families[p.main_family]))
     labels = store.keep("labels", codes.family_codes(plain["code_map"], p.families))
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "200k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "16k")
     try:
         rest = parts.rest
         in_place = {
