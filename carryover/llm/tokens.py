@@ -32,8 +32,9 @@ WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 CHUNK = regex.compile(f"[^{WHITE}]+")
 #: Separators that str.split() takes for white space although the property does not.
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
-#: Entries of one generation of a worker's tables.
-CACHE = 100_000
+#: Entries of one generation of a worker's tables of words; of chunks with their strings, which
+#: only digests fill; and of (state, arc) pairs.
+CACHE, STRINGS, OPEN = 100_000, 250_000, 400_000
 #: Rows whose ids a task holds before it sends them on.
 ROWS = 500
 
@@ -64,19 +65,41 @@ def byte_letters() -> dict[int, str]:
 
 
 class Automaton:
-    """Compiled merges over words in which every letter is one base symbol."""
+    """Compiled merges over words in which every letter is one base symbol.
+
+    A state is the last token read.  Its arcs are the tokens that may follow it; which
+    tokens stand at a place of a word is read from one flat table of transitions by
+    (node, letter), and which of them a state has from a flat table by (state, arc),
+    filled from what the gadgets cut as states and arcs are met.
+    """
+
+    #: Letters of the table of transitions: a byte, and 256 more where a word ends.
+    LETTERS = 512
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]]):
         self.arcs = vocab
-        self.reach: dict[str, int] = {}
-        for arc in vocab:
-            self.reach[arc[:2]] = max(self.reach.get(arc[:2], 1), len(arc))
+        self.names = list(vocab)
+        self.ids = list(vocab.values())
+        self.sizes = list(map(len, self.names))
+        self.step: dict[int, int] = {}
+        self.at: list[int] = [-1]
+        for arc, token in enumerate(self.names):
+            node = 0
+            for letter in token:
+                node = self._node(node * self.LETTERS + ord(letter))
+            self.at[node] = arc
         self.cut: dict[tuple[str, str], int] = {}
         self.after: dict[str, tuple] = {}
         self.left: dict[str, tuple] = {}
         for rank, (u, v) in enumerate(merges):
             self._gadget(rank, u, v)
-        self.open: dict[tuple[str, str], bool] = {}
+        self.open: dict[int, bool] = {}
+
+    def _node(self, way: int) -> int:
+        if way not in self.step:
+            self.step[way] = len(self.at)
+            self.at.append(-1)
+        return self.step[way]
 
     def _state(self, token: str) -> tuple:
         return self.after.get(token, ((token, NEVER),))
@@ -91,20 +114,33 @@ class Automaton:
         (_, _), *before = self._parts(u)
         self.left[u + v] = ((u + v, NEVER), (u, rank), *before)
 
-    def reads(self, state: str, arc: str) -> bool:
+    def reads(self, state: int, arc: int) -> bool:
         """True when the state after token ``state`` has the arc ``arc``."""
-        known = self.open.get((state, arc))
+        key = state * len(self.names) + arc
+        known = self.open.get(key)
         if known is None:
+            parts = self._parts(self.names[arc])
             known = not any(
                 (rank := self.cut.get((owner, part))) is not None and rank < until and rank <= merged
-                for owner, until in self._state(state)
-                for part, merged in self._parts(arc)
+                for owner, until in self._state(self.names[state])
+                for part, merged in parts
             )
-            if len(self.open) > CACHE:
+            if len(self.open) > OPEN:
                 self.open.clear()
-            self.open[state, arc] = known
+            self.open[key] = known
         return known
 
+    def _standing(self, letters: list[int], i: int) -> list[int]:
+        """Arcs that stand at place ``i``, shortest first."""
+        step, at, node, found = self.step.get, self.at, 0, []
+        for letter in letters[i:]:
+            node = step(node * 512 + letter)
+            if node is None:
+                break
+            if at[node] >= 0:
+                found.append(at[node])
+        return found
+
     def encode(self, word: str) -> list[int]:
         """Ids of the one accepted path over ``word``, one base symbol per letter.
 
@@ -112,20 +148,24 @@ class Automaton:
         and a position once found without a way to the end is not entered again.
         A prefix has one accepted path, so which arcs led there does not matter.
         """
-        arcs, reach, reads, n = self.arcs, self.reach, self.open, len(word)
-        path: list[str] = []
+        sizes, known, many, n = self.sizes, self.open.get, len(self.names), len(word)
+        letters = list(map(ord, word))
+        standing: dict[int, list[int]] = {}
+        path: list[int] = []
         ends: list[int] = []
         dead: set[int] = set()
-        i, state, most = 0, "", n
+        i, state, most = 0, -1, n
         while i < n:
-            longest = min(reach.get(word[i : i + 2], 1), most, n - i)
-            for size in range(longest, 0, -1):
-                arc = word[i : i + size]
-                if arc not in arcs or i + size in dead:
+            found = standing.get(i)
+            if found is None:
+                found = standing[i] = self._standing(letters, i)
+            for arc in reversed(found):
+                size = sizes[arc]
+                if size > most or i + size in dead:
                     continue
-                if state:
-                    known = reads.get((state, arc))
-                    if not (self.reads(state, arc) if known is None else known):
+                if state >= 0:
+                    fits = known(state * many + arc)
+                    if not (self.reads(state, arc) if fits is None else fits):
                         continue
                 path.append(arc)
                 i += size
@@ -136,11 +176,12 @@ class Automaton:
                 if not path:
                     raise ValueError("the vocabulary lacks a base symbol")
                 dead.add(i)
-                most = len(path.pop()) - 1
+                most = sizes[path.pop()] - 1
                 ends.pop()
                 i = ends[-1] if ends else 0
-                state = path[-1] if path else ""
-        return [arcs[arc] for arc in path]
+                state = path[-1] if path else -1
+        ids = self.ids
+        return [ids[arc] for arc in path]
 
 
 class Codec:
@@ -167,7 +208,7 @@ class Codec:
         self.labels = {i: s for s, i in (ids | self.special).items()}
         self.find_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.seen = Recent()
+        self.seen = Recent(STRINGS)
         self.known = Recent()
 
     def _word(self, word: str) -> list[int]:
