@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 import zipfile
@@ -41,16 +40,6 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     return back
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of plans nothing refers to any more.
-
-    Called between written stages of one operator, so that its disk is that of its
-    largest stage and not of all of them.
-    """
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def forget(df: DataFrame) -> None:
     """Remove a table written by :func:`keep` that no later plan reads."""
     spark = df.sparkSession

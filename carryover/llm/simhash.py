@@ -17,13 +17,12 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carryover.llm.common import components, keep, release
+from carryover.llm.common import components, keep
 
 SHINGLE, SEED, BITS_APART = 4, 42, 4
 #: Least positional bytes that two linked fingerprints share.
@@ -197,265 +196,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, doc_id: str = "doc_
     )
 
 
-#: Fingerprints of the distinct shingles that find pairs of similar texts: (words, seed).
-VARIANTS = ((1, 42), (1, 43), (2, 42))
-#: What a pair of similar texts shares and differs in, at most: texts whose five-word
-#: shingles are 0.8 alike differ in 4 and 6 bits of these on average.
-SIMILAR_BITS, SIMILAR_SHARED = 12, 3
-#: Nodes of a list compared together with other lists; a longer one is compared on its own.
-SHORT_LIST = 32
-#: About so many texts say which shingles are usual, and so many of those are told apart.
-SAMPLE_TEXTS, MOST_USUAL = 8_000, 200_000
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``docs`` with one row of each component of :func:`near_duplicates`: that with the
+    smallest id, then text hash.
 
-
-def _variants(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, node, f0, f1, ...): per row its fingerprints and a name for its sequence of words."""
-    columns = docs.select("doc_id", F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).cast("binary").alias("_t"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, prints = [], [[] for _ in VARIANTS]
-            for value in batch.column(2):
-                text = value.as_py()
-                names.append(xxhash.xxh64_intdigest(b" ".join(text.lower().split()), 7) - (1 << 63))
-                for out, (words, seed) in zip(prints, VARIANTS):
-                    out.append(majority(np.unique(shingle_hashes(text, words, seed))))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], *[pa.array(x, pa.int64()) for x in (names, *prints)]],
-                names=["doc_id", "h", "node", *[f"f{k}" for k in range(len(VARIANTS))]],
-            )
-
-    schema = columns.drop("_t").schema.add("node", "long")
-    for k in range(len(VARIANTS)):
-        schema = schema.add(f"f{k}", "long")
-    return columns.mapInArrow(run, schema)
-
-
-def _candidates(marked: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes that lists of some fingerprint bring together."""
-    prints = marked.groupBy("node").agg(*[F.min(f"f{k}").alias(f"f{k}") for k in range(len(VARIANTS))])
-    found = None
-    for k in range(len(VARIANTS)):
-        part = links(prints.select(F.col(f"f{k}").alias("fp"), "node"), SIMILAR_BITS, SIMILAR_SHARED)
-        found = part if found is None else found.unionAll(part)
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _similar(keyed: DataFrame, marked: DataFrame, pairs: DataFrame, order: F.Column, same: F.Column, shingle: int, least: float) -> DataFrame:
-    """The pairs whose whole shingle sets are ``least`` alike."""
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    one = marked.join(asked, "node", "left_semi").groupBy("node").agg(F.min(order).alias("w"))
-    one = one.select(F.col("node").alias("_carryover_node"), F.col("w.doc_id").alias("_carryover_w"), F.col("w.h").alias("_carryover_wh"))
-
-    # half of each hash: two texts of n shingles then share one too many with a chance of n^2 in 2^32
-    @F.pandas_udf("array<int>")
-    def shingles(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: np.unique((shingle_hashes(t, shingle) >> np.uint64(32)).astype(np.uint32)).view(np.int32))
-
-    body = F.coalesce("text", F.lit("")).cast("binary")
-    # repeated rows give the same set twice, which verifies a pair twice
-    sets = keyed.join(one, same).select(F.col("_carryover_node").alias("node"), shingles(body).alias("s"))
-    both = pairs.join(sets.withColumnsRenamed({"node": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"node": "b", "s": "sb"}), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common >= F.lit(least) * (F.size("sa") + F.size("sb") - common)).select("a", "b").distinct()
-
-
-def _shingle_set(text: bytes, shingle: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text, shingle))
-
-
-def _usual(docs: DataFrame, marked: DataFrame, shingle: int) -> np.ndarray:
-    """Hashes of shingles that several of a sample of texts have, rarest first.
-
-    They only order shingles, so that prefixes hold rare ones; any order finds the same pairs.
-    """
-    every = max(1, marked.count() // SAMPLE_TEXTS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [_shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.column(0)]
-            if sets:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets), pa.int64())], names=["s"])
-
-    taken = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select(F.coalesce("text", F.lit("")).cast("binary").alias("t"))
-    seen = taken.mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    top = seen.orderBy(F.desc("n"), "s").limit(MOST_USUAL).toPandas()
-    return top["s"].to_numpy(np.int64)[::-1].copy().view(np.uint64)
-
-
-def _prefixes(docs: DataFrame, usual: np.ndarray, shingle: int, least: float) -> DataFrame:
-    """(node, n, keys): of each row the size of its shingle set and the first shingles of it in the common order.
-
-    Sets that are ``least`` alike share at least ``least`` of the larger one, so their
-    first n - ceil(least n) + 1 shingles have one in common.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast((np.sort(usual), np.argsort(usual, kind="stable") + 1))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, place = shared.value
-        for batch in batches:
-            out = []
-            for value in batch.column(0):
-                text = value.as_py()
-                found = _shingle_set(text, shingle)
-                n = len(found)
-                if not n:
-                    continue
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, found), len(known) - 1)
-                    rank = np.where(known[at] == found, place[at], 0)
-                    found = found[np.argsort(rank, kind="stable")]
-                first = n - int(np.ceil(least * n - 1e-9)) + 1
-                out.append((xxhash.xxh64_intdigest(b" ".join(text.lower().split()), 7) - (1 << 63), n, found[:first].tobytes()))
-            columns = list(zip(*out)) if out else [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary()))], names=["node", "n", "keys"])
-
-    return docs.select(F.coalesce("text", F.lit("")).cast("binary")).mapInArrow(run, "node long, n int, keys binary")
-
-
-_NO_PAIRS = np.empty((0, 2), np.int64)
-_POST = np.dtype([("key", np.uint32), ("n", np.int32), ("at", np.int32), ("node", np.int64), ("group", np.int64)])
-
-
-def _sharing(prefixes: DataFrame, least: float) -> DataFrame:
-    """Distinct pairs (a, b) of nodes in different groups that can be ``least`` alike by the shingles of their prefixes.
-
-    ``prefixes`` holds (node, group, n, keys).  Shingles are dealt to buckets; one that
-    more than ``BLOCK`` nodes post is dealt out again in pairs of blocks.
-    """
-    parts = 2 * int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node, group, n = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:3])
-            lists = [np.frombuffer(k, np.uint64) for k in batch.column(3).to_pylist()]
-            if not lists:
-                continue
-            size = np.array([len(x) for x in lists])
-            keys = np.concatenate(lists)
-            rows = np.empty(len(keys), _POST)
-            rows["key"] = (keys // np.uint64(parts)) & np.uint64(0xFFFFFFFF)
-            rows["n"], rows["node"] = np.repeat(n, size), np.repeat(node, size)
-            rows["group"] = np.repeat(np.where(group == node, 0, group), size)  # zeros take no room
-            rows["at"] = np.arange(len(keys)) - np.repeat(np.cumsum(size) - size, size)
-            bucket = (keys % np.uint64(parts)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            bucket, rows = bucket[order], rows[order]
-            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-            blobs = [b"".join(rows[f][x:y].tobytes() for f in _POST.names) for x, y in zip(first, [*first[1:], len(rows)])]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(blobs, pa.binary())], names=["bucket", "posts"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_bucket: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for bucket, blob in zip(*[c.to_pylist() for c in batch.columns]):
-                by_bucket.setdefault(bucket, []).append(_posts(blob))
-        for found in by_bucket.values():
-            rows = np.concatenate(found)
-            rows["group"] = np.where(rows["group"] == 0, rows["node"], rows["group"])
-            rows = rows[np.lexsort((rows["node"], rows["n"], rows["key"]))]
-            rows = rows[np.concatenate([[True], (rows["key"][1:] != rows["key"][:-1]) | (rows["node"][1:] != rows["node"][:-1])])]
-            first = np.flatnonzero(np.concatenate([[True], rows["key"][1:] != rows["key"][:-1]]))
-            size = np.diff(np.concatenate([first, [len(rows)]]))
-            short = rows[np.repeat((size > 1) & (size <= SHORT_LIST), size)]
-            pairs = [_fitting(short[:-d], short[d:], least, short["key"][:-d] == short["key"][d:]) for d in range(1, min(SHORT_LIST, len(short)))]
-            for x, m in zip(first[size > SHORT_LIST].tolist(), size[size > SHORT_LIST].tolist()):
-                listed = rows[x : x + m]
-                if m <= BLOCK:
-                    pairs.append(_possible(listed, listed, least))
-                    continue
-                dealt = [listed[k : k + BLOCK] for k in range(0, m, BLOCK)]
-                for i, left in enumerate(dealt):
-                    for right in dealt[i:]:
-                        if left["n"][-1] >= least * right["n"][0] - 1e-9:
-                            yield _met(_NO_PAIRS, (left.tobytes(), right.tobytes()))
-            if pairs:
-                yield _met(np.unique(np.concatenate(pairs), axis=0))
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield _met(np.unique(_possible(np.frombuffer(left, _POST), np.frombuffer(right, _POST), least), axis=0)).select(["a", "b"])
-
-    posted = prefixes.mapInArrow(post, "bucket int, posts binary")
-    met = keep(posted.repartition(parts, "bucket").mapInArrow(meet, "a long, b long, l binary, r binary"), "met")
-    dealt = met.where("l is not null").select("l", "r").repartition(parts).mapInArrow(blocks, "a long, b long")
-    return met.where("l is null").select("a", "b").unionAll(dealt).distinct()
-
-
-def _posts(blob: bytes) -> np.ndarray:
-    """Posts sent one column after the other."""
-    rows, at = np.empty(len(blob) // _POST.itemsize, _POST), 0
-    for name in _POST.names:
-        kind = _POST[name]
-        rows[name] = np.frombuffer(blob, kind, len(rows), at)
-        at += kind.itemsize * len(rows)
-    return rows
-
-
-def _fitting(x: np.ndarray, y: np.ndarray, least: float, asked: np.ndarray | None = None) -> np.ndarray:
-    """Pairs of nodes, smaller first, of different groups that lengths and places of their first shared shingle allow.
-
-    What a pair shares is at most this shingle and what follows it in the one with less to follow.
-    """
-    fits = x["group"] != y["group"]
-    if asked is not None:
-        fits &= asked
-    need = np.ceil(least / (1 + least) * (x["n"].astype(np.int64) + y["n"]) - 1e-9)
-    fits &= np.minimum(x["n"] - x["at"], y["n"] - y["at"]) >= need
-    a, b = np.broadcast_arrays(x["node"], y["node"])
-    return np.stack([np.minimum(a[fits], b[fits]), np.maximum(a[fits], b[fits])], 1)
-
-
-def _possible(left: np.ndarray, right: np.ndarray, least: float) -> np.ndarray:
-    """Fitting pairs of two blocks of a list, both sorted by size, or of one with itself."""
-    out = [_NO_PAIRS]
-    if left is right and (left["group"] == left["group"][0]).all():
-        return _NO_PAIRS
-    ends = np.searchsorted(right["n"], np.ceil(left["n"] / least + 1e-9), "right")
-    starts = np.arange(1, len(left) + 1) if left is right else np.searchsorted(right["n"], np.floor(least * left["n"] - 1e-9), "left")
-    for k, (start, end) in enumerate(zip(starts.tolist(), ends.tolist())):
-        if start < end:
-            out.append(_fitting(left[k : k + 1], right[start:end], least))
-    return np.concatenate(out)
-
-
-def _met(pairs: np.ndarray, blocks: tuple[bytes, bytes] | None = None) -> pa.RecordBatch:
-    """Pairs, then the blocks still to be compared."""
-    n = len(pairs)
-    a, b = ([*pairs[:, k].tolist(), *[None] * bool(blocks)] for k in (0, 1))
-    left, right = ([None] * n + ([blocks[k]] if blocks else []) for k in (0, 1))
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b", "l", "r"])
-
-
-def one_of_each(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each group of similar texts: that with the smallest id, then text hash.
-
-    Texts are similar when the sets of their ``shingle``-word shingles have a Jaccard
-    similarity of at least ``least``; groups are what such pairs connect.  Pairs from
-    the byte-position index of three fingerprints, verified on the whole sets, join most
-    of a group.  Every other pair that can be similar shares a shingle of the rarest of
-    both; such pairs are verified where their texts are not joined yet, so none is missed.  Rows without an id come after those with one; of
-    repeated rows one stays.  Columns stay as they are.
+    Columns stay as they are.  Rows without an id come after those with one; null,
+    empty and blank texts have fingerprint 0 and are one component; of repeated rows one
+    stays.  An empty table stays empty.
     """
-    spark = docs.sparkSession
-    marked = keep(_variants(docs), "fingerprints")
-    pairs = keep(_candidates(marked), "pairs")
-    release(spark)
-    keyed = docs.withColumn("_carryover_h", F.xxhash64("text"))
+    named = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    marked = keep(fingerprints(named, shingle, "doc_id", "text", "h"), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("h"))
-    same = F.col("doc_id").eqNullSafe(F.col("_carryover_w")) & (F.col("_carryover_h") == F.col("_carryover_wh"))
-    similar = keep(_similar(keyed, marked, pairs, order, same, shingle, least), "similar")
-    release(spark)
-    joined = components(similar).withColumnRenamed("component", "group")
-    prefixes = _prefixes(docs, _usual(docs, marked, shingle), shingle, least)
-    prefixes = prefixes.groupBy("node").agg(F.min(F.struct("n", "keys")).alias("p")).join(joined, "node", "left")
-    prefixes = prefixes.select("node", F.coalesce("group", "node").alias("group"), "p.n", "p.keys")
-    across = keep(_sharing(prefixes, least), "pairs")
-    release(spark)
-    rest = keep(_similar(keyed, marked, across, order, same, shingle, least), "similar")
-    release(spark)
-    of = components(similar.unionAll(rest))
-    first = marked.groupBy("node").agg(F.min(order).alias("first")).join(of, "node", "left")
-    first = first.groupBy(F.coalesce("component", "node").alias("group")).agg(F.min("first").alias("w")).select(F.col("w.doc_id").alias("_carryover_w"), F.col("w.h").alias("_carryover_wh"))
-    return keyed.join(first, same, "left_semi").dropDuplicates(["doc_id", "_carryover_h"]).select(*docs.columns)
+    # the smallest row of each fingerprint, with how often that row is repeated
+    rows = marked.groupBy("fp", "doc_id", "h").agg(F.count(F.lit(1)).alias("copies"))
+    first = rows.groupBy("fp").agg(F.min(F.struct(order.alias("place"), "copies")).alias("w"))
+    first = first.join(groups(marked), "fp").groupBy("group").agg(F.min("w").alias("w"))
+    winners = first.select(F.col("w.place.doc_id").alias("_carryover_w"), F.col("w.place.h").alias("_carryover_h"), F.col("w.copies").alias("_carryover_n"))
+    kept = docs.join(winners, F.col("doc_id").eqNullSafe(F.col("_carryover_w")) & (F.xxhash64("text") == F.col("_carryover_h")))
+    once = kept.where("_carryover_n = 1").select(*docs.columns)
+    # rows that are there several times are few: only these are compared with each other
+    again = kept.where("_carryover_n > 1").dropDuplicates(["_carryover_w", "_carryover_h"]).select(*docs.columns)
+    return once.unionByName(again)

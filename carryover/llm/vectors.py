@@ -3,10 +3,12 @@
 Vectors are scaled to length one.  A coarse quantiser puts each in an inverted list;
 the residual to the list's centre is coded by subspace.  A vector in another list is
 at least as far away as the hyperplane between the two centres, so a vector need not
-probe lists whose hyperplane is further off than the wanted angle reaches.  A step of
-that length goes towards one of many directions by 1/sqrt(dims) of it on average;
-lists are probed up to ``SPREAD`` times that (``exact=True``: up to its whole length,
-which misses nothing).  In a list, inner products with
+probe lists whose hyperplane is further off than the wanted angle reaches.  How much
+of a step of that length goes towards another centre is taken from the fitted sample:
+along each direction between two centres, the standard deviation of what vectors are
+off their centres, and of the steps between vectors of the sample that are as near as
+wanted, the larger of both.  Lists are probed up to ``SPREAD`` such deviations
+(``exact=True``: up to the whole length of a step, which misses nothing).  In a list, inner products with
 all entries are looked up in the table of the query's products with the codes
 (asymmetric: the query is not coded); an entry is left out only when its coding
 error cannot make up what is missing.  What remains is compared exactly.
@@ -34,6 +36,8 @@ SAMPLE_ROWS = 20_000
 LIST_ROWS, MOST_LISTS, CODES, SUB = 256, 4_096, 256, 8
 #: Standard deviations of a step's part towards another centre that probes allow for.
 SPREAD = 2.5
+#: Steps between near vectors of the sample that tell a spread of their own.
+LEAST_STEPS = 100
 #: Entries and queries of one block.
 BLOCK = 4_096
 #: Slack of the bounds for rounding; tables are looked up in single precision.
@@ -46,6 +50,8 @@ class Quantiser:
 
     centres: np.ndarray
     codes: np.ndarray
+    #: Roots of the spreads of a step of length one, as (dims x dims) matrices.
+    spreads: tuple[np.ndarray, ...] = ()
 
     def lists(self, x: np.ndarray) -> np.ndarray:
         return (-2 * x @ self.centres.T + (self.centres**2).sum(1)).argmin(1)
@@ -57,21 +63,50 @@ class Quantiser:
         back = np.stack([c[out[:, m]] for m, c in enumerate(self.codes)], 1)
         return out.astype(np.uint8), np.sqrt(((rest - back) ** 2).sum((1, 2)))
 
-    def probes(self, x: np.ndarray, at: np.ndarray, reach: float) -> np.ndarray:
-        """[vector, list]: lists not before the vector's own whose hyperplane is within ``reach``.
+    def probes(self, x: np.ndarray, at: np.ndarray, reach: float, exact: bool = False) -> np.ndarray:
+        """[vector, list]: lists not before the vector's own whose hyperplane a step of
+        length ``reach`` gets to, or one of its likely parts towards them.
 
         A pair in two lists is found from the one in the earlier list.
         """
         c = self.centres
         apart = (-2 * x @ c.T + (c**2).sum(1)) - (-2 * (x * c[at]).sum(1) + (c[at] ** 2).sum(1))[:, None]
-        between = np.sqrt(np.maximum(((c**2).sum(1)[:, None] + (c**2).sum(1) - 2 * c @ c.T), 0))[at]
-        return (apart <= 2 * reach * between + EPS) & (np.arange(len(c)) >= at[:, None])
+        home, own = np.unique(at, return_inverse=True)
+        between = _apart(c[home], c)
+        if not exact and self.spreads:
+            # what is off by one deviation along the direction, times its length
+            along = SPREAD * np.max([_apart(c[home] @ root, c @ root) for root in self.spreads], 0)
+            between = np.minimum(between, along)
+        return (apart <= 2 * reach * between[own] + EPS) & (np.arange(len(c)) >= at[:, None])
 
     def table(self, x: np.ndarray) -> np.ndarray:
         """[subspace, code, vector]: inner products of queries with all codes."""
         return np.matmul(self.codes, _padded(x, self.codes).transpose(1, 2, 0)).astype(np.float32)
 
 
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T, 0))
+
+
+def _spread(steps: np.ndarray) -> np.ndarray:
+    """Root of the second moments of steps of any length, scaled to a mean square length of one."""
+    moments = steps.T @ steps
+    values, vectors = np.linalg.eigh(moments / max(np.trace(moments), 1e-300))
+    return vectors * np.sqrt(np.maximum(values, 0))
+
+
+def near_steps(x: np.ndarray, at: np.ndarray, least_cosine: float) -> np.ndarray:
+    """Steps between vectors of one list that are as near as wanted, some for every vector."""
+    out = [np.empty((0, x.shape[1]))]
+    for rows in np.split(np.argsort(at, kind="stable"), np.flatnonzero(np.diff(np.sort(at))) + 1):
+        rows = rows[:1024]
+        near = np.triu(x[rows] @ x[rows].T >= least_cosine, 1)
+        # the nearest few after each, so that one crowd does not speak for all
+        i, j = np.nonzero(near & (near.cumsum(1) <= 4))
+        out.append(x[rows[i]] - x[rows[j]])
+    return np.concatenate(out)
+
+
 def _padded(x: np.ndarray, codes: np.ndarray) -> np.ndarray:
     parts, _, sub = codes.shape
     out = np.zeros((len(x), parts * sub))
@@ -90,15 +125,19 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
     return c
 
 
-def fit(sample: np.ndarray, lists: int) -> Quantiser:
-    """Centres and codes from a bounded sample of vectors of length one."""
+def fit(sample: np.ndarray, lists: int, least_cosine: float | None = None) -> Quantiser:
+    """Centres, codes and spreads from a bounded sample of vectors of length one."""
     centres = kmeans(sample, lists)
     parts = -(-sample.shape[1] // SUB)
     empty = np.zeros((parts, 1, SUB))
     at = Quantiser(centres, empty).lists(sample)
     rest = _padded(sample - centres[at], empty)
     codes = [kmeans(rest[:, m], CODES) for m in range(parts)]
-    return Quantiser(centres, np.stack(codes))
+    spreads = [_spread(sample - centres[at])]
+    steps = near_steps(sample, at, least_cosine) if least_cosine is not None else sample[:0]
+    if len(steps) >= LEAST_STEPS:
+        spreads.append(_spread(steps / np.maximum(np.sqrt((steps**2).sum(1, keepdims=True)), 1e-12)))
+    return Quantiser(centres, np.stack(codes), tuple(spreads))
 
 
 def usable(embedding: F.Column) -> F.Column:
@@ -134,10 +173,9 @@ def links(known: DataFrame, least_cosine: float, dims: int, exact: bool = False)
     total = known.count()
     sample = known.orderBy(F.xxhash64("node"), "node").limit(SAMPLE_ROWS).select("embedding").toPandas()
     unit = _unit(np.array(sample["embedding"].tolist(), float).reshape(len(sample), dims))
-    quantiser = fit(unit, max(1, min(MOST_LISTS, total // LIST_ROWS)))
+    quantiser = fit(unit, max(1, min(MOST_LISTS, total // LIST_ROWS)), least_cosine)
     shared = spark.sparkContext.broadcast(quantiser)
     reach = float(np.sqrt(max(0.0, 2 - 2 * least_cosine)))
-    probed = reach if exact else reach * min(1.0, SPREAD / dims**0.5)
 
     def assign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q: Quantiser = shared.value
@@ -147,7 +185,7 @@ def links(known: DataFrame, least_cosine: float, dims: int, exact: bool = False)
                 x = _unit(np.stack(rows["embedding"].to_numpy()).astype(float))
                 at = q.lists(x)
                 codes, error = q.encode(x, at)
-                probes = [np.flatnonzero(p).astype(np.int32) for p in q.probes(x, at, probed)]
+                probes = [np.flatnonzero(p).astype(np.int32) for p in q.probes(x, at, reach, exact)]
                 yield pd.DataFrame({
                     "node": rows["node"], "embedding": rows["embedding"], "copies": rows["copies"], "list": at.astype(np.int32),
                     "codes": [c.tobytes() for c in codes], "error": error, "probes": probes,

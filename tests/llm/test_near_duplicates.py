@@ -9,6 +9,7 @@ from itertools import combinations
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
 from carryover.llm import simhash, vectors
@@ -96,64 +97,27 @@ def test_simhash_odd_rows(spark, odd):
     assert kept[0]["_h"] == "kept" and simhash.one_of_each(odd.limit(0)).count() == 0
 
 
-def test_one_of_each_group_of_similar_texts(spark):
-    """Near copies at a similarity of 0.8 or more lose all but one; others stay."""
+def test_one_of_each_component(spark):
+    """Of every component by shingles of four words and four bits the smallest id stays."""
     rnd = random.Random(8)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 7)))
-    texts, near = {}, []
-    for g in range(60):
+    texts = {}
+    for g in range(80):
         base = [word() for _ in range(300)]
-        texts[10 * g] = base
+        texts[10 * g + 5] = base
         for c in range(1, 4):
             copy = list(base)
-            for _ in range(rnd.randint(0, 10)):
+            for _ in range(rnd.randint(0, 3)):
                 copy[rnd.randrange(len(copy))] = word()
             texts[10 * g + c] = copy
-    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in texts.items()}
-    near = [(a, b) for a, b in combinations(texts, 2) if a // 10 == b // 10 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    want = joined(texts, near)
-    df = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
-    kept = {r.doc_id for r in simhash.one_of_each(df).collect()}
-    assert set(want.values()) <= kept
-    assert len(kept - set(want.values())) <= 0.02 * len(texts)
-
-
-def kept_of(spark, texts: dict) -> tuple[set, set]:
-    """Ids kept, and those that comparing all pairs keeps."""
-    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in texts.items()}
-    near = [(a, b) for a, b in combinations(texts, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    df = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
-    return {r.doc_id for r in simhash.one_of_each(df).collect()}, set(joined(texts, near).values())
-
-
-@pytest.mark.parametrize("block, short", [(simhash.BLOCK, simhash.SHORT_LIST), (simhash.BLOCK, 2), (16, 4)])
-def test_copies_among_form_letters(spark, monkeypatch, block, short):
-    """Letters of one form are candidates of each other, but only their own copies are similar."""
-    monkeypatch.setattr(simhash, "SHORT_LIST", short)
-    monkeypatch.setattr(simhash, "BLOCK", block)
-    rnd = random.Random(4)
-    form, texts = [f"form{k}" for k in range(200)], {}
-    for g in range(150):
-        letter = list(form)
-        for k in range(8):
-            letter[12 + 25 * k] = f"field{rnd.randrange(10**9)}"
-        texts[2 * g] = letter
-        texts[2 * g + 1] = [*letter[:-1], f"end{g}"]
-    kept, want = kept_of(spark, texts)
-    assert len(want) == 150 and kept == want
-
-
-def test_copies_with_appended_text_and_short_ones(spark):
-    rnd = random.Random(2)
-    word = lambda: f"w{rnd.randrange(10**6)}"
-    texts = {}
-    for g in range(150):
-        size = rnd.choice([5, 8, 12, 20, 60, 200, 600])
-        base = [word() for _ in range(size)]
-        texts[2 * g] = base
-        texts[2 * g + 1] = base + [word() for _ in range((size - 4) // 4)]
-    kept, want = kept_of(spark, texts)
-    assert len(want) < len(texts) and kept == want
+    texts = {i: " ".join(w) for i, w in texts.items()}
+    prints = {i: bits(t) for i, t in texts.items()}
+    near = [(a, b) for a, b in combinations(texts, 2) if (prints[a] ^ prints[b]).bit_count() <= 4]
+    rows = [(i, t) for i, t in texts.items()] * 2 + [(1, "another text of the same id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_carryover", F.lit(1)).repartition(5)
+    kept = simhash.one_of_each(df).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(i, texts[i]) for i in set(joined(texts, near).values())] + [(1, rows[-1][1])])
+    assert simhash.one_of_each(df).columns == df.columns
 
 
 def test_vectors_of_the_whole_table(spark):
@@ -209,3 +173,28 @@ def test_vectors_odd_rows(spark):
         assert (i, 0, i, True) in got
     assert (7, 3, 7, True) in got and got.count((8, 3, 7, False)) == 2 and (None, 3, 7, False) in got and len(got) == len(rows)
     assert vectors.near_duplicates(df.limit(0)).count() == 0
+
+
+def spectrum(kind: str, rng) -> np.ndarray:
+    """Groups of four near vectors: in all directions, in six, of falling scale, or with steps in three directions only."""
+    base = np.repeat(rng.normal(size=(1000, 6 if kind == "rank 6" else 64)), 4, 0)
+    if kind == "three":
+        return base + (rng.normal(size=(4000, 3)) @ rng.normal(size=(3, 64))) * rng.uniform(0.02, 0.3, (4000, 1))
+    x = base + rng.normal(size=base.shape) * rng.uniform(0.05, 0.45, (4000, 1))
+    return x @ rng.normal(size=(6, 64)) if kind == "rank 6" else x / np.arange(1, 65) if kind == "1/k" else x
+
+
+@pytest.mark.parametrize("kind", ["isotropic", "rank 6", "1/k", "three"])
+def test_recall_of_sufficient_probes(kind):
+    """Nearly every link is in a probed list, whatever the directions of the vectors and of their steps."""
+    rng = np.random.default_rng(3)
+    x = vectors._unit(spectrum(kind, rng))
+    q = vectors.fit(x[rng.permutation(len(x))[:2500]], 60, 0.9)
+    at = q.lists(x)
+    probed = q.probes(x, at, np.sqrt(0.2))
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.9, 1))
+    early = np.where(at[a] <= at[b], a, b)
+    assert len(a) > 1000 and probed[early, np.maximum(at[a], at[b])].mean() >= 0.99
+    assert (q.probes(x, at, np.sqrt(0.2), exact=True) >= probed).all()
+    if kind == "isotropic":
+        assert probed.sum() < 0.4 * q.probes(x, at, np.sqrt(0.2), exact=True).sum()

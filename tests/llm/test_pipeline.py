@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from itertools import combinations
 
 import pytest
@@ -14,6 +13,7 @@ from carryover.llm.common import keep, table
 from carryover.llm.queries import TOKENIZER
 from tests.conftest import SF_DIR
 from tests.llm.test_decontaminate import distance
+from tests.llm.test_near_duplicates import bits, joined
 from tests.llm.test_secret_scan import spans
 
 
@@ -40,16 +40,10 @@ def test_quality(spark, stages):
 
 
 def test_near_duplicates(stages):
-    sets = {}
-    for i, text in zip(stages[1].doc_id, stages[1].text):
-        w = re.sub("[A-Z]", lambda m: m[0].lower(), text).split()
-        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
-    left = set(stages[2].doc_id)
-    near = [(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    assert near and not any(a in left and b in left for a, b in near)
-    linked = {x for pair in near for x in pair}
-    assert set(sets) - linked <= left
-    assert all(b in left or any(b in pair for pair in near) for b in sets)
+    """The operator's rule: four-word shingles, links at four bits, one document a component."""
+    prints = {i: bits(t) for i, t in zip(stages[1].doc_id, stages[1].text)}
+    near = [(a, b) for a, b in combinations(prints, 2) if (prints[a] ^ prints[b]).bit_count() <= 4]
+    assert near and set(stages[2].doc_id) == set(joined(prints, near).values())
 
 
 def test_decontamination(spark, stages):
