@@ -26,7 +26,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that are 0.8 alike in five-word shingles."""
+    """One document of each component of SimHash links (four-word shingles, four bits)."""
     return simhash.one_of_each(docs.select(*COLUMNS))
 
 
