@@ -1,11 +1,11 @@
-"""Removal of repeated byte strings by suffix order and longest previous factors.
+"""Removal of repeated byte strings by suffix order.
 
 Windows are anchored at the smallest hash of a shorter string inside them.  Windows
 whose anchor occurs twice are put in suffix order: prefix doubling ranks the suffixes
-of their letters by 8, 16, ... bytes until a whole window is ordered.  Among suffixes
-that agree on a window the order is that of their places, so the previous smaller
-place of each is its neighbour: its longest previous factor reaches a window exactly
-when it is not the first there.
+of their letters by 8, 16, ... bytes until windows fall into classes of equal ones, and
+a member of a class with a neighbour in it repeats.  These classes stand in for arrays
+of longest previous factors: no factor lengths are computed, and windows under hot
+anchors and single stretches are compared without being sorted.
 """
 
 from __future__ import annotations
