@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,65 +34,83 @@ def _shown(value: str = "value"):
     return F.coalesce(F.col(value), F.lit("(null)")).alias("raw_value")
 
 
-def column_profile(df: DataFrame, table: str, dataset: str = "input") -> DataFrame:
-    """One row per column: contract against reality, with null, distinct and
-    length figures, from one scan and one small shuffle.
+def distinct_dense(df: DataFrame, key: str) -> DataFrame:
+    """Exact number of distinct values of an integer key whose values lie close together.
+
+    A task sends one bitmap of 4 kB for each 32,768 neighbouring values it saw, whatever
+    its rows.  A key spread thinly over a wide range would fill bitmaps with single bits:
+    such a key is counted by grouping.
+    """
+    return (
+        df.where(F.col(key).isNotNull())
+        .groupBy(F.bitmap_bucket_number(key).alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(key)).alias("bits"))
+        .agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("n"))
+    )
 
-    Every cell becomes (column, value, is null, length).  Value lists and days
-    keep their value, so their distinct values survive partial aggregation; a
-    key or a measure gives the value up and is one row per task.  A distinct
-    count of a key would shuffle the table, so it is NULL here (``grain_totals``
-    has it), like the length of a fractional number, which has no settled text.
+
+def column_profile(
+    df: DataFrame, table: str, dataset: str = "input", dense_keys: Collection[str] = (), count_values: bool = True
+) -> DataFrame:
+    """One row per column: contract against reality, with null, distinct and
+    length figures.
+
+    Rows, nulls and lengths are one aggregate of one row over one scan, turned into a
+    row per column afterwards.  Distinct values are counted exactly, from a scan of
+    each column alone: those of value lists and days are few, so partial
+    aggregation leaves little to shuffle; keys named in ``dense_keys`` go through
+    :func:`distinct_dense`, other keys are shuffled once per value and task.  Measures
+    have no distinct count, and fractional numbers no length, as they have no settled text.
+    ``count_values=False`` leaves distinct values out, and their scans.
     """
     fields = {f.name: f for f in CONTRACTS[table]}
-    columns = df.columns
-    lists = [c for c in columns if c in fields and fields[c].role in ("code", "day")]
-    cells = []
-    for i, c in enumerate(columns):
+    figures, cells = [F.count(F.lit(1)).alias("n_rows")], []
+    for i, c in enumerate(df.columns):
         kind = df.schema[c].dataType
         declared = f"'{fields[c].type}'" if c in fields else "CAST(NULL AS STRING)"
-        text = f"CAST(`{c}` AS STRING)"
-        value = text if c in lists else "CAST(NULL AS STRING)"
-        length = "CAST(NULL AS INT)" if isinstance(kind, T.FractionalType) else f"length({text})"
+        quoted = F.col(f"`{c}`")
+        length = F.lit(None) if isinstance(kind, T.FractionalType) else F.max(F.length(quoted.cast("string")))
+        figures += [F.count(quoted).alias(f"known_{i}"), length.cast("long").alias(f"length_{i}")]
         cells.append(
-            f"{i + 1}, '{c}', {declared}, '{kind.simpleString()}', {value}, isnull(`{c}`), {length}"
-        )
-    names = "ordinal_position, column_name, declared_type, data_type"
-    per_value = (
-        df.select(F.expr(f"stack({len(columns)}, {', '.join(cells)}) AS ({names}, value, missing, length)"))
-        .groupBy(*names.split(", "), "value")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if("missing").alias("missing"),
-            F.max("length").alias("length"),
-        )
-    )
-    return (
-        per_value.groupBy(*names.split(", "))
-        .agg(
-            F.sum("n").alias("n_rows"),
-            F.sum("missing").alias("null_rows"),
-            F.count("value").alias("distinct_values"),
-            F.max("length").cast("long").alias("max_length"),
-        )
-        .select(
-            F.lit(dataset).alias("dataset_searched"),
-            F.lit(table).alias("table_name"),
-            *names.split(", "),
-            (F.col("null_rows") > 0).alias("is_nullable"),
-            "n_rows",
-            "null_rows",
-            F.when(F.col("column_name").isin(lists), F.col("distinct_values")).alias("distinct_values"),
-            "max_length",
+            f"{i + 1}, '{c}', {declared}, '{kind.simpleString()}', n_rows - known_{i}, distinct_{i}, length_{i}"
         )
+    row = df.agg(*figures)
+    for i, c in enumerate(df.columns):
+        role = fields[c].role if c in fields else "measure"
+        integer = isinstance(df.schema[c].dataType, T.IntegralType)
+        if not count_values:
+            distinct = F.lit(None).cast("long")
+        elif role == "key" and c in dense_keys and integer:
+            distinct = distinct_dense(df, c).scalar()
+        elif role in ("key", "code", "day"):
+            # two levels: counts of one level would be merged into one aggregate that expands every row
+            distinct = df.select(f"`{c}`").distinct().agg(F.count(f"`{c}`")).scalar()
+        else:
+            distinct = F.lit(None).cast("long")
+        row = row.withColumn(f"distinct_{i}", distinct)
+    names = "ordinal_position, column_name, declared_type, data_type, null_rows, distinct_values, max_length"
+    return row.select("n_rows", F.expr(f"stack({len(cells)}, {', '.join(cells)}) AS ({names})")).select(
+        F.lit(dataset).alias("dataset_searched"),
+        F.lit(table).alias("table_name"),
+        "ordinal_position",
+        "column_name",
+        "declared_type",
+        "data_type",
+        (F.col("null_rows") > 0).alias("is_nullable"),
+        "n_rows",
+        "null_rows",
+        "distinct_values",
+        "max_length",
     )
 
 
-def column_profiles(tables: Mapping[str, DataFrame], dataset: str = "input") -> DataFrame:
+def column_profiles(
+    tables: Mapping[str, DataFrame], dataset: str = "input", dense_keys: Collection[str] = ()
+) -> DataFrame:
     """:func:`column_profile` of every table, in order."""
     out = None
     for name, df in tables.items():
-        one = column_profile(df, name, dataset)
+        one = column_profile(df, name, dataset, dense_keys)
         out = one if out is None else out.unionByName(one)
     return out.orderBy("dataset_searched", "table_name", "ordinal_position")
 
@@ -100,14 +118,14 @@ def column_profiles(tables: Mapping[str, DataFrame], dataset: str = "input") ->
 def column_listing(df: DataFrame, table: str) -> DataFrame:
     """Names and types of one table's columns, with the rows that support them."""
     return (
-        column_profile(df, table)
+        column_profile(df, table, count_values=False)
         .select("ordinal_position", "column_name", "data_type", "n_rows", "null_rows")
         .orderBy("ordinal_position")
     )
 
 
 def table_volume(tables: Mapping[str, DataFrame], dataset: str = "input") -> DataFrame:
-    """Rows per table beside the planned volume; parquet answers from footers."""
+    """Rows per table beside the planned volume; a parquet scan for it reads no column."""
     out = None
     for name, df in tables.items():
         expected = EXPECTED_ROWS.get(name)
@@ -202,19 +220,38 @@ def grain_totals(curated: DataFrame) -> DataFrame:
     )
 
 
+def _hash_level(hashed: Column) -> Column:
+    """Length in bits of the first 60 bits of an md5 text: each level holds half the
+    ids of the level above, and every id of a lower level sorts before it."""
+    return F.length(F.bin(hashed))
+
+
 def _probe_lines(curated: DataFrame, p: Params) -> DataFrame:
     """The first ``probe_lines`` distinct line ids in md5 order.
 
-    Ids are made distinct first, which shuffles one narrow row per id and task; of
-    the distinct ids each task then keeps only its first ``probe_lines``.
+    Only ids that can be among them are shuffled.  A first pass over the id column
+    marks 15 bits of each hash in one bitmap per level, which is at most 60 bitmaps of
+    4 kB per task; distinct marks are never more than distinct ids, so the lowest
+    levels that together hold ``probe_lines`` marks hold all ids wanted - two to three
+    times as many in expectation, however many lines there are, and a hot id is one
+    mark.  With fewer marks than that every level is kept.
     """
     line = F.col("claim_line_id")
+    hashed = curated.where(line.isNotNull()).select(
+        line, F.col("member_id").cast("string").alias("member"), F.md5(line.cast("string").cast("binary")).alias("hash")
+    ).withColumn("bits", F.conv(F.substring("hash", 1, 15), 16, 10).cast("long")).withColumn("level", _hash_level(F.col("bits")))
+    mark = F.expr("shiftright(bits, greatest(level - 16, 0)) & 32767")
+    marks = hashed.groupBy("level").agg(F.bitmap_count(F.bitmap_construct_agg(mark)).alias("n"))
+    # at most 60 rows
+    so_far = F.sum("n").over(Window.orderBy("level"))
+    last = marks.select("level", so_far.alias("n")).where(F.col("n") >= p.probe_lines).agg(F.min("level"))
     return (
-        curated.where(line.isNotNull())
-        .groupBy("claim_line_id")
-        .agg(F.min(F.col("member_id").cast("string")).alias("member"))
-        .orderBy(F.md5(line.cast("string").cast("binary")), line.cast("string"))
+        hashed.where(F.col("level") <= F.coalesce(last.scalar(), F.lit(60)))
+        .groupBy("claim_line_id", "hash")
+        .agg(F.min("member").alias("member"))
+        .orderBy("hash", line.cast("string"))
         .limit(p.probe_lines)
+        .select("claim_line_id", "member")
     )
 
 

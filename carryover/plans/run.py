@@ -65,15 +65,19 @@ def run(
     *,
     read_by_person: Mapping[str, str] | None = None,
     let_through: Collection[str] = (),
+    dense_keys: Collection[str] = (),
     stop: bool = True,
 ) -> Outcome:
     """Run all gates into ``folder``.
 
+    ``dense_keys`` names integer keys numbered one after another, whose distinct
+    values the column profile then counts with bitmaps.
+
     ``let_through`` names foundation checks a person has read and accepted;
     ``stop=False`` goes on past all of them.  Neither changes a verdict.
     """
     study = Study(tables, p, StageStore.of(spark))
-    write_result(profile.column_profiles(tables), folder, "column_profile")
+    write_result(profile.column_profiles(tables, dense_keys=dense_keys), folder, "column_profile")
     write_result(profile.table_volume(tables), folder, "table_volume")
 
     metrics = study.foundation_metrics(_write(study.foundation(), folder))

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 @dataclass(frozen=True)
 class Field:
     """One column.  ``role`` is key (an identifier), code (a value list),
-    day, or measure; profiles count distinct values for codes and days only."""
+    day, or measure; profiles count distinct values of all but measures."""
 
     name: str
     type: str

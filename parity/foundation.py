@@ -93,7 +93,7 @@ def _columns(table: str) -> str:
     out = []
     for i, item in enumerate(VIEW_COLUMNS[table].split()):
         c, kind = item.split(":")
-        listed = fields[c].role in ("code", "day")
+        listed = fields[c].role in ("key", "code", "day")
         distinct = n(f"count(DISTINCT {c})") if listed else "CAST(NULL AS BIGINT)"
         # a double prints differently in the two engines
         length = f"CAST(max(length(CAST({c} AS VARCHAR))) AS BIGINT)" if kind != "double" else "CAST(NULL AS BIGINT)"

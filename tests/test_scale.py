@@ -164,6 +164,50 @@ def test_probe_picks_the_first_ids_in_hash_order(spark, ids):
     assert [str(r.claim_line_id) for r in profile._probe_lines(curated, params(probe_lines=10)).collect()] == want
 
 
+@pytest.mark.parametrize("lines", [20_000, 300_000])
+def test_probe_shuffles_few_ids_however_many_lines(spark, tmp_path, lines):
+    """A third of the rows are of one id; ids past the mark never reach the exchange."""
+    ids = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id"))
+    spark.range(lines).select(ids.alias("claim_line_id"), F.col("id").alias("member_id")).write.parquet(f"{tmp_path}/lines")
+    curated = spark.read.parquet(f"{tmp_path}/lines")
+    probe = profile._probe_lines(curated, params(probe_lines=1000))
+    got = [r.claim_line_id for r in probe.collect()]
+    every = {7} | {i for i in range(lines) if i % 3}
+    assert got == sorted(every, key=lambda i: hashlib.md5(str(i).encode()).hexdigest())[:1000]
+    text = plan(probe)
+    filters = [at.start() for at in re.finditer(r"Filter .*ubquery", text)]
+    assert filters and filters[0] > text.index("Exchange hashpartitioning(claim_line_id"), "filtered below the exchange"
+    hashed = {i: int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16).bit_length() for i in every}
+    last = max(hashed[i] for i in got)
+    assert sum(level <= last for level in hashed.values()) <= 4000
+
+
+def test_dense_keys_are_counted_by_bitmaps_as_by_grouping(spark):
+    keys = [0, 1, 1, 32767, 32768, 32769, -1, -32768, -32769, 10**12, None]
+    df = spark.createDataFrame([(k,) for k in keys * 3], "member_id bigint")
+    assert rows(profile.distinct_dense(df, "member_id")) == [(9,)]
+    assert rows(profile.distinct_dense(df.limit(0), "member_id")) == [(0,)]
+    by_group = profile.column_profile(df, "claim_line")
+    by_bits = profile.column_profile(df, "claim_line", dense_keys=["member_id"])
+    assert rows(by_group) == rows(by_bits)
+    assert [(r.n_rows, r.null_rows, r.distinct_values, r.max_length) for r in by_bits.collect()] == [(33, 3, 9, 13)]
+    assert "bitmap_construct_agg" in plan(by_bits)
+    assert "bitmap_construct_agg" not in plan(by_group)
+
+
+def test_column_profile_fans_out_one_row_only_and_survives_empty_tables(spark, domain):
+    text = plan(profile.column_profile(domain["claim_line"], "claim_line"))
+    assert "Expand" not in text
+    assert text.index("Generate stack") < text.index("HashAggregate"), "stack stands above the aggregate"
+    empty = profile.column_profile(domain["claim_line"].limit(0), "claim_line", dense_keys=["member_id"])
+    assert {(r.n_rows, r.null_rows, r.distinct_values in (0, None), r.max_length) for r in empty.collect()} == {(0, 0, True, None)}
+
+
+def test_volume_reads_no_column(domain):
+    text = formatted(profile.table_volume({"claim_line": domain["claim_line"]}))
+    assert re.findall(r"ReadSchema: (.*)", text) == ["struct<>"]
+
+
 def test_filters_and_columns_reach_the_scan(domain):
     p = fixture_params()
     text = formatted(measure.measured_claims(domain["claim_line"], p).select("claim_line_id", "book"))
