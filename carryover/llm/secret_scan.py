@@ -217,10 +217,12 @@ def written(spans: Column, rules: list[tuple] = RULES) -> Column:
 def redact(docs: DataFrame, rules: list[tuple] = RULES, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of their texts replaced by ``mask``; overlapping spans by one.
 
-    ``n_chars`` follows the new text; a null text stays null, and other columns stay.
+    ``n_chars`` follows the new text; a null text stays null, an empty one empty, repeated rows
+    stay, and other columns stay, one named ``spans`` too.
     """
     columns = docs.columns
-    found = scan(docs, rules)
+    own = {c: f"_carryover_own_{c}" for c in columns if c.lower() == "spans"}
+    found = scan(docs.withColumnsRenamed(own), rules)
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(done: Column, s: Column) -> Column:
@@ -232,4 +234,4 @@ def redact(docs: DataFrame, rules: list[tuple] = RULES, mask: str = "[SECRET]")
     changed = F.size("spans") > 0
     # the length is taken of the finished column, not of a second copy of its expression
     new = found.withColumn("text", F.when(changed, masked).otherwise(F.col("text")))
-    return new.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*columns)
+    return new.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("spans").withColumnsRenamed({v: k for k, v in own.items()}).select(*columns)

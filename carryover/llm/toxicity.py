@@ -6,6 +6,10 @@ one word.  Viterbi decoding picks the likeliest readings under a character trigr
 model, counted over the whole corpus, times fixed channel costs.  The words of the
 restored text, and their beginnings, are then scored by a logistic regression.
 
+Tokens and runs of single letters of any length are decoded: of a long one the beginning
+of the likeliest path is settled while the rest is still open, so memory does not grow.
+Empty texts restore to empty ones; repeated rows are scored alike.
+
 Counting the model is one pass with counts summed per task; fitting uses a bounded
 sample of labelled rows; scoring is one pass without a shuffle.
 """
@@ -16,6 +20,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -29,8 +34,10 @@ from carryover.llm.common import crc_remainder
 SAMPLE_ROWS = 4_000
 #: Buckets of words and beginnings, lengths of the beginnings, evidence a feature needs.
 BUCKETS, BEGINNINGS, EVIDENCE, LEAST_DOCS = 1 << 22, (4, 5, 6, 7), 20.0, 3
-#: Words and tokens remembered in one task; characters of a token that is decoded.
-KEPT, LONGEST = 300_000, 40
+#: Words and tokens remembered in one task.
+KEPT = 300_000
+#: Letters of a path that stay open behind the last one read, and steps between two looks at it.
+LAG, LOOK = 20, 20
 #: Paths kept at each state of a lattice, and how much less likely a further reading may be.
 PATHS, MARGIN = 3, 4.0
 
@@ -94,16 +101,10 @@ def _class(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
+def lattice(token: str) -> Iterator[list[tuple[str, float]]]:
     """For each character of a lower-case token its readings ("" drops it) and their costs."""
-    out = []
-    for i, c in enumerate(token):
-        same = 1
-        while i - same >= 0 and token[i - same] == c:
-            same += 1
-        run = same
-        while i + run - same + 1 < len(token) and token[i + run - same + 1] == c:
-            run += 1
+    for c, group in groupby(token):
+        run = sum(1 for _ in group)
         arcs: list[tuple[str, float]] = []
         if c.isalpha():
             arcs.append((c, 0.0))
@@ -112,21 +113,23 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             arcs.append((c, COST_SPACE))
         if c == "*":
             arcs += [(x, COST_STAR) for x in LETTERS]
-        if same > 1:
-            arcs.append(("", COST_REPEAT if run > 2 else COST_PAIR))
-        elif c in SEPARATORS or not arcs:
-            arcs.append(("", COST_DROP))
-        out.append(arcs)
-    return out
+        first = [*arcs, ("", COST_DROP)] if c in SEPARATORS or not arcs else arcs
+        yield first
+        repeat = [*arcs, ("", COST_REPEAT if run > 2 else COST_PAIR)]
+        for _ in range(run - 1):
+            yield repeat
 
 
 def readings(token: str, model: np.ndarray) -> list[str]:
     """The likeliest reading of a token, and others that are less likely by at most ``MARGIN``.
 
     Viterbi over the lattice; a state is the last two letters and keeps its best few paths.
+    Once the likeliest path is longer than twice ``LAG``, all but its last ``LAG`` letters are
+    settled and paths that began otherwise are given up.
     """
+    settled: list[str] = []
     states: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
-    for arcs in lattice(token):
+    for i, arcs in enumerate(lattice(token)):
         after: dict[tuple[int, int], dict[str, float]] = {}
         for (a, b), paths in states.items():
             for letter, extra in arcs:
@@ -137,12 +140,20 @@ def readings(token: str, model: np.ndarray) -> list[str]:
                     if cost + step < cost_of.get(read + letter, np.inf):
                         cost_of[read + letter] = cost + step
         states = {k: sorted((c, r) for r, c in v.items())[:PATHS] for k, v in after.items()}
+        if i % LOOK == LOOK - 1:
+            _, best = min(path for paths in states.values() for path in paths)
+            if len(best) > 2 * LAG:
+                begun = best[:-LAG]
+                settled.append(begun)
+                left = {k: [(c, r[len(begun) :]) for c, r in v if r.startswith(begun)] for k, v in states.items()}
+                states = {k: v for k, v in left.items() if v}
     ends: dict[str, float] = {}
     for (a, b), paths in states.items():
         for cost, read in paths:
             ends[read] = min(ends.get(read, np.inf), cost + model[a, b, 0])
-    best = sorted((c, r) for r, c in ends.items())
-    return [r for c, r in best[:PATHS] if c <= best[0][0] + MARGIN]
+    best_ends = sorted((c, r) for r, c in ends.items())
+    begun = "".join(settled)
+    return [begun + r for c, r in best_ends[:PATHS] if c <= best_ends[0][0] + MARGIN]
 
 
 _REPEATED = re.compile(r"(.)\1\1")
@@ -165,8 +176,11 @@ class Restorer:
             known = bare
             if not bare.isalpha() or _REPEATED.search(bare):
                 letters = sum(c.isalpha() for c in bare)
-                if 2 <= letters and len(bare) <= LONGEST and 5 * letters >= 2 * len(bare.translate(_NO_SEPARATORS)) or _REPEATED.search(bare) and bare.isalpha() and len(bare) <= LONGEST:
+                if 2 <= letters and 5 * letters >= 2 * len(bare.translate(_NO_SEPARATORS)) or _REPEATED.search(bare) and bare.isalpha():
                     known, *others = readings(bare, self.model)
+                    # what separators part may be words of their own, each written to hide something
+                    parts = _PARTED.split(bare)
+                    others += [self.token(part) for part in parts if 2 < len(part) < len(bare)]
                     if others:
                         self.also[token] = others
             self.seen[token] = known
@@ -191,8 +205,7 @@ class Restorer:
             edges = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
             for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
                 if b - a > 2:
-                    for at in range(a, b, LONGEST):
-                        out += self._spaced(" ".join(tokens[at : min(b, at + LONGEST)])).split()
+                    out += self._spaced(" ".join(tokens[a:b])).split()
         return out
 
     def evidence(self, text: str) -> set[str]:
@@ -206,6 +219,7 @@ class Restorer:
         return " ".join(w for w in self.words(text) if w)
 
 
+_PARTED = re.compile("[" + re.escape(SEPARATORS) + "]+")
 _NO_SEPARATORS = {ord(c): None for c in SEPARATORS}
 
 

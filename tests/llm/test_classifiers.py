@@ -90,6 +90,26 @@ def test_spaced_words_and_plain_ones(model):
         assert r.token(token) == want
 
 
+def test_long_tokens_and_long_runs_of_letters(model):
+    r = toxicity.Restorer(model)
+    token = "you_are_a_complete_1d10t_and_everyone_hates_you"
+    assert len(token) == 47 and r.token(token).isalpha() and r.token(token).endswith("andeveryonehatesyou")
+    assert {"idiot", "complete", "hates"} <= r.evidence(f"they wrote {token} again")
+    said = "i think that you are a stupid liar and a clown so everyone here should hate you and all your works until the end"
+    letters = said.replace(" ", "")
+    assert len(letters) > 85 and r.token(" ".join(letters)[:5]) is not None
+    assert "".join(r.words(" ".join(letters))[len(letters) :]) == letters
+    # nothing is cut: the last word of a run is read as after a short one
+    assert r.text("x " * 50_000).count("x") >= 50_000
+
+
+def test_settled_beginnings_are_those_of_the_whole_search(model, monkeypatch):
+    tokens = ["a-complete_1d10t.and_every0ne*h4tes-you" * n for n in (1, 2, 5)] + ["wwwoooorrrthlesss" * 8, "s p o k e n " * 9 + "e"]
+    quick = [toxicity.readings(t, model)[0] for t in tokens]
+    monkeypatch.setattr(toxicity, "LAG", 10**9)
+    assert quick == [toxicity.readings(t, model)[0] for t in tokens]
+
+
 def test_viterbi_against_every_path(model):
     for token in ("1d10t", "s-c-u-m", "aaab", "t0*y"):
         paths = {}

@@ -76,3 +76,22 @@ def test_tokens(stages):
 
 def test_run(spark, stages):
     assert {r.doc_id for r in p.run(spark, SF_DIR).select("doc_id").collect()} == set(stages[5].doc_id)
+
+
+@pytest.mark.parametrize("stage", p.STAGES, ids=[n for n, _ in p.STAGES])
+def test_odd_rows_and_empty_tables(spark, odd, stage):
+    """Null, empty, blank and very long texts, absent and repeated ids, clashing extra columns."""
+    name, function = stage
+    got = function(spark, odd, SF_DIR)
+    if name != "tokens":
+        assert got.columns == p.COLUMNS
+    rows = got.collect()
+    assert len(rows) <= odd.count()
+    if name in ("secrets", "tokens"):
+        assert len(rows) == odd.count()
+    if name == "secrets":
+        before = sorted((r.doc_id or 0, r.text or "") for r in odd.collect())
+        assert sorted((r.doc_id or 0, r.text or "") for r in rows) == before
+    if name == "decontamination":
+        assert len(rows) == odd.count(), "no odd row holds an item"
+    assert function(spark, odd.limit(0), SF_DIR).count() == 0

@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from carryover.llm import secret_scan as s
 from carryover.llm.queries import ORACLE_SQL, QUERIES
@@ -79,6 +80,19 @@ def test_odd_rows_and_redaction(spark, odd):
     assert masked == sorted([("", None), (clean, len(clean)), (clean, len(clean)), ("plain", 7)], key=lambda x: x[0])
 
 
+def test_redaction_keeps_other_columns(spark, odd):
+    text = "token: 0123456789abcdef0123"
+    df = odd.union(odd.limit(1).withColumn("text", F.lit(text)))
+    back = s.redact(df)
+    assert back.columns == df.columns and back.dtypes == df.dtypes
+    got = back.collect()
+    assert len(got) == 10 and all(r.spans == r.rules == r.own == "kept" for r in got)
+    assert sorted(r.text or "" for r in got) == sorted([r.text or "" for r in odd.collect()] + ["[SECRET]"])
+    upper = s.redact(df.withColumnRenamed("spans", "SPANS"))
+    assert upper.columns == [c if c != "spans" else "SPANS" for c in df.columns] and upper.count() == 10
+    assert s.redact(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("size", [2000])
 def test_many_secrets_in_one_text(spark, size):
     text = " ".join(f"password=abcdefgh{i:06d}" for i in range(size))
