@@ -125,8 +125,9 @@ class Method:
     anchors: Callable[[np.ndarray, np.ndarray], Runs]
     #: Windows are sent as their hashes; else as the stretch of letters (bytes) of a run.
     by_hash: bool
-    #: For stretches: (texts, runs) to, for each window in order, a class of equal windows.
-    classes: Callable[[list[bytes], list[int]], np.ndarray] | None = None
+    #: For stretches in order of place: (texts, runs) to the length of each window's longest
+    #: previous factor, at most ``width``, and the window at which that factor starts earlier.
+    factors: Callable[[list[bytes], list[int]], tuple[np.ndarray, np.ndarray]] | None = None
 
 
 def numbered(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -251,9 +252,9 @@ def _parts(df: DataFrame) -> int:
     return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-_SENT = ["bucket", "kind", "a", "run", "starts", "rows", "ids"]
-_SENT_KINDS = [pa.int32(), pa.int8(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-_SENT_SCHEMA = "bucket int, kind byte, a binary, run int, starts binary, rows binary, ids binary"
+_SENT = ["bucket", "kind", "key", "a", "starts", "rows", "ids"]
+_SENT_KINDS = [pa.int32(), pa.int8(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+_SENT_SCHEMA = "bucket int, kind byte, key long, a binary, starts binary, rows binary, ids binary"
 #: Kinds of sent rows: hashes of windows, windows already known to repeat, a stretch of letters.
 HASHES, KNOWN, STRETCH = 0, 1, 2
 #: Ids sort before those without one.
@@ -296,19 +297,22 @@ def repeated(rows: DataFrame, method: Method, keep_first: bool) -> DataFrame:
                     many = np.concatenate([~first[1:], [False]]) & first
                     known = ~first if keep_first else ~first | many
                     for b, k, x, y in _by_bucket((h[first] % U(parts)).astype(np.int64), h[first], s[first], r[first]):
-                        out.append((b, HASHES, _blob(k), 0, _blob(x), _blob(number[y]), _blob(ids[y])))
+                        out.append((b, HASHES, None, _blob(k), _blob(x), _blob(number[y]), _blob(ids[y])))
                     if known.any():
-                        out.append((int(number[0] % parts), KNOWN, None, 0, _blob(s[known]), _blob(number[r[known]]), _blob(ids[r[known]])))
+                        out.append((int(number[0] % parts), KNOWN, None, None, _blob(s[known]), _blob(number[r[known]]), _blob(ids[r[known]])))
                 for (key, letters), at in stretches.items():
                     r, s = np.array(at, np.int64).T
-                    out.append((key % parts, STRETCH, key.to_bytes(8, "little") + letters, len(letters) - method.width + 1, _blob(s), _blob(number[r]), _blob(ids[r])))
+                    signed = key - (key >> 63 << 64)
+                    out.append((key % parts, STRETCH, signed, letters, _blob(s), _blob(number[r]), _blob(ids[r])))
                 yield _table(out, _SENT_KINDS, _SENT)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         h, s, r, i = [], [], [], []
-        groups: dict[bytes, dict[bytes, list[tuple]]] = {}
+        block = Block(method, keep_first)
+        group: dict[bytes, list[tuple]] = {}
+        current = None
         for batch in batches:
-            for _, kind, a, run, starts, row, own in zip(*[c.to_pylist() for c in batch.columns]):
+            for _, kind, key, a, starts, row, own in zip(*[c.to_pylist() for c in batch.columns]):
                 starts, row = np.frombuffer(starts, np.int64), np.frombuffer(row, np.int64)
                 own = np.frombuffer(own, np.int64)
                 if kind == KNOWN:
@@ -319,7 +323,12 @@ def repeated(rows: DataFrame, method: Method, keep_first: bool) -> DataFrame:
                     r.append(row)
                     i.append(own)
                 else:
-                    groups.setdefault(a[:8], {}).setdefault(a[8:], []).append((row, starts, own))
+                    if key != current:
+                        yield from block.take(group)
+                        group, current = {}, key
+                    group.setdefault(a, []).append((row, starts, own))
+        yield from block.take(group)
+        yield from block.rest()
         if h:
             h, s, r, i = map(np.concatenate, (h, s, r, i))
             order = np.argsort(h, kind="stable")
@@ -327,24 +336,6 @@ def repeated(rows: DataFrame, method: Method, keep_first: bool) -> DataFrame:
             twice = np.concatenate([[False], same]) | np.concatenate([same, [False]])
             at = order[twice]
             yield _elsewhere(h[at], r[at], i[at], s[at], keep_first)
-        texts, sizes, owners = [], [], []
-        for group in groups.values():
-            for letters, places in group.items():
-                owner = np.unique(np.stack([np.concatenate(x) for x in zip(*places)], 1), axis=0).T
-                if len(group) == 1 and not keep_first:
-                    if owner.shape[1] > 1:  # one stretch in several places: all its windows
-                        n = len(letters) - method.width + 1
-                        row, start = _spread(owner[0], owner[1], n)
-                        yield _found(row, np.repeat(owner[2], n), start)
-                    continue
-                texts.append(letters)
-                sizes.append(len(letters) - method.width + 1)
-                owners.append(owner)
-            if sum(map(len, texts)) >= PIECE // 2:
-                yield _judged(method, texts, sizes, owners, keep_first)
-                texts, sizes, owners = [], [], []
-        if texts:
-            yield _judged(method, texts, sizes, owners, keep_first)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What a task has found, in one line for each slot of documents."""
@@ -370,7 +361,11 @@ def repeated(rows: DataFrame, method: Method, keep_first: bool) -> DataFrame:
             yield _documents(np.concatenate(found))
 
     sent = marked.mapInArrow(send, _SENT_SCHEMA)
-    found = sent.repartition("bucket").mapInArrow(packed, "slot int, found binary")
+    dealt = sent.repartition("bucket")
+    if not method.by_hash:
+        # the stretches of one anchor come one after the other, so that a task holds one group at a time
+        dealt = dealt.sortWithinPartitions("kind", "key")
+    found = dealt.mapInArrow(packed, "slot int, found binary")
     return found.repartition("slot").mapInArrow(unpacked, "row long, owns binary, starts binary")
 
 
@@ -379,20 +374,92 @@ def _window_hash(letters: np.ndarray, method: Method, start: np.ndarray) -> np.n
     return Rolling(values, 1).of(start, start + method.width)
 
 
-def _spread(row: np.ndarray, start: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.repeat(row, run), (start[:, None] + np.arange(run)).ravel()
-
-
-def _judged(method: Method, texts: list[bytes], sizes: list[int], owners: list[list], keep_first: bool) -> np.ndarray:
-    """Windows of stretches that have another, or an earlier, place."""
-    label = method.classes(texts, sizes)
-    parts, at = [], 0
-    for size, (row, start, own) in zip(sizes, owners):
-        n = len(row)
-        parts.append((np.tile(label[at : at + size], n), *_spread(row, start, size), np.repeat(own, size)))
-        at += size
-    c, r, s, i = (np.concatenate(x) for x in zip(*parts))
-    return _elsewhere(c, r, i, s, keep_first)
+class Block:
+    """Groups of stretches under one anchor each, judged when enough of them have come."""
+
+    def __init__(self, method: Method, keep_first: bool):
+        self.method, self.keep_first = method, keep_first
+        self._empty()
+
+    def _empty(self) -> None:
+        self.texts: list[bytes] = []
+        self.owners: list[np.ndarray] = []
+        self.bytes = 0
+
+    def take(self, group: dict[bytes, list[tuple]]) -> Iterator[np.ndarray]:
+        """Add the stretches of one anchor, each with the (rows, starts, owns) it stands at."""
+        alone = len(group) == 1
+        for letters, places in group.items():
+            owner = _placed(*(np.concatenate(x) for x in zip(*places)))
+            if not alone:
+                self.texts.append(letters)
+                self.owners.append(owner)
+                self.bytes += len(letters)
+            elif owner.shape[1] > 1:  # windows of one stretch differ: all of them repeat, at its other places
+                row, start, own = owner[:, 1:] if self.keep_first else owner
+                n = np.full(len(row), len(letters) - self.method.width + 1)
+                yield np.stack([row, own, start, n], 1)
+        if self.bytes >= PIECE // 2:
+            yield from self.rest()
+
+    def rest(self) -> Iterator[np.ndarray]:
+        if self.texts:
+            yield _judged(self.method, self.texts, self.owners, self.keep_first)
+            self._empty()
+
+
+def _placed(row: np.ndarray, start: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Places in order, each once: by id, row and start."""
+    if len(row) == 1:
+        return np.stack([row, start, own])
+    order = np.lexsort((start, row, own))
+    places = np.stack([row[order], start[order], own[order]])
+    once = np.concatenate([[True], (places[:, 1:] != places[:, :-1]).any(0)])
+    return places[:, once]
+
+
+def _judged(method: Method, texts: list[bytes], owners: list[np.ndarray], keep_first: bool) -> np.ndarray:
+    """Runs of windows of stretches that have another, or an earlier, place.
+
+    Stretches are ordered by their first places; runs of windows of one document do not
+    overlap, so that windows are then in order of place.
+    """
+    first = np.stack([x[:, 0] for x in owners], 1)
+    order = np.lexsort((first[1], first[0], first[2])).tolist()
+    texts, owners = [texts[k] for k in order], [owners[k] for k in order]
+    size = np.array([len(t) - method.width + 1 for t in texts])
+    count = np.array([x.shape[1] for x in owners])
+    length, source = method.factors(texts, size.tolist())
+    again = length >= method.width
+    if keep_first:
+        own_runs = _whole(again, size)
+        other = np.flatnonzero(count > 1)
+        runs = (own_runs, np.ones(len(own_runs), np.int64)), (np.stack([other, np.zeros_like(other), size[other]], 1), None)
+    else:
+        again[source[again]] = True
+        again |= np.repeat(count > 1, size)
+        runs = ((_whole(again, size), None),)
+    row, start, own = np.concatenate(owners, 1)
+    at = np.cumsum(count) - count
+    found = []
+    for (found_runs, times), skip in zip(runs, (0, 1)):
+        stretch, offset, number = found_runs.T
+        n = count[stretch] - skip if times is None else times
+        place = np.repeat(at[stretch] + skip - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        found.append(np.stack([row[place], own[place], start[place] + np.repeat(offset, n), np.repeat(number, n)], 1))
+    return np.concatenate(found)
+
+
+def _whole(mask: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """(stretch, first window, number) of the runs of true windows; runs end with their stretch."""
+    at = np.cumsum(size) - size
+    edge = np.zeros(len(mask), bool)
+    edge[at] = True
+    before = np.concatenate([[False], mask[:-1]])
+    first = np.flatnonzero(mask & (edge | ~before))
+    last = np.flatnonzero(mask & np.concatenate([edge[1:] | ~mask[1:], [True]]))
+    stretch = np.searchsorted(at, first, "right") - 1
+    return np.stack([stretch, first - at[stretch], last - first + 1], 1)
 
 
 def _elsewhere(label: np.ndarray, row: np.ndarray, own: np.ndarray, start: np.ndarray, keep_first: bool) -> np.ndarray:

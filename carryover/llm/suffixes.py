@@ -1,11 +1,12 @@
-"""Removal of repeated byte strings by suffix order.
+"""Removal of repeated byte strings by longest-previous-factor arrays.
 
 Windows are anchored at the smallest hash of a shorter string inside them.  Windows
-whose anchor occurs twice are put in suffix order: prefix doubling ranks the suffixes
-of their letters by 8, 16, ... bytes until windows fall into classes of equal ones, and
-a member of a class with a neighbour in it repeats.  These classes stand in for arrays
-of longest previous factors: no factor lengths are computed, and windows under hot
-anchors and single stretches are compared without being sorted.
+whose anchor occurs twice come together in blocks of whole anchors, in order of place,
+and are put in suffix order with the lengths that neighbours share.  The previous and
+the next smaller place in that order give each window its longest previous factor (cut
+at the width) and where it starts earlier: a factor of full width is a repeat, and the
+window it is taken from is the earlier copy.  Windows under an anchor that very many
+batches post are compared by hash, without being sorted.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from carryover.llm.repeats import Method, Rolling, Runs, U, byte_letters, covere
 #: Bytes of a repeat, and of the shorter string that anchors it.
 WIDTH, ANCHOR = 400, 100
 _PLACE = 22
+#: Windows sorted side by side.
+SORTED = 1 << 14
 
 
 def smallest(values: np.ndarray, span: int) -> np.ndarray:
@@ -44,41 +47,93 @@ def anchored(width: int, anchor: int):
     return anchors
 
 
-def suffix_classes(width: int):
-    def classes(texts: list[bytes], runs: list[int]) -> np.ndarray:
-        """For each window of the texts its rank in suffix order; equal windows share one."""
-        raw = b"".join(texts)
-        n = len(raw)
-        words = np.ndarray((n,), ">u8", raw + b"\0" * 8, strides=(1,)).astype(U)
-        rank, size = _ranks(words), 8
-        if width < 8:
-            rank, size = _ranks(words >> U(8 * (8 - width))), width
-        while 2 * size <= width:
-            rank, size = _ranks(_pair(rank, size)), 2 * size
+def suffix_order(raw: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order of the windows at ``start``, and how much each shares with the one before.
+
+    Windows come in order of place and equal ones keep it.  They are dealt by their first
+    word and sorted some thousands at a time, so that few stand side by side as copies.
+    """
+    words = np.ndarray((len(raw),), ">u8", np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))
+    head = words[start].astype(U) >> U(8 * max(0, 8 - width))
+    order = np.argsort(head, kind="stable")
+    head = head[order]
+    share = np.zeros(len(order), np.int64)
+    share[1:] = np.minimum(_common(head[1:], head[:-1]) - max(0, 8 - width), width)
+    cut = np.concatenate([[0], np.flatnonzero(head[1:] != head[:-1]) + 1, [len(order)]])
+    many = np.diff(cut)
+    cut, many = cut[:-1][many > 1], many[many > 1]
+    grid = np.lib.stride_tricks.sliding_window_view(raw, width)
+    k = 0
+    while width > 8 and k < len(cut):
+        n = max(1, int(np.searchsorted(np.cumsum(many[k : k + SORTED]), SORTED, "right")))
+        at = np.repeat(cut[k : k + n] - (np.cumsum(many[k : k + n]) - many[k : k + n]), many[k : k + n])
+        at += np.arange(len(at))
+        own = order[at]
+        copies = np.ascontiguousarray(grid[start[own]])
+        new = np.argsort(copies.view(f"S{width}").ravel(), kind="stable")
+        order[at] = own[new]
+        for lo in range(1, len(new), SORTED):
+            here, before = copies[new[lo : lo + SORTED]], copies[new[lo - 1 : lo - 1 + SORTED]][: len(new) - lo]
+            differ = here != before
+            found = differ.argmax(1)
+            found[~differ[np.arange(len(found)), found]] = width
+            inside = at[lo : lo + SORTED]
+            # a window of another head than the one before keeps what the heads share
+            share[inside] = np.where(head[inside] == head[inside - 1], found, share[inside])
+        k += n
+    return order, share
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Leading bytes that words have in common."""
+    return 8 - np.searchsorted(U(1) << (U(8) * np.arange(8, dtype=U)), a ^ b, "right")
+
+
+def previous_smaller(place: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry the last one before it with a smaller place (-1: none), and what the two share.
+
+    Every entry starts at its neighbour.  All that lies between an entry and the one it
+    points at has larger places, so one that points at a larger place goes on to where
+    that one points: pointers double.
+    """
+    to, least = np.arange(-1, len(place) - 1), share.copy()
+    active = np.flatnonzero(to >= 0)
+    while len(active):
+        at = to[active]
+        active, at = (x[place[at] > place[active]] for x in (active, at))
+        least[active] = np.minimum(least[active], least[at])
+        to[active] = to[at]
+        active = active[to[active] >= 0]
+    return to, np.where(to >= 0, least, 0)
+
+
+def previous_factors(width: int):
+    def factors(texts: list[bytes], runs: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Length of each window's longest previous factor and the window it is taken from.
+
+        The longest match that starts earlier is with the previous or the next smaller
+        place in suffix order, whichever shares more.
+        """
+        raw = np.frombuffer(b"".join(texts), np.uint8)
         sizes = np.array([len(t) for t in texts])
         ahead = np.cumsum(sizes) - sizes
         count = np.array(runs)
         start = np.repeat(ahead - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        return _ranks(_pair(rank, width - size)[start])
-
-    return classes
-
-
-def _ranks(keys: np.ndarray) -> np.ndarray:
-    order = np.argsort(keys, kind="stable")
-    rank = np.empty(len(keys), U)
-    rank[order] = np.concatenate([[0], np.cumsum(keys[order][1:] != keys[order][:-1])])
-    return rank
-
+        order, share = suffix_order(raw, start, width)
+        before, shared = previous_smaller(order, share)
+        after, shared_after = previous_smaller(order[::-1], np.concatenate([[0], share[1:][::-1]]))
+        after, shared_after = len(order) - 1 - after[::-1], shared_after[::-1]
+        length, source = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        length[order] = np.maximum(shared, shared_after)
+        earlier = np.where(shared >= shared_after, before, after)
+        source[order] = np.where(np.maximum(shared, shared_after) > 0, order[np.clip(earlier, 0, len(order) - 1)], -1)
+        return length, source
 
-def _pair(rank: np.ndarray, ahead: int) -> np.ndarray:
-    after = np.zeros(len(rank), U)
-    after[: len(rank) - ahead] = rank[ahead:] + U(1)
-    return rank * U(len(rank) + 1) + after
+    return factors
 
 
 def method(width: int = WIDTH) -> Method:
-    return Method(width, lambda t: np.frombuffer(t, np.uint8), anchored(width, max(1, min(ANCHOR, width // 4))), False, suffix_classes(width))
+    return Method(width, lambda t: np.frombuffer(t, np.uint8), anchored(width, max(1, min(ANCHOR, width // 4))), False, previous_factors(width))
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, keep_first: bool = False, doc_id: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:

@@ -87,14 +87,30 @@ def test_hot_key_over_small_batches(spark, monkeypatch, keep_first):
         assert bytes(r.kept) == bytes(b for b, g in zip(texts[r.doc_id].encode(), gone[r.doc_id]) if not g)
 
 
-def test_suffix_classes():
+def shared(a: bytes, b: bytes) -> int:
+    return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize("width", [3, 8, 21, 64])
+@pytest.mark.parametrize("letters", [b"ab", b"a", bytes(range(256)), b"\0\1"])
+@pytest.mark.parametrize("side_by_side", [suffixes.SORTED, 5])
+def test_previous_factors(monkeypatch, width, letters, side_by_side):
+    """Suffix order, factor lengths and sources against every pair of windows."""
+    monkeypatch.setattr(suffixes, "SORTED", side_by_side)
     rnd = random.Random(3)
-    text = bytes(rnd.choice(b"ab") for _ in range(400))
-    for width in (3, 8, 21, 64):
-        label = suffixes.suffix_classes(width)([text], [len(text) - width + 1])
-        windows = [text[s : s + width] for s in range(len(text) - width + 1)]
-        order = sorted(set(windows))
-        assert [order.index(w) for w in windows] == label.tolist()
+    texts = [bytes(rnd.choice(letters) for _ in range(rnd.randint(width, 150))) for _ in range(4)]
+    texts.append(texts[1][1:] + texts[0] + b"x" * width)
+    runs = [len(t) - width + 1 for t in texts]
+    windows = [t[s : s + width] for t in texts for s in range(len(t) - width + 1)]
+    starts = np.concatenate([np.arange(n) + sum(map(len, texts[:k])) for k, n in enumerate(runs)])
+    order, common = suffixes.suffix_order(np.frombuffer(b"".join(texts), np.uint8), starts, width)
+    assert order.tolist() == sorted(range(len(windows)), key=lambda k: (windows[k], k))
+    assert common[1:].tolist() == [shared(windows[a], windows[b]) for a, b in zip(order[1:], order)]
+    length, source = suffixes.previous_factors(width)(texts, runs)
+    for k, window in enumerate(windows):
+        assert length[k] == max((shared(window, w) for w in windows[:k]), default=0)
+        if length[k]:
+            assert source[k] < k and shared(window, windows[source[k]]) == length[k]
 
 
 def test_symbols_inside_a_repeat_are_the_same():
