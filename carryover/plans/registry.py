@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from carryover.operators import checks, codes, coverage, declared, doctors, gates, measure, profile, verdict
+from carryover.operators import checks, codes, coverage, declared, doctors, gates, linked, measure, profile, verdict
 from carryover.params import Params
 from carryover.plans.stages import StageStore
 from carryover.plans.study import Study
-from carryover.sources.fixtures import fixture_params, fixture_tables
+from carryover.sources.fixtures import fixture_params, fixture_tables, hot_line_tables
+from carryover.sources.prepared import Prepared, write_prepared
 
 Tables = Mapping[str, DataFrame]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -202,6 +204,34 @@ REUSING = {
 }
 
 
+# What joins on the line id, over prepared tables in which a third of the rows of each lie on one line.
+LINKED = {
+    "linked_seq1_agreement": lambda t, s: linked.first_position_agreement(t),
+    "linked_disagreeing_pairs": lambda t, s: linked.disagreeing_pairs(t),
+    "linked_join_integrity": lambda t, s: linked.join_integrity(t, s.p),
+    "linked_diabetes_share": lambda t, s: linked.recorded_share(t, s.t["member_month"], s.diabetes, s.p),
+    "linked_expand_positions": lambda t, s: linked.expand_positions(t, s.p).select(
+        "claim_line_id", "member_id", "srv_start_dt", "plc_srv_cd", "position", "code"
+    ),
+    "linked_condition_records": lambda t, s: linked.condition_records(t, s.labels, s.p),
+}
+#: Rows above which a line of the test tables is kept apart, and the buckets of the rest.
+HOT_ROWS, BUCKETS = 1_000, 16
+
+
+def _linked(build: Callable[[Prepared, Study], DataFrame]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = StageStore.of(spark)
+        tables = hot_line_tables(spark, sf_dir)
+        prepared = write_prepared(
+            tables["claim_line"], tables["dx_line"], "claim_line_id", f"linked_{uuid.uuid4().hex}",
+            buckets=BUCKETS, hot_rows=HOT_ROWS, folder=store.path if store else None,
+        )
+        return build(prepared, Study(tables, P, None, store))
+
+    return run
+
+
 def _study(build: Callable[[Study], DataFrame], *, staged: bool) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         store = StageStore.of(spark)
@@ -213,4 +243,5 @@ def _study(build: Callable[[Study], DataFrame], *, staged: bool) -> Query:
 QUERIES: dict[str, Query] = {
     **{name: _query(build) for group in (DISCOVERY, FOUNDATION) for name, build in group.items()},
     **{name: _study(build, staged=name in REUSING) for group in (MEASURE, DOCTORS, GATES) for name, build in group.items()},
+    **{name: _linked(build) for name, build in LINKED.items()},
 }

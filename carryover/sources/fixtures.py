@@ -119,6 +119,33 @@ SELECT c.c_custkey AS member_id,
 }
 
 
+_DX_COLUMNS = "sequence_id, icd9_dx_cd, member_id, poa_cd"
+_CLAIM_COLUMNS = (
+    "member_id, srv_start_dt, pri_icd9_dx_cd, plc_srv_cd, plc_srv_ctg_cd, med_cost_ctg_cd, business_ln_cd, srv_prvdr_id,"
+    " prcdr_cd, allowed_amt, summarized_srv_ind, duplicate_ind, ntwk_srv_area_id, member_county_cd"
+)
+
+
+def _line_id(moved: int, end: str) -> str:
+    """A line id of which every third is one hot line of year one and some are absent."""
+    return (
+        f"CASE WHEN claim_line_id % 3 = {moved} THEN (SELECT {end}(claim_line_id) FROM {{claim_line}}"
+        " WHERE claim_line_id % 3 = 2 AND claim_line_id % 97 <> 5"
+        " AND srv_start_dt >= DATE '1999-01-01' AND srv_start_dt < DATE '2000-01-01')"
+        " WHEN claim_line_id % 97 = 5 THEN NULL ELSE claim_line_id END AS claim_line_id"
+    )
+
+
+# Both big tables with a third of their rows on one line id (one line for each table, so that
+# the fan-out grows with the rows), with absent ids and, among the claims, repeated ones.
+HOT_VIEWS: dict[str, str] = {
+    "claim_line": f"""
+SELECT {_line_id(0, 'max')}, {_CLAIM_COLUMNS} FROM {{claim_line}}
+UNION ALL SELECT claim_line_id, {_CLAIM_COLUMNS} FROM {{claim_line}} WHERE claim_line_id % 50 = 2""",
+    "dx_line": f"SELECT {_line_id(1, 'min')}, {_DX_COLUMNS} FROM {{dx_line}}",
+}
+
+
 def fixture_params() -> Params:
     """The choices that go with the fixture views."""
     return Params(
@@ -144,6 +171,14 @@ def view_sql() -> dict[str, str]:
     return {name: text.strip().format(**names) for name, text in VIEWS.items()}
 
 
+def hot_line_tables(spark: SparkSession, sf_dir: str) -> Mapping[str, DataFrame]:
+    """The logical tables with both big ones as in ``HOT_VIEWS``."""
+    plain = fixture_tables(spark, sf_dir)
+    big = {n: plain[n] for n in HOT_VIEWS}
+    hot = {n: spark.sql(text, **{m: big[m] for m in big if "{" + m + "}" in text}) for n, text in HOT_VIEWS.items()}
+    return Lazy({n: (lambda n=n: hot.get(n) if n in hot else plain[n]) for n in VIEWS})
+
+
 def fixture_tables(spark: SparkSession, sf_dir: str) -> Mapping[str, DataFrame]:
     """The logical tables over the parquet files of one scale, each built from
     the tables its text names when it is first asked for."""

@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one key, in either table, above which it is kept apart.
@@ -48,23 +48,30 @@ def hot_keys(left: DataFrame, right: DataFrame, key: str, hot_rows: int) -> Data
 
 
 def write_prepared(
-    left: DataFrame, right: DataFrame, key: str, name: str, *, buckets: int, hot_rows: int = HOT_ROWS
+    left: DataFrame, right: DataFrame, key: str, name: str, *, buckets: int, hot_rows: int = HOT_ROWS, folder: str | None = None
 ) -> Prepared:
-    """Save both tables under ``name`` in the session's warehouse and read them back.
+    """Save both tables under ``name`` and read them back; the files lie in ``folder``, or in
+    the session's warehouse where it is None.
 
     Rows without a key stay with the hot ones: they meet nothing, and in a bucket
     they would all be one task's.  The hot keys are written first, so that their size
     is known to the planner when the tables are split.
     """
     spark = left.sparkSession
-    hot_keys(left, right, key, hot_rows).write.mode("overwrite").saveAsTable(f"{name}_hot_keys")
+
+    def save(writer: DataFrameWriter, table: str) -> None:
+        if folder is not None:
+            writer = writer.option("path", f"{folder}/{table}")
+        writer.mode("overwrite").saveAsTable(table)
+
+    save(hot_keys(left, right, key, hot_rows).write, f"{name}_hot_keys")
     hot = spark.table(f"{name}_hot_keys")
     for side, df in (("left", left), ("right", right)):
         apart = df.join(hot.withColumn("_hot", F.lit(True)), key, "left").select(*df.columns, "_hot")
         plain = F.col("_hot").isNull() & F.col(key).isNotNull()
         rest = apart.where(plain).drop("_hot").repartition(buckets, key)
-        rest.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(f"{name}_{side}")
-        apart.where(~plain).drop("_hot").write.mode("overwrite").saveAsTable(f"{name}_{side}_hot")
+        save(rest.write.bucketBy(buckets, key).sortBy(key), f"{name}_{side}")
+        save(apart.where(~plain).drop("_hot").write, f"{name}_{side}_hot")
     return read_prepared(spark, name)
 
 

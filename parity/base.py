@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from carryover.sources.fixtures import fixture_params, view_sql
+from carryover.sources.fixtures import HOT_VIEWS, fixture_params, view_sql
 
 P = fixture_params()
 PARTS: dict[str, str] = dict(view_sql())
@@ -33,6 +33,18 @@ def statement(text: str) -> str:
     return f"WITH {ctes}\n{text.strip()}"
 
 
+def on_hot_lines(sql: str) -> str:
+    """A composed statement with both big tables replaced by those with a hot line each."""
+    names = {n: f"{n}_plain" for n in HOT_VIEWS}
+    plain = ",\n".join(f"{names[n]} AS (\n{PARTS[n]}\n)" for n in names)
+    for n, text in HOT_VIEWS.items():
+        own = f"{n} AS (\n{PARTS[n]}\n)"
+        if own not in sql:
+            raise ValueError(f"the statement does not read {n}")
+        sql = sql.replace(own, f"{n} AS (\n{text.strip().format(**names)}\n)")
+    return f"WITH {plain},\n{sql.removeprefix('WITH ')}"
+
+
 def norm(code: str) -> str:
     return f"upper(trim(replace({code}, '.', '')))"
 

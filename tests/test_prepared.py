@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from carryover.operators import checks, codes, linked, measure
+from carryover.plans.registry import QUERIES
 from carryover.sources import fixture_params, fixture_tables
+from carryover.sources.fixtures import hot_line_tables
 from carryover.sources.prepared import read_prepared, write_prepared
 from tests.conftest import SF_DIR
 from tests.test_scale import plan, rows
@@ -129,3 +131,22 @@ def test_no_exchange_of_the_rest(spark, tables):
             assert all("_hot" in x for x in exchanged(text)), what
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+
+def test_hot_lines_of_the_registered_queries(spark):
+    """Each big table has a line of a third of its rows, absent ids and, among the claims, repeated ones."""
+    tables = hot_line_tables(spark, SF_DIR)
+    plain = fixture_tables(spark, SF_DIR)
+    hottest = {}
+    for name in ("claim_line", "dx_line"):
+        df = tables[name]
+        assert df.columns == plain[name].columns
+        top = df.where("claim_line_id IS NOT NULL").groupBy("claim_line_id").count().orderBy(F.desc("count")).first()
+        assert top["count"] > 0.3 * df.count()
+        hottest[name] = top.claim_line_id
+        assert df.where("claim_line_id IS NULL").count() > 0
+    assert hottest["claim_line"] != hottest["dx_line"]
+    twice = tables["claim_line"].groupBy("claim_line_id").count().where("count = 2")
+    assert twice.count() > 100
+    fan_out = QUERIES["linked_expand_positions"](spark, SF_DIR).groupBy("claim_line_id").count().where("count > 1000")
+    assert {r.claim_line_id for r in fan_out.collect()} == set(hottest.values())
