@@ -8,6 +8,7 @@ from carryover.functions.columns import (
     ratio,
     share,
     signed_share,
+    trimmed,
     wilson,
 )
 from carryover.functions.shares import histogram_rank, share_of_total
@@ -24,5 +25,6 @@ __all__ = [
     "share",
     "share_of_total",
     "signed_share",
+    "trimmed",
     "wilson",
 ]

@@ -12,13 +12,22 @@ from pyspark.sql import functions as F
 Z95 = 1.959963984540054
 
 
+# What counts as a blank around a value: files with fixed widths or foreign line ends leave these.
+BLANKS = " \t\r\n"
+
+
+def trimmed(value: Column) -> Column:
+    """A text without outer blanks."""
+    return F.trim(value, F.lit(BLANKS))
+
+
 def normalise(code: Column) -> Column:
     """A code as it is compared everywhere: no dots, no outer blanks, upper case."""
-    return F.upper(F.trim(F.replace(code, F.lit("."), F.lit(""))))
+    return F.upper(trimmed(F.replace(code, F.lit("."), F.lit(""))))
 
 
 def blank(code: Column) -> Column:
-    return code.isNull() | (F.trim(code) == "")
+    return code.isNull() | (trimmed(code) == "")
 
 
 def share(n: Column, d: Column, digits: int = 4) -> Column:

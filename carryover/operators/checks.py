@@ -18,6 +18,7 @@ from carryover.functions import (
     share,
     share_of_total,
     signed_share,
+    trimmed,
 )
 from carryover.operators.codes import code_volume, has_category
 from carryover.operators.coverage import coverage_rows, months_held
@@ -450,7 +451,7 @@ def share_of_members(
     """:func:`recorded_share` from the rows of :func:`members_by_position`."""
     top = _with_code(_lines_of_year_one(claim_line, p).select("member_id", "pri_icd9_dx_cd"), "pri_icd9_dx_cd", codes)
     state = member_month.where(
-        (F.col("eff_yr").cast("int") == p.y1) & (F.upper(F.trim("mbr_state")) == p.state)
+        (F.col("eff_yr").cast("int") == p.y1) & (F.upper(trimmed(F.col("mbr_state"))) == p.state)
     )
 
     def tagged(df: DataFrame, tag: str) -> DataFrame:
@@ -485,7 +486,7 @@ def match_rate(dx_line: DataFrame, code_map: DataFrame) -> DataFrame:
     Both sides are one row per code before they meet.
     """
     known = (
-        code_map.where(F.trim("diagnosis_code") != "")
+        code_map.where(trimmed(F.col("diagnosis_code")) != "")
         .groupBy(normalise(F.col("diagnosis_code")).alias("icd9_dx_cd"))
         .agg(F.bool_or(has_category(F.col("hcc_v24"))).alias("has_hcc"))
     )
@@ -506,7 +507,7 @@ def match_rate(dx_line: DataFrame, code_map: DataFrame) -> DataFrame:
 def unmatched_codes(dx_line: DataFrame, code_map: DataFrame, top: int = 500) -> DataFrame:
     """The unmapped codes with the most rows."""
     known = (
-        code_map.where(F.trim("diagnosis_code") != "")
+        code_map.where(trimmed(F.col("diagnosis_code")) != "")
         .select(normalise(F.col("diagnosis_code")).alias("icd9_dx_cd"))
         .distinct()
     )

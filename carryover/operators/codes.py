@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from carryover.functions import blank, normalise
+from carryover.functions import blank, normalise, trimmed
 
 
 def has_category(category: Column) -> Column:
@@ -37,7 +37,7 @@ def category_examples(code_map: DataFrame, pattern: str, *, raw: bool) -> DataFr
     if raw:
         clean = normalise(written)
     else:
-        clean = F.upper(F.replace(F.trim(written), F.lit("."), F.lit("")))
+        clean = F.upper(F.replace(trimmed(written), F.lit("."), F.lit("")))
     codes = (
         code_map.where(has_category(F.col("hcc_v24")))
         .select(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from carryover.functions import blank, share, share_of_total
+from carryover.functions import blank, share, share_of_total, trimmed
 from carryover.params import Params
 from carryover.sources.contract import CONTRACTS, same_type
 
@@ -185,7 +185,7 @@ def code_shapes(dx_line: DataFrame, code_map: DataFrame) -> DataFrame:
         )
         return codes.groupBy(
             F.lit(name).alias("side"),
-            F.length(F.trim("code")).alias("raw_length"),
+            F.length(trimmed(F.col("code"))).alias("raw_length"),
             (F.instr("code", ".") > 0).alias("has_dot"),
         ).agg(F.count(F.lit(1)).alias("distinct_codes"), F.sum("n").alias("n_rows"))
 

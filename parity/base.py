@@ -45,8 +45,12 @@ def on_hot_lines(sql: str) -> str:
     return f"WITH {plain},\n{sql.removeprefix('WITH ')}"
 
 
+def trim(value: str) -> str:
+    return f"trim({value}, ' ' || chr(9) || chr(13) || chr(10))"
+
+
 def norm(code: str) -> str:
-    return f"upper(trim(replace({code}, '.', '')))"
+    return f"upper({trim(f"replace({code}, '.', '')")})"
 
 
 def share(n: str, d: str, digits: int = 4) -> str:

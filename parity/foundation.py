@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from carryover.operators.profile import EXPECTED_ROWS
 from carryover.sources.contract import CONTRACTS
-from parity.base import P, n, norm, part, share, signed, statement, years
+from parity.base import P, n, norm, part, share, signed, statement, trim, years
 
 Y1, Y2 = P.years
 DIABETES = P.families["diabetes"]
@@ -36,7 +36,7 @@ part("code_rows", """
 SELECT code, count(*) AS c FROM dx_code WHERE code <> '' GROUP BY ALL""")
 part("known_code", f"""
 SELECT {norm('diagnosis_code')} AS code, bool_or(coalesce(hcc_v24 NOT IN ('', '0'), false)) AS has_hcc
-FROM code_map WHERE trim(diagnosis_code) <> '' GROUP BY ALL""")
+FROM code_map WHERE {trim('diagnosis_code')} <> '' GROUP BY ALL""")
 
 
 def categories(counted: str) -> str:
@@ -60,7 +60,7 @@ FROM (SELECT m.member_id,
   m.member_id IN (SELECT member_id FROM top_code
     WHERE {years('srv_start_dt', Y1)} AND code IN (SELECT code FROM {codes})) AS b
   FROM (SELECT DISTINCT member_id FROM member_month
-        WHERE eff_yr = '{Y1}' AND upper(trim(mbr_state)) = '{P.state}') m)""")
+        WHERE eff_yr = '{Y1}' AND upper({trim('mbr_state')}) = '{P.state}') m)""")
 
 
 def profile(table: str, columns: list[str]) -> str:
@@ -120,8 +120,8 @@ FROM {t}""" for t in tables))
 
 def _shape(side: str, table: str, column: str) -> str:
     return f"""
-SELECT '{side}' AS side, CAST(length(trim({column})) AS INT) AS raw_length, contains({column}, '.') AS has_dot,
- count(DISTINCT {column}) AS distinct_codes, count(*) AS n_rows FROM {table} WHERE trim({column}) <> ''
+SELECT '{side}' AS side, CAST(length({trim(column)}) AS INT) AS raw_length, contains({column}, '.') AS has_dot,
+ count(DISTINCT {column}) AS distinct_codes, count(*) AS n_rows FROM {table} WHERE {trim(column)} <> ''
 GROUP BY ALL"""
 
 

@@ -7,7 +7,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from carryover.functions import normalise, share, signed_share
+from carryover.functions import blank, normalise, share, signed_share
 from carryover.operators import checks, codes, coverage, measure, profile
 from tests.small import claims, code_map, dx, full_coverage, line, months, params, position
 
@@ -205,3 +205,9 @@ def test_rounding_is_half_up_on_integers(spark):
 def test_normalise(spark):
     df = spark.createDataFrame([(" e11.9 ",), ("E119",), (None,)], "c string")
     assert [r[0] for r in df.select(normalise(F.col("c"))).collect()] == ["E119", "E119", None]
+
+
+def test_tabs_and_line_ends_are_blanks(spark):
+    df = spark.createDataFrame([("\te11.9\r\n",), ("E119\t",), (" \t\r\n",)], "c string")
+    assert [r[0] for r in df.select(normalise(F.col("c"))).collect()] == ["E119", "E119", ""]
+    assert [r[0] for r in df.select(blank(F.col("c"))).collect()] == [False, False, True]
