@@ -267,6 +267,63 @@ def test_skewed_claims_are_split_at_run_time(spark):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def test_lines_of_a_busy_provider_are_split_where_providers_are_not_broadcast(spark):
+    """Curated claims: the attribute join meets a third of all lines on one provider."""
+    conf = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "10k",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        plain = [F.lit(v).alias(k) for k, v in {
+            "pri_icd9_dx_cd": "E11.9", "prcdr_cd": "P", "business_ln_cd": "ME", "summarized_srv_ind": "Y", "duplicate_ind": "N",
+            "med_cost_ctg_cd": "MED", "ntwk_srv_area_id": "N1",
+        }.items()]
+        c = spark.range(60_000).repartition(8).select(
+            F.col("id").alias("claim_line_id"), (F.col("id") % 999).alias("member_id"), F.lit("2023-02-01").cast("date").alias("srv_start_dt"),
+            F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 7 > 0, F.col("id") % 2000).alias("srv_prvdr_id"), F.col("id").cast("double").alias("allowed_amt"), *plain,
+        )
+        m = spark.range(2_000).select(
+            (F.col("id") % 500).alias("member_id"), F.lit("2023").alias("eff_yr"), F.lit("02").alias("eff_mo"), F.col("id").alias("age_nbr"),
+            *[F.lit("x").alias(k) for k in ("gender_cd", "mbr_county_cd", "mbr_submarket")],
+        )
+        d = spark.range(4_000).select(
+            (F.col("id") % 1_000).alias("provider_id"), F.col("id").cast("string").alias("epdb_dw_prvdr_id"), F.lit("c").alias("county_nm"), F.lit("PCP").alias("specialty_ctg_cd")
+        )
+        p = params().with_(provider_key="provider_id", submarkets=())
+        df = measure.curate_claims(c, m, d, p)
+        got = {r.claim_line_id: (r.age_nbr, r.epdb_dw_prvdr_id) for r in df.collect()}
+        assert "skew=true" in plan(df)
+        assert got == {
+            i: (i % 999 if i % 999 < 500 else None, None if k is None or k >= 1_000 else min(str(k + 1_000 * n) for n in range(4)))
+            for i in range(60_000) for k in (0 if i % 3 == 0 else i % 2_000 if i % 7 else None,)
+        }
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_no_scan_task_reduces_the_member_months_it_reads(spark, domain):
+    """Curated claims: member months are dealt out as they are read, and sorted where they arrive."""
+    p = fixture_params()
+    text = plan(measure.curate_claims(domain["claim_line"], domain["member_month"], domain["provider"], p))
+    months_read = next(x for x in re.split(r"\n(?=[^\n]*Exchange )", text) if "eff_yr" in x and "FileScan" in x)
+    assert "Aggregate" not in months_read and "Sort" not in months_read
+
+
+@pytest.mark.parametrize("name", ["member_month", "member_raw"])
+def test_members_are_unfolded_into_months_by_many_tasks(spark, name):
+    """One small file of customers makes 24 times as many rows, not in one task."""
+    counts = [r["count"] for r in fixture_tables(spark, SF_DIR)[name].groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert max(counts) * 4 < sum(counts)
+
+
 def test_a_hot_key_of_prepared_tables_can_be_split(spark, domain):
     names = {}
     try:
